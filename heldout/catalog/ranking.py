@@ -253,7 +253,7 @@ def isotonic_weighted(spark, sf):
     """No SQL: pool-adjacent-violators is iterative. Tested against brute force."""
     df = R.group_weights(R.within_group_percentile(pred_view(spark, sf), ["grp"], "actual", "q_true"))
     fit = R.isotonic_weighted(df, "pred", "q_true", "weight")
-    return rounded(R.bracket_interpolate(df, fit, "pred", "q_hat").select("id", "q_hat"))
+    return rounded(R.apply_isotonic(fit, df, "pred", "q_hat").select("id", "q_hat"))
 
 
 # --- sorts, limits, sets ---------------------------------------------------------------------------------

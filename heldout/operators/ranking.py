@@ -183,20 +183,19 @@ def bracket_interpolate(df: DataFrame, knots: DataFrame, x: str, out: str, knot_
     return rows.withColumn(out, value).drop("_k")
 
 
-def isotonic_weighted(df: DataFrame, x: str, y: str, weight: str) -> DataFrame:
-    """Weighted non-decreasing fit: (boundary, prediction) knots for ``bracket_interpolate``.
+def isotonic_weighted(df: DataFrame, x: str, y: str, weight: str):
+    """Weighted non-decreasing fit of y on x as a Spark ML model; equal x values are pooled by weight first.
 
-    Equal x values are pooled by weight before the fit.
+    ``apply_isotonic`` predicts by linear interpolation, flat outside the range.
     """
     pooled = df.groupBy(x).agg(
         (F.sum(F.col(y) * F.col(weight)) / F.sum(weight)).alias("label"), F.sum(weight).alias("weight")
     ).withColumnRenamed(x, "features")
-    model = IsotonicRegression(weightCol="weight").fit(pooled)
-    spark = df.sparkSession
-    return spark.createDataFrame(
-        list(zip(model.boundaries.toArray().tolist(), model.predictions.toArray().tolist())),
-        "score double, percentile double",
-    )
+    return IsotonicRegression(weightCol="weight").fit(pooled)
+
+
+def apply_isotonic(model, df: DataFrame, x: str, out: str) -> DataFrame:
+    return model.setFeaturesCol(x).setPredictionCol(out).transform(df)
 
 
 def argmin_row(df: DataFrame, keys: Sequence[str], loss: str, order: Sequence[str]) -> DataFrame:
