@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from heldout.catalog import cohort, features, metrics, ranking, reports  # noqa: F401
+from heldout.catalog import cohort, features, metrics, ranking, reports, resampling  # noqa: F401
 from heldout.catalog.base import ORACLES, QUERIES  # noqa: F401
