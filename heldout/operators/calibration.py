@@ -17,27 +17,32 @@ from heldout.operators.metrics import pairs
 from heldout.operators.ranking import apply_isotonic, group_weights, isotonic_weighted, within_group_percentile
 from heldout.operators.resampling import replicates
 from heldout.operators.cohort import logo_prior_join
-from heldout.plans.skew import attach, cumulate, group_attach, profile
+from heldout.plans.skew import Profile, attach, cumulate, group_attach, profile, quantiles
+from heldout.plans.storage import materialise
 
 
-def sum_abs_deviation(rows: DataFrame, points: DataFrame, group: str, value: str, at: str, out: str) -> DataFrame:
-    """Add to each point its sum of |value - at| over all rows of its group.
+def sum_abs_deviation(rows: DataFrame, points: DataFrame, group: str, value: str, at: Sequence[str], bound: int) -> DataFrame:
+    """Add ``_all_<c>`` for each column c of ``at``: the sum of |value - c| over all rows of the point's group.
 
     Rows and points are ordered together once and the running count and sum give the answer at every point, so the
-    cost does not grow with rows times points.
+    cost does not grow with rows times points. ``bound`` is the most points one group can have.
     """
+    keys = [c for c in points.columns if c not in at and c != group]
+    shape = profile(rows, [group])
     cells = rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"))
-    totals = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_N"), F.sum(value).alias("_S"))
-    distinct = points.select(group, F.col(at).alias("_x")).distinct()
-    both = cells.select(group, F.col(value).alias("_x"), F.lit(0).alias("_tag"), "_n", "_s").unionByName(
-        distinct.select(group, "_x", F.lit(1).alias("_tag"), F.lit(0).cast("long").alias("_n"), F.lit(0.0).alias("_s"))
+    totals = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n_all"), F.sum(value).alias("_s_all"))
+    long = points.select(group, *keys, F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).alias("_x")) for c in at])).alias("_p"))
+    both = cells.select(group, F.col(value).alias("_x"), "_n", "_s").unionByName(
+        long.select(group, *keys, "_p._x", "_p._c", F.lit(0).cast("long").alias("_n"), F.lit(0.0).alias("_s")), allowMissingColumns=True
     )
-    placed = cumulate(both, [group], ["_x", "_tag"], ["_n", "_s"]).filter("_tag = 1")
-    j = attach(placed.select(group, "_x", "_n_before", "_s_before"), totals, [group], profile(rows, [group]).groups)
+    order = [F.col("_x").asc(), F.col("_c").asc_nulls_first(), *[F.col(k).asc() for k in keys]]
+    like = Profile(shape.groups, shape.largest + bound * len(at), shape.rows + shape.groups * bound * len(at))
+    placed = cumulate(both, [group], order, ["_n", "_s"], like).filter("_c IS NOT NULL")
+    j = attach(placed, totals, [group], shape.groups)
     x, n, s = F.col("_x"), F.col("_n_before"), F.col("_s_before")
-    total = x * n - s + (F.col("_S") - s) - x * (F.col("_N") - n)
-    table = j.select(group, F.col("_x").alias(at), total.alias(out))
-    return points.join(table, [group, at], "left")
+    total = x * n - s + (F.col("_s_all") - s) - x * (F.col("_n_all") - n)
+    wide = j.groupBy(group, *keys).agg(*[F.max(F.when(F.col("_c") == c, total)).alias(f"_all_{c}") for c in at])
+    return points.join(wide, [group, *keys])
 
 
 def labelled_draws(df: DataFrame, ks: Sequence[int], b: int, seed: int, group: str = "grp", unit: str = "id") -> DataFrame:
@@ -69,7 +74,7 @@ def fewshot_draws(df: DataFrame, ks: Sequence[int], b: int, seed: int = 0, min_e
     )
     whole = whole.join(flat, group)
     shots = labelled_draws(rows, ks, b, seed, group)
-    shots = attach(shots, whole, [group], groups).filter(F.col("n") - F.col("k") >= min_eval)
+    shots = materialise(attach(shots, whole, [group], groups).filter(F.col("n") - F.col("k") >= min_eval))
     keys = [group, "k", "b"]
     est = shots.groupBy(*keys).agg(F.avg("r").alias("c_raw"), F.avg("actual").alias("y_raw"))
     if priors is not None:
@@ -95,8 +100,10 @@ def fewshot_draws(df: DataFrame, ks: Sequence[int], b: int, seed: int = 0, min_e
         *[F.sum(F.abs(F.col(v) - F.col(c))).alias(f"_own_{c}") for v, c in constants],
     )
     out = est
-    for v, c in constants:
-        out = sum_abs_deviation(rows, out, group, v, c, f"_all_{c}")
+    for value in ("r", "actual"):
+        at = [c for v, c in constants if v == value]
+        sums = sum_abs_deviation(rows, est.select(*keys, *at), group, value, at, len(ks) * b).drop(*at)
+        out = out.join(sums, keys)
     j = out.join(own, keys)
     left = F.col("n") - F.col("k")
     errors = [((F.col(f"_all_{c}") - F.col(f"_own_{c}")) / left).alias(f"mae_{c}") for _, c in constants]
@@ -208,8 +215,6 @@ def eb_draw_distribution(draws: DataFrame, group: str = "grp") -> DataFrame:
         F.struct(F.lit("m2_minus_m3").alias("delta"), (F.col("mae_c_raw") - F.col("mae_c_shrunk")).alias("v")),
     )
     scoped = draws.select(F.explode(F.array(F.col(group), F.lit("ALL"))).alias(group), "k", F.explode(deltas).alias("_d"))
-    from heldout.plans.skew import quantiles
-
     rows = scoped.select(group, "k", "_d.delta", "_d.v")
     counts = rows.groupBy(group, "k", "delta").agg(F.count(F.lit(1)).alias("n_draws"))
     return counts.join(quantiles(rows, [group, "k", "delta"], "v", DRAW_QUANTILES), [group, "k", "delta"])
@@ -285,14 +290,14 @@ def group_offset_calibrator(groups: DataFrame, covariates: Sequence[str], offset
     moments = [F.get("_d", F.lit(i)) * F.col("_y") for i in range(p)]
     total = d.agg(
         F.array(*[F.sum(c) for c in cells]).alias("_A"), F.array(*[F.sum(m) for m in moments]).alias("_B"),
-        F.sum("_y").alias("_S"), F.count("_y").alias("_N"),
+        F.sum("_y").alias("_y_all"), F.count("_y").alias("_n_all"),
     ).withColumn("_one", F.lit(1))
     j = d.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")
     rest = j.select(
         group, "_y", "_d",
         F.zip_with("_A", F.array(*cells), lambda t, o: t - o).alias("a"),
         F.zip_with("_B", F.array(*moments), lambda t, o: t - o).alias("b"),
-        (F.col("_S") / F.col("_N")).alias("_naive"),
+        (F.col("_y_all") / F.col("_n_all")).alias("_naive"),
     )
 
     def solve(batches):

@@ -376,9 +376,9 @@ def logo_nested(
     chosen = select_1se(tuning) if rule == "1se" else select_min(tuning)
     final = models.filter("inner_group IS NULL").join(chosen.select("outer_group", "alpha", "step", "loss"), ["outer_group", "alpha", "step"])
     train_mean = rows.groupBy("grp").agg(F.count("y").alias("_n"), F.sum("y").alias("_s"))
-    whole = train_mean.agg(F.sum("_n").alias("_N"), F.sum("_s").alias("_S")).withColumn("_one", F.lit(1))
+    whole = train_mean.agg(F.sum("_n").alias("_n_all"), F.sum("_s").alias("_s_all")).withColumn("_one", F.lit(1))
     null = train_mean.withColumn("_one", F.lit(1)).join(F.broadcast(whole), "_one").select(
-        "grp", F.try_divide(F.col("_S") - F.col("_s"), F.col("_N") - F.col("_n")).alias("null_pred")
+        "grp", F.try_divide(F.col("_s_all") - F.col("_s"), F.col("_n_all") - F.col("_n")).alias("null_pred")
     )
     scored = score(rows, final, features, left_out=True)
     predictions = attach(scored.select("id", "grp", F.col("y").alias("actual"), "pred"), null, ["grp"], profile(rows, ["grp"]).groups)
