@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heldout.functions.scalars import draw_key, offset_stratum
+from heldout.functions.scalars import draw_key, finite, offset_stratum
 from heldout.operators.metrics import pairs
 from heldout.operators.ranking import apply_isotonic, group_weights, isotonic_weighted, within_group_percentile
 from heldout.operators.resampling import replicates
@@ -269,7 +269,8 @@ def ols_nested(groups: DataFrame, y: str, models: Sequence[Sequence[str]]) -> Da
             row[6] = _f_tail((out[0][5] - row[5]) / d1 / (row[5] / d2), d1, d2) if row[5] > 0 else 0.0
         return pd.DataFrame([r[:5] + r[6:] for r in out], columns=["formula", "n", "df", "r2", "adj_r2", "p_vs_first"])
 
-    return parts.groupBy(F.lit(1).alias("_one")).applyInPandas(solve, "formula string, n long, df int, r2 double, adj_r2 double, p_vs_first double")
+    fits = parts.groupBy(F.lit(1).alias("_one")).applyInPandas(solve, "formula string, n long, df int, r2 double, adj_r2 double, p_vs_first double")
+    return fits.withColumn("p_vs_first", finite("p_vs_first"))
 
 
 def group_offset_calibrator(groups: DataFrame, covariates: Sequence[str], offset: str = "offset", group: str = "grp") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,14 +32,11 @@ def select_tier(manifest: DataFrame, names: Sequence[str], name: str = "filename
     return chosen.orderBy("tier_pos"), total
 
 
-FILE_DIGEST = "length long, md5 string, sha256 string"
-
-
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """Name, length, MD5 and SHA-256 of every file below a path, computed where the file is read."""
+    """Name below ``path``, length, MD5 and SHA-256 of every file, computed where the file is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"),
+        F.regexp_extract("path", re.escape(path.rstrip("/").rsplit("/", 1)[-1]) + "/(.*)$", 1).alias("filename"),
         "length",
         F.md5("content").alias("md5"),
         F.sha2("content", 256).alias("sha256"),
