@@ -10,7 +10,7 @@ from heldout.catalog.base import (
 )
 from heldout.catalog.metrics import CUT, summary_cte, _r
 from heldout.operators import reports as P
-from heldout.operators.metrics import metrics_panel
+from heldout.operators.metrics import metrics_panel, score_run_summary
 
 BOTH = with_views("v_pred", "v_pred_b")
 PARTS = with_views("v_parts")
@@ -62,7 +62,7 @@ def _thresholds(spark):
     SELECT criterion, rule, threshold, {r('value')} AS value, pass FROM card""",
 )
 def gate_scorecard(spark, sf):
-    return rounded(P.gate_scorecard(P.score_run_summary(pred_view_b(spark, sf)), _thresholds(spark)))
+    return rounded(P.gate_scorecard(score_run_summary(pred_view_b(spark, sf)), _thresholds(spark)))
 
 
 @query(
@@ -75,7 +75,7 @@ def gate_scorecard(spark, sf):
     SELECT *, CASE WHEN all_pass AND NOT tie THEN 'candidate' ELSE 'incumbent' END AS "primary" FROM t""",
 )
 def gate_verdict(spark, sf):
-    a, b = P.score_run_summary(pred_view(spark, sf)), P.score_run_summary(pred_view_b(spark, sf))
+    a, b = score_run_summary(pred_view(spark, sf)), score_run_summary(pred_view_b(spark, sf))
     return P.gate_verdict(P.gate_scorecard(b, _thresholds(spark)), a, b)
 
 

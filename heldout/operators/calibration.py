@@ -17,7 +17,7 @@ from heldout.operators.metrics import pairs
 from heldout.operators.ranking import apply_isotonic, group_weights, isotonic_weighted, within_group_percentile
 from heldout.operators.resampling import replicates
 from heldout.operators.cohort import logo_prior_join
-from heldout.plans.skew import Profile, attach, cumulate, group_attach, profile, quantiles
+from heldout.plans.skew import Profile, attach, cumulate, profile, quantiles
 from heldout.plans.storage import materialise
 
 
@@ -381,5 +381,3 @@ def percentile_map_logistic(df: DataFrame, top: float = 0.75, group: str = "grp"
 
     return _each_group(rows, group, one).select(*df.columns, "q_true", "event", "p_hat")
 
-
-__all__ = ["group_attach"]

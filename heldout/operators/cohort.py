@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heldout.functions.scalars import alias_values, draw_key, first_match, parse_barcode, safe_number, title_key, truthy
-from heldout.plans.skew import attach, group_attach, number_rows
+from heldout.plans.skew import number_rows, profile
 
 INCLUDED = "included"
 EXCLUDED = "excluded"
@@ -211,7 +211,9 @@ def within_group_pairs(df: DataFrame, per_row: int, group: str = "grp", unit: st
     next ``per_row`` ones, so n rows give at most per_row*n pairs and no group is joined to itself in full. Pairs
     meet on (group, position), a key without skew. Groups no larger than ``per_row`` + 1 get all their pairs.
     """
-    dealt = number_rows(df.select(group, unit, value).withColumn("_h", draw_key(seed, unit)), [group], ["_h", unit], "_rn")
+    dealt = number_rows(
+        df.select(group, unit, value).withColumn("_h", draw_key(seed, unit)), [group], ["_h", unit], "_rn", profile(df, [group])
+    )
     left = dealt.select(group, F.col(unit).alias("a"), F.col(value).alias("_ya"), F.explode(
         F.sequence(F.col("_rn") + 1, F.col("_rn") + per_row)).alias("_rn"), F.col("_rn").alias("_ra"))
     right = dealt.select(group, "_rn", F.col(unit).alias("b"), F.col(value).alias("_yb"))
@@ -286,5 +288,3 @@ def overlay_defaults(df: DataFrame, overlay: DataFrame, key: str, defaults: dict
     j = df.join(over, key, "left")
     return j.select(*[c for c in df.columns if c not in defaults], *[F.coalesce(F.col(f"_o_{c}"), d).alias(c) for c, d in defaults.items()])
 
-
-__all__ = ["attach", "group_attach"]

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heldout.operators.ranking import neighbours
-from heldout.plans.skew import attach, group_attach, number_rows, profile, quantiles
+from heldout.plans.skew import attach, broadcast_rows, group_attach, number_rows, profile, quantiles
 
 R_CLAMP = 1 - 1e-6
 MIN_GROUP = 4
@@ -28,8 +28,6 @@ def feature_missing_filter(long: DataFrame, max_missing: float = 0.05) -> DataFr
     """Drop features with too many unknown values; the kept list is small and joined back as a semi join."""
     keep = feature_missing(long, max_missing).filter("keep").select("feature")
     n = profile(long, ["feature"]).groups
-    from heldout.plans.skew import broadcast_rows
-
     return long.join(F.broadcast(keep) if n <= broadcast_rows(long.sparkSession) else keep, ["feature"], "left_semi")
 
 
@@ -312,5 +310,3 @@ def label_squares(samples: DataFrame, group: str = "grp") -> DataFrame:
     """Per group: the label's n, mean and centred sum of squares."""
     return samples.groupBy(group).agg((F.var_pop("y") * F.count("y")).alias("ssy"))
 
-
-__all__ = ["Window"]

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heldout.functions.scalars import clip_floor, safe_corr, safe_slope
-from heldout.plans.skew import attach, group_attach, midrank, min_rank, profile, quantiles, value_cells
+from heldout.plans.storage import materialise
+from heldout.plans.skew import Profile, attach, group_attach, midranks, min_rank, profile, quantiles, value_cells
 
 POOLED = "POOLED"
 MACRO = "MACRO"
@@ -35,7 +36,7 @@ def _agg(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column]) -> DataFram
 def spearman(df: DataFrame, keys: Sequence[str], a: str, b: str, out: str, least: int = 3) -> DataFrame:
     """Spearman correlation per key (NULL below ``least`` rows or without variation)."""
     known = pairs(df, a, b).select(*keys, a, b)
-    ranked = midrank(midrank(known, keys, a, "_ra"), keys, b, "_rb")
+    ranked = midranks(known, keys, {"_ra": a, "_rb": b})
     rho = F.when(F.count(F.lit(1)) >= least, safe_corr("_ra", "_rb"))
     return _agg(ranked, keys, [rho.alias(out)])
 
@@ -64,7 +65,7 @@ def metrics_panel(df: DataFrame, keys: Sequence[str] = ("grp",), actual: str = "
     Ranks and sums come from one pass over the ranked rows.
     """
     known = pairs(df, actual, pred)
-    ranked = midrank(midrank(known, keys, actual, "_ra"), keys, pred, "_rp")
+    ranked = midranks(known, keys, {"_ra": actual, "_rp": pred})
     rho = F.when(F.count(F.lit(1)) > 2, safe_corr("_ra", "_rp")).alias("spearman")
     return _agg(ranked, keys, [*metric_columns(actual, pred), rho])
 
@@ -99,14 +100,14 @@ def null_panel(
 
 def centred(df: DataFrame, group: str = "grp", cols: Sequence[str] = ("actual", "pred")) -> DataFrame:
     """Subtract the group mean from each of ``cols`` (added as ``<c>_c``)."""
-    rows = group_attach(df, [group], [F.avg(c).alias(f"_m_{c}") for c in cols])
+    rows = group_attach(df, [group], [F.avg(c).alias(f"_m_{c}") for c in cols], profile(df, [group]))
     return rows.select(*df.columns, *[(F.col(c) - F.col(f"_m_{c}")).alias(f"{c}_c") for c in cols])
 
 
 def within_group_metrics(df: DataFrame, keys: Sequence[str] = (), group: str = "grp") -> DataFrame:
     """Agreement after removing group means from both sides: Pearson, Spearman, MAE; NULL for n < 3."""
-    rows = centred(pairs(df, "actual", "pred"), group)
-    ranked = midrank(midrank(rows, keys, "actual_c", "_ra"), keys, "pred_c", "_rp")
+    known = pairs(df, "actual", "pred")
+    ranked = midranks(centred(known, group), keys, {"_ra": "actual_c", "_rp": "pred_c"}, profile(known, keys))
     n = F.count(F.lit(1))
     return _agg(
         ranked,
@@ -177,7 +178,7 @@ def stratified_metrics(
     df: DataFrame, group: str = "grp", covariate: str = "covariate", strata: int = 3
 ) -> DataFrame:
     """Null panel and within-group agreement inside each covariate stratum (group means are the stratum's own)."""
-    rows = covariate_strata(df, covariate, strata)
+    rows = materialise(covariate_strata(df, covariate, strata))
     cell = rows.withColumn("_cell", F.concat_ws("|", F.col("stratum").cast("string"), F.col(group)))
     panel = null_panel(cell, ["stratum"], "_cell").drop("mae_train_null", "skill_train")
     within = within_group_metrics(cell, ["stratum"], "_cell").drop("n", "within_mae")
@@ -204,14 +205,15 @@ def with_pooled(df: DataFrame, group: str = "grp", label: str = POOLED) -> DataF
 
 def group_panel_wide(df: DataFrame, group: str = "grp") -> DataFrame:
     """The wide evaluation panel per group and pooled; the null is always each row's own group mean."""
-    rows = group_mean_null(pairs(df, "actual", "pred"), group)
+    known = pairs(df, "actual", "pred")
+    rows = group_mean_null(known, group)
     rows = rows.withColumn("abs_err", F.abs(_error())).withColumn(
         "null_err", F.abs(F.col("actual") - F.col("null_pred"))
     )
     n, sdy = F.count(F.lit(1)), F.stddev_samp("actual")
     parts = []
     for scope, keys in (("group", [group]), ("pooled", [])):
-        ranked = midrank(midrank(rows, keys, "actual", "_ra"), keys, "pred", "_rp")
+        ranked = midranks(rows, keys, {"_ra": "actual", "_rp": "pred"}, profile(known, keys))
         panel = _agg(
             ranked,
             keys,
@@ -230,7 +232,7 @@ def group_panel_wide(df: DataFrame, group: str = "grp") -> DataFrame:
                 F.avg("null_err").alias("mae_group_null"),
             ],
         )
-        middle = quantiles(rows, keys, "abs_err", {"median_abs_error": 0.5})
+        middle = quantiles(rows, keys, "abs_err", {"median_abs_error": 0.5}, profile(known, keys))
         if keys:
             panel = panel.join(middle, keys)
         else:
@@ -247,10 +249,11 @@ def per_group_report(
 ) -> DataFrame:
     """The headline table: clipped predictions, one row per group plus POOLED and MACRO (mean of the groups)."""
     flag = flag if flag is not None else F.lit(False)
-    rows = pairs(df, "actual", "pred").withColumn("pred", clip_floor("pred", floor)).withColumn("_flag", flag)
+    known = pairs(df, "actual", "pred")
+    rows = known.withColumn("pred", clip_floor("pred", floor)).withColumn("_flag", flag)
 
     def report(keys):
-        ranked = midrank(midrank(rows, keys, "actual", "_ra"), keys, "pred", "_rp")
+        ranked = midranks(rows, keys, {"_ra": "actual", "_rp": "pred"}, profile(known, keys))
         n = F.count(F.lit(1))
         return _agg(
             ranked,
@@ -309,11 +312,12 @@ def macro_one_minus_spearman(df: DataFrame, truth: str, pred: str, group: str =
 
 
 def auc_rank(
-    df: DataFrame, keys: Sequence[str], score: str, event: Column, min_class: int = 1, out: str = "auc"
+    df: DataFrame, keys: Sequence[str], score: str, event: Column, min_class: int = 1, out: str = "auc",
+    like: Profile | None = None,
 ) -> DataFrame:
     """Mann-Whitney AUC with midranks from counted score values; NULL when a class has fewer than ``min_class`` rows."""
     known = df.withColumn("_event", event.cast("int")).dropna(subset=[score, "_event"])
-    cells = value_cells(known, keys, score, {"pos": F.col("_event")})
+    cells = value_cells(known, keys, score, {"pos": F.col("_event")}, like=like or profile(df, keys))
     rank = F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)
     n1, n = F.sum("pos"), F.sum("n")
     n0 = n - n1
@@ -329,8 +333,9 @@ def auc_rank(
 def roc_points(df: DataFrame, score: str, event: Column, keys: Sequence[str] = ()) -> DataFrame:
     """ROC steps: one point per distinct score from high to low, and the leading (0, 0) with a NULL score."""
     known = df.withColumn("_event", event.cast("int")).dropna(subset=[score, "_event"])
-    cells = value_cells(known, keys, score, {"pos": F.col("_event")}, descending=True)
-    sized = group_attach(cells, keys, [F.sum("n").alias("_n"), F.sum("pos").alias("_pos")])
+    like = profile(df, keys)
+    cells = value_cells(known, keys, score, {"pos": F.col("_event")}, descending=True, like=like)
+    sized = group_attach(cells, keys, [F.sum("n").alias("_n"), F.sum("pos").alias("_pos")], like)
     tp = F.col("pos_before") + F.col("pos")
     fp = F.col("n_before") + F.col("n") - tp
     points = sized.select(
@@ -347,9 +352,11 @@ def roc_points(df: DataFrame, score: str, event: Column, keys: Sequence[str] = (
 
 def roc_three_framings(df: DataFrame, cut: float, group: str = "grp") -> DataFrame:
     """AUC of the score at an absolute cut, of group identity alone, and of the centred score for the top quartile in group."""
-    rows = pairs(df, "actual", "pred").withColumn("pred", clip_floor("pred"))
-    rows = group_attach(rows, [group], [F.avg("pred").alias("_mean")])
-    rows = attach(rows, quantiles(rows, [group], "actual", {"_q75": 0.75}), [group], profile(rows, [group]).groups)
+    known = pairs(df, "actual", "pred")
+    shape, whole = profile(known, [group]), profile(known, [])
+    rows = known.withColumn("pred", clip_floor("pred"))
+    tops = quantiles(rows, [group], "actual", {"_q75": 0.75}, shape)
+    rows = attach(group_attach(rows, [group], [F.avg("pred").alias("_mean")], shape), tops, [group], shape.groups)
     rows = rows.withColumn("_centred", F.col("pred") - F.col("_mean"))
     high, top = F.col("actual") >= cut, F.col("actual") > F.col("_q75")
     framings = [
@@ -359,7 +366,7 @@ def roc_three_framings(df: DataFrame, cut: float, group: str = "grp") -> DataFra
     ]
     out = None
     for name, score, event in framings:
-        row = auc_rank(rows, [], score, event).withColumn("framing", F.lit(name))
+        row = auc_rank(rows, [], score, event, like=whole).withColumn("framing", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -514,7 +521,7 @@ def ood_summary(df: DataFrame, reportable: Column, group: str = "grp") -> DataFr
 def covariate_residual_corr(df: DataFrame, group: str = "grp", covariate: str = "covariate") -> DataFrame:
     """Spearman of the residual with a covariate, per group and pooled; NULL for n < 5."""
     rows = with_pooled(pairs(df, "actual", "pred", covariate), group).withColumn("residual", _error())
-    ranked = midrank(midrank(rows, [group], "residual", "_r"), [group], covariate, "_c")
+    ranked = midranks(rows, [group], {"_r": "residual", "_c": covariate})
     n = F.count(F.lit(1))
     return ranked.groupBy(group).agg(n.alias("n"), F.when(n >= 5, safe_corr("_r", "_c")).alias("spearman"))
 

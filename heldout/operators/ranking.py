@@ -14,16 +14,15 @@ from pyspark.sql import functions as F
 
 from heldout.functions.scalars import draw_key, qnorm
 from heldout.plans.skew import (
-    attach, broadcast_rows, group_attach, midrank, number_rows, order_statistic, profile, quantiles,
+    attach, broadcast_rows, cumulate, group_attach, hot_rows, midrank, number_rows, profile, quantiles,
 )
 
-__all__ = ["order_statistic"]
-
 
 def within_group_percentile(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """(midrank - 1/2) / n inside the group, for rows with a value."""
     known = df.dropna(subset=[value])
-    ranked = group_attach(midrank(known, keys, value, "_r"), keys, [F.count(F.lit(1)).alias("_n")])
+    like = profile(known, keys)
+    ranked = group_attach(midrank(known, keys, value, "_r", like), keys, [F.count(F.lit(1)).alias("_n")], like)
     return ranked.withColumn(out, (F.col("_r") - 0.5) / F.col("_n")).drop("_r", "_n")
 
 
@@ -37,10 +36,12 @@ def relative_target(df: DataFrame, kind: str = "centered", group: str = "grp", v
         return rows.withColumn(out, F.col(value) - F.col("_m")).drop("_m")
     if kind != "normal_score":
         raise ValueError(f"unknown relative target: {kind}")
+    like = profile(df, [group])
     ranked = group_attach(
-        midrank(df, [group], value, "_r"),
+        midrank(df, [group], value, "_r", like),
         [group],
         [F.count(value).alias("_n"), (F.max(value) == F.min(value)).alias("_const")],
+        like,
     )
     share = (F.col("_r") - 0.5) / F.col("_n")
     share = F.least(F.greatest(share, 0.5 / F.col("_n")), 1 - 0.5 / F.col("_n"))
@@ -98,7 +99,7 @@ def group_fold_id(df: DataFrame, group: str = "grp", unit: str = "id", seed: int
 
 def stratified_folds(df: DataFrame, k: int, group: str = "grp", unit: str = "id", seed: int = 0, out: str = "fold") -> DataFrame:
     """Deal the hash-ordered rows of each stratum to k folds."""
-    dealt = number_rows(df.withColumn("_h", draw_key(seed, unit)), [group], ["_h", unit], "_rn")
+    dealt = number_rows(df.withColumn("_h", draw_key(seed, unit)), [group], ["_h", unit], "_rn", profile(df, [group]))
     return dealt.withColumn(out, F.pmod(F.col("_rn") - 1, F.lit(k)) + 1).drop("_h", "_rn")
 
 
@@ -106,8 +107,9 @@ def stratified_holdout(
     df: DataFrame, share: float = 0.2, group: str = "grp", unit: str = "id", seed: int = 0, out: str = "holdout"
 ) -> DataFrame:
     """Mark floor(share * n) rows of each group, at least one, by hash order."""
-    dealt = number_rows(df.withColumn("_h", draw_key(seed, unit)), [group], ["_h", unit], "_rn")
-    sized = group_attach(dealt, [group], [F.count(F.lit(1)).alias("_n")])
+    like = profile(df, [group])
+    dealt = number_rows(df.withColumn("_h", draw_key(seed, unit)), [group], ["_h", unit], "_rn", like)
+    sized = group_attach(dealt, [group], [F.count(F.lit(1)).alias("_n")], like)
     take = F.greatest(F.lit(1).cast("long"), F.floor(F.col("_n") * F.lit(share)))
     return sized.withColumn(out, F.col("_rn") <= take).drop("_h", "_rn", "_n")
 
@@ -146,8 +148,6 @@ def calibration_knots(df: DataFrame, score: str, max_knots: int = 501) -> DataFr
     """
     known = df.dropna(subset=[score]).select(F.col(score).alias("score"))
     cells = known.groupBy("score").agg(F.count(F.lit(1)).alias("n"))
-    from heldout.plans.skew import cumulate
-
     cells = cumulate(cells, [], ["score"], ["n"], profile(known, []))
     total = cells.agg(F.sum("n").alias("_n")).withColumn("_one", F.lit(1))
     sized = cells.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").filter("_n >= 5")
@@ -224,8 +224,6 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: S
 
     A key too large for one task is numbered in slices and each row joined to the number before it.
     """
-    from heldout.plans.skew import hot_rows
-
     if profile(df, keys).largest <= hot_rows(df.sparkSession):
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.select("*", *[F.lag(c).over(w).alias(f"prev_{c}") for c in cols])

@@ -8,10 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heldout.functions.scalars import clip_floor, fisher_ci, pnorm_two_sided, safe_corr, safe_slope
-from heldout.operators.metrics import (
-    MACRO, POOLED, centred, group_identity_r2, metrics_panel, pairs, score_run_summary, spearman, with_pooled,
-)
-from heldout.plans.skew import midrank, quantiles
+from heldout.operators.metrics import centred, group_identity_r2, metrics_panel, pairs, with_pooled
+from heldout.plans.skew import Profile, midrank, midranks, profile, quantiles
 
 
 def one_row_join(*parts: DataFrame) -> DataFrame:
@@ -133,9 +131,9 @@ def component_correlation(df: DataFrame, targets: Sequence[str] = (*PARTS, "actu
     flat = flat.select(F.lit("within_group").alias("scope"), *[F.col(f"{c}_c").alias(c) for c in (*targets, "pred")])
     scoped = with_pooled(rows, group, "pooled").withColumnRenamed(group, "scope").select("scope", *targets, "pred")
     every = scoped.unionByName(flat)
-    ranked = midrank(every, ["scope"], "pred", "_p")
-    for t in targets:
-        ranked = midrank(ranked, ["scope"], t, f"_{t}")
+    shape = profile(df, [group])
+    like = Profile(shape.groups + 2, shape.rows, 3 * shape.rows)
+    ranked = midranks(every, ["scope"], {"_p": "pred", **{f"_{t}": t for t in targets}}, like)
     out = ranked.groupBy("scope").agg(
         F.count(F.lit(1)).alias("n"),
         *[safe_corr("pred", t).alias(f"pearson_{t}") for t in targets],
@@ -203,7 +201,7 @@ def offset_correlations(groups: DataFrame, terms: Sequence[str], offset: str = "
             for t in terms
         ])).alias("_r")
     ).select("_r.*")
-    ranked = midrank(midrank(pairs(long, "x", "y"), ["term"], "x", "_rx"), ["term"], "y", "_ry")
+    ranked = midranks(pairs(long, "x", "y"), ["term"], {"_rx": "x", "_ry": "y"})
     out = ranked.groupBy("term").agg(
         F.count(F.lit(1)).alias("n_groups"), safe_corr("x", "y").alias("pearson"), safe_corr("_rx", "_ry").alias("spearman")
     )
@@ -318,5 +316,3 @@ def sample_projection_distinct(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Distinct rows of a projection, sorted."""
     return df.select(*cols).distinct().orderBy(*cols)
 
-
-__all__ = ["MACRO", "POOLED", "score_run_summary", "spearman"]

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heldout.functions.scalars import draw_key, draw_number, safe_corr
-from heldout.plans.skew import group_attach, midrank, number_rows, quantiles, value_cells
+from heldout.plans.skew import Profile, group_attach, hot_rows, midranks, number_rows, profile, value_cells
 
 
 def replicates(df: DataFrame, b: int) -> DataFrame:
@@ -24,9 +24,10 @@ def replicates(df: DataFrame, b: int) -> DataFrame:
 def permute(df: DataFrame, keys: Sequence[str], value: str, out: str, seed: int = 0, unit: str = "id") -> DataFrame:
     """Shuffle ``value`` inside ``keys``: the i-th row in one hash order takes the value of the i-th in another."""
     keys = list(keys)
-    rows = number_rows(df.withColumn("_h", draw_key(f"{seed}a", unit)), keys, ["_h", unit], "_rn").drop("_h")
+    like = profile(df, keys)
+    rows = number_rows(df.withColumn("_h", draw_key(f"{seed}a", unit)), keys, ["_h", unit], "_rn", like).drop("_h")
     donors = number_rows(
-        df.select(*keys, F.col(unit).alias("_u"), F.col(value).alias("_v"), draw_key(f"{seed}b", unit).alias("_h")), keys, ["_h", "_u"], "_rn"
+        df.select(*keys, F.col(unit).alias("_u"), F.col(value).alias("_v"), draw_key(f"{seed}b", unit).alias("_h")), keys, ["_h", "_u"], "_rn", like
     ).select(*keys, "_rn", "_v")
     joined = rows.join(donors, [*keys, "_rn"])
     return joined.drop("_rn", *([out] if out in df.columns else [])).withColumnRenamed("_v", out)
@@ -37,10 +38,11 @@ def permuted_replicates(df: DataFrame, b: int, group: str = "grp", value: str =
 
     The receiving order is one hash order per group, the giving order a new one per replicate.
     """
-    base = number_rows(df.select(group, unit, value, *carry).withColumn("_h", draw_key(f"{seed}a", unit)), [group], ["_h", unit], "_rn")
+    like = profile(df, [group])
+    base = number_rows(df.select(group, unit, value, *carry).withColumn("_h", draw_key(f"{seed}a", unit)), [group], ["_h", unit], "_rn", like)
     takers = replicates(base.select(group, "_rn", *carry), b)
     donors = replicates(df.select(group, F.col(unit).alias("_u"), F.col(value).alias("value_perm")), b)
-    donors = number_rows(donors.withColumn("_h", draw_key(seed, "b", "_u")), ["b", group], ["_h", "_u"], "_rn")
+    donors = number_rows(donors.withColumn("_h", draw_key(seed, "b", "_u")), ["b", group], ["_h", "_u"], "_rn", like.times(b))
     return takers.join(donors.select("b", group, "_rn", "value_perm"), ["b", group, "_rn"])
 
 
@@ -66,7 +68,7 @@ def permutation_test_spearman(df: DataFrame, b: int = 500, seed: int = 0, group:
     Shuffling does not change the values, so both sides are ranked once and the ranks are shuffled.
     """
     known = df.dropna(subset=["actual", "pred"])
-    ranked = midrank(midrank(known, [], "actual", "_ra"), [], "pred", "_rp")
+    ranked = midranks(known, [], {"_ra": "actual", "_rp": "pred"})
     null = permuted_replicates(ranked, b, group, "_ra", ["_rp"], seed).groupBy("b").agg(safe_corr("value_perm", "_rp").alias("null_rho"))
     obs = ranked.agg(F.count(F.lit(1)).alias("n"), safe_corr("_ra", "_rp").alias("_rho"), (F.min("pred") == F.max("pred")).alias("_flat")).withColumn("_one", F.lit(1))
     j = null.withColumn("_one", F.lit(1)).join(F.broadcast(obs), "_one")
@@ -97,9 +99,8 @@ def permutation_test_spearman(df: DataFrame, b: int = 500, seed: int = 0, group:
 
 def shuffled_score_control(df: DataFrame, seed: int = 0, group: str = "grp") -> DataFrame:
     """Spearman of the score with one within-group shuffle of the label."""
-    return midrank(midrank(permute(df, [group], "actual", "shuffled", seed), [], "shuffled", "_a"), [], "pred", "_b").agg(
-        F.count(F.lit(1)).alias("n"), safe_corr("_a", "_b").alias("control_rho")
-    )
+    ranked = midranks(permute(df, [group], "actual", "shuffled", seed), [], {"_a": "shuffled", "_b": "pred"}, profile(df, []))
+    return ranked.agg(F.count(F.lit(1)).alias("n"), safe_corr("_a", "_b").alias("control_rho"))
 
 
 def drawn(df: DataFrame, b: int, strata: Sequence[str], cols: Sequence[str], seed: int = 0, unit: str = "id") -> DataFrame:
@@ -108,9 +109,9 @@ def drawn(df: DataFrame, b: int, strata: Sequence[str], cols: Sequence[str], see
     Draw i of replicate b takes the row numbered hash(b, i) mod n. Returns the drawn rows once each with their
     multiplicity ``w``: (b, strata..., cols..., w).
     """
-    strata = list(strata)
-    rows = number_rows(df.select(*strata, unit, *[c for c in cols if c not in strata]).withColumn("_h", draw_key(seed, unit)), strata, ["_h", unit], "_rn")
-    sized = group_attach(rows, strata, [F.count(F.lit(1)).alias("_n")])
+    strata, like = list(strata), profile(df, strata)
+    rows = number_rows(df.select(*strata, unit, *[c for c in cols if c not in strata]).withColumn("_h", draw_key(seed, unit)), strata, ["_h", unit], "_rn", like)
+    sized = group_attach(rows, strata, [F.count(F.lit(1)).alias("_n")], like)
     picks = replicates(sized.select(*strata, "_rn", "_n"), b)
     target = (F.pmod(draw_number(seed, "b", *strata, "_rn"), F.col("_n")) + 1).alias("_pick")
     weights = picks.select("b", *strata, target).groupBy("b", *strata, "_pick").agg(F.count(F.lit(1)).alias("w"))
@@ -127,9 +128,13 @@ def weighted_corr(x: str, y: str, w: str = "w") -> Column:
     return F.try_divide(cov, F.sqrt(F.greatest(vx, F.lit(0.0)) * F.greatest(vy, F.lit(0.0))))
 
 
-def weighted_midrank(df: DataFrame, keys: Sequence[str], value: str, out: str, w: str = "w") -> DataFrame:
-    """Midranks in the sample where each row stands for ``w`` copies."""
-    cells = value_cells(df, keys, value, {"copies": F.col(w)})
+def weighted_midrank(df: DataFrame, keys: Sequence[str], value: str, out: str, like: Profile, w: str = "w") -> DataFrame:
+    """Midranks in the sample where each row stands for ``w`` copies; ``like`` bounds the rows per key."""
+    if like.largest <= hot_rows(df.sparkSession):
+        by = Window.partitionBy(*keys).orderBy(value)
+        upto, ties = F.sum(w).over(by.rangeBetween(Window.unboundedPreceding, 0)), F.sum(w).over(by.rangeBetween(0, 0))
+        return df.withColumn(out, upto - (ties - 1) / F.lit(2.0))
+    cells = value_cells(df, keys, value, {"copies": F.col(w)}, like=like)
     ranks = cells.select(*keys, value, (F.col("copies_before") + (F.col("copies") + 1) / F.lit(2.0)).alias(out))
     return df.join(ranks, [*keys, value])
 
@@ -151,10 +156,12 @@ def bootstrap_pairs_ci(df: DataFrame, b: int = 10_000, keys: Sequence[str] = ("g
     """
     keys = list(keys)
     known = df.dropna(subset=["actual", "pred"])
-    means = group_attach(known, keys, [F.avg("actual").alias("_my"), F.avg("pred").alias("_mp"), F.count(F.lit(1)).alias("_size")])
+    shape = profile(known, keys)
+    means = group_attach(known, keys, [F.avg("actual").alias("_my"), F.avg("pred").alias("_mp"), F.count(F.lit(1)).alias("_size")], shape)
     rows = means.filter("_size >= 5").select(*keys, "id", (F.col("actual") - F.col("_my")).alias("y"), (F.col("pred") - F.col("_mp")).alias("p"))
     sample = drawn(rows, b, keys, ["y", "p"], seed)
-    ranked = weighted_midrank(weighted_midrank(sample, ["b", *keys], "y", "ry"), ["b", *keys], "p", "rp")
+    each, like = ["b", *keys], shape.times(b)
+    ranked = weighted_midrank(weighted_midrank(sample, each, "y", "ry", like), each, "p", "rp", like)
     stats = ranked.groupBy("b", *keys).agg(weighted_corr("y", "p").alias("pearson"), weighted_corr("ry", "rp").alias("spearman"))
     return percentile_ci(stats, keys, ["pearson", "spearman"])
 
@@ -193,7 +200,8 @@ def bootstrap_auc_by_class(df: DataFrame, score: str, event: Column, b: int = 20
     """Interval of the AUC with positives and negatives resampled separately."""
     rows = df.withColumn("cls", event.cast("int")).dropna(subset=[score, "cls"])
     sample = drawn(rows, b, ["cls"], [score], seed)
-    cells = value_cells(sample, ["b"], score, {"copies": F.col("w"), "pos": F.col("w") * F.col("cls")})
+    like = profile(rows, []).times(b)
+    cells = value_cells(sample, ["b"], score, {"copies": F.col("w"), "pos": F.col("w") * F.col("cls")}, like=like)
     rank = F.col("copies_before") + (F.col("copies") + 1) / F.lit(2.0)
     n1, n = F.sum("pos"), F.sum("copies")
     auc = F.try_divide(F.sum(F.col("pos") * rank) - n1 * (n1 + 1) / F.lit(2.0), n1.cast("double") * (n - n1))
@@ -227,5 +235,3 @@ def bootstrap_cluster(df: DataFrame, values: Sequence[str], b: int = 1000, seed:
         out.append(F.when(sst > 0, 1 - F.try_divide(ssw, sst)).alias(v))
     return percentile_ci(sample.groupBy("b").agg(*out), [], list(values))
 
-
-__all__ = ["quantiles"]

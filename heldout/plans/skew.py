@@ -44,6 +44,10 @@ class Profile:
     largest: int
     rows: int
 
+    def times(self, copies: int) -> Profile:
+        """The shape when every row is repeated under ``copies`` values of a further key."""
+        return Profile(self.groups * copies, self.largest, self.rows * copies)
+
 
 _profiles: dict[tuple, Profile] = {}
 
@@ -77,7 +81,7 @@ def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str], bound: int |
     return rows.join(F.broadcast(stats) if bound <= limit else stats, list(keys), how)
 
 
-def group_attach(rows: DataFrame, keys: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
+def group_attach(rows: DataFrame, keys: Sequence[str], aggs: Sequence[Column], like: Profile | None = None) -> DataFrame:
     """Aggregate ``rows`` by ``keys`` and attach the result to every row (a group window without the sort).
 
     Without keys the aggregate is one row, which is always small enough to broadcast.
@@ -85,7 +89,7 @@ def group_attach(rows: DataFrame, keys: Sequence[str], aggs: Sequence[Column]) -
     if not keys:
         one = rows.agg(*aggs).withColumn("_one", F.lit(1))
         return rows.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one")
-    return attach(rows, rows.groupBy(*keys).agg(*aggs), keys, profile(rows, keys).groups)
+    return attach(rows, rows.groupBy(*keys).agg(*aggs), keys, (like or profile(rows, keys)).groups)
 
 
 def cumulate(
@@ -121,9 +125,11 @@ def cumulate(
     )
 
 
-def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], out: str = "rn") -> DataFrame:
+def number_rows(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], out: str = "rn", like: Profile | None = None
+) -> DataFrame:
     """``row_number`` per key in ``order`` (which must be unique inside a key), safe for a hot key."""
-    like = profile(df, keys)
+    like = like or profile(df, keys)
     if like.largest <= hot_rows(df.sparkSession):
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
     numbered = cumulate(df.withColumn("_unit", F.lit(1).cast("long")), keys, order, ["_unit"], like)
@@ -131,7 +137,8 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
 
 
 def value_cells(
-    df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column] | None = None, descending: bool = False
+    df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column] | None = None, descending: bool = False,
+    like: Profile | None = None,
 ) -> DataFrame:
     """One row per distinct (keys, value): ``n`` rows, ``n_before`` rows sorting earlier, and the like for ``sums``.
 
@@ -142,44 +149,56 @@ def value_cells(
     wanted = {"n": F.count(F.lit(1)), **{k: F.sum(c) for k, c in (sums or {}).items()}}
     cells = known.groupBy(*keys, value).agg(*[c.alias(k) for k, c in wanted.items()])
     order = F.col(value).desc() if descending else F.col(value).asc()
-    return cumulate(cells, keys, [order], list(wanted), profile(df, keys))
+    return cumulate(cells, keys, [order], list(wanted), like or profile(df, keys))
 
 
-def midrank(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+def midrank(df: DataFrame, keys: Sequence[str], value: str, out: str, like: Profile | None = None) -> DataFrame:
     """Average-tie rank of ``value`` inside ``keys``; NULL stays NULL."""
-    keys = list(keys)
-    if profile(df, keys).largest <= hot_rows(df.sparkSession):
+    keys, like = list(keys), like or profile(df, keys)
+    if like.largest <= hot_rows(df.sparkSession):
         w = Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())
         ties = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
         return df.withColumn(out, F.when(F.col(value).isNotNull(), F.rank().over(w) + (ties - 1) / F.lit(2.0)))
-    cells = value_cells(df, keys, value)
+    cells = value_cells(df, keys, value, like=like)
     ranks = cells.select(*keys, value, (F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)).alias(out))
     return df.join(ranks, [*keys, value], "left")
 
 
-def min_rank(df: DataFrame, keys: Sequence[str], value: str, out: str, descending: bool = False) -> DataFrame:
+def midranks(df: DataFrame, keys: Sequence[str], columns: dict[str, str], like: Profile | None = None) -> DataFrame:
+    """Midranks of several columns (out name to column) over the same keys, measured once."""
+    like = like or profile(df, keys)
+    for out, value in columns.items():
+        df = midrank(df, keys, value, out, like)
+    return df
+
+
+def min_rank(
+    df: DataFrame, keys: Sequence[str], value: str, out: str, descending: bool = False, like: Profile | None = None
+) -> DataFrame:
     """Minimum-tie rank (1 = first) in either direction; NULL stays NULL."""
-    keys = list(keys)
-    if profile(df, keys).largest <= hot_rows(df.sparkSession):
+    keys, like = list(keys), like or profile(df, keys)
+    if like.largest <= hot_rows(df.sparkSession):
         order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
         rank = F.rank().over(Window.partitionBy(*keys).orderBy(order)).cast("long")
         return df.withColumn(out, F.when(F.col(value).isNotNull(), rank))
-    cells = value_cells(df, keys, value, descending=descending)
+    cells = value_cells(df, keys, value, descending=descending, like=like)
     return df.join(cells.select(*keys, value, (F.col("n_before") + 1).alias(out)), [*keys, value], "left")
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float]) -> DataFrame:
+def quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float], like: Profile | None = None
+) -> DataFrame:
     """Exact linear (type 7) quantiles per key, one column per entry of ``wanted``.
 
     A group that fits a task uses the built-in exact ``percentile``. Otherwise the positions are found in
     the counted values, because the built-in one gathers all distinct values of a group in one buffer.
     """
-    keys = list(keys)
-    if profile(df, keys).largest <= hot_rows(df.sparkSession):
+    keys, like = list(keys), like or profile(df, keys)
+    if like.largest <= hot_rows(df.sparkSession):
         aggs = [F.percentile(value, F.lit(p)).alias(k) for k, p in wanted.items()]
         return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
-    cells = value_cells(df, keys, value)
-    sized = group_attach(cells, keys, [F.sum("n").alias("_total")])
+    cells = value_cells(df, keys, value, like=like)
+    sized = group_attach(cells, keys, [F.sum("n").alias("_total")], like)
     ends = []
     for name, p in wanted.items():
         at = (F.col("_total") - 1) * F.lit(float(p))
@@ -199,8 +218,9 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str,
 
 def order_statistic(df: DataFrame, keys: Sequence[str], value: str, coverage: float, out: str) -> DataFrame:
     """The k-th smallest value per key, k = ceil((n+1)*coverage); NULL with status ``infinite`` when k > n."""
-    cells = value_cells(df, keys, value)
-    sized = group_attach(cells, keys, [F.sum("n").alias("_total")])
+    like = profile(df, keys)
+    cells = value_cells(df, keys, value, like=like)
+    sized = group_attach(cells, keys, [F.sum("n").alias("_total")], like)
     k = F.ceil((F.col("_total") + 1) * F.lit(coverage))
     hit = (F.col("n_before") < k) & (k <= F.col("n_before") + F.col("n"))
     aggs = [
