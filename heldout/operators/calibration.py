@@ -17,18 +17,20 @@ from heldout.operators.metrics import pairs
 from heldout.operators.ranking import apply_isotonic, group_weights, isotonic_weighted, within_group_percentile
 from heldout.operators.resampling import replicates
 from heldout.operators.cohort import logo_prior_join
-from heldout.plans.skew import Profile, attach, cumulate, profile, quantiles
+from heldout.plans.skew import Profile, attach, cumulate, profile, quantiles, spread
 from heldout.plans.storage import materialise
 
 
-def sum_abs_deviation(rows: DataFrame, points: DataFrame, group: str, value: str, at: Sequence[str], bound: int) -> DataFrame:
+def sum_abs_deviation(
+    rows: DataFrame, points: DataFrame, group: str, value: str, at: Sequence[str], bound: int, shape: Profile | None = None
+) -> DataFrame:
     """Add ``_all_<c>`` for each column c of ``at``: the sum of |value - c| over all rows of the point's group.
 
     Rows and points are ordered together once and the running count and sum give the answer at every point, so the
     cost does not grow with rows times points. ``bound`` is the most points one group can have.
     """
     keys = [c for c in points.columns if c not in at and c != group]
-    shape = profile(rows, [group])
+    shape = shape or profile(rows, [group])
     cells = rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"))
     totals = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n_all"), F.sum(value).alias("_s_all"))
     long = points.select(group, *keys, F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).alias("_x")) for c in at])).alias("_p"))
@@ -57,23 +59,28 @@ def labelled_draws(df: DataFrame, ks: Sequence[int], b: int, seed: int, group: s
     return shots.select(group, "b", "r", "actual", F.explode(wide).alias("k"))
 
 
-def fewshot_draws(df: DataFrame, ks: Sequence[int], b: int, seed: int = 0, min_eval: int = 10, group: str = "grp", priors: DataFrame | None = None) -> DataFrame:
+def fewshot_draws(
+    df: DataFrame, ks: Sequence[int], b: int, seed: int = 0, min_eval: int = 10, group: str = "grp", priors: DataFrame | None = None, unit: str = "id"
+) -> DataFrame:
     """One row per (group, k, replicate): errors on the rows not drawn, uncorrected and under each correction.
 
     With ``priors`` (one row per group: mu0, w_<k>...) the shrunk corrections are evaluated as well; see
     ``shrinkage_draws``.
     """
-    rows = pairs(df, "actual", "pred").withColumn("r", F.col("pred") - F.col("actual"))
+    known = pairs(df, "actual", "pred")
+    shape = profile(known, [group])
+    # residuals are read by several stages below: keep the narrow table instead of repeating the joins behind it
+    rows = materialise(spread(known.select(group, unit, (F.col("pred") - F.col("actual")).alias("r"), "actual"), shape))
     whole = rows.groupBy(group).agg(
         F.count(F.lit(1)).alias("n"), F.avg("r").alias("offset"), F.avg("actual").alias("mean_actual"), F.sum(F.abs("r")).alias("_abs_r")
     )
-    groups = profile(rows, [group]).groups
+    groups = shape.groups
     base = attach(rows, whole, [group], groups)
     flat = base.groupBy(group).agg(
         F.sum(F.abs(F.col("r") - F.col("offset"))).alias("_abs_o"), F.sum(F.abs(F.col("actual") - F.col("mean_actual"))).alias("_abs_m")
     )
     whole = whole.join(flat, group)
-    shots = labelled_draws(rows, ks, b, seed, group)
+    shots = labelled_draws(rows, ks, b, seed, group, unit)
     shots = materialise(attach(shots, whole, [group], groups).filter(F.col("n") - F.col("k") >= min_eval))
     keys = [group, "k", "b"]
     est = shots.groupBy(*keys).agg(F.avg("r").alias("c_raw"), F.avg("actual").alias("y_raw"))
@@ -91,6 +98,7 @@ def fewshot_draws(df: DataFrame, ks: Sequence[int], b: int, seed: int = 0, min_e
             (F.col("w_u") * F.col("c_raw") + (1 - F.col("w_u")) * F.col("mu0")).alias("c_shrunk_raw_tau"),
             (F.col("w_y") * F.col("y_raw") + (1 - F.col("w_y")) * F.col("mu0_y")).alias("y_shrunk"),
         )
+    est = materialise(est)  # one row per group, k and replicate
     constants = [("r", c) for c in est.columns if c.startswith("c_")] + [("actual", c) for c in est.columns if c.startswith("y_")]
     own = shots.join(est, keys).groupBy(*keys).agg(
         F.max("n").alias("n"), F.max("offset").alias("offset"),
@@ -102,7 +110,7 @@ def fewshot_draws(df: DataFrame, ks: Sequence[int], b: int, seed: int = 0, min_e
     out = est
     for value in ("r", "actual"):
         at = [c for v, c in constants if v == value]
-        sums = sum_abs_deviation(rows, est.select(*keys, *at), group, value, at, len(ks) * b).drop(*at)
+        sums = sum_abs_deviation(rows, est.select(*keys, *at), group, value, at, len(ks) * b, shape).drop(*at)
         out = out.join(sums, keys)
     j = out.join(own, keys)
     left = F.col("n") - F.col("k")

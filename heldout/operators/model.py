@@ -177,22 +177,32 @@ def _path(c: np.ndarray, alpha: float, steps: int) -> np.ndarray:
     return top * RATIO ** (np.arange(steps) / (steps - 1))
 
 
-def _descend(z: np.ndarray, c: np.ndarray, l1: float, l2: float, b: np.ndarray, tol: float = 1e-9) -> np.ndarray:
-    """Coordinate descent for b'zb/2 - c'b + l1|b| + l2 b'b/2, starting from b."""
-    d = np.diag(z) + l2
-    grad = c - z @ b
-    for _ in range(2000):
+def _descend(z: np.ndarray, c: np.ndarray, l1: float, l2: float, b: np.ndarray, tol: float = 1e-7) -> np.ndarray:
+    """Coordinate descent for b'zb/2 - c'b + l1|b| + l2 b'b/2, starting from b.
+
+    Sweeps run over the non-zero coefficients until they settle; a sweep over all then lets others in.
+    """
+    d, grad = np.diag(z) + l2, c - z @ b
+    limit = tol * max(np.abs(c).max(initial=0.0), 1e-12)
+
+    def sweep(which):
         worst = 0.0
-        for j in range(len(b)):
+        for j in which:
             r = grad[j] + z[j, j] * b[j]
-            new = np.sign(r) * max(abs(r) - l1, 0.0) / d[j] if d[j] > 0 else 0.0
+            new = np.sign(r) * max(abs(r) - l1, 0.0) / d[j]
             step = new - b[j]
             if step:
-                grad -= step * z[j]
+                np.subtract(grad, step * z[j], out=grad)
                 b[j] = new
                 worst = max(worst, abs(step))
-        if worst < tol:
+        return worst
+
+    for _ in range(200):
+        if sweep(range(len(b))) < limit:
             break
+        for _ in range(500):
+            if sweep(np.flatnonzero(b)) < limit:
+                break
     return b
 
 
@@ -258,17 +268,19 @@ def fit_sets(
     sums = set_sums(group_products(rows, group), sets, features, weights)
     if missing:
         sums = sums.unionByName(fold_medians(rows, sets, features, group))
+    # few rows but long solves: keep one task per few sets instead of letting small partitions be merged
+    tasks = min(sets.count(), 4 * rows.sparkSession.sparkContext.defaultParallelism)
     sums = materialise(sums)
     outer_ids = sets.filter("inner_group IS NULL").select("set_id", "outer_group")
     solve = _solver(tuple(alphas), steps, top, rank)
-    outer = materialise(sums.join(outer_ids, "set_id").select("set_id", "i", "v").groupBy("set_id").applyInPandas(solve, MODELS))
+    outer = materialise(sums.join(outer_ids, "set_id").select("set_id", "i", "v").repartition(tasks, "set_id").groupBy("set_id").applyInPandas(solve, MODELS))
     paths = (
         outer.join(outer_ids, "set_id").groupBy("outer_group", "alpha")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "lambda"))), lambda e: e["lambda"]).alias("path"))
         .groupBy("outer_group").agg(F.map_from_entries(F.collect_list(F.struct("alpha", "path"))).alias("paths"))
     )
     inner_ids = sets.filter("inner_group IS NOT NULL").select("set_id", "outer_group").join(paths, "outer_group").select("set_id", "paths")
-    inner = sums.join(inner_ids, "set_id").groupBy("set_id").applyInPandas(solve, MODELS)
+    inner = sums.join(inner_ids, "set_id").repartition(tasks, "set_id").groupBy("set_id").applyInPandas(solve, MODELS)
     both = outer.unionByName(inner)
     return both.join(sets.select("set_id", "outer_group", "inner_group"), "set_id")
 

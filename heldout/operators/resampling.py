@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heldout.functions.scalars import draw_key, draw_number, safe_corr
-from heldout.plans.skew import Profile, group_attach, hot_rows, midranks, number_rows, profile, value_cells
+from heldout.plans.skew import Profile, group_attach, hot_rows, midranks, number_rows, profile, spread, value_cells
 
 
 def replicates(df: DataFrame, b: int) -> DataFrame:
@@ -39,7 +39,8 @@ def permuted_replicates(df: DataFrame, b: int, group: str = "grp", value: str =
     The receiving order is one hash order per group, the giving order a new one per replicate.
     """
     like = profile(df, [group])
-    base = number_rows(df.select(group, unit, value, *carry).withColumn("_h", draw_key(f"{seed}a", unit)), [group], ["_h", unit], "_rn", like)
+    df = spread(df.select(group, unit, value, *carry), like)
+    base = number_rows(df.withColumn("_h", draw_key(f"{seed}a", unit)), [group], ["_h", unit], "_rn", like)
     takers = replicates(base.select(group, "_rn", *carry), b)
     donors = replicates(df.select(group, F.col(unit).alias("_u"), F.col(value).alias("value_perm")), b)
     donors = number_rows(donors.withColumn("_h", draw_key(seed, "b", "_u")), ["b", group], ["_h", "_u"], "_rn", like.times(b))

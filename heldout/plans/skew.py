@@ -68,6 +68,18 @@ def profile(df: DataFrame, keys: Sequence[str]) -> Profile:
     return _profiles[memo]
 
 
+SPREAD_ROWS = 20_000_000
+
+
+def spread(df: DataFrame, like: Profile) -> DataFrame:
+    """Give a small table to all cores before work that multiplies its rows.
+
+    A table of few rows may sit in a single input split. A large one has splits enough and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if like.rows <= SPREAD_ROWS else df
+
+
 def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str], bound: int | None = None, how: str = "left") -> DataFrame:
     """Join one statistics row per key to ``rows``.
 

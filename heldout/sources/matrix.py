@@ -54,15 +54,15 @@ def matrix_violations(matrix: DataFrame, columns: int, low: float = 0.0, high: f
 
 
 def row_stats(x: str = "x") -> Column:
-    """Struct (n, s, q) of an array column: known count, sum and sum of squares in one walk."""
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+    """Struct (n, x0, s, q) of an array column in one walk: known count, first known value, and the sum and sum of
+    squares of the differences from it (so a constant row has variance exactly 0)."""
+    zero = F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("x0"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
 
     def add(acc, v):
-        known = v.isNotNull()
+        d = F.coalesce(v - F.coalesce(acc["x0"], v), F.lit(0.0))
         return F.struct(
-            (acc["n"] + known.cast("int")).alias("n"),
-            (acc["s"] + F.coalesce(v, F.lit(0.0))).alias("s"),
-            (acc["q"] + F.coalesce(v * v, F.lit(0.0))).alias("q"),
+            (acc["n"] + v.isNotNull().cast("int")).alias("n"), F.coalesce(acc["x0"], v).alias("x0"),
+            (acc["s"] + d).alias("s"), (acc["q"] + d * d).alias("q"),
         )
 
     return F.aggregate(x, zero, add)
@@ -72,9 +72,9 @@ def with_row_stats(matrix: DataFrame) -> DataFrame:
     """Add ``n_known``, ``missing`` (share) and ``var`` (population variance) of each row."""
     rows = matrix.withColumn("_t", row_stats())
     n = F.col("_t.n")
-    mean = F.try_divide(F.col("_t.s"), n)
+    shift = F.try_divide(F.col("_t.s"), n)
     return rows.select(
-        *matrix.columns, n.alias("n_known"), (1 - n / F.size("x")).alias("missing"), (F.try_divide(F.col("_t.q"), n) - mean * mean).alias("var")
+        *matrix.columns, n.alias("n_known"), (1 - n / F.size("x")).alias("missing"), (F.try_divide(F.col("_t.q"), n) - shift * shift).alias("var")
     )
 
 
