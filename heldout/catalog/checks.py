@@ -278,3 +278,29 @@ def range_and_select_filter(spark, sf):
 def filter_allowlist(spark, sf):
     allow = table(spark, sf, "part").filter("p_size < 5").select(F.col("p_partkey").alias("l_partkey"))
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(allow, "l_partkey", "left_semi")
+
+
+@query("from_m_value", f"{with_views('v_long')} SELECT id, feature, {r('pow(2, 8 * value - 4) / (1 + pow(2, 8 * value - 4))')} AS beta FROM v_long")
+def from_m_value(spark, sf):
+    from heldout.catalog.base import long_view
+
+    return rounded(long_view(spark, sf).select("id", "feature", S.from_m_value(F.col("value") * 8 - 4).alias("beta")))
+
+
+@query(
+    "display_mask",
+    f"{V} SELECT id, CASE WHEN ood_score <= 0.8 AND id % 50 <> 0 THEN {r('greatest(pred, 0)')} END AS estimate FROM v_pred",
+)
+def display_mask(spark, sf):
+    shown = S.display_mask(S.clip_floor("pred"), F.col("ood_score") <= 0.8, F.col("id") % 50 == 0)
+    return rounded(pred_view(spark, sf).select("id", shown.alias("estimate")))
+
+
+@query(
+    "provenance_class",
+    """SELECT s_nationkey, CASE WHEN count(*) FILTER (s_acctbal < 0) > 0 THEN 'engineering_fixture' ELSE 'verified' END AS provenance FROM supplier GROUP BY 1""",
+)
+def provenance_class(spark, sf):
+    """The class of one record per nation: a fixture as soon as one of its sources is one."""
+    records = table(spark, sf, "supplier").select("s_nationkey", (F.col("s_acctbal") < 0).alias("engineering_only"), F.sha2("s_name", 256).alias("allowlist_sha256"))
+    return C.provenance_class(records, keys=["s_nationkey"]).select("s_nationkey", "provenance")

@@ -362,6 +362,26 @@ def placement_percentile(spark, sf):
     return rounded(M.placement_percentile(panel, ["NATION_3", "NATION_7"]))
 
 
+@query(
+    "placement_cross",
+    f"""{with_views('v_metrics')} SELECT t.grp, count(*) AS n_source, count(*) FILTER (s.mae >= t.mae) AS beaten
+    FROM v_metrics t JOIN v_metrics s ON t.grp IN ('NATION_3', 'NATION_7') AND s.grp NOT IN ('NATION_3', 'NATION_7') GROUP BY t.grp""",
+)
+def placement_cross(spark, sf):
+    """How many source groups each target matches or beats on MAE, by running counts instead of pairs."""
+    panel = M.metrics_panel(pred_view(spark, sf), ["grp"])
+    placed = M.placement_percentile(panel, ["NATION_3", "NATION_7"]).filter("statistic = 'mae'")
+    return placed.select("grp", "n_source", F.round(F.col("percentile_in_source") * F.col("n_source") / 100).cast("long").alias("beaten"))
+
+
+@query(
+    "weighted_null_mae",
+    f"""{with_views('v_pred')} SELECT {r('sum(n * nm) / sum(n)')} AS weighted_null_mae FROM (SELECT count(*) AS n, avg(abs(actual - m)) AS nm FROM ({NULLS}) GROUP BY grp)""",
+)
+def weighted_null_mae(spark, sf):
+    return rounded(M.skill_difference_macro(pred_view(spark, sf)).select("weighted_null_mae"))
+
+
 @query(
     "outcome_rule",
     f"""{with_views('v_metrics')}, n AS (SELECT grp, avg(abs(actual - m)) AS null_mae FROM

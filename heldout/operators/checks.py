@@ -116,10 +116,12 @@ def set_equal(a: DataFrame, b: DataFrame) -> DataFrame:
     return each.agg(left.alias("only_left"), right.alias("only_right"), ((left + right) == 0).alias("equal"))
 
 
-def provenance_class(record: DataFrame, override: bool = False) -> DataFrame:
-    """Classify a provenance record (no row = absent): verified, engineering fixture, hash missing; allowed or not."""
-    spark = record.sparkSession
-    facts = record.agg(
+def provenance_class(record: DataFrame, override: bool = False, keys: Sequence[str] = ()) -> DataFrame:
+    """Classify a provenance record (no row = absent): verified, engineering fixture, hash missing; allowed or not.
+
+    With ``keys`` there is one class per key.
+    """
+    facts = record.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("records"),
         F.bool_or(F.coalesce(F.col("engineering_only"), F.lit(True))).alias("fixture"),
         F.bool_and(F.coalesce(F.length(F.trim("allowlist_sha256")) > 0, F.lit(False))).alias("hashed"),
@@ -130,7 +132,7 @@ def provenance_class(record: DataFrame, override: bool = False) -> DataFrame:
         .when(~F.col("hashed"), "no_allowlist_hash")
         .otherwise("verified")
     )
-    out = facts.select(kind.alias("provenance"))
+    out = facts.select(*keys, kind.alias("provenance"))
     allowed = (F.col("provenance") == "verified") | F.lit(override)
     return out.withColumn("allowed", allowed).withColumn(
         "stamp", F.when(F.col("provenance") == "verified", "verified").when(F.lit(override), F.concat(F.lit("override:"), "provenance"))

@@ -382,7 +382,7 @@ def logo_nested(
     rank: str = "pooled", weights: str = "sample", missing: bool = True, rule: str = "min",
 ) -> dict[str, DataFrame]:
     """The whole nested run: models, tuning table, selected point per fold and predictions of each left-out group."""
-    sets = exclusion_sets(rows)
+    sets = materialise(exclusion_sets(rows))
     models = materialise(fit_sets(rows, sets, features, alphas, steps, top, rank, weights, missing=missing))
     tuning = materialise(tune(inner_losses(rows, models, features)))
     chosen = select_1se(tuning) if rule == "1se" else select_min(tuning)
@@ -423,7 +423,7 @@ def freeze_model(
     """Reserve a calibration holdout in every group, tune and fit on the rest, take the conformal half-width from the holdout."""
     roles = stratified_holdout(rows, share, seed=seed)
     train, calib = roles.filter("NOT holdout").drop("holdout"), roles.filter("holdout").drop("holdout")
-    sets = single_sets(train)
+    sets = materialise(single_sets(train))
     models = materialise(fit_sets(train, sets, features, **grid))
     tuning = materialise(tune(inner_losses(train, models, features)))
     chosen = select_min(tuning)

@@ -25,20 +25,25 @@ def frame(spark, x, y, g):
     return spark.createDataFrame(rows, "id long, grp string, y double, x array<double>")
 
 
-def test_grid_matches_spark_elastic_net(spark):
-    """The solver on summed products gives the coefficients Spark ML gives on the rows."""
+def test_grid_is_optimal_and_matches_spark_lasso(spark):
+    """Coefficients from summed products satisfy the optimality conditions on the rows; the lasso equals Spark ML's."""
     x, y, g = cohort()
     rows = frame(spark, x, y, g)
     models = M.fit_sets(rows, M.exclusion_sets(rows), K, missing=False, **GRID).filter("inner_group IS NULL AND outer_group = 'A'").toPandas()
     train = g != "A"
     mean, sd = x[train].mean(0), x[train].std(0, ddof=1)
-    z = frame(spark, (x[train] - mean) / sd, y[train], g[train])
-    for m in models[models.step == 2].itertuples():
-        fit = M.elastic_net_fit(z, m.alpha, float(models.loc[m.Index, "lambda"]))
+    z, yt = (x[train] - mean) / sd, y[train]
+    for m in models.to_dict("records"):
         beta = np.zeros(K)
-        beta[list(m.pos)] = m.beta
-        assert np.allclose(beta * sd, fit.coefficients.toArray(), atol=1e-4)
-        assert m.intercept + beta @ mean == pytest.approx(fit.intercept, abs=1e-3)
+        beta[list(m["pos"])] = np.array(m["beta"]) * sd[list(m["pos"])]
+        grad = z.T @ (yt - yt.mean() - z @ beta) / len(yt) - m["lambda"] * (1 - m["alpha"]) / yt.std() * beta
+        l1 = m["lambda"] * m["alpha"]
+        assert np.allclose(grad[beta != 0], l1 * np.sign(beta[beta != 0]), atol=1e-5)
+        assert (np.abs(grad[beta == 0]) <= l1 + 1e-5).all()
+        assert m["intercept"] + (beta / sd) @ mean == pytest.approx(yt.mean())
+        if m["alpha"] == 1.0 and m["step"] == 2:
+            fit = M.elastic_net_fit(frame(spark, z, yt, g[train]), 1.0, float(m["lambda"]))
+            assert np.allclose(beta, fit.coefficients.toArray(), atol=1e-4)
 
 
 def test_imputed_fold_equals_direct(spark):
