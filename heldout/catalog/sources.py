@@ -206,15 +206,16 @@ def scan_fold_outputs(spark, sf):
 )
 def manifest_select_tier(spark, sf):
     p = table(spark, sf, "part").select(F.concat(F.lit(" "), F.concat_ws("-", "p_name", "p_partkey"), F.lit("\r")).alias("filename"), F.col("p_size").cast("long").alias("size"))
-    names = [r_[0].strip() for r_ in p.filter("size >= 40").select("filename").collect()]
-    tier, _ = MF.select_tier(p, names)
+    wanted = p.filter("size >= 40").select("filename", F.col("size").alias("tier_pos"))
+    tier, _ = MF.select_tier(p, wanted)
     return tier.select("filename", F.col("size").alias("bytes"))
 
 
 @query("manifest_tier_total", "SELECT count(*) AS files, CAST(sum(r_regionkey) AS BIGINT) AS bytes FROM region WHERE r_name IN ('ASIA', 'EUROPE', 'AFRICA')")
 def manifest_tier_total(spark, sf):
     m = table(spark, sf, "region").select(F.col("r_name").alias("filename"), F.col("r_regionkey").alias("size"))
-    return MF.select_tier(m, ["ASIA", "EUROPE", "AFRICA"])[1]
+    tier = spark.createDataFrame(list(enumerate(["ASIA", "EUROPE", "AFRICA"])), "tier_pos int, filename string")
+    return MF.select_tier(m, tier)[1]
 
 
 @query("scan_sidecar_json", "SELECT false AS engineering_only, CAST(64 AS BIGINT) AS n_samples, count(*) AS n_features, 'historical' AS track FROM embeddings")

@@ -257,16 +257,18 @@ def logo_prior_join(stats: DataFrame, cols: Sequence[str], group: str = "grp") -
 def interval_lookup(points: DataFrame, segments: DataFrame, keys: Sequence[str], x: str, width: int) -> DataFrame:
     """First segment (lowest start) of the same key with start <= x < end; NULL if none.
 
-    Segments are listed under each bin of ``width`` they touch, so this is an equi-join on (key, bin).
+    Segments are listed under each bin of ``width`` they touch, so this is an equi-join on (key, bin), made once per
+    distinct position and given back to all points there.
     """
     seg = segments.select(*keys, "seg_start", "seg_end", *[c for c in segments.columns if c not in (*keys, "seg_start", "seg_end")])
     bins = F.sequence(F.floor(F.col("seg_start") / width), F.floor((F.col("seg_end") - 1) / width))
     listed = seg.withColumn("_bin", F.explode(bins))
     rest = [c for c in seg.columns if c not in (*keys,)]
-    p = points.withColumn("_bin", F.floor(F.col(x) / width))
+    p = points.select(*keys, x).distinct().withColumn("_bin", F.floor(F.col(x) / width))
     hit = (F.col(x) >= F.col("seg_start")) & (F.col(x) < F.col("seg_end"))
     met = p.join(listed, [*keys, "_bin"], "left").withColumn("_hit", F.when(hit, F.struct(*rest)))
-    return met.groupBy(*points.columns).agg(F.min("_hit").alias("_b")).select(*points.columns, *[F.col(f"_b.{c}").alias(c) for c in rest])
+    found = met.groupBy(*keys, x).agg(F.min("_hit").alias("_b"))
+    return points.join(found, [*keys, x], "left").select(*points.columns, *[F.col(f"_b.{c}").alias(c) for c in rest])
 
 
 def title_key_join(a: DataFrame, b: DataFrame, year: str, title: str) -> DataFrame:

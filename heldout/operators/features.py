@@ -148,14 +148,21 @@ def lineage_penalized_score(meta: DataFrame, penalty: float) -> DataFrame:
     Both scales are 1.4826 * MAD over features, else the sd, else 1. The three medians are exact and distributed.
     """
     rows = meta.withColumn("h", F.abs("z_meta") * F.col("consistency")).withColumn("l", F.col("lineage"))
-    rows = rows.withColumn("_one", F.lit(1))
-    mids = quantiles(rows, ["_one"], "h", {"_mh": 0.5}).join(quantiles(rows, ["_one"], "l", {"_ml": 0.5}), "_one")
+    shape = profile(rows, [])
+
+    def one(df):
+        return df.withColumn("_one", F.lit(1))
+
+    rows = one(rows)
+    mids = one(quantiles(rows, [], "h", {"_mh": 0.5}, shape))
+    mids = mids.join(F.broadcast(one(quantiles(rows, [], "l", {"_ml": 0.5}, shape))), "_one")
     dev = rows.join(F.broadcast(mids), "_one").withColumn("_dh", F.abs(F.col("h") - F.col("_mh"))).withColumn(
         "_dl", F.abs(F.col("l") - F.col("_ml"))
     )
-    mads = quantiles(dev, ["_one"], "_dh", {"_ah": 0.5}).join(quantiles(dev, ["_one"], "_dl", {"_al": 0.5}), "_one")
-    sds = rows.groupBy("_one").agg(F.stddev_samp("h").alias("_sh"), F.stddev_samp("l").alias("_sl"))
-    j = dev.join(F.broadcast(mads.join(sds, "_one")), "_one")
+    mads = one(quantiles(dev, [], "_dh", {"_ah": 0.5}, shape))
+    mads = mads.join(F.broadcast(one(quantiles(dev, [], "_dl", {"_al": 0.5}, shape))), "_one")
+    sds = one(rows.agg(F.stddev_samp("h").alias("_sh"), F.stddev_samp("l").alias("_sl")))
+    j = dev.join(F.broadcast(mads.join(F.broadcast(sds), "_one")), "_one")
 
     def scale(mad, sd):
         return F.when(F.col(mad) > 0, F.col(mad) * 1.4826).when(F.col(sd) > 0, F.col(sd)).otherwise(1.0)

@@ -23,11 +23,9 @@ def last_wins_union(sources: Sequence[DataFrame], key: str, tie: Sequence[str] =
     return tagged.groupBy(key).agg(pick.alias("_b")).select(key, *[F.col(f"_b.{c}").alias(c) for c in others])
 
 
-def select_tier(manifest: DataFrame, names: Sequence[str], name: str = "filename", size: str = "size") -> tuple[DataFrame, DataFrame]:
-    """The files of a tier in the order of ``names``, and the total number of files and bytes."""
-    clean = trim_record(manifest)
-    wanted = clean.sparkSession.createDataFrame([(i, n) for i, n in enumerate(names)], f"tier_pos int, {name} string")
-    chosen = clean.join(F.broadcast(wanted), name)
+def select_tier(manifest: DataFrame, tier: DataFrame, name: str = "filename", size: str = "size") -> tuple[DataFrame, DataFrame]:
+    """The files of a tier (name, tier_pos) in its order, and the total number of files and bytes."""
+    chosen = trim_record(manifest).join(trim_record(tier).select(name, "tier_pos"), name)
     total = chosen.agg(F.count(F.lit(1)).alias("files"), F.sum(size).alias("bytes"))
     return chosen.orderBy("tier_pos"), total
 

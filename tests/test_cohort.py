@@ -115,7 +115,8 @@ def test_bracket_matches_numpy(spark):
 
 def test_interval_lookup(spark):
     seg = spark.createDataFrame([("s", 0, 10), ("s", 10, 25), ("s", 40, 41)], "sample string, seg_start long, seg_end long")
-    pts = spark.createDataFrame([("s", x) for x in (0, 9, 10, 24, 25, 40, 41)], "sample string, x long")
+    pts = spark.createDataFrame([("s", x) for x in (0, 9, 9, 10, 24, 25, 40, 41)], "sample string, x long")
+    assert C.interval_lookup(pts, seg, ["sample"], "x", 7).count() == 8
     got = {r["x"]: r["seg_start"] for r in C.interval_lookup(pts, seg, ["sample"], "x", 7).collect()}
     assert got == {0: 0, 9: 0, 10: 10, 24: 10, 25: None, 40: 40, 41: None}
 
