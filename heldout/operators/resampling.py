@@ -113,7 +113,7 @@ def drawn(df: DataFrame, b: int, strata: Sequence[str], cols: Sequence[str], see
     strata, like = list(strata), profile(df, strata)
     rows = number_rows(df.select(*strata, unit, *[c for c in cols if c not in strata]).withColumn("_h", draw_key(seed, unit)), strata, ["_h", unit], "_rn", like)
     sized = group_attach(rows, strata, [F.count(F.lit(1)).alias("_n")], like)
-    picks = replicates(sized.select(*strata, "_rn", "_n"), b)
+    picks = replicates(spread(sized.select(*strata, "_rn", "_n"), like), b)
     target = (F.pmod(draw_number(seed, "b", *strata, "_rn"), F.col("_n")) + 1).alias("_pick")
     weights = picks.select("b", *strata, target).groupBy("b", *strata, "_pick").agg(F.count(F.lit(1)).alias("w"))
     back = rows.select(*strata, F.col("_rn").alias("_pick"), *[c for c in cols if c not in strata])
