@@ -11,12 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: the session's checkpoint directory.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a session without one (tests, a laptop)
-    gets a folder of its own.
+    A cluster names it in ``spark.checkpoint.dir``. Only a session whose executors live in the driver
+    (tests, a laptop) gets a folder of its own; elsewhere a missing setting is an error, since executors
+    would each write to their own disk.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="heldout-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="heldout-"))
     return sc.getCheckpointDir()
 
 
@@ -25,10 +29,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and go on from the written copy.
+def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once as Parquet to the shared folder and go on from the written copy.
 
-    Every later reader sees the same rows, whatever is recomputed, and the lineage ends here.
+    Every later reader sees the same rows, whatever is recomputed, reads only the columns it needs, and the
+    lineage ends here.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Remove the files of a table made by ``materialise`` that nothing reads any more."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    for file in df.inputFiles():
+        path = jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False)
