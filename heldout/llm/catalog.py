@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heldout.llm.exact_dedup import exact_dedup
+from heldout.llm.url_filters import DEPTH, FAN_OUT, REJECT, RULES, STRENGTH, Z, url_filter
 from heldout.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 SQL_NORMALISED = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g')"
@@ -19,3 +20,50 @@ SQL_NORMALISED = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '',
 )
 def op5_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup(table(spark, sf, "documents"))
+
+
+def _url_sql() -> str:
+    """The templates of ``url_filter`` in SQL, one level of the tree after the other."""
+    cols = [f"s{i}" for i in range(DEPTH)]
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    url = "(?s)^.*?://([^/?#]*)([^?#]*)"
+    token = "(regexp_matches({0}, '^[0-9a-f-]{{16,}}$') OR (regexp_matches({0}, '^[0-9A-Za-z_-]{{20,}}$') AND regexp_matches({0}, '[0-9]') AND regexp_matches({0}, '[A-Za-z]')))"
+    shape = []
+    for i, c in enumerate(cols):
+        seg = f"parts[{i + 1}]"
+        tail = f"WHEN len(parts) > {DEPTH} THEN '**' " if i == DEPTH - 1 else ""
+        shape.append(
+            f"CASE WHEN NOT starts_with(path, '/') THEN NULL {tail}WHEN {token.format(seg)} THEN '*' ELSE regexp_replace({seg}, '[0-9]+', '#', 'g') END AS {c}"
+        )
+    fits = "CASE " + " ".join(
+        f"WHEN (host = '{d}' OR ends_with(host, '.{d}')) AND starts_with(path, '{p}') THEN '{{}}'".format(v if which else d + p)
+        for which in (0,) for v, d, p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    ) + " END"
+    verdict = "CASE rule " + " ".join(f"WHEN '{d}{p}' THEN '{v}'" for v, d, p in RULES) + " END"
+    sql = f"""WITH u AS (SELECT page_id, {low.format(f"coalesce(regexp_extract(url, '{url}', 1), '')")} AS host,
+        coalesce(regexp_extract(url, '{url}', 2), '') AS path FROM pages),
+      p AS (SELECT *, string_split(substr(path, 2), '/') AS parts, {fits} AS rule FROM u),
+      r AS (SELECT page_id, host, path, rule, {', '.join(shape)} FROM p),
+      l AS (SELECT doc_id, max(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS b FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+      t0 AS (SELECT host, {', '.join(cols)}, count(b) AS lab, coalesce(sum(b), 0) AS bad, '' AS template, '' AS parent
+             FROM r LEFT JOIN l ON page_id = doc_id GROUP BY host, {', '.join(cols)})"""
+    for i, c in enumerate(cols):
+        sql += f""", k{i} AS (SELECT host, template, count(DISTINCT {c}) AS kids FROM t{i} GROUP BY host, template),
+      t{i + 1} AS (SELECT host, {', '.join(cols)}, lab, bad, CASE WHEN {c} IS NULL THEN parent ELSE template END AS parent,
+        CASE WHEN {c} IS NULL THEN template ELSE template || '/' || CASE WHEN kids > {FAN_OUT} AND {c} <> '**' THEN '*' ELSE {c} END END AS template
+        FROM t{i} JOIN k{i} USING (host, template))"""
+    return sql + f""", n AS (SELECT host, parent, template, sum(lab) AS lab, sum(bad) AS bad FROM t{DEPTH} GROUP BY ALL),
+      a AS (SELECT *, sum(lab) OVER w AS al, sum(bad) OVER w AS ab FROM n WINDOW w AS (PARTITION BY host, parent)),
+      m AS (SELECT *, lab > 0 AND al > lab AND abs(bad / lab - (ab - bad) / (al - lab))
+            <= {Z} * sqrt((ab / al) * (1 - ab / al) * (1 / lab + 1 / (al - lab))) AS alike FROM a),
+      j AS (SELECT host, template, max(CASE WHEN alike THEN
+              (SELECT (sum(o.bad) + {STRENGTH / 2}) / (sum(o.lab) + {STRENGTH}) FROM m o WHERE o.host = m.host AND o.parent = m.parent AND o.alike)
+              ELSE (bad + {STRENGTH / 2}) / (lab + {STRENGTH}) END) > {REJECT} AS reject FROM m GROUP BY host, template)
+      SELECT page_id, r.host, path, rule, coalesce({verdict}, CASE WHEN reject THEN 'block' ELSE 'allow' END) AS verdict, template
+      FROM r JOIN t{DEPTH} c ON r.host = c.host AND {' AND '.join(f'r.{c} IS NOT DISTINCT FROM c.{c}' for c in cols)} JOIN j USING (template) WHERE j.host = c.host"""
+
+
+@query("op10_url_filters", _url_sql())
+def op10_url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    marks = table(spark, sf, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
+    return url_filter(table(spark, sf, "pages"), marks)
