@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from heldout.llm.exact_dedup import exact_dedup
 from heldout.llm.url_filters import DEPTH, FAN_OUT, REJECT, RULES, STRENGTH, Z, url_filter
+from heldout.llm.warc import ALPHABET, archive_pages
 from heldout.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 SQL_NORMALISED = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g')"
@@ -67,3 +68,20 @@ def _url_sql() -> str:
 def op10_url_filters(spark: SparkSession, sf: str) -> DataFrame:
     marks = table(spark, sf, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
     return url_filter(table(spark, sf, "pages"), marks)
+
+
+SQL_BASE32 = "concat(" + ", ".join(
+    f"substr('{ALPHABET}', (((('0x' || substr(h, {1 + 5 * g}, 5))::BIGINT >> {shift}) & 31) + 1)::INT, 1)" for g in range(8) for shift in (15, 10, 5, 0)
+) + ")"
+
+
+@query(
+    "op6_warc",
+    f"""WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+    r AS (SELECT *, min(page_id) OVER (PARTITION BY t) AS f FROM p)
+    SELECT page_id, octet_length(encode(t)) AS payload_bytes, {SQL_BASE32} AS payload_digest,
+    CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to FROM r""",
+)
+def op6_warc(spark: SparkSession, sf: str) -> DataFrame:
+    read = archive_pages(table(spark, sf, "pages"))
+    return read.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
