@@ -28,8 +28,11 @@ from heldout.llm.common import BROADCAST_IDS, text_of
 from heldout.plans.storage import materialise, scratch_path
 
 WHITE_SPACE = "[\\x20\\x09-\\x0D]+"
-ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Session settings while the stream runs. Without preallocation a store of few keys takes few bytes of disk.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -69,8 +72,9 @@ def update_index(located: DataFrame, checkpoint: str, out: str, name: str = "ded
         # A repeated batch replaces its own files, so a restarted stream writes nothing twice.
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS_DB)
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
     try:
         query = (
             state.writeStream.queryName(name).outputMode("update").option("checkpointLocation", checkpoint)
@@ -78,7 +82,8 @@ def update_index(located: DataFrame, checkpoint: str, out: str, name: str = "ded
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     seen = spark.read.parquet(out)
     last = seen.groupBy("digest").agg(F.max_by(F.struct("n", "best"), "batch").alias("s"))
     return last.select("digest", "s.n", "s.best")
