@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heldout.llm.decontaminate import N, contamination
 from heldout.llm.exact_dedup import exact_dedup
 from heldout.llm.url_filters import DEPTH, FAN_OUT, REJECT, RULES, STRENGTH, Z, url_filter
 from heldout.llm.warc import ALPHABET, archive_pages
@@ -85,3 +86,27 @@ SQL_BASE32 = "concat(" + ", ".join(
 def op6_warc(spark: SparkSession, sf: str) -> DataFrame:
     read = archive_pages(table(spark, sf, "pages"))
     return read.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SQL_WORDS = f"regexp_extract_all({SQL_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query(
+    "op4_decontamination",
+    f"""WITH d AS (SELECT doc_id, {SQL_WORDS} AS w FROM documents),
+    b AS (SELECT item_id, {SQL_WORDS} AS w FROM benchmark),
+    g AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS gram
+          FROM (SELECT item_id, w, least(len(w), {N}) AS m, unnest(range(1, len(w) - least(len(w), {N}) + 2)) AS i FROM b WHERE len(w) > 0)),
+    k AS (SELECT DISTINCT m FROM g),
+    x AS (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS gram
+          FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, k WHERE len(w) >= m)),
+    h AS (SELECT doc_id, x.m, i, item_id FROM x JOIN g ON x.gram = g.gram AND x.m = g.m),
+    c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM h) GROUP BY doc_id),
+    t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM h GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+    n_hit IS NOT NULL AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
+)
+def op4_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    found = contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).drop("items", "spans")
