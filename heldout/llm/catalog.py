@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from heldout.llm.decontaminate import N, contamination
 from heldout.llm.exact_dedup import exact_dedup
+from heldout.llm.secrets import KINDS, secrets, written
 from heldout.llm.url_filters import DEPTH, FAN_OUT, REJECT, RULES, STRENGTH, Z, url_filter
 from heldout.llm.warc import ALPHABET, archive_pages
 from heldout.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
@@ -110,3 +111,11 @@ SQL_WORDS = f"regexp_extract_all({SQL_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F
 def op4_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     found = contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return found.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).drop("items", "spans")
+
+
+@query("op1_secret_scans")
+def op1_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
+    found = secrets(table(spark, sf, "documents"))
+    kinds = F.transform("base", lambda b: b["kind"])
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:3])]
+    return found.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.concat("base", "found")).alias("spans"))
