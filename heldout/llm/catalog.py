@@ -10,6 +10,7 @@ from heldout.llm.exact_dedup import exact_dedup
 from heldout.llm.secrets import KINDS, secrets, written
 from heldout.llm.url_filters import DEPTH, FAN_OUT, REJECT, RULES, STRENGTH, Z, url_filter
 from heldout.llm.warc import ALPHABET, archive_pages
+from heldout.llm.sentencepiece_codec import digests, encode
 from heldout.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 SQL_NORMALISED = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g')"
@@ -119,3 +120,16 @@ def op1_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
     kinds = F.transform("base", lambda b: b["kind"])
     counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:3])]
     return found.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.concat("base", "found")).alias("spans"))
+
+
+def piece_model() -> str:
+    """The public 32k BPE model, as it is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op2_sentencepiece")
+def op2_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return digests(encode(docs, piece_model(), decoded="decoded").drop("text"))
