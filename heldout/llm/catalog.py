@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from heldout.llm.decontaminate import N, contamination
 from heldout.llm.exact_dedup import exact_dedup
 from heldout.llm.secrets import KINDS, secrets, written
+from heldout.llm.toxicity import toxicity
 from heldout.llm.url_filters import DEPTH, FAN_OUT, REJECT, RULES, STRENGTH, Z, url_filter
 from heldout.llm.warc import ALPHABET, archive_pages
 from heldout.llm.sentencepiece_codec import digests, encode
@@ -133,3 +134,8 @@ def piece_model() -> str:
 def op2_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return digests(encode(docs, piece_model(), decoded="decoded").drop("text"))
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity(table(spark, sf, "documents"), table(spark, sf, "labels").select("doc_id", "toxic"))
