@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from heldout.llm.decontaminate import N, contamination
 from heldout.llm.exact_dedup import exact_dedup
+from heldout.llm.minhash_dedup import PERCENT, SHINGLE, near_duplicates
 from heldout.llm.secrets import KINDS, secrets, written
+from heldout.llm.substring_dedup import WINDOW, dedup_substrings
 from heldout.llm.toxicity import toxicity
 from heldout.llm.url_filters import DEPTH, FAN_OUT, REJECT, RULES, STRENGTH, Z, url_filter
 from heldout.llm.warc import ALPHABET, archive_pages
@@ -139,3 +141,45 @@ def op2_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
 @query("op3_toxicity")
 def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity(table(spark, sf, "documents"), table(spark, sf, "labels").select("doc_id", "toxic"))
+
+
+SQL_SPLIT = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+
+@query(
+    "op7_substring_dedup",
+    f"""WITH d AS (SELECT doc_id, {SQL_SPLIT} AS w FROM documents),
+    x AS (SELECT doc_id, i, md5(array_to_string(w[i:i + {WINDOW - 1}], ' ')) AS h
+          FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW} + 2)) AS i FROM d WHERE len(w) >= {WINDOW})),
+    s AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY h) AS n FROM x) WHERE n > 1),
+    c AS (SELECT DISTINCT doc_id, unnest(range(i, i + {WINDOW})) AS p FROM s),
+    r AS (SELECT doc_id, list(p) AS gone FROM c GROUP BY doc_id),
+    k AS (SELECT doc_id, p, w[p] AS word FROM (SELECT d.doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d) t
+          WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = t.doc_id AND c.p = t.p)),
+    j AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM k GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d LEFT JOIN r USING (doc_id) LEFT JOIN j USING (doc_id)""",
+)
+def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    kept = dedup_substrings(table(spark, sf, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL_LOW_SPLIT = f"regexp_extract_all({SQL_LOW}, '[^\\x20\\x09-\\x0D]+')"
+
+
+@query(
+    "op8_minhash_dedup",
+    f"""WITH RECURSIVE d AS (SELECT doc_id, {SQL_LOW_SPLIT} AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS g
+          FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {SHINGLE}, 0) + 2)) AS i FROM d WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+    l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= {PERCENT} * (nx.n + ny.n - c)),
+    r AS (SELECT x AS doc_id, y AS o FROM l UNION SELECT r.doc_id, l.y FROM r JOIN l ON r.o = l.x),
+    f AS (SELECT doc_id, min(o) AS m FROM r GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id,
+    d.doc_id = least(d.doc_id, coalesce(m, d.doc_id)) AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN f USING (doc_id)""",
+)
+def op8_minhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(table(spark, sf, "documents"))
