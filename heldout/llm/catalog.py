@@ -26,7 +26,7 @@ SQL_NORMALISED = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '',
     SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM r""",
 )
 def op5_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return exact_dedup(table(spark, sf, "documents"))
+    return exact_dedup(table(spark, sf, "documents")).drop("n_chars")
 
 
 def _url_sql() -> str:

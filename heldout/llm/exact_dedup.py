@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heldout.llm.common import BROADCAST_IDS, text_of
+from heldout.llm.common import BROADCAST_IDS, drop_ids, text_of
 from heldout.plans.storage import materialise, scratch_path
 
 WHITE_SPACE = "[\\x20\\x09-\\x0D]+"
@@ -100,8 +100,30 @@ def verify(docs: DataFrame, index: DataFrame, text_col: str = "text", digest: Ca
     )
 
 
+def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that stay, all their columns.
+
+    Rows are told apart by id, length and digest of their texts; where rows agree in all three, one of them stays.
+    """
+    found = exact_dedup(docs, id_col, text_col)
+    n_chars, digest = F.length(text_of(text_col)), F.sha2(normalised(text_col), 256)
+    stays = F.struct("keep_id", "text_sha256").alias("stays")
+    gone = materialise(found.filter("NOT kept").select(F.col(id_col).alias("_id"), "n_chars", F.col("text_sha256").alias("_sha256"), stays), "gone")
+    # A dropped row that has the id of the one that stays can only be told from it by length, or not at all.
+    twin = gone.filter(F.col("_id").eqNullSafe(F.col("stays.keep_id"))).limit(1).count() > 0
+    if not twin:
+        ids = gone.select(F.col("_id").alias(id_col)).distinct()
+        repeated = found.groupBy(id_col).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+        if not repeated.limit(1).count():
+            return drop_ids(docs, ids, id_col)
+    kept = found.filter("kept").select(F.col(id_col).alias("_id"), F.col("n_chars").alias("_n"), F.col("text_sha256").alias("_sha256"))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (n_chars == F.col("_n")) & (digest == F.col("_sha256"))
+    chosen = docs.join(kept, same, "left_semi").withColumn("_sha256", digest).withColumn("_n", n_chars)
+    return chosen.dropDuplicates([id_col, "_n", "_sha256"]).drop("_n", "_sha256")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """One row per document: ``id_col``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``."""
+    """One row per document: ``id_col``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``, ``n_chars``."""
     spark: SparkSession = docs.sparkSession
     located = locate(docs, id_col, text_col, digest)
     index = materialise(update_index(located, scratch_path(spark, "dedup-state"), scratch_path(spark, "dedup-index")), "index")
@@ -123,5 +145,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         joined = same.alias("l").join(index.alias("i"), F.col("l.digest") == F.col("i.digest"))
     return joined.select(
         F.col("l.id").alias(id_col), F.col("i.best.id").alias("keep_id"), F.col("i.n").cast("long").alias("group_size"),
-        (F.col("l.at") == F.col("i.best.at")).alias("kept"), F.col("l.sha256").alias("text_sha256"),
+        (F.col("l.at") == F.col("i.best.at")).alias("kept"), F.col("l.sha256").alias("text_sha256"), F.col("l.n_chars").alias("n_chars"),
     )

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heldout.llm.common import BROADCAST_IDS, partitions_for
+from heldout.llm.common import BROADCAST_IDS, drop_ids, partitions_for
 from heldout.llm.windows import Words
 from heldout.plans.storage import materialise
 
@@ -236,6 +236,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The document with each component's id, all its columns. Rows that share this id all stay."""
+    gone = near_duplicates(docs, id_col, text_col).filter("NOT kept").select(id_col).distinct()
+    return drop_ids(docs, materialise(gone, "near"), id_col)
+
+
 def _settle(docs: DataFrame, members: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame | None:
     """Links between components inside buckets of several chunks, or None if each such bucket is one component."""
     named = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", "cls", F.coalesce("root", "cls").alias("comp"))
