@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from heldout.llm.decontaminate import N, contamination
 from heldout.llm.exact_dedup import exact_dedup
+from heldout.llm.licenses import TEMPLATES, THRESHOLD, bigrams, license_scan
 from heldout.llm.minhash_dedup import PERCENT, SHINGLE, near_duplicates
 from heldout.llm.secrets import KINDS, secrets, written
 from heldout.llm.substring_dedup import WINDOW, dedup_substrings
@@ -183,3 +184,25 @@ SQL_LOW_SPLIT = f"regexp_extract_all({SQL_LOW}, '[^\\x20\\x09-\\x0D]+')"
 )
 def op8_minhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"))
+
+
+def _license_sql() -> str:
+    rows = sorted({(name, text) for name, text in TEMPLATES})
+    values = ", ".join("({}, '{}', [{}])".format(k, name, ", ".join(f"'{g}'" for g in bigrams(text))) for k, (name, text) in enumerate(rows))
+    low = SQL_LOW
+    return f"""WITH t(o, license, grams) AS (VALUES {values}),
+    d AS (SELECT doc_id, {low} AS x FROM documents),
+    p AS (SELECT doc_id, unnest(list_distinct(list_concat(string_split(x, chr(10)), regexp_split_to_array(x, '\\n[ \\t\\r]*\\n'), [x]))) AS part FROM d),
+    w AS (SELECT doc_id, part, regexp_extract_all(part, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM p),
+    g AS (SELECT doc_id, part, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams FROM w WHERE len(w) > 1),
+    c AS (SELECT doc_id, part, license, o, 2.0::DOUBLE * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)) AS dice FROM g JOIN t
+          ON 2.0::DOUBLE * least(len(g.grams), len(t.grams)) / (len(g.grams) + len(t.grams)) >= {THRESHOLD}),
+    m AS (SELECT doc_id, part, license, dice FROM c WHERE dice >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id, part ORDER BY dice DESC, o) = 1),
+    a AS (SELECT doc_id, count(*) AS n_matches, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, max(dice) AS dice FROM m GROUP BY doc_id),
+    b AS (SELECT m.doc_id, min(license) AS license FROM m JOIN a ON m.doc_id = a.doc_id AND m.dice = a.dice GROUP BY m.doc_id)
+    SELECT doc_id, coalesce(n_matches, 0) AS n_matches, license, dice, coalesce(licenses, '') AS licenses FROM d LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id)"""
+
+
+@query("op9_license_scans", _license_sql())
+def op9_license_scans(spark: SparkSession, sf: str) -> DataFrame:
+    return license_scan(table(spark, sf, "documents")).drop("matches")

@@ -19,6 +19,14 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions_for(df: DataFrame) -> int:
     """Partitions for work that is dealt out by key: as many as the input has splits, and the session's number at least."""
     spark: SparkSession = df.sparkSession
@@ -28,5 +36,6 @@ def partitions_for(df: DataFrame) -> int:
 def drop_ids(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
     """The rows of ``docs`` whose id is not among ``dropped`` (distinct, materialised). A null id matches a null id."""
     few = dropped.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    gone = dropped.select(F.col(id_col).alias("_gone"))
-    return docs.join(F.broadcast(gone) if few else gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    name = free_name(docs, "_gone")
+    gone = dropped.select(F.col(id_col).alias(name))
+    return docs.join(F.broadcast(gone) if few else gone, F.col(id_col).eqNullSafe(F.col(name)), "left_anti")

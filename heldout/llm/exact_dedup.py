@@ -2,12 +2,12 @@
 
 Texts are equal when they are identical after every character of ``[\\x20\\x09-\\x0D]`` is deleted. The work has three parts.
 
-1. ``locate``: one pass over the texts writes a row per document (identifier, digest, length, content locator) to the shared
-   folder. The locator is the identifier of the row within this written table together with the document's id.
+1. ``locate``: one pass over the texts appends a row per document (identifier, digest, length, content locator) to the inbox of the
+   index's folder. The locator is the number of the run and of the row in it; with the identifier it finds the content again.
 2. ``update_index``: a streaming aggregation over those rows. Its state is keyed by digest, lives in RocksDB and has no watermark,
    so nothing expires; each key retains the digest, the identifier and locator of the row that stays, and the count. Spark combines
-   rows of one digest before the shuffle, so a digest that fills a third of the input arrives as one row per task. The checkpoint
-   folder may be given again later: new batches then meet the state of all earlier ones.
+   rows of one digest before the shuffle, so a digest that fills a third of the input arrives as one row per task. The folder may be
+   given again with further documents: they then meet the state of all earlier runs.
 3. ``verify``: digests seen more than once are hits. Their whole normalised texts are grouped byte by byte (again combined before
    the shuffle). A digest whose texts differ is split by the strong digest; two texts that share that as well stop the run, so
    different texts are never taken as copies.
@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heldout.llm.common import BROADCAST_IDS, drop_ids, text_of
+from heldout.llm.common import BROADCAST_IDS, drop_ids, free_name, text_of
 from heldout.plans.storage import materialise, scratch_path
 
 WHITE_SPACE = "[\\x20\\x09-\\x0D]+"
@@ -43,11 +43,15 @@ def normalised(text_col: str) -> Column:
     return F.regexp_replace(text_of(text_col), WHITE_SPACE, "")
 
 
-def locate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """One written row per document: ``id``, ``digest``, ``sha256``, ``n_chars`` and the locator ``at``."""
+def locate(
+    docs: DataFrame, folder: str, run: int = 0, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256
+) -> DataFrame:
+    """Append one row per document to the inbox: ``id``, ``digest``, ``sha256``, ``n_chars`` and the locator ``at``. Returns this run's rows."""
     rows = docs.select(F.col(id_col).alias("id"), F.length(text_of(text_col)).cast("long").alias("n_chars"), normalised(text_col).alias("_norm"))
     rows = rows.select("id", "n_chars", digest(F.col("_norm")).cast("string").alias("digest"), F.sha2("_norm", 256).alias("sha256"))
-    return materialise(rows.withColumn("at", F.monotonically_increasing_id()), "located")
+    rows = rows.withColumn("at", F.struct(F.lit(run).alias("run"), F.monotonically_increasing_id().alias("row")))
+    rows.write.mode("append").parquet(f"{folder}/inbox")
+    return docs.sparkSession.read.schema(rows.schema).parquet(f"{folder}/inbox").filter(F.col("at.run") == run)
 
 
 def _best() -> Column:
@@ -56,36 +60,34 @@ def _best() -> Column:
     return F.min(order).alias("best")
 
 
-def update_index(located: DataFrame, checkpoint: str, out: str, name: str = "dedup") -> DataFrame:
-    """Feed located rows to the stream; return the state of every digest touched: ``digest``, ``n``, ``best``.
+def update_index(located: DataFrame, folder: str) -> DataFrame:
+    """Feed what is new in the folder's inbox to the stream; return the last state of every digest: ``digest``, ``n``, ``best``.
 
-    The stream reads the files of ``located`` once (``availableNow``); ``checkpoint`` holds the state between calls.
+    ``located`` gives the schema. The stream ends when it has read the inbox (``availableNow``); its checkpoint is in the folder.
     """
     spark = located.sparkSession
-    files = located.inputFiles()
-    if not files:
-        return located.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), _best())
-    rows = spark.readStream.schema(located.schema).parquet(files[0].rsplit("/", 1)[0])
+    rows = spark.readStream.schema(located.schema).parquet(f"{folder}/inbox")
     state = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), _best())
 
     def keep(batch: DataFrame, number: int) -> None:
         # A repeated batch replaces its own files, so a restarted stream writes nothing twice.
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/index/batch={number}")
 
     before = {k: spark.conf.get(k, None) for k in STATE_STORE}
     for k, v in STATE_STORE.items():
         spark.conf.set(k, v)
     try:
         query = (
-            state.writeStream.queryName(name).outputMode("update").option("checkpointLocation", checkpoint)
+            state.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state")
             .trigger(availableNow=True).foreachBatch(keep).start()
         )
         query.awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
-    seen = spark.read.parquet(out)
-    last = seen.groupBy("digest").agg(F.max_by(F.struct("n", "best"), "batch").alias("s"))
+    if not located.inputFiles():
+        return located.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), _best())
+    last = spark.read.parquet(f"{folder}/index").groupBy("digest").agg(F.max_by(F.struct("n", "best"), "batch").alias("s"))
     return last.select("digest", "s.n", "s.best")
 
 
@@ -116,17 +118,19 @@ def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         repeated = found.groupBy(id_col).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
         if not repeated.limit(1).count():
             return drop_ids(docs, ids, id_col)
-    kept = found.filter("kept").select(F.col(id_col).alias("_id"), F.col("n_chars").alias("_n"), F.col("text_sha256").alias("_sha256"))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (n_chars == F.col("_n")) & (digest == F.col("_sha256"))
-    chosen = docs.join(kept, same, "left_semi").withColumn("_sha256", digest).withColumn("_n", n_chars)
-    return chosen.dropDuplicates([id_col, "_n", "_sha256"]).drop("_n", "_sha256")
+    as_id, as_n, as_digest = (free_name(docs, c) for c in ("_id", "_n", "_sha256"))
+    kept = found.filter("kept").select(F.col(id_col).alias(as_id), F.col("n_chars").alias(as_n), F.col("text_sha256").alias(as_digest))
+    same = F.col(id_col).eqNullSafe(F.col(as_id)) & (n_chars == F.col(as_n)) & (digest == F.col(as_digest))
+    chosen = docs.join(kept, same, "left_semi").withColumn(as_n, n_chars).withColumn(as_digest, digest)
+    return chosen.dropDuplicates([id_col, as_n, as_digest]).drop(as_n, as_digest)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """One row per document: ``id_col``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``, ``n_chars``."""
     spark: SparkSession = docs.sparkSession
-    located = locate(docs, id_col, text_col, digest)
-    index = materialise(update_index(located, scratch_path(spark, "dedup-state"), scratch_path(spark, "dedup-index")), "index")
+    folder = scratch_path(spark, "dedup")
+    located = locate(docs, folder, 0, id_col, text_col, digest)
+    index = materialise(update_index(located, folder), "index")
     mixed = materialise(verify(docs, index, text_col, digest).filter("texts > 1"), "mixed")
     if mixed.filter("texts > strong").limit(1).count():
         raise ValueError("different texts have the same strong digest")

@@ -96,8 +96,10 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             n, cls, keys = zip(*out, strict=True) if out else ((), (), ())
             yield pd.DataFrame({"id": batch["id"], "n": np.array(n, np.int64), "cls": cls, "bands": keys})
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return materialise(rows.mapInPandas(run, f"id {id_type}, n long, cls binary, bands array<long>"), "signed")
+    # Identifiers travel as strings: pandas would turn whole numbers with nulls among them into floats.
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    made = rows.mapInPandas(run, "id string, n long, cls binary, bands array<long>")
+    return materialise(made.withColumn("id", F.col("id").cast(id_type)), "signed")
 
 
 def components(edges: DataFrame) -> DataFrame:

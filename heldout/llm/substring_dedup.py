@@ -95,7 +95,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     parts = partitions_for(docs)
     id_type = docs.schema[id_col].dataType.simpleString()
     text = text_of(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.pmod(F.xxhash64(F.col(id_col), text), F.lit(4 * parts)).cast("int").alias("bucket"))
+    # Identifiers travel as strings: pandas would turn whole numbers with nulls among them into floats.
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), text.alias("text"), F.pmod(F.xxhash64(F.col(id_col), text), F.lit(4 * parts)).cast("int").alias("bucket"))
     # Explicit on both sides, so that the texts keep one partitioning in every level's plan.
     dealt = rows.repartition(parts, "bucket")
 
@@ -137,7 +138,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
             stays = np.cumsum(cover)[:-1] == 0
             kept = b" ".join(compress(words.words, stays.tolist())) if len(at) else words.joined
             out.append((doc, len(words), len(words) - int(stays.sum()), kept.decode("utf-8", "surrogatepass")))
-        return pd.DataFrame(out, columns=["id", "n_words", "n_removed", "kept"]).astype({"id": own["id"].dtype})
+        return pd.DataFrame(out, columns=["id", "n_words", "n_removed", "kept"])
 
     if len(levels) > 1:
         flags = _once(rows.mapInPandas(first_level, HASHES), levels[0])
@@ -150,5 +151,5 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
         flags = flags.unionByName(_once(met.applyInPandas(next_level(length, list(done)), HASHES), length))
         done.append(length)
     met = dealt.groupBy("bucket").cogroup(flags.repartition(parts, "bucket").groupBy("bucket"))
-    found = met.applyInPandas(removal, f"id {id_type}, n_words long, n_removed long, kept string")
-    return found.withColumnRenamed("id", id_col)
+    found = met.applyInPandas(removal, "id string, n_words long, n_removed long, kept string")
+    return found.select(F.col("id").cast(id_type).alias(id_col), "n_words", "n_removed", "kept")

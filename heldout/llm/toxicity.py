@@ -21,10 +21,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from heldout.llm.common import free_name
 from heldout.plans.storage import materialise
 
 LENGTHS = (4, 5)
@@ -69,7 +71,7 @@ class Model:
 
 
 def _joined_labels(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    marks = labels.filter(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    marks = labels.filter(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     marks = materialise(marks, "labels")
     few = marks.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -184,22 +186,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def add_score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """All columns of ``docs`` and the score (0 to 1) of each text."""
-    names = [*docs.columns, out]
+    at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _Finder(model.buckets)
         for batch in batches:
             if model.intercept is None:
-                scores = [model.share] * len(batch)
+                scores = [model.share] * batch.num_rows
             else:
-                scores = [1 / (1 + np.exp(-np.clip(model.intercept + model.weights[find(t)].sum(), -500, 500))) for t in batch.iloc[:, at]]
-            batch = batch.copy()
-            batch.insert(len(batch.columns), "_score", np.array(scores, float), allow_duplicates=True)
-            batch.columns = names
-            yield batch
+                sums = [model.intercept + model.weights[find(t.as_py())].sum() for t in batch.column(at)]
+                scores = 1 / (1 + np.exp(-np.clip(sums, -500, 500)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, out])
 
-    at = docs.columns.index(text_col)
-    return docs.mapInPandas(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def out_of_training(id_col: str = "doc_id") -> Column:
@@ -217,4 +216,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are not predicted toxic, all their columns."""
     model = train(docs, labels, id_col, text_col, out_of_training(id_col))
-    return add_score(docs, model, text_col, "_toxicity").filter(F.col("_toxicity") < 0.5).drop("_toxicity")
+    score = free_name(docs, "_toxicity")
+    return add_score(docs, model, text_col, score).filter(F.col(score) < 0.5).drop(score)
