@@ -17,7 +17,7 @@ from heldout.operators.metrics import pairs
 from heldout.operators.ranking import apply_isotonic, group_weights, isotonic_weighted, within_group_percentile
 from heldout.operators.resampling import replicates
 from heldout.operators.cohort import logo_prior_join
-from heldout.plans.skew import Profile, attach, cumulate, profile, quantiles, spread
+from heldout.plans.skew import Profile, attach, cumulate, null_safe_join, profile, quantiles, spread
 from heldout.plans.storage import materialise
 
 
@@ -44,7 +44,7 @@ def sum_abs_deviation(
     x, n, s = F.col("_x"), F.col("_n_before"), F.col("_s_before")
     total = x * n - s + (F.col("_s_all") - s) - x * (F.col("_n_all") - n)
     wide = j.groupBy(group, *keys).agg(*[F.max(F.when(F.col("_c") == c, total)).alias(f"_all_{c}") for c in at])
-    return points.join(wide, [group, *keys])
+    return null_safe_join(points, wide, [group, *keys])
 
 
 def labelled_draws(df: DataFrame, ks: Sequence[int], b: int, seed: int, group: str = "grp", unit: str = "id") -> DataFrame:
@@ -79,7 +79,7 @@ def fewshot_draws(
     flat = base.groupBy(group).agg(
         F.sum(F.abs(F.col("r") - F.col("offset"))).alias("_abs_o"), F.sum(F.abs(F.col("actual") - F.col("mean_actual"))).alias("_abs_m")
     )
-    whole = whole.join(flat, group)
+    whole = null_safe_join(whole, flat, [group])
     shots = labelled_draws(rows, ks, b, seed, group, unit)
     shots = materialise(attach(shots, whole, [group], groups).filter(F.col("n") - F.col("k") >= min_eval))
     keys = [group, "k", "b"]
@@ -100,7 +100,7 @@ def fewshot_draws(
         )
     est = materialise(est)  # one row per group, k and replicate
     constants = [("r", c) for c in est.columns if c.startswith("c_")] + [("actual", c) for c in est.columns if c.startswith("y_")]
-    own = shots.join(est, keys).groupBy(*keys).agg(
+    own = null_safe_join(shots, est, keys).groupBy(*keys).agg(
         F.max("n").alias("n"), F.max("offset").alias("offset"),
         F.max("_abs_r").alias("_abs_r"), F.max("_abs_o").alias("_abs_o"), F.max("_abs_m").alias("_abs_m"),
         F.sum(F.abs("r")).alias("_own_r"), F.sum(F.abs(F.col("r") - F.col("offset"))).alias("_own_o"),
@@ -111,8 +111,8 @@ def fewshot_draws(
     for value in ("r", "actual"):
         at = [c for v, c in constants if v == value]
         sums = sum_abs_deviation(rows, est.select(*keys, *at), group, value, at, len(ks) * b, shape).drop(*at)
-        out = out.join(sums, keys)
-    j = out.join(own, keys)
+        out = null_safe_join(out, sums, keys)
+    j = null_safe_join(out, own, keys)
     left = F.col("n") - F.col("k")
     errors = [((F.col(f"_all_{c}") - F.col(f"_own_{c}")) / left).alias(f"mae_{c}") for _, c in constants]
     extra = ["w", "w_u", "w_y"] if priors is not None else []
@@ -225,7 +225,7 @@ def eb_draw_distribution(draws: DataFrame, group: str = "grp") -> DataFrame:
     scoped = draws.select(F.explode(F.array(F.col(group), F.lit("ALL"))).alias(group), "k", F.explode(deltas).alias("_d"))
     rows = scoped.select(group, "k", "_d.delta", "_d.v")
     counts = rows.groupBy(group, "k", "delta").agg(F.count(F.lit(1)).alias("n_draws"))
-    return counts.join(quantiles(rows, [group, "k", "delta"], "v", DRAW_QUANTILES), [group, "k", "delta"])
+    return null_safe_join(counts, quantiles(rows, [group, "k", "delta"], "v", DRAW_QUANTILES), [group, "k", "delta"])
 
 
 # --- offsets from label-free group covariates -------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heldout.functions.scalars import alias_values, draw_key, first_match, parse_barcode, safe_number, title_key, truthy
-from heldout.plans.skew import number_rows, profile
+from heldout.plans.skew import null_safe_join, number_rows, profile, quantiles
 
 INCLUDED = "included"
 EXCLUDED = "excluded"
@@ -100,11 +100,9 @@ def coalesce_group_source(df: DataFrame, authoritative: DataFrame, subtype: Data
 
 def cohort_five_number(df: DataFrame, value: str, cut: float, group: str = "grp") -> DataFrame:
     """Per group: N, minimum, quartiles, maximum, number at or above a cut (linear quantiles)."""
-    from heldout.plans.skew import quantiles
-
     five = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
     counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(value) >= cut).alias("n_high"))
-    return counts.join(quantiles(df, [group], value, five), group, "left")
+    return null_safe_join(counts, quantiles(df, [group], value, five), [group], "left")
 
 
 def exclusion_counts(audit: DataFrame) -> DataFrame:
@@ -217,7 +215,7 @@ def within_group_pairs(df: DataFrame, per_row: int, group: str = "grp", unit: st
     left = dealt.select(group, F.col(unit).alias("a"), F.col(value).alias("_ya"), F.explode(
         F.sequence(F.col("_rn") + 1, F.col("_rn") + per_row)).alias("_rn"), F.col("_rn").alias("_ra"))
     right = dealt.select(group, "_rn", F.col(unit).alias("b"), F.col(value).alias("_yb"))
-    met = left.join(right, [group, "_rn"]).filter("_ya <> _yb")
+    met = null_safe_join(left, right, [group, "_rn"]).filter("_ya <> _yb")
     flip = F.pmod(F.col("_ra") + F.col("_rn"), F.lit(2)) == 0
     want_high_first = ~flip
     is_high_first = F.col("_ya") > F.col("_yb")

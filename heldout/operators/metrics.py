@@ -8,13 +8,14 @@ statistics go through ``plans.skew``.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heldout.functions.scalars import clip_floor, safe_corr, safe_slope
 from heldout.plans.storage import materialise
-from heldout.plans.skew import Profile, attach, group_attach, midranks, min_rank, profile, quantiles, value_cells
+from heldout.plans.skew import Profile, attach, group_attach, midranks, min_rank, null_safe_join, profile, quantiles, value_cells
 
 POOLED = "POOLED"
 MACRO = "MACRO"
@@ -184,7 +185,7 @@ def stratified_metrics(
     within = within_group_metrics(cell, ["stratum"], "_cell").drop("n", "within_mae")
     span = rows.groupBy("stratum").agg(F.min(covariate).alias("cov_min"), F.max(covariate).alias("cov_max"))
     middle = quantiles(rows, ["stratum"], covariate, {"cov_median": 0.5})
-    return panel.join(within, "stratum").join(span, "stratum").join(middle, "stratum")
+    return reduce(lambda a, b: null_safe_join(a, b, ["stratum"]), [panel, within, span, middle])
 
 
 def matched_band_metrics(
@@ -234,7 +235,7 @@ def group_panel_wide(df: DataFrame, group: str = "grp") -> DataFrame:
         )
         middle = quantiles(rows, keys, "abs_err", {"median_abs_error": 0.5}, profile(known, keys))
         if keys:
-            panel = panel.join(middle, keys)
+            panel = null_safe_join(panel, middle, keys)
         else:
             panel = panel.withColumn(group, F.lit(POOLED)).join(F.broadcast(middle.withColumn(group, F.lit(POOLED))), group)
         parts.append(panel.withColumn("scope", F.lit(scope)))
@@ -390,7 +391,7 @@ def threshold_table(df: DataFrame, cut: float, near: float, group: str = "grp")
         F.count_if(F.abs(F.col("actual") - cut) <= near).alias("n_actual_near"),
         F.count_if(F.abs(F.col("pred") - cut) <= near).alias("n_pred_near"),
     )
-    return table.join(auc_rank(rows, [group], "pred", pos).select(group, "auc"), group, "left")
+    return null_safe_join(table, auc_rank(rows, [group], "pred", pos).select(group, "auc"), [group], "left")
 
 
 def reliability_bins(df: DataFrame, q_hat: str, truth: str, bins: int = 10, keys: Sequence[str] = ()) -> DataFrame:
@@ -515,7 +516,7 @@ def ood_summary(df: DataFrame, reportable: Column, group: str = "grp") -> DataFr
     metrics = metrics_panel(rows, keys).select(
         *keys, "n", "pearson", "spearman", "mae", "rmse", "bias", "calibration_slope"
     )
-    return counts.join(spread, keys, "left").join(metrics, keys, "left")
+    return null_safe_join(null_safe_join(counts, spread, keys, "left"), metrics, keys, "left")
 
 
 def covariate_residual_corr(df: DataFrame, group: str = "grp", covariate: str = "covariate") -> DataFrame:
@@ -558,7 +559,7 @@ def domain_shift_per_group(df: DataFrame, cut: float, group: str = "grp") -> Dat
     )
     rho = spearman(rows, [group], "actual", "pred", "spearman")
     auc = auc_rank(rows, [group], "pred", F.col("actual") >= cut).select(group, "auc")
-    return level.join(rho, group, "left").join(auc, group, "left")
+    return null_safe_join(null_safe_join(level, rho, [group], "left"), auc, [group], "left")
 
 
 def run_summary(df: DataFrame, cut: float, group: str = "grp", least: int = 20) -> DataFrame:
@@ -614,9 +615,8 @@ def negative_prediction_counts(df: DataFrame, group: str = "grp") -> DataFrame:
     counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("pred") < 0).alias("n_negative"))
     raw = spearman(rows, [group], "actual", "pred", "rho_raw")
     clipped = spearman(rows, [group], "actual", "clipped", "rho_clipped")
-    return (
-        counts.join(raw, group).join(clipped, group).withColumn("rho_shift", F.col("rho_clipped") - F.col("rho_raw"))
-    )
+    both = null_safe_join(null_safe_join(counts, raw, [group]), clipped, [group])
+    return both.withColumn("rho_shift", F.col("rho_clipped") - F.col("rho_raw"))
 
 
 def covariate_tertile_skill(df: DataFrame, group: str = "grp", covariate: str = "covariate") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from heldout.functions.scalars import draw_key, qnorm
 from heldout.plans.skew import (
-    attach, broadcast_rows, cumulate, group_attach, hot_rows, midrank, number_rows, profile, quantiles,
+    attach, broadcast_rows, cumulate, group_attach, hot_rows, midrank, null_safe_join, number_rows, profile, quantiles,
 )
 
 
@@ -120,7 +120,7 @@ def limit_per_group(df: DataFrame, n: int, unit: str, group: str | None = None)
     units = number_rows(df.select(*keys, unit).distinct(), keys, [unit], "_rn")
     chosen = units.filter(F.col("_rn") <= n).select(*keys, unit)
     if keys:
-        return df.join(chosen, [*keys, unit], "left_semi")
+        return null_safe_join(df, chosen, [*keys, unit], "left_semi")
     return df.join(F.broadcast(chosen) if n <= broadcast_rows(df.sparkSession) else chosen, [unit], "left_semi")
 
 
@@ -229,7 +229,7 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: S
         return df.select("*", *[F.lag(c).over(w).alias(f"prev_{c}") for c in cols])
     numbered = number_rows(df, keys, order, "_rn")
     before = numbered.select(*keys, (F.col("_rn") + 1).alias("_rn"), *[F.col(c).alias(f"prev_{c}") for c in cols])
-    return numbered.join(before, [*keys, "_rn"], "left").drop("_rn")
+    return null_safe_join(numbered, before, [*keys, "_rn"], "left").drop("_rn")
 
 
 def head_tail(df: DataFrame, by: str, n: int, tie: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from heldout.functions.scalars import clip_floor, fisher_ci, pnorm_two_sided, safe_corr, safe_slope
 from heldout.operators.metrics import centred, group_identity_r2, metrics_panel, pairs, with_pooled
-from heldout.plans.skew import Profile, midrank, midranks, profile, quantiles
+from heldout.plans.skew import Profile, midrank, midranks, null_safe_join, profile, quantiles
 
 
 def one_row_join(*parts: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def paired_run_merge(a: DataFrame, b: DataFrame, group: str = "grp") -> DataFram
     cols = ["pearson", "spearman", "mae", "bias"]
     left = metrics_panel(a, [group]).select(group, "n", *[F.col(c).alias(f"{c}_a") for c in cols])
     right = metrics_panel(b, [group]).select(group, *[F.col(c).alias(f"{c}_b") for c in cols])
-    both = left.join(right, group)
+    both = null_safe_join(left, right, [group])
     return both.select(
         "*",
         *[(F.col(f"{c}_b") - F.col(f"{c}_a")).alias(f"d_{c}") for c in ("pearson", "spearman", "mae")],
@@ -189,7 +189,7 @@ def offset_by_group(df: DataFrame, parts: Sequence[str] = PARTS, group: str = "g
         F.avg("covariate").alias("mean_covariate"), F.count("covariate").alias("n_covariate"), F.avg("covariate2").alias("mean_covariate2")
     )
     keep = [group, "n", "offset", "mae", "mean_total", "mean_pred", *[f"mean_{p}" for p in parts], *[f"share_{p}" for p in parts]]
-    return base.select(*keep).join(extra, group).orderBy(F.col("offset").desc(), group)
+    return null_safe_join(base.select(*keep), extra, [group]).orderBy(F.col("offset").desc(), group)
 
 
 def offset_correlations(groups: DataFrame, terms: Sequence[str], offset: str = "offset") -> DataFrame:
@@ -271,7 +271,7 @@ def generalization_gradient(centroids: DataFrame, panel: DataFrame, performance:
     d = centroids.join(total, "feature")
     gap = F.col("m") - F.try_divide(F.col("_s") - F.col("m"), F.col("_g") - 1)
     dist = d.groupBy(group).agg(F.sqrt(F.sum(gap * gap)).alias("distance"))
-    rows = dist.join(panel.select(group, performance), group)
+    rows = null_safe_join(dist, panel.select(group, performance), [group])
     return rows.agg(
         F.count(F.lit(1)).alias("groups"),
         safe_slope(performance, "distance").alias("slope"),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heldout.functions.scalars import draw_key, draw_number, safe_corr
-from heldout.plans.skew import Profile, group_attach, hot_rows, midranks, number_rows, profile, spread, value_cells
+from heldout.plans.skew import Profile, group_attach, hot_rows, midranks, null_safe_join, number_rows, profile, spread, value_cells
 
 
 def replicates(df: DataFrame, b: int) -> DataFrame:
@@ -29,7 +29,7 @@ def permute(df: DataFrame, keys: Sequence[str], value: str, out: str, seed: int
     donors = number_rows(
         df.select(*keys, F.col(unit).alias("_u"), F.col(value).alias("_v"), draw_key(f"{seed}b", unit).alias("_h")), keys, ["_h", "_u"], "_rn", like
     ).select(*keys, "_rn", "_v")
-    joined = rows.join(donors, [*keys, "_rn"])
+    joined = null_safe_join(rows, donors, [*keys, "_rn"])
     return joined.drop("_rn", *([out] if out in df.columns else [])).withColumnRenamed("_v", out)
 
 
@@ -44,7 +44,7 @@ def permuted_replicates(df: DataFrame, b: int, group: str = "grp", value: str =
     takers = replicates(base.select(group, "_rn", *carry), b)
     donors = replicates(df.select(group, F.col(unit).alias("_u"), F.col(value).alias("value_perm")), b)
     donors = number_rows(donors.withColumn("_h", draw_key(seed, "b", "_u")), ["b", group], ["_h", "_u"], "_rn", like.times(b))
-    return takers.join(donors.select("b", group, "_rn", "value_perm"), ["b", group, "_rn"])
+    return null_safe_join(takers, donors.select("b", group, "_rn", "value_perm"), ["b", group, "_rn"])
 
 
 def permutation_test_mae(df: DataFrame, b: int = 1000, seed: int = 0, group: str = "grp") -> DataFrame:
@@ -117,7 +117,7 @@ def drawn(df: DataFrame, b: int, strata: Sequence[str], cols: Sequence[str], see
     target = (F.pmod(draw_number(seed, "b", *strata, "_rn"), F.col("_n")) + 1).alias("_pick")
     weights = picks.select("b", *strata, target).groupBy("b", *strata, "_pick").agg(F.count(F.lit(1)).alias("w"))
     back = rows.select(*strata, F.col("_rn").alias("_pick"), *[c for c in cols if c not in strata])
-    return weights.join(back, [*strata, "_pick"]).drop("_pick")
+    return null_safe_join(weights, back, [*strata, "_pick"]).drop("_pick")
 
 
 def weighted_corr(x: str, y: str, w: str = "w") -> Column:
@@ -137,7 +137,7 @@ def weighted_midrank(df: DataFrame, keys: Sequence[str], value: str, out: str, l
         return df.withColumn(out, upto - (ties - 1) / F.lit(2.0))
     cells = value_cells(df, keys, value, {"copies": F.col(w)}, like=like)
     ranks = cells.select(*keys, value, (F.col("copies_before") + (F.col("copies") + 1) / F.lit(2.0)).alias(out))
-    return df.join(ranks, [*keys, value])
+    return null_safe_join(df, ranks, [*keys, value])
 
 
 def percentile_ci(draws: DataFrame, keys: Sequence[str], cols: Sequence[str], coverage: float = 0.95) -> DataFrame:

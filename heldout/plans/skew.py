@@ -7,6 +7,8 @@ The groups of this library (a cohort's tissues, an order's nation) are few and u
 * a window is opened over a whole group only while the largest group fits in a task (``hotRows``). Beyond
   that the rows are range-partitioned by (group, order), each slice is numbered on its own, and the slice
   totals give every slice its starting point. The results are the same.
+
+NULL is a key like any other: all joins on keys are null-safe, so the rows without a group are one group everywhere.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -55,12 +58,12 @@ _profiles: dict[tuple, Profile] = {}
 def profile(df: DataFrame, keys: Sequence[str]) -> Profile:
     """Measure a grouping with one column-pruned, map-side combined count.
 
-    The result is one row. It is remembered per session and logical plan, so operators that share an input
-    do not count it again.
+    The result is one row. It is remembered per session, logical plan and files read, so operators that share an
+    input do not count it again and a table written anew is counted anew.
     """
     spark = df.sparkSession
     subject = df.select(*keys)
-    memo = (spark.sparkContext.applicationId, tuple(keys), subject.semanticHash())
+    memo = (spark.sparkContext.applicationId, tuple(keys), subject.semanticHash(), tuple(sorted(subject.inputFiles())))
     if memo not in _profiles:
         sizes = subject.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
         row = sizes.agg(F.count(F.lit(1)), F.max("rows"), F.sum("rows")).first()
@@ -80,6 +83,14 @@ def spread(df: DataFrame, like: Profile) -> DataFrame:
     return df.repartition(cores) if like.rows <= SPREAD_ROWS else df
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns of the same names in which NULL equals NULL; the keys of ``left`` are kept."""
+    own = [f"_key_{i}" for i in range(len(keys))]
+    named = right.select(*[F.col(k).alias(o) for k, o in zip(keys, own)], *[c for c in right.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own)])
+    return left.join(named, same, how).drop(*own)
+
+
 def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str], bound: int | None = None, how: str = "left") -> DataFrame:
     """Join one statistics row per key to ``rows``.
 
@@ -90,7 +101,7 @@ def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str], bound: int |
     limit = broadcast_rows(rows.sparkSession)
     if bound is None:
         bound = stats.select(*keys).limit(limit + 1).count()
-    return rows.join(F.broadcast(stats) if bound <= limit else stats, list(keys), how)
+    return null_safe_join(rows, F.broadcast(stats) if bound <= limit else stats, keys, how)
 
 
 def group_attach(rows: DataFrame, keys: Sequence[str], aggs: Sequence[Column], like: Profile | None = None) -> DataFrame:
@@ -173,7 +184,7 @@ def midrank(df: DataFrame, keys: Sequence[str], value: str, out: str, like: Prof
         return df.withColumn(out, F.when(F.col(value).isNotNull(), F.rank().over(w) + (ties - 1) / F.lit(2.0)))
     cells = value_cells(df, keys, value, like=like)
     ranks = cells.select(*keys, value, (F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)).alias(out))
-    return df.join(ranks, [*keys, value], "left")
+    return null_safe_join(df, ranks, [*keys, value], "left")
 
 
 def midranks(df: DataFrame, keys: Sequence[str], columns: dict[str, str], like: Profile | None = None) -> DataFrame:
@@ -194,7 +205,7 @@ def min_rank(
         rank = F.rank().over(Window.partitionBy(*keys).orderBy(order)).cast("long")
         return df.withColumn(out, F.when(F.col(value).isNotNull(), rank))
     cells = value_cells(df, keys, value, descending=descending, like=like)
-    return df.join(cells.select(*keys, value, (F.col("n_before") + 1).alias(out)), [*keys, value], "left")
+    return null_safe_join(df, cells.select(*keys, value, (F.col("n_before") + 1).alias(out)), [*keys, value], "left")
 
 
 def quantiles(
@@ -217,15 +228,21 @@ def quantiles(
         for side, pos in (("lo", F.floor(at)), ("hi", F.ceil(at))):
             hit = (F.col("n_before") <= pos) & (pos < F.col("n_before") + F.col("n"))
             ends.append(F.max(F.when(hit, F.col(value))).alias(f"_{name}_{side}"))
-        ends.append(F.max(at - F.floor(at)).alias(f"_{name}_part"))
+        ends.append(F.max(at).alias(f"_{name}_at"))
     found = sized.groupBy(*keys).agg(*ends) if keys else sized.agg(*ends)
-    return found.select(
-        *keys,
-        *[
-            (F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * F.col(f"_{n}_part")).alias(n)
-            for n in wanted
-        ],
-    )
+
+    def between(n: str) -> Column:
+        # The arithmetic of the built-in function, so that both ways agree to the last digit.
+        lo, hi, at = F.col(f"_{n}_lo"), F.col(f"_{n}_hi"), F.col(f"_{n}_at")
+        mixed = (F.ceil(at) - at) * lo.cast("double") + (at - F.floor(at)) * hi.cast("double")
+        return F.when(lo == hi, lo.cast("double")).otherwise(mixed).alias(n)
+
+    return _all_groups(df, keys, found.select(*keys, *[between(n) for n in wanted]))
+
+
+def _all_groups(df: DataFrame, keys: Sequence[str], found: DataFrame) -> DataFrame:
+    """``found`` with a row for every group of ``df``, also for groups without a known value."""
+    return null_safe_join(df.select(*keys).distinct(), found, keys, "left") if keys else found
 
 
 def order_statistic(df: DataFrame, keys: Sequence[str], value: str, coverage: float, out: str) -> DataFrame:
