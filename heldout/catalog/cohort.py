@@ -340,12 +340,15 @@ def signature_coverage(spark, sf):
     "first_per_key_merge",
     """WITH f AS (SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn
       FROM orders WHERE o_orderstatus = 'F') WHERE rn = 1)
-    SELECT o_custkey, o_orderkey, o_totalprice, bal FROM f JOIN (SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS bal FROM customer) ON o_custkey = c_custkey""",
+    SELECT o_custkey, o_orderkey, o_totalprice, late, high FROM f JOIN (SELECT o_custkey,
+      arg_min(late, o_orderkey) FILTER (late IS NOT NULL) AS late, arg_min(o_totalprice, o_orderkey) FILTER (o_orderkey % 3 = 1) AS high
+      FROM (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey * 10 END AS late FROM orders) GROUP BY 1) USING (o_custkey)""",
 )
 def first_per_key_merge(spark, sf):
     o = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select("o_custkey", "o_orderkey", "o_totalprice")
-    m = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("bal"))
-    return C.first_per_key_merge(o, m, "o_custkey", ["o_orderkey"], ["bal"])
+    k = F.col("o_orderkey")
+    m = table(spark, sf, "orders").select("o_custkey", k.alias("seq"), F.when(k % 2 == 0, k * 10).alias("late"), F.when(k % 3 == 1, F.col("o_totalprice")).alias("high"))
+    return C.first_per_key_merge(o, m, "o_custkey", ["o_orderkey"], ["late", "high"], ["seq"])
 
 
 def pair_sql(view, per_row, seed):

@@ -261,12 +261,12 @@ def isotonic_weighted(spark, sf):
 
 @query(
     "head_tail",
-    f"""{with_views('v_metrics')} SELECT * FROM (SELECT grp, {r('mae')} AS mae, 'best' AS side FROM v_metrics ORDER BY mae DESC, grp LIMIT 5)
-    UNION ALL SELECT * FROM (SELECT grp, {r('mae')} AS mae, 'worst' AS side FROM v_metrics ORDER BY mae, grp LIMIT 5)""",
+    f"""{with_views('v_metrics')} SELECT * FROM (SELECT grp, {r('mae')} AS mae, 'worst' AS side FROM v_metrics ORDER BY mae DESC, grp LIMIT 5)
+    UNION ALL SELECT * FROM (SELECT grp, {r('mae')} AS mae, 'best' AS side FROM v_metrics ORDER BY mae, grp LIMIT 5)""",
 )
 def head_tail(spark, sf):
     panel = rounded(metrics_panel(pred_view(spark, sf), ["grp"]).select("grp", "mae"))
-    return R.head_tail(panel, "mae", 5, "grp")
+    return R.head_tail(panel, "mae", 5, "grp", larger_is_better=False)
 
 
 @query("sort_report", f"{with_views('v_metrics')} SELECT grp, n, {r('bias')} AS bias FROM v_metrics ORDER BY n DESC, grp")
@@ -311,10 +311,10 @@ def intersect_ids(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_custkey").alias("id")).intersect(good)
 
 
-@query("except_ids", "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("except_ids", "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
 def except_ids(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
-    return c.subtract(table(spark, sf, "orders").select(F.col("o_custkey").alias("id")))
+    return c.subtract(table(spark, sf, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("id")))
 
 
 @query(

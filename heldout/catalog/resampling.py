@@ -380,15 +380,22 @@ def ssgsea_score(spark, sf):
 
 @query(
     "resolve_gene_ids",
-    """SELECT p_partkey, CASE WHEN p_partkey % 50 = 0 THEN '?|' || p_partkey ELSE 'G' || p_partkey || '|' || p_partkey END AS raw_id, 'compound' AS id_type,
-    CAST(p_partkey AS VARCHAR) AS gene_id, true AS valid FROM part""",
+    """SELECT p_partkey, CASE WHEN p_partkey % 70 = 3 THEN ' ' WHEN p_partkey % 50 = 0 THEN '?|' || p_partkey ELSE 'G' || p_partkey || '|' || p_partkey END AS raw_id,
+    'compound' AS id_type, CASE WHEN p_partkey % 70 = 3 THEN '' ELSE CAST(p_partkey AS VARCHAR) END AS gene_id, p_partkey % 70 <> 3 AS valid FROM part""",
 )
 def resolve_gene_ids(spark, sf):
     k = F.col("p_partkey")
-    raw = F.when(k % 50 == 0, F.concat(F.lit("?|"), k)).otherwise(F.concat(F.lit("G"), k, F.lit("|"), k))
+    raw = F.when(k % 70 == 3, " ").when(k % 50 == 0, F.concat(F.lit("?|"), k)).otherwise(F.concat(F.lit("G"), k, F.lit("|"), k))
     return G.resolve_gene_ids(table(spark, sf, "part").select("p_partkey", raw.alias("raw_id")))
 
 
+@query("gene_id_duplicates", "SELECT 'ENSG' || (p_partkey % 97) AS gene_id, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
+def gene_id_duplicates(spark, sf):
+    k = F.col("p_partkey")
+    raw = F.concat(F.lit("ENSG"), k % 97, F.lit("."), k % 5)
+    return G.gene_id_duplicates(G.resolve_gene_ids(table(spark, sf, "part").select("p_partkey", raw.alias("raw_id"))))
+
+
 @query(
     "gene_row_audit",
     """SELECT vec_id, CASE WHEN vec_id % 20 = 1 THEN 'invalid_gene_id' WHEN vec_id % 20 = 2 THEN 'missing_or_nonfinite' WHEN vec_id % 20 = 3 THEN 'constant'

@@ -101,6 +101,25 @@ def scan_sample_files(spark, sf):
     return rounded(MX.scan_sample_files(spark, f"{path}/*", manifest, "file_id=([^/]+)", allow), 9)
 
 
+@query(
+    "sample_file_violations",
+    f"""{with_views('v_long')}, f AS (SELECT 'S' || pos AS sample, 'cg' || id AS feature, CASE WHEN (id + pos) % 97 = 5 THEN value + 2 ELSE value END AS value,
+      CASE WHEN (id * 3 + pos) % 89 = 1 THEN 2 ELSE 1 END AS n FROM v_long)
+    SELECT sample, feature, CAST(n AS BIGINT) AS n, CASE WHEN n > 1 THEN 'duplicate' ELSE 'out_of_range' END AS violation FROM f WHERE n > 1 OR value < 0 OR value > 1""",
+)
+def sample_file_violations(spark, sf):
+    """Sample files with planted repeats and values outside the range."""
+    path = scratch_path(spark, "violations")
+    key = F.col("id") + F.col("pos")
+    rows = long_view(spark, sf).select(
+        F.concat(F.lit("S"), "pos").alias("file_id"), F.concat(F.lit("cg"), "id").alias("feature"), F.when(key % 97 == 5, F.col("value") + 2).otherwise(F.col("value")).alias("value"),
+        F.explode(F.sequence(F.lit(1), F.when((F.col("id") * 3 + F.col("pos")) % 89 == 1, 2).otherwise(1))).alias("copy"),
+    ).drop("copy")
+    rows.repartition("file_id").write.partitionBy("file_id").option("sep", "\t").csv(path)
+    manifest = long_view(spark, sf).select(F.concat(F.lit("S"), "pos").alias("file_key"), F.concat(F.lit("S"), "pos").alias("sample")).distinct()
+    return MX.sample_file_violations(MX.scan_sample_files(spark, f"{path}/*", manifest, "file_id=([^/]+)"))
+
+
 @query("manifest_digest_check")
 def manifest_digest_check(spark, sf):
     """No SQL: file digests. One manifest entry is falsified and one names no file."""
@@ -116,7 +135,7 @@ def manifest_digest_check(spark, sf):
 def run_manifest_hash(spark, sf):
     """No SQL: SHA-256 of the files of a written table."""
     path = scratch_path(spark, "hash")
-    table(spark, sf, "customer").coalesce(1).write.option("header", True).csv(path)
+    table(spark, sf, "customer").write.option("header", True).csv(path)
     return MF.file_digests(spark, path).filter(F.col("filename").endswith(".csv")).select("length", "sha256")
 
 

@@ -189,16 +189,15 @@ def signature_map(sets: DataFrame, candidates: DataFrame, universe: DataFrame) -
     return audit, coverage
 
 
-def first_per_key_merge(scores: DataFrame, master: DataFrame, key: str, order: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """First score row per key in order, joined to the first non-NULL value per column of the other side."""
+def first_per_key_merge(
+    scores: DataFrame, master: DataFrame, key: str, order: Sequence[str], cols: Sequence[str], master_order: Sequence[str]
+) -> DataFrame:
+    """First score row per key in order, joined to the first non-NULL value per column of the other side in ``master_order``."""
     from heldout.operators.ranking import dedup_first
 
     first = dedup_first(scores, [key], order)
-    seq = "_seq" if "_seq" in master.columns else None
-    aggs = [
-        F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(seq))).alias(c) if seq else F.first(c, ignorenulls=True).alias(c)
-        for c in cols
-    ]
+    # A minimum over (order, value) skips NULLs and does not depend on the partitioning.
+    aggs = [F.min(F.when(F.col(c).isNotNull(), F.struct(*master_order, F.col(c).alias("_v"))))["_v"].alias(c) for c in cols]
     return first.join(master.groupBy(key).agg(*aggs), key)
 
 

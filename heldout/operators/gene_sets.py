@@ -11,14 +11,17 @@ from heldout.plans.skew import attach, midrank, number_rows
 def resolve_gene_ids(df: DataFrame, column: str = "raw_id") -> DataFrame:
     """Detect the id type from the whole column, then normalise: adds ``id_type``, ``gene_id`` and ``valid``.
 
-    Types: ``compound`` (symbol|entrez), ``ensembl`` (version dropped), ``entrez`` (all numeric), else ``symbol``.
-    The type is one aggregated row, broadcast.
+    Types: ``compound`` (symbol|entrez), ``ensembl`` (version dropped), ``entrez`` (all numeric), else ``symbol``. Empty ids say
+    nothing about the type and are not valid; what else is valid depends on the type. The type is one aggregated row, broadcast.
+    Ids that coincide after this are found by ``gene_id_duplicates``.
     """
     c = F.trim(F.col(column))
+    given = F.when(c != "", c)
+    # The forms of the id types.
     kinds = df.agg(
-        F.bool_and(c.rlike(r"^[^|]*\|[0-9]+$")).alias("_compound"),
-        F.bool_and(c.rlike(r"^ENSG[0-9]+(\.[0-9]+)?$")).alias("_ensembl"),
-        F.bool_and(c.rlike(r"^[0-9]+$")).alias("_entrez"),
+        F.bool_and(given.rlike(r"^[^|]*\|[0-9]+$")).alias("_compound"),
+        F.bool_and(given.rlike(r"^ENSG[0-9]+(\.[0-9]+)?$")).alias("_ensembl"),
+        F.bool_and(given.rlike(r"^[0-9]+$")).alias("_entrez"),
     ).withColumn("_one", F.lit(1))
     rows = df.withColumn("_one", F.lit(1)).join(F.broadcast(kinds), "_one").drop("_one")
     kind = (
@@ -29,9 +32,16 @@ def resolve_gene_ids(df: DataFrame, column: str = "raw_id") -> DataFrame:
         .when(F.col("_ensembl"), F.regexp_replace(c, r"\.[0-9]+$", ""))
         .otherwise(c)
     )
-    return rows.select(*df.columns, kind.alias("id_type"), gene.alias("gene_id")).withColumn(
-        "valid", F.coalesce((F.col("gene_id") != "") & (F.col("gene_id") != "?"), F.lit(False))
-    )
+    named = rows.select(*df.columns, kind.alias("id_type"), gene.alias("gene_id"))
+    form = F.when(F.col("id_type").isin("compound", "entrez"), F.col("gene_id").rlike("^[0-9]+$")).when(
+        F.col("id_type") == "ensembl", F.col("gene_id").rlike("^ENSG[0-9]+$")
+    ).otherwise(~F.col("gene_id").isin("", "?"))
+    return named.withColumn("valid", F.coalesce(form, F.lit(False)))
+
+
+def gene_id_duplicates(resolved: DataFrame) -> DataFrame:
+    """Valid ids that several rows share after normalising: gene_id, n."""
+    return resolved.filter("valid").groupBy("gene_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
 def gene_row_audit(df: DataFrame, values: str = "x", valid: str = "valid") -> DataFrame:

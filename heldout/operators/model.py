@@ -203,11 +203,21 @@ def _descend(z: np.ndarray, c: np.ndarray, l1: float, l2: float, b: np.ndarray,
         for _ in range(500):
             if sweep(np.flatnonzero(b)) < limit:
                 break
+    else:
+        raise ValueError("a penalty path did not converge; a model is never returned unsolved")
     return b
 
 
-def _solver(alphas: Sequence[float], steps: int, top: int, rank: str) -> Callable:
-    """One exclusion set: rebuild the training moments, rank and standardise the features, walk the penalty paths."""
+RANKERS = ("pooled", "within_group")
+
+
+def _solver(alphas: Sequence[float], steps: int, top: int, rank: str, max_missing: float) -> Callable:
+    """One exclusion set: rebuild the training moments, filter, rank and standardise the features, walk the penalty paths.
+
+    A feature takes part if at most ``max_missing`` of its values in this training set are unknown.
+    """
+    if rank not in RANKERS:
+        raise ValueError(f"unknown ranker: {rank}")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         line = dict(zip(pdf["i"], pdf["v"]))
@@ -220,7 +230,10 @@ def _solver(alphas: Sequence[float], steps: int, top: int, rank: str) -> Callabl
         within = np.asarray(line[WSS0]) - 2 * med * np.asarray(line[WSS1]) + med * med * np.asarray(line[WSS2])
         score = within / max(n - groups, 1.0) if rank == "within_group" else var
         order = np.lexsort((np.arange(k), -score))
-        keep = np.sort([j for j in order[:top] if score[j] > 1e-14 and var[j] > 0])
+        usable = (u <= max_missing * n) & (score > 1e-14) & (var > 0)
+        keep = np.sort(order[usable[order]][:top])
+        if len(keep) < 2:
+            raise ValueError("a training set has fewer than two usable features")
         full = np.vstack([np.asarray(line[i], dtype=float) for i in range(2 + 2 * k)])
         put = np.zeros((2 + 2 * k, 2 + k))
         put[0, 0] = put[1, 1] = 1.0
@@ -259,7 +272,7 @@ MODELS = (
 
 def fit_sets(
     rows: DataFrame, sets: DataFrame, features: int, alphas: Sequence[float] = ALPHAS, steps: int = STEPS,
-    top: int = 5000, rank: str = "pooled", weights: str = "sample", group: str = "grp", missing: bool = True,
+    top: int = 5000, rank: str = "pooled", weights: str = "sample", group: str = "grp", missing: bool = True, max_missing: float = 0.05,
 ) -> DataFrame:
     """Models of all exclusion sets over the penalty grid; inner folds use the path of their outer fold.
 
@@ -272,7 +285,7 @@ def fit_sets(
     tasks = min(sets.count(), 4 * rows.sparkSession.sparkContext.defaultParallelism)
     sums = materialise(sums)
     outer_ids = sets.filter("inner_group IS NULL").select("set_id", "outer_group")
-    solve = _solver(tuple(alphas), steps, top, rank)
+    solve = _solver(tuple(alphas), steps, top, rank, max_missing)
     outer = materialise(sums.join(outer_ids, "set_id").select("set_id", "i", "v").repartition(tasks, "set_id").groupBy("set_id").applyInPandas(solve, MODELS))
     paths = (
         outer.join(outer_ids, "set_id").groupBy("outer_group", "alpha")
@@ -379,11 +392,18 @@ def score(rows: DataFrame, models: DataFrame, features: int, left_out: bool, gro
 
 def logo_nested(
     rows: DataFrame, features: int, alphas: Sequence[float] = ALPHAS, steps: int = STEPS, top: int = 5000,
-    rank: str = "pooled", weights: str = "sample", missing: bool = True, rule: str = "min",
+    rank: str = "pooled", weights: str = "sample", missing: bool = True, rule: str = "min", max_missing: float = 0.05,
 ) -> dict[str, DataFrame]:
-    """The whole nested run: models, tuning table, selected point per fold and predictions of each left-out group."""
+    """The whole nested run: models, tuning table, selected point per fold and predictions of each left-out group.
+
+    Nested folds leave out two groups at a time, so three groups are the least; fewer are an error.
+    """
+    if rank not in RANKERS:
+        raise ValueError(f"unknown ranker: {rank}")
     sets = materialise(exclusion_sets(rows))
-    models = materialise(fit_sets(rows, sets, features, alphas, steps, top, rank, weights, missing=missing))
+    if sets.filter("inner_group IS NULL").limit(3).count() < 3:
+        raise ValueError("nested leave-one-group-out needs three groups or more")
+    models = materialise(fit_sets(rows, sets, features, alphas, steps, top, rank, weights, missing=missing, max_missing=max_missing))
     tuning = materialise(tune(inner_losses(rows, models, features)))
     chosen = select_1se(tuning) if rule == "1se" else select_min(tuning)
     final = models.filter("inner_group IS NULL").join(chosen.select("outer_group", "alpha", "step", "loss"), ["outer_group", "alpha", "step"])

@@ -232,11 +232,11 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: S
     return null_safe_join(numbered, before, [*keys, "_rn"], "left").drop("_rn")
 
 
-def head_tail(df: DataFrame, by: str, n: int, tie: str) -> DataFrame:
-    """The n best and n worst rows of a report."""
-    top = df.orderBy(F.col(by).desc_nulls_last(), tie).limit(n).withColumn("side", F.lit("best"))
-    low = df.orderBy(F.col(by).asc_nulls_last(), tie).limit(n).withColumn("side", F.lit("worst"))
-    return top.unionByName(low)
+def head_tail(df: DataFrame, by: str, n: int, tie: str, larger_is_better: bool) -> DataFrame:
+    """The n best and n worst rows of a report; for a loss the smallest are the best."""
+    high = df.orderBy(F.col(by).desc_nulls_last(), tie).limit(n).withColumn("side", F.lit("best" if larger_is_better else "worst"))
+    low = df.orderBy(F.col(by).asc_nulls_last(), tie).limit(n).withColumn("side", F.lit("worst" if larger_is_better else "best"))
+    return high.unionByName(low)
 
 
 def first_n(df: DataFrame, n: int, order: Sequence[str | Column]) -> DataFrame:

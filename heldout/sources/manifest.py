@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,15 +32,36 @@ def select_tier(manifest: DataFrame, tier: DataFrame, name: str = "filename", si
     return chosen.orderBy("tier_pos"), total
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """Name below ``path``, length, MD5 and SHA-256 of every file, computed where the file is read."""
+#: Bytes up to which a file is one value; larger ones are read in blocks.
+WHOLE_FILE = 64 << 20
+
+
+def _block_digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs
+
+    for batch in batches:
+        rows = []
+        for path, length in zip(batch["path"], batch["length"], strict=True):
+            system, name = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+            md5, sha256 = hashlib.md5(), hashlib.sha256()
+            with system.open_input_stream(name) as stream:
+                while block := stream.read(8 << 20):
+                    md5.update(block)
+                    sha256.update(block)
+            rows.append((path, length, md5.hexdigest(), sha256.hexdigest()))
+        yield pd.DataFrame(rows, columns=["path", "length", "md5", "sha256"])
+
+
+def file_digests(spark: SparkSession, path: str, whole: int = WHOLE_FILE) -> DataFrame:
+    """Name below ``path``, length, MD5 and SHA-256 of every file, computed where the file is read.
+
+    Files above ``whole`` bytes are read in blocks, so no size is too large; only their names and lengths go through Spark.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(
-        F.regexp_extract("path", re.escape(path.rstrip("/").rsplit("/", 1)[-1]) + "/(.*)$", 1).alias("filename"),
-        "length",
-        F.md5("content").alias("md5"),
-        F.sha2("content", 256).alias("sha256"),
-    )
+    small = files.filter(F.col("length") <= whole).select("path", "length", F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"))
+    large = files.filter(F.col("length") > whole).select("path", "length").mapInPandas(_block_digests, "path string, length long, md5 string, sha256 string")
+    name = F.regexp_extract("path", re.escape(path.rstrip("/").rsplit("/", 1)[-1]) + "/(.*)$", 1)
+    return small.unionByName(large).select(name.alias("filename"), "length", "md5", "sha256")
 
 
 def digest_check(files: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -6,15 +6,24 @@ columns cost no schema; each row becomes (feature, x) with x an array in header
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heldout.functions.scalars import safe_number
+from heldout.functions.scalars import NA_STRINGS, safe_number
 from heldout.plans.skew import broadcast_rows
 
 
+def strict_number(text: Column) -> Column:
+    """A number, NULL for a missing marker, and an error for any other text: such a cell must not pass as unknown."""
+    number = safe_number(text)
+    missing = text.isNull() | F.lower(F.trim(text)).isin(*NA_STRINGS)
+    wrong = F.raise_error(F.concat(F.lit("not a number in a matrix cell: "), text)).cast("double")
+    return F.when(missing, F.lit(None).cast("double")).when(number.isNotNull(), number).otherwise(wrong)
+
+
 def header_columns(spark: SparkSession, path: str, sep: str = "\t") -> list[str]:
     """The column names of a text matrix; reads one line."""
     first = spark.read.text(path).first()
@@ -24,23 +33,29 @@ def header_columns(spark: SparkSession, path: str, sep: str = "\t") -> list[str]
 def scan_header_only(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
     """(pos, sample) of every sample column, from the header line alone."""
     line = spark.read.text(path).limit(1)
-    cells = line.select(F.posexplode(F.split(F.regexp_replace("value", "\r$", ""), sep)).alias("pos", "sample"))
+    cells = line.select(F.posexplode(F.split(F.regexp_replace("value", "\r$", ""), re.escape(sep))).alias("pos", "sample"))
     return cells.filter("pos > 0").select((F.col("pos") - 1).alias("pos"), "sample")
 
 
 def scan_matrix_tsv(spark: SparkSession, path: str, sep: str = "\t", keep: Sequence[int] | None = None) -> DataFrame:
-    """Matrix text to (feature, x array<double>); missing markers and non-numbers are NULL.
+    """Matrix text to (feature, x array<double>); missing markers are NULL, other text in a cell is an error.
 
-    ``keep`` selects sample positions while splitting, so unwanted columns are never parsed.
+    ``keep`` selects sample positions while splitting, so unwanted columns are never parsed. All files of a folder must have the
+    header of the first: a line that begins like the header and differs from it is an error.
     """
     header = sep.join(header_columns(spark, path, sep))
     lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿|\r$", "").alias("value"))
-    cells = lines.filter(F.col("value") != header).select(F.split("value", sep).alias("c"))
+    cells = lines.filter(F.col("value") != header).select("value", F.split("value", re.escape(sep)).alias("c"))
+    # Filters may be reordered, so what raises errors tests by itself that it is not on a header line.
+    data = F.col("value") != header
+    first = F.get("c", F.lit(0))
+    other = F.raise_error(F.lit("the files of this matrix have different headers")).cast("string")
+    feature = F.when(data & (first == header.split(sep)[0]), other).otherwise(first)
     if keep is None:
         raw = F.slice("c", F.lit(2), F.greatest(F.size("c") - 1, F.lit(0)))
     else:
         raw = F.transform(F.array(*[F.lit(int(p) + 1) for p in keep]), lambda p: F.get("c", p))
-    return cells.select(F.get("c", F.lit(0)).alias("feature"), F.transform(raw, safe_number).alias("x"))
+    return cells.select(feature.alias("feature"), F.when(data, F.transform(raw, strict_number)).alias("x"))
 
 
 def matrix_violations(matrix: DataFrame, columns: int, low: float = 0.0, high: float = 1.0) -> DataFrame:
@@ -126,17 +141,28 @@ def scan_sample_files(
 ) -> DataFrame:
     """One two-column file per sample, named by a manifest (file_key, sample): long (sample, feature, value).
 
-    Keeps probe rows by prefix and allow-list. A feature absent from a file is a missing row, which is NULL in every
+    Keeps probe rows by prefix and allow-list. Text that is no number is an error; repeated features and values outside the range
+    are found by ``sample_file_violations``, changed files by ``sources.manifest.digest_check``. A feature absent from a file is a missing row, which is NULL in every
     wide form.
     """
     rows = spark.read.schema("feature string, value string").option("sep", "\t").csv(path)
-    rows = rows.select("feature", safe_number("value").alias("value"), F.regexp_extract("_metadata.file_path", key_pattern, 1).alias("file_key"))
+    rows = rows.select("feature", strict_number(F.col("value")).alias("value"), F.regexp_extract("_metadata.file_path", key_pattern, 1).alias("file_key"))
     rows = rows.filter(F.col("feature").startswith(prefix))
     if allowlist is not None:
         rows = rows.join(allowlist, "feature", "left_semi")
     return rows.join(manifest.select("file_key", "sample"), "file_key").select("sample", "feature", "value")
 
 
+def sample_file_violations(rows: DataFrame, low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """(sample, feature) that occur more than once in their file or have a value outside the range."""
+    value = F.col("value")
+    per = rows.groupBy("sample", "feature").agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or((value < low) | (value > high) | F.isnan(value)), F.lit(False)).alias("_out")
+    )
+    kind = F.when(F.col("n") > 1, "duplicate").when(F.col("_out"), "out_of_range")
+    return per.select("sample", "feature", "n", kind.alias("violation")).filter("violation IS NOT NULL")
+
+
 def scan_tsv_table(spark: SparkSession, path: str, schema: str, sep: str = "\t", na: str = "NA") -> DataFrame:
     """Dimension table with a header, a fixed schema and NA strings."""
     return spark.read.schema(schema).option("header", True).option("sep", sep).option("nullValue", na).csv(path)
@@ -169,7 +195,7 @@ def scan_nested_json_hits(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_gene_sets(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """Ragged rows ``name, id, id, ...`` to (set_name, feature); blanks are dropped."""
-    cells = spark.read.text(path).select(F.transform(F.split("value", sep), lambda c: F.trim(c)).alias("c"))
+    cells = spark.read.text(path).select(F.transform(F.split("value", re.escape(sep)), lambda c: F.trim(c)).alias("c"))
     rows = cells.select(F.get("c", F.lit(0)).alias("set_name"), F.explode(F.slice("c", F.lit(2), F.greatest(F.size("c") - 1, F.lit(0)))).alias("feature"))
     return rows.filter("set_name <> '' AND feature <> ''")
 
@@ -193,7 +219,7 @@ def scan_expression_matrix(spark: SparkSession, path: str, first_columns: int |
 def scan_headerless_map(spark: SparkSession, path: str, split_values: str | None = None) -> DataFrame:
     """Two-column map without header; a list such as ``A;B`` may be split to one row each."""
     rows = spark.read.schema("key string, value string").option("sep", "\t").csv(path)
-    return rows if split_values is None else rows.select("key", F.explode(F.split("value", split_values)).alias("value"))
+    return rows if split_values is None else rows.select("key", F.explode(F.split("value", re.escape(split_values))).alias("value"))
 
 
 def scan_fold_outputs(spark: SparkSession, paths: Sequence[str]) -> DataFrame:

@@ -78,17 +78,19 @@ def export_run_manifest(facts: DataFrame) -> DataFrame:
 
 
 def provenance_record(matrix: DataFrame, allowlist: DataFrame, track: str, engineering_only: bool = False) -> DataFrame:
-    """One-row provenance of a matrix (feature, x): sizes, track, and order-free hashes of allow-list and features.
+    """One-row provenance of a matrix (feature, x): sizes, track, and order-free hashes of allow-list and matrix.
 
-    The hash of a list is the SHA-256 of the sum of its entries' 64-bit hashes and their number, so nothing is
-    gathered in one place.
+    The hash of a table is the SHA-256 of its number of rows and of the sums of two 64-bit hashes of each row, names and values
+    alike, so nothing is gathered in one place and a changed, added or missing value changes it. A file's own SHA-256, to be held
+    against a published one, comes from ``sources.manifest.file_digests``.
     """
 
-    def digest(df, c):
-        return df.agg(F.sha2(F.concat_ws(":", F.sum(F.xxhash64(c).cast("decimal(38,0)")).cast("string"), F.count(c).cast("string")), 256).alias("h"))
+    def digest(df, *cols):
+        sums = [F.sum(F.xxhash64(F.lit(salt), *cols).cast("decimal(38,0)")).cast("string") for salt in (1, 2)]
+        return df.agg(F.sha2(F.concat_ws(":", *sums, F.count(F.lit(1)).cast("string")), 256).alias("h"))
 
     sizes = matrix.agg(F.max(F.size("x")).cast("long").alias("n_samples"), F.count(F.lit(1)).alias("n_features")).withColumn("_one", F.lit(1))
     a = digest(allowlist, "feature").select(F.col("h").alias("allowlist_sha256"), F.lit(1).alias("_one"))
-    m = digest(matrix, "feature").select(F.col("h").alias("sha256"), F.lit(1).alias("_one"))
+    m = digest(matrix, "feature", "x").select(F.col("h").alias("sha256"), F.lit(1).alias("_one"))
     j = sizes.join(F.broadcast(a), "_one").join(F.broadcast(m), "_one")
     return j.select(F.lit(engineering_only).alias("engineering_only"), "n_samples", "n_features", "allowlist_sha256", F.lit(track).alias("track"), "sha256")

@@ -177,3 +177,28 @@ def test_wilcoxon_known_value(spark):
     row = P.wilcoxon_signed_rank(spark.createDataFrame([(v,) for v in d], "d double"), "d").first()
     ranks = pd.Series(np.abs(d)).rank()
     assert row["w_plus"] == ranks[np.array(d) > 0].sum() and 0 < row["p_normal"] < 0.05
+
+
+def test_gene_ids_ignore_blanks_and_check_forms(spark):
+    rows = G.resolve_gene_ids(spark.createDataFrame([("A|1",), ("",), (None,), ("?|2",), ("B|1",)], "raw_id string"))
+    assert {(r["raw_id"], r["id_type"], r["gene_id"], r["valid"]) for r in rows.collect()} == {
+        ("A|1", "compound", "1", True), ("", "compound", "", False), (None, "compound", None, False), ("?|2", "compound", "2", True), ("B|1", "compound", "1", True)
+    }
+    assert [tuple(r) for r in G.gene_id_duplicates(rows).collect()] == [("1", 2)]
+
+
+def test_small_p_values_keep_their_digits(spark):
+    import math
+
+    from heldout.functions.scalars import pnorm_two_sided
+
+    for r in spark.createDataFrame([(z / 4,) for z in range(0, 80)], "z double").withColumn("p", pnorm_two_sided(F.col("z"))).collect():
+        assert r["p"] == pytest.approx(math.erfc(r["z"] / math.sqrt(2)), rel=1e-6)
+
+
+def test_first_value_has_an_order(spark):
+    scores = spark.createDataFrame([("k", 2, "b"), ("k", 1, "a")], "key string, o int, s string")
+    master = spark.createDataFrame([("k", 3, "z", None), ("k", 1, None, 5), ("k", 2, "y", 6)], "key string, seq int, v string, w int").repartition(3)
+    from heldout.operators.cohort import first_per_key_merge
+
+    assert tuple(first_per_key_merge(scores, master, "key", ["o"], ["v", "w"], ["seq"]).first()) == ("k", 1, "a", "y", 5)

@@ -50,7 +50,7 @@ def test_imputed_fold_equals_direct(spark):
     """Medians, means and coefficients of an inner fold equal those computed from its rows alone."""
     x, y, g = cohort(holes=0.1)
     rows = frame(spark, x, y, g)
-    models = M.fit_sets(rows, M.exclusion_sets(rows), K, alphas=(1.0,), steps=4).filter("set_id = 'A|B'").toPandas()
+    models = M.fit_sets(rows, M.exclusion_sets(rows), K, alphas=(1.0,), steps=4, max_missing=1.0).filter("set_id = 'A|B'").toPandas()
     train = ~np.isin(g, ["A", "B"])
     med = np.nanmedian(x[train], axis=0)
     xi = np.where(np.isnan(x), med, x)
@@ -103,7 +103,7 @@ def test_nested_run_predicts_and_scores_rows_alike(spark):
 def test_inner_loss_is_the_mae_of_the_left_out_group(spark):
     x, y, g = cohort(holes=0.05)
     rows = frame(spark, x, y, g)
-    models = M.fit_sets(rows, M.exclusion_sets(rows), K, alphas=(1.0,), steps=3)
+    models = M.fit_sets(rows, M.exclusion_sets(rows), K, alphas=(1.0,), steps=3, max_missing=1.0)
     losses = M.inner_losses(rows, models, K).filter("outer_group = 'A' AND inner_group = 'B' AND step = 2").first()
     m = models.filter("set_id = 'A|B' AND step = 2").first()
     beta, fill = np.zeros(K), np.zeros(K)
@@ -197,3 +197,20 @@ def test_constant_label_path_is_fixed(spark):
     flat = spark.createDataFrame([("f", 0.0)], "feature string, xy double")
     got = X.lambda_path(flat.withColumn("n", F.lit(10)), F.col("n"), 0.5)
     assert [r["lambda"] for r in got.orderBy("step").collect()] == [1.0, 0.1, 0.01]
+
+
+def test_features_with_holes_in_training_take_no_part(spark):
+    x, y, g = cohort()
+    x[:, 0] = np.where(np.random.default_rng(2).random(len(x)) < 0.6, np.nan, 3 * y + 0.1 * x[:, 0])
+    rows = frame(spark, x, y, g)
+    models = M.fit_sets(rows, M.exclusion_sets(rows), K, alphas=(1.0,), steps=3).select("pos").collect()
+    assert models and not any(0 in m["pos"] for m in models)
+
+
+def test_bad_runs_are_errors(spark):
+    x, y, g = cohort()
+    rows = frame(spark, x, y, g)
+    with pytest.raises(ValueError, match="unknown ranker"):
+        M.logo_nested(rows, K, rank="lineage")
+    with pytest.raises(ValueError, match="three groups"):
+        M.logo_nested(rows.filter("grp IN ('A', 'B')"), K)

@@ -85,3 +85,40 @@ def test_sample_files_union(spark, tmp_path):
     man = spark.createDataFrame([("s1", "P1"), ("s2", "P2")], "file_key string, sample string")
     got = {(r["sample"], r["feature"]): r["value"] for r in MX.scan_sample_files(spark, str(tmp_path), man, r"([^/]+)\.txt$").collect()}
     assert got == {("P1", "cg1"): 0.1, ("P1", "cg2"): None, ("P2", "cg2"): 0.7}
+
+
+def test_digests_in_blocks_equal_whole_files(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    for k in range(3):
+        (tmp_path / "d" / f"f{k}").write_bytes(bytes([k]) * (10 + 9_000_000 * k))
+    whole, blocks = (sorted(map(tuple, MF.file_digests(spark, str(tmp_path / "d"), limit).collect())) for limit in (1 << 30, 0))
+    assert whole == blocks and len(whole) == 3
+
+
+def test_separator_is_literal(spark, tmp_path):
+    p = tmp_path / "m.txt"
+    p.write_text("id|A|B\ncg1|0.5|NA\n")
+    assert [tuple(r) for r in MX.scan_matrix_tsv(spark, str(p), "|").collect()] == [("cg1", [0.5, None])]
+    assert [r["sample"] for r in MX.scan_header_only(spark, str(p), "|").collect()] == ["A", "B"]
+
+
+def test_text_in_a_cell_and_other_headers_are_errors(spark, tmp_path):
+    (tmp_path / "bad.tsv").write_text("id\tA\ncg1\tabc\n")
+    with pytest.raises(Exception, match="not a number in a matrix cell: abc"):
+        MX.scan_matrix_tsv(spark, str(tmp_path / "bad.tsv")).collect()
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two" / "a.tsv").write_text("id\tA\tB\ncg1\t0.1\t0.2\n")
+    (tmp_path / "two" / "b.tsv").write_text("id\tB\tA\ncg2\t0.1\t0.2\n")
+    with pytest.raises(Exception, match="different headers"):
+        MX.scan_matrix_tsv(spark, str(tmp_path / "two")).collect()
+
+
+def test_provenance_hash_covers_values(spark):
+    def record(rows):
+        m = spark.createDataFrame(rows, "feature string, x array<double>")
+        return SK.provenance_record(m, m.select("feature"), "t").first()
+
+    base = record([("a", [0.1, None]), ("b", [0.2, 0.3])])
+    assert record([("b", [0.2, 0.3]), ("a", [0.1, None])]) == base
+    for other in ([("a", [0.1, 0.0]), ("b", [0.2, 0.3])], [("a", [0.1, None]), ("b", [0.2, 0.4])], [("a", [0.2, 0.3]), ("b", [0.1, None])]):
+        assert record(other)["sha256"] != base["sha256"] and record(other)["allowlist_sha256"] == base["allowlist_sha256"]
