@@ -12,10 +12,10 @@ Large groups are never paired off:
    bands are one. A task gets the texts of a chunk, compares all of them and returns a spanning forest of the links, not the links.
 3. Components of the forest. A bucket of several chunks whose classes are not one component yet is not settled: its classes, with
    all that such buckets connect, are a cluster. The classes outside the cluster's largest component are compared with all of the
-   cluster, block by block, which covers every pair of every bucket that no chunk held. So the components are those of all links between
-   candidates.
+   cluster, in blocks of ``BLOCK`` by ``BLOCK``, which covers every pair of every bucket that no chunk held. So the components are those of
+   all links between candidates.
 
-Shuffled data grow with the number of classes in buckets, blocks hold at most two chunks of texts, and no link, component or
+Shuffled data grow with the number of classes in buckets, a task holds the texts of one chunk or of two sides of a block, and no link, component or
 signature goes to the driver.
 
 Defined cases: null and empty texts, and texts of white space, have the empty set, are linked with nothing and are their own component; fewer
@@ -42,7 +42,8 @@ SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 32, 4
 UNIVERSE = 1 << 20
-CHUNK = 64
+CHUNK = 128
+BLOCK = 256
 #: Shingles of a comparison that are counted at once.
 COLUMNS = 1 << 15
 
@@ -113,7 +114,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = shape
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = materialise(large, "edges")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -189,6 +190,13 @@ def _compare_block(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(_forest(nodes, pairs), columns=["a", "b"])
 
 
+def _compare(lists: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
+    """Links within the lists of classes, written."""
+    each = lists.select(F.xxhash64("list").alias("chunk"), F.explode("list").alias("cls"))
+    dealt = each.join(texts, "cls").repartition(parts, "chunk")
+    return materialise(dealt.groupBy("chunk").applyInPandas(_compare_chunk, "a binary, b binary"), "links")
+
+
 def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``cls`` and the text of its row with the given id, for the classes ``wanted`` (written: cls, id)."""
     few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
@@ -211,17 +219,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = classes.select("cls", F.explode("bands").alias("bucket"))
     sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = materialise(keyed.join(sizes, "bucket"), "members")
-
-    chunk = F.pmod(F.xxhash64("cls", "bucket"), F.ceil(F.col("size") / CHUNK)).alias("chunk")
-    # About CHUNK classes each, so the lists are bounded.
-    lists = members.select("bucket", chunk, "cls").groupBy("bucket", "chunk").agg(F.array_sort(F.collect_list("cls")).alias("list"))
-    lists = materialise(lists.filter(F.size("list") > 1).select("list").distinct(), "chunks")
     wanted = members.select("cls").distinct().join(classes.select("cls", "id"), "cls")
     texts = _texts(docs, materialise(wanted, "wanted"), id_col, text_col)
 
-    each = lists.select(F.xxhash64("list").alias("chunk"), F.explode("list").alias("cls"))
-    dealt = each.join(texts, "cls").repartition(partitions_for(docs), "chunk")
-    edges = materialise(dealt.groupBy("chunk").applyInPandas(_compare_chunk, "a binary, b binary"), "links")
+    chunk = F.pmod(F.xxhash64("cls", "bucket"), F.ceil(F.col("size") / CHUNK)).alias("chunk")
+    # About CHUNK classes each, so the lists are bounded.
+    cut = members.select("bucket", chunk, "cls").groupBy("bucket", "chunk")
+    lists = materialise(cut.agg(F.array_sort(F.collect_list("cls")).alias("list")).filter(F.size("list") > 1).select("list").distinct(), "chunks")
+    edges = _compare(lists, texts, partitions_for(docs))
     roots = components(edges)
 
     more = _settle(docs, members.filter(F.col("size") > CHUNK).select("bucket", "cls"), roots, texts)
@@ -239,8 +244,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with each component's id, all its columns. Rows that share this id all stay."""
-    gone = near_duplicates(docs, id_col, text_col).filter("NOT kept").select(id_col).distinct()
+    """The document with each component's id, all its columns. An id of several rows (or null) stays as a whole if one of them stays."""
+    found = near_duplicates(docs, id_col, text_col).groupBy(id_col).agg(F.bool_or("kept").alias("kept"))
+    gone = found.filter("NOT kept").select(id_col)
     return drop_ids(docs, materialise(gone, "near"), id_col)
 
 
@@ -259,7 +265,7 @@ def _settle(docs: DataFrame, members: DataFrame, roots: DataFrame, texts: DataFr
     main = weights.groupBy("cluster").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
     main = main.select("cluster", F.col("top.comp").alias("main"), "all", (F.col("all") - F.col("top.n")).alias("rest"))
     sided = nodes.join(main, "cluster")
-    blocks_u, blocks_m = F.ceil(F.col("rest") / CHUNK).cast("int"), F.ceil(F.col("all") / CHUNK).cast("int")
+    blocks_u, blocks_m = F.ceil(F.col("rest") / BLOCK).cast("int"), F.ceil(F.col("all") / BLOCK).cast("int")
     place = F.xxhash64("cls")
     left = sided.filter("comp != main").select(
         "cluster", F.pmod(place, blocks_u).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), blocks_m - 1)).alias("j"), F.lit(0).alias("side"), "cls", "comp"

@@ -407,19 +407,21 @@ def expected_components(rows):
     return [(d, len(s), first.get(root(i)) if s else d) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))]
 
 
-@pytest.mark.parametrize("chunk", [64, 4])
+@pytest.mark.parametrize("chunk", [128, 4])
 def test_near_duplicates(spark, corpus, monkeypatch, chunk):
     monkeypatch.setattr(MH, "CHUNK", chunk)
+    monkeypatch.setattr(MH, "BLOCK", chunk + 2)
     found = MH.near_duplicates(docs_of(spark, corpus)).collect()
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in found]
     assert sorted(map(str, got)) == sorted(map(str, expected_components(corpus)))
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
-@pytest.mark.parametrize("chunk", [64, 3])
+@pytest.mark.parametrize("chunk", [128, 3])
 def test_near_duplicate_chains(spark, monkeypatch, chunk):
     """A large group in which most pairs are below the threshold and chains hold it together."""
     monkeypatch.setattr(MH, "CHUNK", chunk)
+    monkeypatch.setattr(MH, "BLOCK", chunk + 2)
     rng = random.Random(1)
     words = [f"w{k}" for k in range(900)]
     rows, w = [], [rng.choice(words) for _ in range(120)]
