@@ -43,9 +43,9 @@ def _url_sql() -> str:
         shape.append(
             f"CASE WHEN NOT starts_with(path, '/') THEN NULL {tail}WHEN {token.format(seg)} THEN '*' ELSE regexp_replace({seg}, '[0-9]+', '#', 'g') END AS {c}"
         )
+    longest_first = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     fits = "CASE " + " ".join(
-        f"WHEN (host = '{d}' OR ends_with(host, '.{d}')) AND starts_with(path, '{p}') THEN '{{}}'".format(v if which else d + p)
-        for which in (0,) for v, d, p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+        f"WHEN (host = '{d}' OR ends_with(host, '.{d}')) AND starts_with(path, '{p}') THEN '{d}{p}'" for _, d, p in longest_first
     ) + " END"
     verdict = "CASE rule " + " ".join(f"WHEN '{d}{p}' THEN '{v}'" for v, d, p in RULES) + " END"
     sql = f"""WITH u AS (SELECT page_id, {low.format(f"coalesce(regexp_extract(url, '{url}', 1), '')")} AS host,
