@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,11 +30,11 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 #: Words and parts that one worker remembers; a full table is emptied.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 #: Longer words are encoded without being remembered.
 LONG_WORD = 48
-#: Texts of one batch handed back to Spark: characters.
-BATCH_CHARS = 4 << 20
+#: Texts of one batch handed back to Spark: bytes.
+BATCH_BYTES = 2 << 20
 
 
 class _Memo(dict):
@@ -265,11 +266,11 @@ def _list_array(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def _in_batches(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose texts have a bounded number of characters (one row at least)."""
+    """Slices of a batch whose texts have a bounded number of bytes (one row at least); lengths are read without making strings."""
     start, size = 0, 0
-    sizes = [len(x) if x is not None else 0 for x in batch.column(column).to_pylist()]
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     for k, n in enumerate(sizes):
-        if size and size + n > BATCH_CHARS:
+        if size and size + n > BATCH_BYTES:
             yield batch.slice(start, k - start)
             start, size = k, 0
         size += n
