@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,14 @@ from pyspark.sql import functions as F
 BROADCAST_IDS = 100_000
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: Python workers live on, and other stages need the room."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_of(column: str) -> Column:
     """A text column in which null counts as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heldout.llm.common import BROADCAST_IDS, drop_ids, partitions_for
+from heldout.llm.common import BROADCAST_IDS, drop_ids, give_back, partitions_for
 from heldout.llm.windows import Words
 from heldout.plans.storage import materialise
 
@@ -96,6 +96,7 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                     out.append((0, None, None))
             n, cls, keys = zip(*out, strict=True) if out else ((), (), ())
             yield pd.DataFrame({"id": batch["id"], "n": np.array(n, np.int64), "cls": cls, "bands": keys})
+            give_back()
 
     # Identifiers travel as strings: pandas would turn whole numbers with nulls among them into floats.
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
@@ -174,6 +175,8 @@ def _compare_chunk(rows: pd.DataFrame) -> pd.DataFrame:
     nodes = rows["cls"].tolist()
     sets = [shingles(t) for t in rows["text"]]
     links = np.argwhere(np.triu(_linked(sets, sets), 1))
+    if len(nodes) > CHUNK // 2:
+        give_back()
     return pd.DataFrame(_forest(nodes, links), columns=["a", "b"])
 
 
@@ -187,6 +190,7 @@ def _compare_block(rows: pd.DataFrame) -> pd.DataFrame:
     pairs = np.argwhere(linked & (comps[0][:, None] != comps[1][None, :]))
     nodes = [*sides[0]["cls"], *sides[1]["cls"]]
     pairs[:, 1] += len(sides[0])
+    give_back()
     return pd.DataFrame(_forest(nodes, pairs), columns=["a", "b"])
 
 

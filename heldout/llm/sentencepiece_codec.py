@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from heldout.llm.common import give_back
+
 SPACE = "▁"
 #: Words and parts that one worker remembers; a full table is emptied.
 REMEMBERED = 120_000
@@ -293,6 +295,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids",
                 ids = [tool.encode(t) for t in batch.column(at).to_pylist()]
                 columns = [*batch.columns, _list_array(ids)] + ([pa.array(map(tool.decode, ids), pa.string())] if decoded else [])
                 yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, out] + ([decoded] if decoded else []))
+        give_back()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
 

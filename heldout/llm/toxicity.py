@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heldout.llm.common import free_name
+from heldout.llm.common import free_name, give_back
 from heldout.plans.storage import materialise
 
 LENGTHS = (4, 5)
@@ -197,6 +197,7 @@ def add_score(docs: DataFrame, model: Model, text_col: str = "text", out: str =
                 sums = [model.intercept + model.weights[find(t.as_py())].sum() for t in batch.column(at)]
                 scores = 1 / (1 + np.exp(-np.clip(sums, -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, out])
+        give_back()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
