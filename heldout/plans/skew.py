@@ -182,6 +182,7 @@ def midrank(df: DataFrame, keys: Sequence[str], value: str, out: str, like: Prof
         w = Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())
         ties = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))
         return df.withColumn(out, F.when(F.col(value).isNotNull(), F.rank().over(w) + (ties - 1) / F.lit(2.0)))
+    df = materialise(df)  # the join below is on values, which must not be computed twice
     cells = value_cells(df, keys, value, like=like)
     ranks = cells.select(*keys, value, (F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)).alias(out))
     return null_safe_join(df, ranks, [*keys, value], "left")
@@ -204,6 +205,7 @@ def min_rank(
         order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
         rank = F.rank().over(Window.partitionBy(*keys).orderBy(order)).cast("long")
         return df.withColumn(out, F.when(F.col(value).isNotNull(), rank))
+    df = materialise(df)  # the join below is on values, which must not be computed twice
     cells = value_cells(df, keys, value, descending=descending, like=like)
     return null_safe_join(df, cells.select(*keys, value, (F.col("n_before") + 1).alias(out)), [*keys, value], "left")
 
