@@ -205,4 +205,4 @@ def _license_sql() -> str:
 
 @query("op9_license_scans", _license_sql())
 def op9_license_scans(spark: SparkSession, sf: str) -> DataFrame:
-    return license_scan(table(spark, sf, "documents")).drop("matches")
+    return license_scan(table(spark, sf, "documents"), windows=True).drop("matches")

@@ -531,3 +531,26 @@ def test_license_scan(spark):
     assert got == sorted(str((d, *expected_licenses(t))) for d, t in rows)
     assert sum(r.n_matches > 0 for r in found) > 60
     assert LI.license_scan(docs_of(spark, [])).count() == 0 and not LI.license_scan(docs_of(spark, rows), ()).filter("n_matches > 0").count()
+
+
+def test_license_windows(spark):
+    full = dict(LI.full_texts())
+    rng = random.Random(3)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    mit = full["MIT"].split("\n\n")
+    assert len(mit) == 3
+    rows = [
+        (0, "See the docs. Released under the MIT License. All rights reserved by nobody."),
+        (1, f"{prose(90)}\n\nThe MIT License (MIT)\n\nCopyright (c) 2020 A B\n\n{full['MIT']}\n\n{prose(80)}"),
+        (2, f"{prose(200)} {' '.join(full['MIT'].split())} {prose(80)}"),
+        (3, f"{prose(30)}\n{mit[0]}\n{prose(300)}\n{mit[1]}\n{prose(300)}\n{mit[2]}"),
+        (4, prose(500)),
+        (5, f"{prose(20)} Released under the MIT License. {prose(20)} Licensed under CC BY-NC 4.0. {prose(9)}\nReleased under the MIT License."),
+        (6, f"{full['MIT']} {prose(400)}\n{full['MIT']}"),
+    ]
+    rows += [(10 + k, f"{prose(50)} {text} {prose(50)}") for k, (_, text) in enumerate(LI.full_texts())]
+    got = {r.doc_id: r for r in LI.license_scan(docs_of(spark, rows), windows=True).collect()}
+    assert [(got[k].n_matches, got[k].licenses) for k in range(7)] == [(1, "MIT"), (1, "MIT"), (1, "MIT"), (0, ""), (0, ""), (3, "CC-BY-NC-4.0,MIT"), (2, "MIT")]
+    assert got[0].dice == 1.0 and got[1].dice > 0.95
+    for k, (name, _) in enumerate(LI.full_texts()):
+        assert name in [m.license for m in got[10 + k].matches if m.dice > 0.99], name
