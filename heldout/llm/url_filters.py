@@ -1,8 +1,9 @@
 """URL filters: domain rules first, then a tree of path templates per host whose labelled purity decides.
 
-A url's segments become lexical shapes (runs of digits are ``#``, long hexadecimal or mixed tokens are ``*``); what lies deeper than
-``DEPTH`` segments is one tail ``**``. Below every node of a host's tree, children that are too many to be names (more than ``FAN_OUT``)
-become the wildcard ``*``. Sibling templates whose shares of bad labels do not differ significantly are merged, i.e. judged on
+A url's segments become lexical shapes (runs of digits are ``#``, long hexadecimal or mixed tokens are ``*``). A host's tree grows level by
+level until no path has a further segment. Below every node, children that are too many to be names (more than ``FAN_OUT``) become the wildcard
+``*``, except those whose share of bad labels differs significantly from their siblings': these keep their name. Sibling templates
+whose shares of bad labels do not differ significantly are merged, i.e. judged on
 their summed labels. A template is rejected if its smoothed share of bad labels exceeds ``REJECT``; without labels that share is 1/2,
 which allows.
 
@@ -21,7 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heldout.llm.common import ascii_lower, text_of
+from heldout.plans.storage import materialise
 
+#: Levels of the SQL, which covers paths of at most so many segments, and of the plan between two written steps; trees have no bound.
 DEPTH = 4
 FAN_OUT = 16
 REJECT = 0.6
@@ -46,48 +49,64 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
     return found
 
 
-def shapes(path: Column) -> list[Column]:
-    """The shape of each of the first ``DEPTH`` segments (null where there is none); the last one takes the tail."""
+def shapes(path: Column) -> Column:
+    """The shapes of all segments (empty where the path has none)."""
     parts = F.split(F.substring(path, 2, 2147483647), "/")
-    out = []
-    for i in range(DEPTH):
-        seg = F.get(parts, F.lit(i))
-        shape = F.when(seg.rlike("^[0-9a-f-]{16,}$|^(?=.*[0-9])(?=.*[A-Za-z])[0-9A-Za-z_-]{20,}$"), F.lit("*")).otherwise(
-            F.regexp_replace(seg, "[0-9]+", "#")
-        )
-        if i == DEPTH - 1:
-            shape = F.when(F.size(parts) > DEPTH, F.lit("**")).otherwise(shape)
-        out.append(F.when(path.startswith("/"), shape).alias(f"s{i}"))
-    return out
+
+    def shape(seg: Column) -> Column:
+        token = seg.rlike("^[0-9a-f-]{16,}$|^(?=.*[0-9])(?=.*[A-Za-z])[0-9A-Za-z_-]{20,}$")
+        return F.when(token, F.lit("*")).otherwise(F.regexp_replace(seg, "[0-9]+", "#"))
+
+    return F.when(path.startswith("/"), F.transform(parts, shape)).otherwise(F.array().cast("array<string>")).alias("shapes")
+
+
+def _alike(lab: Column, bad: Column, all_lab: Column, all_bad: Column) -> Column:
+    """Whether a share of bad labels does not differ significantly from that of the rest; false unless both sides have labels."""
+    others, others_bad, rate = all_lab - lab, all_bad - bad, all_bad / all_lab
+    gap = F.abs(bad / lab - others_bad / others)
+    alike = gap <= F.lit(Z) * F.sqrt(rate * (1 - rate) * (1 / lab + 1 / others))
+    # ANSI arithmetic raises on 0/0, so the test is evaluated only where both sides have labels.
+    return F.when((lab > 0) & (others > 0), alike).otherwise(F.lit(False))
+
+
+def _grown(tree: DataFrame, level: int) -> DataFrame:
+    """One further segment for the paths that have one; the others stay."""
+    seg = F.get("shapes", F.lit(level))
+    tree = tree.withColumn("seg", seg)
+    more = tree.filter("seg IS NOT NULL")
+    kids = more.groupBy("host", "template", "seg").agg(F.sum("lab").alias("k_lab"), F.sum("bad").alias("k_bad"))
+    around = kids.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kids"), F.sum("k_lab").alias("a_lab"), F.sum("k_bad").alias("a_bad"))
+    many = kids.join(around.filter(F.col("kids") > FAN_OUT), ["host", "template"])
+    two_sided = (F.col("k_lab") > 0) & (F.col("a_lab") > F.col("k_lab"))
+    apart = two_sided & ~_alike(F.col("k_lab"), F.col("k_bad"), F.col("a_lab"), F.col("a_bad"))
+    wild = many.select("host", "template", "seg", (~apart).alias("wild"))
+    tree = tree.join(wild, ["host", "template", "seg"], "left")
+    child = F.when(F.col("wild"), F.lit("*")).otherwise(F.col("seg"))
+    grown = F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), child))
+    parent = F.when(F.col("seg").isNull(), F.col("parent")).otherwise(F.col("template"))
+    return tree.withColumn("parent", parent).withColumn("template", grown).drop("seg", "wild")
 
 
 def template_verdicts(cells: DataFrame) -> DataFrame:
-    """``cells``: host, s0.., lab, bad. Returns host, s0.. and whether the template of that cell is rejected."""
-    cols = [f"s{i}" for i in range(DEPTH)]
+    """``cells``: host, shapes, lab, bad. Returns host, shapes and whether the template of that cell is rejected."""
+    cells = materialise(cells, "url-cells")
+    deepest = cells.agg(F.max(F.size("shapes"))).first()[0] or 0
     tree = cells.withColumn("template", F.lit("")).withColumn("parent", F.lit(""))
-    for c in cols:
-        kids = tree.filter(F.col(c).isNotNull()).groupBy("host", "template").agg(F.count_distinct(c).alias("kids"))
-        tree = tree.join(kids, ["host", "template"], "left")
-        child = F.when(F.col("kids") > FAN_OUT, F.when(F.col(c) == "**", F.lit("**")).otherwise(F.lit("*"))).otherwise(F.col(c))
-        grown = F.when(F.col(c).isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), child))
-        parent = F.when(F.col(c).isNull(), F.col("parent")).otherwise(F.col("template"))
-        tree = tree.withColumn("parent", parent).withColumn("template", grown).drop("kids")
+    for level in range(deepest):
+        if level and level % DEPTH == 0:
+            tree = materialise(tree, "url-tree")
+        tree = _grown(tree, level)
     nodes = tree.groupBy("host", "parent", "template").agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))
     around = nodes.groupBy("host", "parent").agg(F.sum("lab").alias("all_lab"), F.sum("bad").alias("all_bad"))
     nodes = nodes.join(around, ["host", "parent"])
-    others, others_bad = F.col("all_lab") - F.col("lab"), F.col("all_bad") - F.col("bad")
-    rate = F.col("all_bad") / F.col("all_lab")
-    gap = F.abs(F.col("bad") / F.col("lab") - others_bad / others)
-    alike = (F.col("lab") > 0) & (others > 0) & (gap <= F.lit(Z) * F.sqrt(rate * (1 - rate) * (1 / F.col("lab") + 1 / others)))
-    # ANSI arithmetic raises on 0/0, so the test is evaluated only where both sides have labels.
-    nodes = nodes.withColumn("alike", F.when((F.col("lab") > 0) & (others > 0), alike).otherwise(F.lit(False)))
+    nodes = nodes.withColumn("alike", _alike(F.col("lab"), F.col("bad"), F.col("all_lab"), F.col("all_bad")))
     merged = nodes.filter("alike").groupBy("host", "parent").agg(F.sum("lab").alias("m_lab"), F.sum("bad").alias("m_bad"))
     nodes = nodes.join(merged, ["host", "parent"], "left")
     lab = F.when(F.col("alike"), F.col("m_lab")).otherwise(F.col("lab"))
     bad = F.when(F.col("alike"), F.col("m_bad")).otherwise(F.col("bad"))
     nodes = nodes.select("host", "template", ((bad + F.lit(STRENGTH / 2)) / (lab + F.lit(float(STRENGTH))) > F.lit(REJECT)).alias("reject"))
-    judged = tree.select("host", "template", *cols).join(nodes.groupBy("host", "template").agg(F.max("reject").alias("reject")), ["host", "template"])
-    return judged.select("host", *cols, "template", "reject")
+    judged = tree.select("host", "template", "shapes").join(nodes.groupBy("host", "template").agg(F.max("reject").alias("reject")), ["host", "template"])
+    return judged.select("host", "shapes", "template", "reject")
 
 
 def url_filter(
@@ -96,16 +115,13 @@ def url_filter(
     """``labels``: page id in ``id_col`` and boolean ``bad``. Returns id_col, host, path, rule, verdict, template."""
     host, path = parsed(url_col)
     rows = pages.select(F.col(id_col).alias("_id"), host.alias("host"), path.alias("path"))
-    cols = [f"s{i}" for i in range(DEPTH)]
-    rows = rows.select("*", *shapes(F.col("path")), rule_of(F.col("host"), F.col("path"), rules).alias("_rule"))
+    rows = rows.select("*", shapes(F.col("path")), rule_of(F.col("host"), F.col("path"), rules).alias("_rule"))
     marks = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col("bad").cast("int")).alias("_bad"))
     one = F.col("_bad").isNotNull().cast("long")
     labelled = rows.join(marks, "_id", "left")
-    cells = labelled.groupBy("host", *cols).agg(F.sum(one).alias("lab"), F.sum(F.coalesce("_bad", F.lit(0)).cast("long")).alias("bad"))
+    cells = labelled.groupBy("host", "shapes").agg(F.sum(one).alias("lab"), F.sum(F.coalesce("_bad", F.lit(0)).cast("long")).alias("bad"))
     judged = template_verdicts(cells)
-    same = F.col("p.host") == F.col("j.host")
-    for c in cols:
-        same = same & F.col(f"p.{c}").eqNullSafe(F.col(f"j.{c}"))
+    same = (F.col("p.host") == F.col("j.host")) & (F.col("p.shapes") == F.col("j.shapes"))
     joined = rows.alias("p").join(judged.alias("j"), same)
     method = F.when(F.col("j.reject"), "block").otherwise("allow")
     return joined.select(

@@ -494,6 +494,22 @@ def test_url_templates(spark):
     assert all(r.verdict == ("block" if "/spam/" in r.path else "allow") for r in found)
 
 
+def test_url_deep_and_wide(spark):
+    rows, marks = [], []
+    for k in range(900):
+        name = "".join(chr(97 + (k // 26**j) % 26) for j in range(3))
+        wide = "casino" if k % 10 == 0 else "forum" if k % 10 == 1 else f"u{name}"
+        # Half of the bad pages lie below one of some hundred children, the others six segments deep beside good ones.
+        rows += [(2 * k, f"http://w.test/{wide}/x"), (2 * k + 1, f"http://d.test/a/b/c/d/{'casino' if k % 2 else 'news'}/x")]
+        marks += [(2 * k, wide == "casino"), (2 * k + 1, k % 2 == 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    found = UF.url_filter(pages, spark.createDataFrame(marks, "page_id long, bad boolean")).collect()
+    assert len(found) == len(rows)
+    assert {r.template for r in found if r.host == "d.test"} == {"/a/b/c/d/casino/x", "/a/b/c/d/news/x"}
+    assert {r.template for r in found if r.host == "w.test"} == {"/casino/x", "/forum/x", "/*/x"}
+    assert all(r.verdict == ("block" if "casino" in r.path else "allow") for r in found)
+
+
 # --- licences ----------------------------------------------------------------------------------------------
 
 
