@@ -353,6 +353,36 @@ def percentile_map_logistic(spark, sf):
     return rounded(K.percentile_map_logistic(by_region(spark, sf)).select("id", "grp", "event", "p_hat"), 4)
 
 
+# --- the counts of the source material ---------------------------------------------------------------------
+
+#: The same queries with the replicates and draws of the source material (500 to 10,000; 200 and 1,000), the operators' own counts. The
+#: queries above run B and BK of them, as their SQL does; these have no SQL, which would take rows times replicates in one process.
+FEW_DRAWS, EB_DRAWS = 200, 1000
+
+
+def _eb_full(spark, sf):
+    return K.eb_shrinkage_draws(pred_view(spark, sf), KS, EB_DRAWS, 53)
+
+
+FULL = {
+    "permutation_test_mae": lambda spark, sf: R.permutation_test_mae(pred_view(spark, sf), seed=31),
+    "permutation_test_spearman": lambda spark, sf: R.permutation_test_spearman(pred_view(spark, sf).withColumn("pred", F.col("covariate")), seed=32),
+    "bootstrap_pairs_ci": lambda spark, sf: R.bootstrap_pairs_ci(pred_view(spark, sf), seed=41),
+    "bootstrap_stratified": lambda spark, sf: R.bootstrap_stratified(pred_view(spark, sf), pred_view_b(spark, sf), seed=42),
+    "bootstrap_auc_by_class": lambda spark, sf: R.bootstrap_auc_by_class(pred_view(spark, sf), "pred", F.col("actual") >= CUT, seed=43),
+    "bootstrap_group_means": lambda spark, sf: R.bootstrap_group_means(P.paired_run_merge(pred_view(spark, sf), pred_view_b(spark, sf)), "d_mae", seed=44),
+    "bootstrap_cluster": lambda spark, sf: R.bootstrap_cluster(pred_view(spark, sf), ["actual", "pred"], seed=45),
+    "fewshot_macro": lambda spark, sf: K.fewshot_macro(K.fewshot_offset(pred_view(spark, sf), KS, FEW_DRAWS, 51)),
+    "calibration_curve": lambda spark, sf: K.calibration_curve(pred_view(spark, sf), KS, FEW_DRAWS, 52),
+    "eb_shrinkage_offset": lambda spark, sf: K.eb_shrinkage_by_group(_eb_full(spark, sf)),
+    "eb_shrinkage_macro": lambda spark, sf: K.eb_shrinkage_macro(K.eb_shrinkage_by_group(_eb_full(spark, sf))),
+    "offset_stratum": lambda spark, sf: K.eb_shrinkage_macro(K.eb_shrinkage_by_group(_eb_full(spark, sf)), ["offset_stratum", "k"]),
+    "eb_draw_distribution": lambda spark, sf: K.eb_draw_distribution(_eb_full(spark, sf)),
+}
+for _name, _run in FULL.items():
+    query(f"{_name}_full")(lambda spark, sf, run=_run: rounded(run(spark, sf)))
+
+
 # --- gene sets --------------------------------------------------------------------------------------------
 
 

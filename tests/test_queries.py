@@ -62,3 +62,10 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
     assert "o_orderpriority" not in plan.split("Physical Plan")[-1]
     allow = entry.queries()["filter_allowlist"](spark, sf)._jdf.queryExecution().toString()
     assert "LessThan(p_size,5)" in allow
+
+
+def test_full_counts_of_replicates(spark, sf):
+    """As many replicates as in the source material: p-values below 1/21 can occur."""
+    row = entry.queries()["permutation_test_mae_full"](spark, sf).first()
+    assert row.n_perm == 1000 and row.p_value < 1 / 21
+    assert entry.queries()["bootstrap_group_means_full"](spark, sf).first().n_ok == 10_000
