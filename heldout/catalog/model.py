@@ -11,6 +11,7 @@ from heldout.catalog.features import train_transform
 from heldout.catalog.ranking import q_key
 from heldout.operators import features as X
 from heldout.operators import model as M
+from heldout.operators.ranking import stratified_holdout
 from heldout.operators.checks import lambda_boundary as lambda_boundary_op
 from heldout.plans.storage import materialise
 
@@ -209,3 +210,26 @@ def group_gram(spark, sf):
     rows = vectors(spark, sf).withColumn("x", F.slice("x", 1, 12))
     g = M.group_products(rows).filter("i BETWEEN 2 AND 13").select("grp", (F.col("i") - 2).cast("long").alias("i"), F.posexplode(F.slice("v", 3, 12)).alias("j", "v"))
     return rounded(g.select("grp", "i", F.col("j").cast("long").alias("j"), "v"), 5)
+
+
+# The SQL of the three queries above covers a part of their tables; these have no SQL and take all of it.
+
+
+@query("group_gram_full")
+def group_gram_full(spark, sf):
+    """Products of all features."""
+    g = M.group_products(vectors(spark, sf)).filter(F.col("i").between(2, FEATURES + 1))
+    g = g.select("grp", (F.col("i") - 2).cast("long").alias("i"), F.posexplode(F.slice("v", 3, FEATURES)).alias("j", "v"))
+    return rounded(g.select("grp", "i", F.col("j").cast("long").alias("j"), "v"), 5)
+
+
+@query("ood_rms_distance_full")
+def ood_rms_distance_full(spark, sf):
+    """The cut from all rows."""
+    return rounded(M.ood_rms_cut(X.apply_standardize(missing_view(spark, sf), train_transform(spark, sf))))
+
+
+@query("conformal_interval_full")
+def conformal_interval_full(spark, sf):
+    """The half-width from the stratified hold-out rows of every group."""
+    return rounded(M.conformal_interval(stratified_holdout(pred_view(spark, sf), seed=81).filter("holdout").drop("holdout")))

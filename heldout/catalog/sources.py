@@ -203,6 +203,12 @@ def scan_expression_matrix(spark, sf):
     return MX.scan_expression_matrix(spark, matrix_file(spark, sf), first_columns=3).select("raw_id", "id_type", "status")
 
 
+@query("scan_expression_matrix_full")
+def scan_expression_matrix_full(spark, sf):
+    """All sample columns; the SQL of ``scan_expression_matrix`` has the first three."""
+    return MX.scan_expression_matrix(spark, matrix_file(spark, sf)).select("raw_id", "id_type", "status")
+
+
 @query("scan_headerless_map", "SELECT 'cg' || p_partkey AS key, unnest(CASE WHEN p_partkey % 4 = 0 THEN [p_type, p_brand] ELSE [p_type] END) AS value FROM part")
 def scan_headerless_map(spark, sf):
     path, k = scratch_path(spark, "map"), F.col("p_partkey")

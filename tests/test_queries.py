@@ -69,3 +69,24 @@ def test_full_counts_of_replicates(spark, sf):
     row = entry.queries()["permutation_test_mae_full"](spark, sf).first()
     assert row.n_perm == 1000 and row.p_value < 1 / 21
     assert entry.queries()["bootstrap_group_means_full"](spark, sf).first().n_ok == 10_000
+
+
+def test_whole_tables(spark, sf, con):
+    """All features, columns and groups, against the plain tables."""
+    q = entry.queries()
+    gram = {(r.grp, r.i, r.j): r.v for r in q["group_gram_full"](spark, sf).collect()}
+    rows = con.execute("SELECT 'G' || label, embedding FROM embeddings").fetchall()
+    groups = {g for g, _ in rows}
+    assert set(gram) == {(g, i, j) for g in groups for i in range(64) for j in range(64)}
+    for i, j in ((0, 63), (63, 63), (12, 40)):
+        want = {g: sum((x[i] + 1) / 2 * (x[j] + 1) / 2 for h, x in rows if h == g) for g in groups}
+        assert all(gram[g, i, j] == pytest.approx(want[g], abs=1e-4) for g in groups)
+    sizes = [n for (n,) in con.execute("SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey").fetchall()]
+    assert q["conformal_interval_full"](spark, sf).first().n == sum(max(1, int(n * 0.2)) for n in sizes)
+    # A cell of any of the 64 columns may be missing.
+    status = {r.raw_id: r.status for r in q["scan_expression_matrix_full"](spark, sf).collect()}
+    gone = lambda v, k: (v * 31 + k * 17) % 29 == 0 or (k == 7 and (v * 31 + k * 17) % 9 == 0)
+    assert len(status) == len(rows)
+    assert sum(s == "missing_or_nonfinite" for s in status.values()) > sum(r.status == "missing_or_nonfinite" for r in q["scan_expression_matrix"](spark, sf).collect())
+    assert all((s == "missing_or_nonfinite") == any(gone(int(f[2:]), k) for k in range(64)) for f, s in status.items())
+    assert 0 < q["ood_rms_distance_full"](spark, sf).first().cut
