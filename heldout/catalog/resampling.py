@@ -335,22 +335,16 @@ def percentile_map_linear(spark, sf):
     return rounded(K.percentile_map_linear(pred_view(spark, sf)).select("id", "grp", "q_true", "q_hat"))
 
 
-def by_region(spark, sf):
-    """The predictions grouped by region (5 groups), for the maps that need one iterative fit per group."""
-    n = table(spark, sf, "nation").select(F.col("n_name").alias("grp"), F.concat(F.lit("R"), "n_regionkey").alias("area"))
-    return pred_view(spark, sf).join(F.broadcast(n), "grp").select("id", F.col("area").alias("grp"), "actual", "pred")
-
-
 @query("percentile_map_isotonic")
 def percentile_map_isotonic(spark, sf):
     """No SQL: iterative."""
-    return rounded(K.percentile_map_isotonic(by_region(spark, sf)).select("id", "grp", "q_true", "q_hat"))
+    return rounded(K.percentile_map_isotonic(pred_view(spark, sf)).select("id", "grp", "q_true", "q_hat"))
 
 
 @query("percentile_map_logistic")
 def percentile_map_logistic(spark, sf):
     """No SQL: iterative."""
-    return rounded(K.percentile_map_logistic(by_region(spark, sf)).select("id", "grp", "event", "p_hat"), 4)
+    return rounded(K.percentile_map_logistic(pred_view(spark, sf)).select("id", "grp", "event", "p_hat"), 4)
 
 
 # --- the counts of the source material ---------------------------------------------------------------------

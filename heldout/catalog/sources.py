@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from heldout.catalog.base import long_view, pred_view, query, r, rounded, samples_view, table, with_views
-from heldout.catalog.model import FEATURES, vectors
+from heldout.catalog.model import FEATURES, GRID, vectors
 from heldout.operators.metrics import metrics_panel
 from heldout.plans.storage import scratch_path
 from heldout.sources import manifest as MF
@@ -286,7 +286,7 @@ def sink_model_bundle(spark, sf):
     from heldout.operators.model import freeze_model, score
 
     path, rows = scratch_path(spark, "bundle"), vectors(spark, sf)
-    run = freeze_model(rows, FEATURES, seed=61, missing=False, alphas=(0.5,), steps=4, top=40)
+    run = freeze_model(rows, FEATURES, seed=61, missing=False, **GRID)
     SK.sink_model_bundle(run, path, ["model", "tuning", "selected", "conformal", "partitions"])
     back = SK.read_model_bundle(spark, path, ["model"])
     return rounded(score(rows, back["model"], FEATURES, left_out=False).select("id", "grp", "pred"), 5)

@@ -370,7 +370,7 @@ def _each_group(rows: DataFrame, group: str, fit_predict) -> DataFrame:
 
 def percentile_map_isotonic(df: DataFrame, group: str = "grp") -> DataFrame:
     """The same with a monotone map: one weighted isotonic fit per left-out group."""
-    rows = percentile_rows(df, group)
+    rows = materialise(percentile_rows(df, group))
 
     def one(source, target):
         return apply_isotonic(isotonic_weighted(source, "pred", "q_true", "weight"), target, "pred", "_q")
@@ -380,7 +380,7 @@ def percentile_map_isotonic(df: DataFrame, group: str = "grp") -> DataFrame:
 
 def percentile_map_logistic(df: DataFrame, top: float = 0.75, group: str = "grp") -> DataFrame:
     """Probability of the top quartile from a weighted logistic fit on the other groups."""
-    rows = percentile_rows(df, group).withColumn("event", (F.col("q_true") > top).cast("double"))
+    rows = materialise(percentile_rows(df, group)).withColumn("event", (F.col("q_true") > top).cast("double"))
     rows = rows.withColumn("_x", array_to_vector(F.array("pred")))
 
     def one(source, target):

@@ -90,3 +90,9 @@ def test_whole_tables(spark, sf, con):
     assert sum(s == "missing_or_nonfinite" for s in status.values()) > sum(r.status == "missing_or_nonfinite" for r in q["scan_expression_matrix"](spark, sf).collect())
     assert all((s == "missing_or_nonfinite") == any(gone(int(f[2:]), k) for k in range(64)) for f, s in status.items())
     assert 0 < q["ood_rms_distance_full"](spark, sf).first().cut
+
+
+def test_maps_are_made_for_all_groups(spark, sf, con):
+    nations = {g for (g,) in con.execute("SELECT DISTINCT n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey").fetchall()}
+    assert len(nations) == 25
+    assert {r.grp for r in entry.queries()["percentile_map_logistic"](spark, sf).select("grp").distinct().collect()} == nations
