@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from heldout.llm.decontaminate import N, contamination
 from heldout.llm.exact_dedup import exact_dedup
+from heldout.llm.importance import BUCKETS, MIN_WORDS, SEED, importance
+from heldout.llm.importance import PERCENT as DRAWN_PERCENT
 from heldout.llm.licenses import TEMPLATES, THRESHOLD, bigrams, license_scan
+from heldout.llm.merkle import FAN, build, fold, prove, tampered_digest
 from heldout.llm.minhash_dedup import PERCENT, SHINGLE, near_duplicates
 from heldout.llm.secrets import KINDS, secrets, written
 from heldout.llm.substring_dedup import WINDOW, dedup_substrings
+from heldout.llm.token_files import read_documents, write_tokens
 from heldout.llm.toxicity import toxicity
 from heldout.llm.url_filters import DEPTH, FAN_OUT, REJECT, RULES, STRENGTH, Z, url_filter
 from heldout.llm.warc import ALPHABET, archive_pages
+from heldout.plans.storage import scratch_path
 from heldout.llm.sentencepiece_codec import digests, encode
 from heldout.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -206,3 +211,109 @@ def _license_sql() -> str:
 @query("op9_license_scans", _license_sql())
 def op9_license_scans(spark: SparkSession, sf: str) -> DataFrame:
     return license_scan(table(spark, sf, "documents"), windows=True).drop("matches")
+
+
+def word_tokenizer() -> str:
+    """The public 49k BPE tokenizer of words, as it is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op11_token_files")
+def op11_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    write_tokens(table(spark, sf, "documents"), path, word_tokenizer(), end_id=2)
+    return read_documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+#: CRC-32 in SQL: the table of its 256 remainders as CTE ``crc``, and the checksum of a list of bytes.
+SQL_CRC_TABLE = """crc AS (SELECT list(list_reduce(range(9), lambda c, k: CASE WHEN k = 0 THEN c ELSE xor(c >> 1, 3988292384 * (c & 1)) END, n) ORDER BY n) AS tab
+    FROM range(256) t(n))"""
+
+
+def sql_crc(text: str) -> str:
+    code = f"list_transform(range(1, octet_length(encode({text})) + 1), lambda i: ('0x' || substr(hex(encode({text})), (2 * i - 1)::INT, 2))::BIGINT)"
+    return f"xor(list_reduce({code}, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295)"
+
+
+LEAF_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+#: Levels of a tree that the SQL writes out: 16 ** 8 leaves.
+SQL_LEVELS = 8
+
+
+def _merkle_sql() -> str:
+    def leaf(text: str) -> str:
+        fields = [text if f == "text" else f for f in LEAF_FIELDS]
+        return "sha256(" + " || ".join(f"coalesce(octet_length(encode({x}::VARCHAR)) || ':' || {x}::VARCHAR, '-')" for x in fields) + ")"
+
+    def tree(name: str, first: str, leaf_rows: str) -> str:
+        """CTEs name_0 to name_8: tree, pos, h (digest), n (nodes of the level), a and b (siblings before and after)."""
+        out = []
+        for k in range(SQL_LEVELS + 1):
+            rows = leaf_rows if k == 0 else (
+                f"SELECT tree, pos // {FAN} AS pos, sha256(string_agg(h, '' ORDER BY pos)) AS h, any_value(n + {FAN - 1}) // {FAN} AS n FROM {name}_{k - 1} WHERE n > 1 GROUP BY tree, pos // {FAN}"
+            )
+            w = f"PARTITION BY tree, pos // {FAN} ORDER BY pos ROWS BETWEEN"
+            out.append(f"""{name}_{k} AS (SELECT *, coalesce(string_agg(h, '') OVER ({w} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+              coalesce(string_agg(h, '') OVER ({w} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b FROM ({rows}))""")
+        roots = " UNION ALL ".join(f"SELECT tree, h FROM {name}_{k} WHERE n = 1" for k in range(SQL_LEVELS + 1))
+        return f"{', '.join(out)}, {name}_root AS ({roots})"
+
+    def climb(name: str, rows: str, at: str) -> str:
+        """CTEs that take proof and folded digest of every leaf up one tree."""
+        out, last = [], rows
+        for k in range(SQL_LEVELS):
+            step = f"{name}_up_{k}"
+            more = "coalesce(t.n, 0) > 1"
+            out.append(f"""{step} AS (SELECT r.* REPLACE (CASE WHEN {more} THEN proof || t.a || t.b ELSE proof END AS proof,
+              CASE WHEN {more} THEN sha256(t.a || up || t.b) ELSE up END AS up) FROM {last} r
+              LEFT JOIN {name}_{k} t ON t.tree IS NOT DISTINCT FROM r.{'tree' if name == 'own' else 'one'} AND t.pos = r.{at} // {FAN**k})""")
+            last = step
+        return ", ".join(out)
+
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""WITH {SQL_CRC_TABLE},
+    d AS (SELECT doc_id, source AS tree, 0 AS one, {leaf('text')} AS leaf,
+      CASE WHEN {sql_crc('doc_id::VARCHAR')} % 5 = 0 THEN {leaf(lowered)} ELSE {leaf('text')} END AS claimed,
+      row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, {leaf('text')}) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM documents, crc),
+    {tree('own', 'd', 'SELECT tree, pos, leaf AS h, n FROM d')},
+    s AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS top, count(*) OVER () AS n FROM own_root),
+    {tree('top', 's', 'SELECT 0 AS tree, top AS pos, subroot AS h, n FROM s')},
+    base AS (SELECT doc_id, d.tree, one, pos, top, leaf, subroot, claimed AS up, '' AS proof FROM d JOIN s ON d.tree IS NOT DISTINCT FROM s.tree),
+    {climb('own', 'base', 'pos')}, {climb('top', f'own_up_{SQL_LEVELS - 1}', 'top')}
+    SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, up AS folded_root, up = root AS verified
+    FROM top_up_{SQL_LEVELS - 1}, (SELECT h AS root FROM top_root)"""
+
+
+@query("op12_merkle_manifest", _merkle_sql())
+def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    tampered = {"tampered": tampered_digest("doc_id", "text", LEAF_FIELDS)}
+    manifest = build(table(spark, sf, "documents"), "doc_id", "source", LEAF_FIELDS, tampered)
+    proofs = prove(manifest).withColumn("claimed", F.coalesce("tampered", "digest"))
+    return fold(proofs, "claimed").select(
+        F.col("id").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def _importance_sql() -> str:
+    return f"""WITH {SQL_CRC_TABLE},
+    d AS (SELECT doc_id, {SQL_WORDS} AS w FROM documents), b AS (SELECT {SQL_WORDS} AS w FROM benchmark),
+    x AS (SELECT doc_id, unnest(w) AS f FROM d), y AS (SELECT unnest(w) AS f FROM b),
+    v AS (SELECT f, {sql_crc('f')} % {BUCKETS} AS k FROM (SELECT f FROM x UNION SELECT f FROM y), crc),
+    s AS (SELECT k, count(*) AS s FROM x JOIN v USING (f) GROUP BY k), t AS (SELECT k, count(*) AS t FROM y JOIN v USING (f) GROUP BY k),
+    g AS (SELECT k, floor(1000 * ln(((coalesce(t, 0) + 1) * ((SELECT coalesce(sum(s), 0) FROM s) + {BUCKETS}))::DOUBLE
+      / ((s + 1) * ((SELECT coalesce(sum(t), 0) FROM t) + {BUCKETS}))::DOUBLE))::BIGINT AS gain FROM s LEFT JOIN t USING (k)),
+    e AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM x JOIN v USING (f) JOIN g USING (k) GROUP BY doc_id),
+    c AS (SELECT doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight,
+      coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{SEED}:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+      FROM d LEFT JOIN e USING (doc_id)),
+    r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM c WHERE n_features >= {MIN_WORDS})
+    SELECT doc_id, n_features, weight, score, CASE WHEN rank <= {DRAWN_PERCENT} * n // 100 THEN rank END AS rank FROM c LEFT JOIN r USING (doc_id)"""
+
+
+@query("op13_importance_resampling", _importance_sql())
+def op13_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    scored = importance(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return scored.select("doc_id", "n_features", "weight", "score", "rank")
