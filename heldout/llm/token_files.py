@@ -16,9 +16,10 @@ Sequence r is row r % ROWS of batch r // ROWS, so a memory-mapped file gives any
    names it, so what a lost or repeated task leaves behind is never read;
 3. reading: tasks take rows of the index and fetch each document from its file.
 
-Texts are cut at ASCII white space, over which no token of this kind of tokenizer reaches, and encoded chunks are remembered. A chunk of letters of the
-Latin blocks, digits and ASCII signs is cut further into the runs that the tokenizer's own pattern makes; whatever a worker has not met yet goes
-through the library. ``Encoder`` refuses a tokenizer that is not of this kind.
+Texts are cut at ASCII white space, over which no token of this kind of tokenizer reaches, and a chunk of Latin letters, digits and ASCII signs is
+cut further into the runs that the tokenizer's own pattern makes. The runs of a batch are interned (the span table of ``importance``), a worker
+remembers the ids of runs, and what it has not met yet goes through the library; ids of all occurrences are then gathered by their slots.
+``Encoder`` refuses a tokenizer that is not of this kind.
 
 Defined cases: null and empty texts are the end id alone; null ids stand before all others; rows that repeat an id are documents of their own, in
 the order in which they were written; special tokens written out in a text become their ids, as in the library; an empty table gives an empty index and no
@@ -43,22 +44,97 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heldout.llm.common import give_back, partitions_for
+from heldout.llm.importance import GramTable
 
 #: Tokens of a sequence, sequences of a batch, tokens after which a file is closed.
 LENGTH, ROWS, FILE_TOKENS = 2048, 128, 1 << 26
-#: Chunks and runs that a worker remembers in each of two generations.
-REMEMBERED = 200_000
-#: Longer chunks are encoded without being remembered.
+#: Runs and chunks that a worker remembers in each of two generations.
+REMEMBERED = 400_000
+#: Longer ones are encoded without being remembered.
 LONG_CHUNK = 64
 #: Bytes of text encoded together.
 BATCH_BYTES = 2 << 20
-# How the tokenizer normalises and cuts a text. Between white space its runs are those of RUNS for chunks of PLAIN.
+# How the tokenizer normalises and cuts a text.
 NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-#: Letters in all versions of Unicode, composed, and each one letter when lowered.
-LETTER = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
-PLAIN = re.compile(f"[{LETTER}!-@\\[-`{{-~]+")
-RUNS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[!-/:-@\\[-`{{-~]+")
+#: Kinds of bytes. Two-byte letters are those from U+00C0 to U+023F: letters in all versions of Unicode, composed, each one letter when lowered.
+WHITE, LETTER, DIGIT, SIGN, LEAD, FOLLOW, OTHER = range(7)
+KIND = np.full(256, OTHER, np.uint8)
+for _first, _last, _kind in (
+    (0x09, 0x0D, WHITE), (0x20, 0x20, WHITE), (0x21, 0x2F, SIGN), (0x30, 0x39, DIGIT), (0x3A, 0x40, SIGN), (0x41, 0x5A, LETTER), (0x5B, 0x60, SIGN),
+    (0x61, 0x7A, LETTER), (0x7B, 0x7E, SIGN), (0x80, 0xBF, FOLLOW), (0xC3, 0xC8, LEAD),
+):
+    KIND[_first : _last + 1] = _kind
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 32
+
+
+class _Spans(GramTable):
+    """The span table alone, without counts and buckets."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
+        self.data, self.starts, self.sizes = data, starts, sizes
+        self.eights = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+        self.keys = self._keys()
+        self._intern()
+
+
+def cut(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts, joined as bytes, as spans that are encoded apart: the bytes (letters of runs lowered), start and size of every span, and
+    whether it is a run of the tokenizer's pattern (else a whole chunk, as it is)."""
+    n = len(raw)
+    kind, low = KIND[raw], LOWER[raw]
+    inside = kind != WHITE
+    first = np.zeros(n + 1, bool)
+    first[offsets] = True
+    first = first[:n]
+    before = np.zeros(n, bool)
+    before[1:] = inside[:-1]
+    before &= ~first
+    starts = np.flatnonzero(inside & ~before)
+    # The end of a chunk is where its successor's gap begins.
+    after = np.ones(n, bool)
+    after[:-1] = ~inside[1:] | first[1:]
+    ends = np.flatnonzero(inside & after) + 1
+    # Bytes that no plain chunk has.
+    odd = kind == OTHER
+    lead, follow = kind == LEAD, kind == FOLLOW
+    odd[1:] |= follow[1:] & ~lead[:-1]
+    odd[:1] |= follow[:1]
+    pair = (raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7)) | (raw[:-1] == 0xC4) & (raw[1:] == 0xB0) | (raw[:-1] == 0x3C) & (raw[1:] == 0x7C)
+    odd[:-1] |= pair
+    seen = np.concatenate([[0], np.cumsum(odd)])
+    whole = seen[ends] > seen[starts]
+    # Runs: a change of kind, and every digit.
+    kind[lead | follow] = LETTER
+    new = np.zeros(n + 1, bool)
+    new[1:n] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    new[starts] = True
+    # Contractions: an apostrophe that begins a run, and the letters after it, end before the next letter.
+    at = np.flatnonzero(new[:n] & (raw == 0x27))
+    pad = np.concatenate([np.where(first | ~inside, 0, low), np.zeros(3, np.uint8)])
+    c, d = pad[at + 1], pad[at + 2]
+    one = np.isin(c, np.frombuffer(b"stmd", np.uint8))
+    two = ((c == ord("r")) | (c == ord("v"))) & (d == ord("e")) | (c == ord("l")) & (d == ord("l"))
+    new[at[one | two] + 1] = False
+    new[at[one] + 2] = True
+    new[at[two] + 3] = True
+    new = new[:n] & inside
+    # Whole chunks have no inner cuts and keep their letters.
+    inner = np.zeros(n + 1, np.int32)
+    inner[starts[whole]] += 1
+    inner[ends[whole]] -= 1
+    kept = np.cumsum(inner[:n]) > 0
+    begins = np.zeros(n, bool)
+    begins[starts] = True
+    new &= ~kept | begins
+    low[kept] = raw[kept]
+    spans = np.flatnonzero(new)
+    # A span ends where the next one of its chunk begins, or with the chunk.
+    chunk = np.searchsorted(starts, spans, "right") - 1
+    stops = np.concatenate([spans[1:], [n]]) if len(spans) else spans
+    stops = np.minimum(stops, ends[chunk])
+    return np.concatenate([low, np.zeros(8, np.uint8)]), spans, stops - spans, ~whole[chunk]
 
 
 class _Memory:
@@ -106,55 +182,67 @@ class Encoder:
         self.width = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.chunks, self.runs = _Memory(REMEMBERED), _Memory(REMEMBERED)
+        self.memory = _Memory(REMEMBERED)
 
-    def _library(self, chunks: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+    def _library(self, spans: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([s.decode("utf-8") for s in spans], add_special_tokens=False)
         return [np.array(e.ids, self.width).tobytes() for e in found]
 
-    def _meet_runs(self, runs: set[str]) -> dict[str, bytes]:
-        """Encode runs, each of which the tokenizer keeps in one, so that its last id and no other ends a word."""
-        new, known = self.runs.lacking(runs), self.runs.young
-        for k in range(0, len(new), 1000):
-            part = new[k : k + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, self.width)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(part):
-                raw, step = ids.tobytes(), self.width.itemsize
-                bounds = [0, *(cuts * step).tolist()]
-                known.update(zip(part, (raw[a:b] for a, b in zip(bounds, bounds[1:]))))
-            else:
-                known.update(zip(part, self._library(part)))
-        return known
-
-    def _meet_chunks(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        new, known = self.chunks.lacking(chunks), self.chunks.young
-        whole: list[bytes] = []
-        cut: list[tuple[bytes, list[str]]] = []
-        for chunk in new:
-            text = chunk.decode("utf-8")
-            if b"<|" not in chunk and PLAIN.fullmatch(text):
-                cut.append((chunk, RUNS.findall(text)))
-            else:
-                whole.append(chunk)
-        ids = self._meet_runs({run for _, runs in cut for run in runs}).__getitem__
-        found = [(chunk, b"".join(map(ids, runs))) for chunk, runs in cut]
-        found += zip(whole, self._library([c.decode("utf-8") for c in whole]))
-        if max(map(len, new), default=0) <= LONG_CHUNK:
+    def _runs(self, runs: list[bytes]) -> list[bytes]:
+        """Encode runs together: the tokenizer keeps each in one, so that its last id and no other ends a word."""
+        ids = np.array(self.tokenizer.encode(b" ".join(runs).decode("utf-8"), add_special_tokens=False).ids, self.width)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(runs):
+            return self._library(runs)
+        raw, bounds = ids.tobytes(), [0, *(cuts * self.width.itemsize).tolist()]
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    def _meet(self, spans: list[bytes], runs: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of some distinct spans."""
+        new, known = self.memory.lacking(set(spans)), self.memory.young
+        cut_up, whole = [s for s in new if s in runs], [s for s in new if s not in runs]
+        found = list(zip(whole, self._library(whole)))
+        for k in range(0, len(cut_up), 1000):
+            found += zip(cut_up[k : k + 1000], self._runs(cut_up[k : k + 1000]))
+        if all(len(s) <= LONG_CHUNK for s in new):
             known.update(found)
             return known
-        known.update((c, i) for c, i in found if len(c) <= LONG_CHUNK)
+        known.update((s, i) for s, i in found if len(s) <= LONG_CHUNK)
         return {**known, **dict(found)}
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of some texts in UTF-8."""
-        # Special tokens are found before letters are lowered, so chunks that may hold one keep their letters.
-        split = [[c if b"<|" in c else c.lower() for c in t.split()] if b"<|" in t else t.lower().split() for t in texts]
-        met: set[bytes] = set()
-        for chunks in split:
-            met.update(chunks)
-        ids = self._meet_chunks(met).__getitem__
-        return [b"".join(map(ids, chunks)) for chunks in split]
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> pa.Array:
+        """The ids of a column of texts (no nulls), each followed by the end id, as a binary column."""
+        wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+        offsets = np.frombuffer(texts.buffers()[1], wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        held = texts.buffers()[2]
+        raw = np.frombuffer(held, np.uint8)[offsets[0] : offsets[-1]] if held is not None else np.zeros(0, np.uint8)
+        offsets = offsets - offsets[0]
+        data, starts, sizes, run = cut(raw, offsets)
+        table = _Spans(data, starts, sizes)
+        owners = table.owner[table.taken]
+        joined = data.tobytes()
+        spans = [joined[a:b] for a, b in zip(starts[owners].tolist(), (starts[owners] + sizes[owners]).tolist())]
+        known = self._meet(spans, {s for s, r in zip(spans, run[owners].tolist()) if r})
+        parts = [known[s] for s in spans]
+        flat = np.frombuffer(b"".join(parts), self.width)
+        counts = np.fromiter(map(len, parts), np.int64, len(parts)) // self.width.itemsize
+        place = np.zeros(len(table.owner), np.int64)
+        place[table.taken] = np.arange(len(spans))
+        which = place[table.slots]
+        lengths = counts[which]
+        # Token t of an occurrence is token t of its span.
+        begin = np.cumsum(lengths) - lengths
+        source = np.repeat((np.cumsum(counts) - counts)[which] - begin, lengths) + np.arange(lengths.sum())
+        owner = np.searchsorted(offsets, starts, "right") - 1
+        per_text = np.bincount(owner, lengths, len(texts)).astype(np.int64) + (end_id is not None)
+        bounds = np.concatenate([[0], np.cumsum(per_text)])
+        ids = np.empty(bounds[-1], self.width)
+        if end_id is None:
+            ids[:] = flat[source]
+        else:
+            ids[np.arange(len(source)) + np.repeat(owner, lengths)] = flat[source]
+            ids[bounds[1:] - 1] = end_id
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((bounds * self.width.itemsize).astype(np.int32)), pa.py_buffer(ids)])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -167,17 +255,16 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _batches_of(column: pa.Array) -> Iterator[list[bytes]]:
-    """The texts of a column as bytes, in lists of a bounded size (one text at least)."""
+def _batches_of(column: pa.Array) -> Iterator[pa.Array]:
+    """Slices of a column of texts with a bounded number of bytes (one text at least); nulls are empty texts."""
     start, size = 0, 0
-    texts = pc.fill_null(column, "").cast(pa.binary())
-    sizes = pc.binary_length(texts).to_pylist()
-    for k, n in enumerate(sizes):
+    texts = pc.fill_null(column, "")
+    for k, n in enumerate(pc.binary_length(texts).to_pylist()):
         if size and size + n > BATCH_BYTES:
-            yield texts.slice(start, k - start).to_pylist()
+            yield texts.slice(start, k - start)
             start, size = k, 0
         size += n
-    yield texts.slice(start).to_pylist()
+    yield texts.slice(start)
 
 
 def encode_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = None) -> DataFrame:
@@ -186,13 +273,12 @@ def encode_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path)
-        end = b"" if end_id is None else np.array([end_id], tool.width).tobytes()
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             start = 0
             for texts in _batches_of(batch.column(2)):
-                ids = pa.array([i + end for i in tool.encode(texts)], pa.binary())
+                ids = tool.encode(texts, end_id)
                 yield pa.RecordBatch.from_arrays([*batch.slice(start, len(texts)).columns[:2], ids], names=["doc_id", "at", "tokens"])
                 start += len(texts)
         give_back()
