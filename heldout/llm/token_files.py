@@ -5,15 +5,16 @@ ascending order of the documents' ids, into sequences of ``LENGTH``. A file is a
 ``ROWS`` sequences each (the last one fewer) in fixed-size lists, uncompressed:
 
 * ``ids``: unsigned, 16 bits wide where the vocabulary allows it, else 32;
-* ``mask``: 0 padding, 1 token, 2 last token of a document (nonzero is the attention mask).
+* ``mask``: one bit a token, set for tokens and clear for padding (the attention mask);
+* ``last``: one bit a token, set for the last token of a document.
 
 Sequence r is row r % ROWS of batch r // ROWS, so a memory-mapped file gives any sequence, or any document, as a view of its buffers
 (``TokenFile``). Only the last sequence of a file is padded; a file ends behind the document that fills it.
 
-1. encoding: one pass, ids go to a table in the shared folder (two or four bytes a token);
-2. writing: the table is put into ranges of (document id, written order), each range is sorted and written by one task to files of its own,
-   and the task returns a row per document (its file, first token, tokens). Spark commits these rows as ``index``; a file counts only if the index
-   names it, so what a lost or repeated task leaves behind is never read;
+1. bounds: the ids alone are put into ranges of (document id, written order), and the least of each range go to the driver: as many as files;
+2. encoding and writing: a task encodes texts and finds each document's range, the ids (two or four bytes a token) are shuffled to their range, sorted
+   there and written to files, and the task returns a row per document (its file, first token, tokens). Spark commits these rows as
+   ``index``; a file counts only if the index names it, so what a lost or repeated task leaves behind is never read;
 3. reading: tasks take rows of the index and fetch each document from its file.
 
 Texts are cut at ASCII white space, over which no token of this kind of tokenizer reaches, and a chunk of Latin letters, digits and ASCII signs is
@@ -28,11 +29,12 @@ files. Extra columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import json
 import os
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -267,23 +269,45 @@ def _batches_of(column: pa.Array) -> Iterator[pa.Array]:
     yield texts.slice(start)
 
 
-def encode_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = None) -> DataFrame:
-    """doc_id, at (the written order) and tokens: the ids of each text and the end id, as little-endian bytes of the tokenizer's width."""
+def encode_ids(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = None, starts: Sequence[tuple] = (),
+) -> DataFrame:
+    """doc_id, at (the written order), tokens (the ids of each text and the end id, as little-endian bytes of the tokenizer's width) and part: how many
+    of ``starts`` (ordered keys of (doc_id, at)) do not stand after the row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("at"), F.col(text_col).alias("tokens"))
+    keys = [_key(*start) for start in starts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
+            parts = pa.array([bisect.bisect_right(keys, _key(d, a)) for d, a in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], pa.int32())
             start = 0
             for texts in _batches_of(batch.column(2)):
-                ids = tool.encode(texts, end_id)
-                yield pa.RecordBatch.from_arrays([*batch.slice(start, len(texts)).columns[:2], ids], names=["doc_id", "at", "tokens"])
-                start += len(texts)
+                n = len(texts)
+                columns = [*batch.slice(start, n).columns[:2], tool.encode(texts, end_id), parts.slice(start, n)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "at", "tokens", "part"])
+                start += n
         give_back()
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("at", T.LongType()), T.StructField("tokens", T.BinaryType())]))
+    kind = [rows.schema["doc_id"], *T.StructType.fromDDL("at long, tokens binary, part int").fields]
+    return rows.mapInArrow(run, T.StructType(kind))
+
+
+def _key(doc_id, at: int) -> tuple:
+    """Orders ids with nulls first; strings by their UTF-8 bytes, as Spark does."""
+    value = doc_id.encode("utf-8") if isinstance(doc_id, str) else doc_id
+    return (0, at) if doc_id is None else (1, value, at)
+
+
+def range_starts(docs: DataFrame, id_col: str, parts: int) -> list[tuple]:
+    """The least (doc_id, at) of each but the first of at most ``parts`` ranges of about equal numbers of documents."""
+    ids = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("at"))
+    ranged = ids.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "at").withColumn("part", F.spark_partition_id())
+    least = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "at")).alias("least")
+    found = ranged.groupBy("part").agg(least).orderBy("part").collect()
+    return [(r["least"]["doc_id"], r["least"]["at"]) for r in found[1:]]
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -299,28 +323,29 @@ class _Writer:
     def __init__(self, system: pafs.FileSystem, path: str, length: int, width: np.dtype):
         self.length, self.width, self.tokens = length, width, 0
         kind = pa.from_numpy_dtype(width)
-        self.schema = pa.schema([("ids", pa.list_(pa.field("item", kind, False), length)), ("mask", pa.list_(pa.field("item", pa.uint8(), False), length))])
+        kinds = {"ids": kind, "mask": pa.bool_(), "last": pa.bool_()}
+        self.schema = pa.schema([(name, pa.list_(pa.field("item", k, False), length)) for name, k in kinds.items()])
         self.sink = system.open_output_stream(path)
         self.file = pa.ipc.new_file(self.sink, self.schema)
-        self.ids, self.marks, self.held = [], [], 0
+        self.ids, self.lasts, self.held = [], [], 0
 
     def add(self, ids: np.ndarray) -> None:
         if len(ids):
-            marks = np.ones(len(ids), np.uint8)
-            marks[-1] = 2
+            last = np.zeros(len(ids), bool)
+            last[-1] = True
             self.ids.append(ids)
-            self.marks.append(marks)
+            self.lasts.append(last)
             self.held += len(ids)
             self.tokens += len(ids)
         if self.held >= self.length * ROWS:
             self._put(self.held // (self.length * ROWS) * ROWS)
 
     def _put(self, rows: int) -> None:
-        ids, marks = np.concatenate(self.ids), np.concatenate(self.marks)
+        ids, lasts = np.concatenate(self.ids), np.concatenate(self.lasts)
         n = min(rows * self.length, len(ids))
-        self.ids, self.marks, self.held = [ids[n:]], [marks[n:]], len(ids) - n
+        self.ids, self.lasts, self.held = [ids[n:]], [lasts[n:]], len(ids) - n
         pad = rows * self.length - n
-        parts = [np.concatenate([x[:n], np.zeros(pad, x.dtype)]) if pad else x[:n] for x in (ids, marks)]
+        parts = [np.concatenate([x[:n], np.zeros(pad, x.dtype)]) for x in (ids, np.ones(len(ids), bool), lasts)]
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(p), type=f.type) for p, f in zip(parts, self.schema)]
         for k in range(0, rows, ROWS):
             self.file.write_batch(pa.RecordBatch.from_arrays([x.slice(k, ROWS) for x in lists], schema=self.schema))
@@ -337,12 +362,9 @@ def write_tokens(
     file_tokens: int = FILE_TOKENS,
 ) -> None:
     """Write the documents' ids as files below ``path`` (a new folder that all executors share) and their index."""
-    spark: SparkSession = docs.sparkSession
-    coded = encode_ids(docs, tokenizer, id_col, text_col, end_id)
-    coded.write.parquet(f"{path}/encoded")
-    coded = spark.read.schema(coded.schema).parquet(f"{path}/encoded")
-    order = [F.col("doc_id").asc_nulls_first(), F.col("at")]
-    ordered = coded.repartitionByRange(partitions_for(coded), *order).sortWithinPartitions(*order)
+    starts = range_starts(docs, id_col, partitions_for(docs))
+    coded = encode_ids(docs, tokenizer, id_col, text_col, end_id, starts)
+    ordered = coded.repartitionById(len(starts) + 1, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "at")
     folder = f"{path}/files"
     system, place = file_system(folder)
     system.create_dir(place, recursive=True)
@@ -388,21 +410,20 @@ class TokenFile:
         self.reader = pa.ipc.open_file(self.source)
         self.length = self.reader.schema.field("ids").type.list_size
 
-    def _values(self, batch: int, name: str) -> np.ndarray:
-        column = self.reader.get_batch(batch).column(name)
-        return column.flatten().to_numpy(zero_copy_only=True)
+    def _values(self, batch: int, name: str) -> pa.Array:
+        return self.reader.get_batch(batch).column(name).flatten()
 
-    def sequence(self, row: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, row: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """Ids and mask of one sequence, views of the file's buffers."""
-        at = row % ROWS * self.length
-        return tuple(self._values(row // ROWS, c)[at : at + self.length] for c in ("ids", "mask"))
+        ids, mask = (self._values(row // ROWS, c).slice(row % ROWS * self.length, self.length) for c in ("ids", "mask"))
+        return ids.to_numpy(zero_copy_only=True), mask
 
-    def tokens(self, first: int, n: int, name: str = "ids") -> Iterator[np.ndarray]:
-        """A run of tokens (or of the mask) as views, one per batch that it touches."""
+    def tokens(self, first: int, n: int, name: str = "ids") -> Iterator[pa.Array]:
+        """A run of tokens (or of a mask) as views, one per batch that it touches."""
         whole = self.length * ROWS
         while n > 0:
             at = first % whole
-            piece = self._values(first // whole, name)[at : at + n]
+            piece = self._values(first // whole, name).slice(at, n)
             yield piece
             first, n = first + len(piece), n - len(piece)
 
@@ -425,9 +446,9 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 if file not in opened:
                     opened.clear()
                     opened[file] = TokenFile(f"{folder}/{file}")
-                if n and [m for m in opened[file].tokens(first + n - 1, 1, "mask")][0][0] != 2:
+                if n and not next(opened[file].tokens(first + n - 1, 1, "last"))[0].as_py():
                     raise ValueError(f"{file} has no document that ends at token {first + n}")
-                ids.append(b"".join(p.astype("<u4").tobytes() for p in opened[file].tokens(first, n)))
+                ids.append(b"".join(p.to_numpy().astype("<u4").tobytes() for p in opened[file].tokens(first, n)))
                 size += len(ids[-1])
                 if size >= BATCH_BYTES or k == batch.num_rows - 1:
                     part = batch.slice(kept, len(ids))
@@ -442,7 +463,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, path: str) -> DataFrame:
-    """All sequences in order: row (over all files), ids (array of int) and mask (array of int)."""
+    """All sequences in order: part, number and row (the place of the file and the sequence in it), ids, mask and last (arrays)."""
     index = spark.read.parquet(f"{path}/index")
     files = index.groupBy("file", "part", "number").agg(F.sum("n_tokens").alias("held"))
     folder = f"{path}/files"
@@ -456,7 +477,8 @@ def sequences(spark: SparkSession, path: str) -> DataFrame:
                     some = stored.reader.get_batch(start // ROWS)
                     rows = some.num_rows
                     at = [pa.array([v] * rows, pa.int32()) for v in (part, number)] + [pa.array(range(start, start + rows), pa.int64())]
-                    lists = [pa.array(some.column(c).to_pylist(), pa.list_(pa.int32())) for c in ("ids", "mask")]
-                    yield pa.RecordBatch.from_arrays([*at, *lists], names=["part", "number", "row", "ids", "mask"])
+                    kinds = {"ids": pa.int32(), "mask": pa.bool_(), "last": pa.bool_()}
+                    lists = [pa.array(some.column(c).to_pylist(), pa.list_(k)) for c, k in kinds.items()]
+                    yield pa.RecordBatch.from_arrays([*at, *lists], names=["part", "number", "row", *kinds])
 
-    return files.mapInArrow(run, "part int, number int, row long, ids array<int>, mask array<int>").orderBy("part", "number", "row")
+    return files.mapInArrow(run, "part int, number int, row long, ids array<int>, mask array<boolean>, last array<boolean>").orderBy("part", "number", "row")

@@ -63,10 +63,11 @@ def test_files_hold_every_token(spark, length, file_tokens):
     # The sequences, end to end, are the documents; only padding at a file's end has mask 0.
     packed = TF.sequences(spark, path).collect()
     assert all(len(r["ids"]) == len(r["mask"]) == length for r in packed)
-    kept = [(i, m) for r in packed for i, m in zip(r["ids"], r["mask"]) if m]
+    cells = [c for r in packed for c in zip(r["ids"], r["mask"], r["last"])]
+    kept = [(i, e) for i, m, e in cells if m]
     assert [i for i, _ in kept] == [i for _, ids in got for i in ids]
-    assert [k + 1 for k, (_, m) in enumerate(kept) if m == 2] == np.cumsum([len(i) for _, i in got]).tolist()
-    assert all(m == 0 and i == 0 for r in packed for i, m in zip(r["ids"], r["mask"]) if m == 0)
+    assert [k + 1 for k, (_, e) in enumerate(kept) if e] == np.cumsum([len(i) for _, i in got]).tolist()
+    assert all(i == 0 and not e for i, m, e in cells if not m)
 
 
 def test_sequences_are_views_of_the_file(spark):
@@ -76,12 +77,20 @@ def test_sequences_are_views_of_the_file(spark):
     before = pa.total_allocated_bytes()
     stored = TF.TokenFile(f"{path}/files/{row['file']}")
     ids, mask = stored.sequence(600)
-    assert pa.total_allocated_bytes() - before < 4096 and not ids.flags.owndata and ids.dtype == np.uint16 and mask.tolist() == [1] * 16
-    whole = np.concatenate(list(stored.tokens(0, row["n_tokens"])))
+    assert pa.total_allocated_bytes() - before < 4096 and not ids.flags.owndata and ids.dtype == np.uint16 and mask.to_pylist() == [True] * 16
+    whole = np.concatenate([p.to_numpy() for p in stored.tokens(0, row["n_tokens"])])
     assert whole[9600:9616].tolist() == ids.tolist() and whole.tolist() == [*library(["a b c " * 5000])[0], 2]
     assert stored.reader.schema.field("ids").type.list_size == 16
 
 
+def test_string_ids_in_order(spark):
+    rows = [(i, f"text {k}") for k, i in enumerate(["b", "a", "é", "", None, "😀", "～", "a"] * 9)]
+    path = scratch_path(spark, "tokens")
+    TF.write_tokens(spark.createDataFrame(rows, "doc_id string, text string").repartition(5), path, word_tokenizer())
+    found = [r["doc_id"] for r in sorted(TF.read_documents(spark, path).collect(), key=lambda r: r["start"])]
+    assert found == sorted((i for i, _ in rows), key=lambda i: (i is not None, (i or "").encode()))
+
+
 def test_empty_and_refused(spark, tmp_path):
     path = scratch_path(spark, "tokens")
     TF.write_tokens(spark.createDataFrame([], "doc_id string, text string"), path, word_tokenizer(), 2)
