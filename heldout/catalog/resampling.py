@@ -5,24 +5,39 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from heldout.catalog.base import (
-    long_view, orders_view, pred_view, pred_view_b, parts_view, q_corr, q_midrank, q_slope, query, r, rounded, table, with_views,
+    ORACLES, QUERIES, long_view, orders_view, pred_view, pred_view_b, parts_view, q_corr, q_midrank, q_slope, query, r, rounded, table, with_views,
 )
 from heldout.catalog.metrics import CUT
 from heldout.catalog.ranking import q_key, q_num
 from heldout.catalog.reports import COMP_SQL, MERGED
+from heldout.functions.scalars import DRAW_RANGE, MIX_STEPS
 from heldout.operators import calibration as K
 from heldout.operators import gene_sets as G
 from heldout.operators import reports as P
 from heldout.operators import resampling as R
 
 V = with_views("v_pred")
-B = 20
+# The counts of the source material: permutations of errors and of ranks, bootstraps of rows, of classes, of groups, few-shot and shrinkage draws.
+PERM_MAE, PERM_RHO, BOOT, BOOT_AUC, BOOT_CLUSTER, FEW_DRAWS, EB_DRAWS = 1000, 500, 10_000, 2000, 1000, 200, 1000
+#: Replicates of the queries named ``_first20``: the same code as the whole count, which is too long for SQL in one process.
+FIRST = 20
 
 
-def perm_sql(seed: int, value: str = "actual", carry: str = "pred", view: str = "v_pred") -> str:
-    return f"""base AS (SELECT grp, {carry} AS c, row_number() OVER (PARTITION BY grp ORDER BY {q_key(f'{seed}a', 'id')}, id) AS rn FROM {view}),
-    donor AS (SELECT b, grp, {value} AS v, row_number() OVER (PARTITION BY b, grp ORDER BY {q_key(seed, 'b', 'id')}, id) AS rn
-              FROM {view}, range(1, {B + 1}) t(b)),
+def q_mixed(x: str) -> str:
+    for factor, shift in MIX_STEPS:
+        x = f"list_transform([(({x}) + 1) * {factor} % {DRAW_RANGE}], lambda z: xor(z, z >> {shift}))[1]"
+    return x
+
+
+def q_stratum(seed: int, strata: str = "'all'") -> str:
+    return f"{q_num(f'{seed}s', strata)} % {DRAW_RANGE}"
+
+
+def perm_sql(seed: int, b: int, value: str = "actual", carry: str = "pred", view: str = "v_pred") -> str:
+    return f"""base AS (SELECT grp, {carry} AS c, {value} AS v, row_number() OVER (PARTITION BY grp ORDER BY {q_key(f'{seed}a', 'id')}, id) AS rn FROM {view}),
+    starts AS (SELECT grp, b, {q_mixed('k + b')} AS h FROM (SELECT DISTINCT grp, {q_stratum(seed, 'grp')} AS k FROM {view}), range(1, {b + 1}) t(b)),
+    keyed AS (SELECT b, grp, v, rn AS u, {q_mixed('h + rn')} AS h FROM base JOIN starts USING (grp)),
+    donor AS (SELECT b, grp, v, row_number() OVER (PARTITION BY b, grp ORDER BY h, u) AS rn FROM keyed),
     perm AS (SELECT d.b, d.grp, d.v, base.c FROM donor d JOIN base ON d.grp = base.grp AND d.rn = base.rn)"""
 
 
@@ -50,13 +65,13 @@ def null_control_labels(spark, sf):
 
 @query(
     "permutation_test_mae",
-    f"""{V}, {perm_sql(31)}, n AS (SELECT b, avg(abs(v - c)) AS m FROM perm GROUP BY b),
+    f"""{V}, {perm_sql(31, PERM_MAE)}, n AS (SELECT b, avg(abs(v - c)) AS m FROM perm GROUP BY b),
     o AS (SELECT count(*) AS n, avg(abs(actual - pred)) AS obs FROM v_pred)
     SELECT any_value(o.n) AS n, {r('any_value(obs)')} AS observed_mae, {r('quantile_cont(m, 0.5)')} AS null_median,
     {r('quantile_cont(m, 0.05)')} AS null_q05, {r('(1 + count(*) FILTER (m <= obs)) / (count(*) + 1)')} AS p_value, count(*) AS n_perm FROM n, o""",
 )
 def permutation_test_mae(spark, sf):
-    return rounded(R.permutation_test_mae(pred_view(spark, sf), B, 31))
+    return rounded(R.permutation_test_mae(pred_view(spark, sf), PERM_MAE, 31))
 
 
 RANKED = f"ranked AS (SELECT id, grp, {q_midrank('', 'actual')} AS ra, {q_midrank('', 'covariate')} AS rp FROM v_pred)"
@@ -64,7 +79,7 @@ RANKED = f"ranked AS (SELECT id, grp, {q_midrank('', 'actual')} AS ra, {q_midran
 
 @query(
     "permutation_test_spearman",
-    f"""{V}, {RANKED}, {perm_sql(32, 'ra', 'rp', 'ranked')}, n AS (SELECT b, {q_corr('v', 'c')} AS m FROM perm GROUP BY b),
+    f"""{V}, {RANKED}, {perm_sql(32, PERM_RHO, 'ra', 'rp', 'ranked')}, n AS (SELECT b, {q_corr('v', 'c')} AS m FROM perm GROUP BY b),
     o AS (SELECT count(*) AS n, {q_corr('ra', 'rp')} AS obs FROM ranked)
     SELECT any_value(o.n) AS n, {r('any_value(obs)')} AS observed_rho, {r('quantile_cont(m, 0.5)')} AS null_median,
     {r('quantile_cont(m, 0.025)')} AS null_q025, {r('quantile_cont(m, 0.975)')} AS null_q975,
@@ -72,7 +87,7 @@ RANKED = f"ranked AS (SELECT id, grp, {q_midrank('', 'actual')} AS ra, {q_midran
 )
 def permutation_test_spearman(spark, sf):
     df = pred_view(spark, sf).withColumn("pred", F.col("covariate"))
-    return rounded(R.permutation_test_spearman(df, B, 32))
+    return rounded(R.permutation_test_spearman(df, PERM_RHO, 32))
 
 
 @query(
@@ -86,92 +101,106 @@ def shuffled_score_control(spark, sf):
     return rounded(R.shuffled_score_control(pred_view(spark, sf), 8))
 
 
-def drawn_sql(seed: int, view: str, strata: str, cols: str, b: int = B, unit: str = "id") -> str:
-    """CTEs ending in ``drawn`` with one row per drawn copy."""
+def drawn_sql(seed: int, view: str, strata: str, cols: str, b: int, unit: str = "id") -> str:
+    """CTEs ending in ``drawn`` with one row per drawn copy (strata of one slice)."""
     part = f"PARTITION BY {strata}" if strata else ""
-    keys = ["b"] + ([strata] if strata else []) + ["rn"]
-    on = f"r.{strata} = p.{strata} AND " if strata else ""
+    keys = ["b"] + ([strata] if strata else [])
     s = f"{strata}, " if strata else ""
-    ps = f"p.{strata}, " if strata else ""
-    return f"""numbered AS (SELECT {s}{cols}, row_number() OVER ({part} ORDER BY {q_key(seed, unit)}, {unit}) AS rn, count(*) OVER ({part}) AS n FROM {view}),
-    picks AS (SELECT b, {s}{q_num(seed, *keys)} % n + 1 AS pick FROM numbered, range(1, {b + 1}) t(b)),
-    drawn AS (SELECT p.b, {ps}{', '.join('r.' + c.strip() for c in cols.split(','))} FROM picks p JOIN numbered r ON {on}r.rn = p.pick)"""
+    on = " AND ".join([*([f"r.{strata} = p.{strata}"] if strata else []), "r.rn = p.pick"])
+    return f"""numbered AS (SELECT {s}{cols}, row_number() OVER ({part} ORDER BY {q_key(seed, unit)}, {unit}) - 1 AS rn, count(*) OVER ({part}) AS n FROM {view}),
+    starts AS (SELECT {', '.join(keys)}, n, {q_mixed('k + b')} AS h FROM (SELECT DISTINCT {s}n, {q_stratum(seed, strata or "'all'")} AS k FROM numbered), range(1, {b + 1}) t(b)),
+    picks AS (SELECT {', '.join(keys)}, ({q_mixed('h + turn')} * n) >> 31 AS pick FROM (SELECT *, unnest(range(n)) AS turn FROM starts)),
+    drawn AS (SELECT {', '.join('p.' + k for k in keys)}, {', '.join('r.' + c.strip() for c in cols.split(','))} FROM picks p JOIN numbered r ON {on})"""
 
 
-@query(
-    "bootstrap_pairs_ci",
-    f"""{V}, {drawn_sql(41, 'v_pred', 'grp', 'actual, pred')}, k AS (SELECT *, {q_midrank('b, grp', 'actual')} AS ra, {q_midrank('b, grp', 'pred')} AS rp FROM drawn),
+def pairs_sql(b: int) -> str:
+    return f"""{V}, {drawn_sql(41, 'v_pred', 'grp', 'actual, pred', b)}, k AS (SELECT *, {q_midrank('b, grp', 'actual')} AS ra, {q_midrank('b, grp', 'pred')} AS rp FROM drawn),
     s AS (SELECT b, grp, {q_corr('actual', 'pred')} AS pearson, {q_corr('ra', 'rp')} AS spearman FROM k GROUP BY b, grp)
     SELECT grp, {r('quantile_cont(pearson, 0.025)')} AS pearson_lo, {r('quantile_cont(pearson, 0.975)')} AS pearson_hi,
-    {r('quantile_cont(spearman, 0.025)')} AS spearman_lo, {r('quantile_cont(spearman, 0.975)')} AS spearman_hi, count(pearson) AS n_ok FROM s GROUP BY grp""",
-)
-def bootstrap_pairs_ci(spark, sf):
-    return rounded(R.bootstrap_pairs_ci(pred_view(spark, sf), B, ["grp"], 41))
+    {r('quantile_cont(spearman, 0.025)')} AS spearman_lo, {r('quantile_cont(spearman, 0.975)')} AS spearman_hi, count(pearson) AS n_ok FROM s GROUP BY grp"""
+
+
+@query("bootstrap_pairs_ci")
+def bootstrap_pairs_ci(spark, sf, b=BOOT):
+    return rounded(R.bootstrap_pairs_ci(pred_view(spark, sf), b, ["grp"], 41))
+
+
+@query("bootstrap_pairs_ci_first20", pairs_sql(FIRST))
+def bootstrap_pairs_ci_first20(spark, sf):
+    return bootstrap_pairs_ci(spark, sf, FIRST)
 
 
 def _r2(v):
     return f"1 - sum(({v} - m_{v}) * ({v} - m_{v})) / (var_pop({v}) * count(*)) AS r2_{v}"
 
 
-@query(
-    "bootstrap_stratified",
-    f"""{with_views('v_pred', 'v_pred_b')}, m AS (SELECT a.id, a.grp, a.actual, a.pred AS pred_a, b.pred AS pred_b FROM v_pred a JOIN v_pred_b b ON a.id = b.id),
-    {drawn_sql(42, 'm', 'grp', 'actual, pred_a, pred_b')},
+def stratified_sql(b: int) -> str:
+    return f"""{with_views('v_pred', 'v_pred_b')}, m AS (SELECT a.id, a.grp, a.actual, a.pred AS pred_a, b.pred AS pred_b FROM v_pred a JOIN v_pred_b b ON a.id = b.id),
+    {drawn_sql(42, 'm', 'grp', 'actual, pred_a, pred_b', b)},
     g AS (SELECT *, {', '.join(f'avg({v}) OVER (PARTITION BY b, grp) AS m_{v}' for v in ('actual', 'pred_a', 'pred_b'))} FROM drawn),
     s AS (SELECT b, {', '.join(_r2(v) for v in ('actual', 'pred_a', 'pred_b'))} FROM g GROUP BY b),
     d AS (SELECT *, r2_pred_a - r2_pred_b AS diff, (r2_pred_a - r2_pred_b) / nullif(r2_pred_a - r2_actual, 0) AS removed FROM s)
     SELECT {', '.join(f"{r(f'quantile_cont({c}, {p})', 5)} AS {c}_{n}" for c in ('r2_pred_a', 'r2_pred_b', 'diff', 'removed') for p, n in ((0.025, 'lo'), (0.975, 'hi')))},
-    count(*) AS n_ok, {r('2 * least(count(*) FILTER (diff <= 0) / count(*), count(*) FILTER (diff >= 0) / count(*))', 5)} AS p_diff FROM d""",
-)
-def bootstrap_stratified(spark, sf):
-    return rounded(R.bootstrap_stratified(pred_view(spark, sf), pred_view_b(spark, sf), B, 42), 5)
+    count(*) AS n_ok, {r('2 * least(count(*) FILTER (diff <= 0) / count(*), count(*) FILTER (diff >= 0) / count(*))', 5)} AS p_diff FROM d"""
+
+
+@query("bootstrap_stratified")
+def bootstrap_stratified(spark, sf, b=BOOT):
+    return rounded(R.bootstrap_stratified(pred_view(spark, sf), pred_view_b(spark, sf), b, 42), 5)
+
+
+@query("bootstrap_stratified_first20", stratified_sql(FIRST))
+def bootstrap_stratified_first20(spark, sf):
+    return bootstrap_stratified(spark, sf, FIRST)
 
 
 @query(
     "bootstrap_auc_by_class",
-    f"""{V}, c AS (SELECT *, CAST(actual >= {CUT} AS INTEGER) AS cls FROM v_pred), {drawn_sql(43, 'c', 'cls', 'pred')},
+    f"""{V}, c AS (SELECT *, CAST(actual >= {CUT} AS INTEGER) AS cls FROM v_pred), {drawn_sql(43, 'c', 'cls', 'pred', BOOT_AUC)},
     k AS (SELECT *, {q_midrank('b', 'pred')} AS rk FROM drawn),
     s AS (SELECT b, (sum(rk) FILTER (cls = 1) - count(*) FILTER (cls = 1) * (count(*) FILTER (cls = 1) + 1) / 2.0)
       / (count(*) FILTER (cls = 1) * count(*) FILTER (cls = 0)) AS auc FROM k GROUP BY b)
     SELECT {r('quantile_cont(auc, 0.025)')} AS auc_lo, {r('quantile_cont(auc, 0.975)')} AS auc_hi, count(auc) AS n_ok FROM s""",
 )
 def bootstrap_auc_by_class(spark, sf):
-    return rounded(R.bootstrap_auc_by_class(pred_view(spark, sf), "pred", F.col("actual") >= CUT, B, 43))
+    return rounded(R.bootstrap_auc_by_class(pred_view(spark, sf), "pred", F.col("actual") >= CUT, BOOT_AUC, 43))
 
 
 @query(
     "bootstrap_group_means",
-    f"""{MERGED}, g AS (SELECT grp AS id, mae_b - mae_a AS d_mae FROM both_runs), {drawn_sql(44, 'g', '', 'd_mae')},
+    f"""{MERGED}, g AS (SELECT grp AS id, mae_b - mae_a AS d_mae FROM both_runs), {drawn_sql(44, 'g', '', 'd_mae', BOOT)},
     s AS (SELECT b, avg(d_mae) AS m FROM drawn GROUP BY b)
     SELECT {r('quantile_cont(m, 0.025)')} AS mean_lo, {r('quantile_cont(m, 0.975)')} AS mean_hi, count(m) AS n_ok FROM s""",
 )
 def bootstrap_group_means(spark, sf):
     merged = P.paired_run_merge(pred_view(spark, sf), pred_view_b(spark, sf))
-    return rounded(R.bootstrap_group_means(merged, "d_mae", B, 44))
+    return rounded(R.bootstrap_group_means(merged, "d_mae", BOOT, 44))
+
+
+def _cluster_r2(v):
+    return f"1 - sum(w_{v}) / (sum(q_{v}) - sum(s_{v}) * sum(s_{v}) / sum(n_rows)) AS r2_{v}"
 
 
 @query(
     "bootstrap_cluster",
-    f"""{V}, g AS (SELECT DISTINCT grp AS id FROM v_pred), numbered AS (SELECT id, row_number() OVER (ORDER BY {q_key(45, 'id')}, id) AS rn, count(*) OVER () AS n FROM g),
-    picks AS (SELECT b, rn AS draw, {q_num(45, 'b', 'rn')} % n + 1 AS pick FROM numbered, range(1, {B + 1}) t(b)),
-    rows_ AS (SELECT p.b, p.draw, v.actual, v.pred FROM picks p JOIN numbered n ON n.rn = p.pick JOIN v_pred v ON v.grp = n.id),
-    m AS (SELECT *, avg(actual) OVER (PARTITION BY b, draw) AS m_actual, avg(pred) OVER (PARTITION BY b, draw) AS m_pred FROM rows_),
-    s AS (SELECT b, {_r2('actual')}, {_r2('pred')} FROM m GROUP BY b)
+    f"""{V}, c AS (SELECT grp, actual - (SELECT avg(actual) FROM v_pred) AS actual, pred - (SELECT avg(pred) FROM v_pred) AS pred FROM v_pred),
+    g AS (SELECT grp AS id, count(*) AS n_rows, {', '.join(f'sum({v}) AS s_{v}, sum({v} * {v}) AS q_{v}, sum({v} * {v}) - sum({v}) * sum({v}) / count(*) AS w_{v}' for v in ('actual', 'pred'))}
+      FROM c GROUP BY grp), {drawn_sql(45, 'g', '', 'n_rows, s_actual, q_actual, w_actual, s_pred, q_pred, w_pred', BOOT_CLUSTER)},
+    s AS (SELECT b, {_cluster_r2('actual')}, {_cluster_r2('pred')} FROM drawn GROUP BY b)
     SELECT {r('quantile_cont(r2_actual, 0.025)', 5)} AS actual_lo, {r('quantile_cont(r2_actual, 0.975)', 5)} AS actual_hi,
     {r('quantile_cont(r2_pred, 0.025)', 5)} AS pred_lo, {r('quantile_cont(r2_pred, 0.975)', 5)} AS pred_hi, count(*) AS n_ok FROM s""",
 )
 def bootstrap_cluster(spark, sf):
-    return rounded(R.bootstrap_cluster(pred_view(spark, sf), ["actual", "pred"], B, 45), 5)
+    return rounded(R.bootstrap_cluster(pred_view(spark, sf), ["actual", "pred"], BOOT_CLUSTER, 45), 5)
 
 
 # --- few-shot and shrinkage -------------------------------------------------------------------------------
 
-KS, BK = (3, 10), 10
+KS = (3, 10)
 
 
 def few_sql(seed: int, min_eval: int, prior: bool = False) -> str:
-    shrunk = """, sum(k.r) / any_value(k.k) AS c0""" if prior else ""
-    del shrunk
+    b = EB_DRAWS if prior else FEW_DRAWS
     pri = ""
     cols = ""
     join = ""
@@ -186,9 +215,11 @@ def few_sql(seed: int, min_eval: int, prior: bool = False) -> str:
                 f"{w['w_u']} * c_raw + (1 - {w['w_u']}) * mu0 AS c_shrunk_raw_tau, {w['w_y']} * y_raw + (1 - {w['w_y']}) * mu0_y AS y_shrunk")
     more = (", avg(abs(r - c_shrunk)) AS mae_c_shrunk, avg(abs(r - c_shrunk_raw_tau)) AS mae_c_shrunk_raw_tau, avg(abs(actual - y_shrunk)) AS mae_y_shrunk, "
             "any_value(w) AS w, any_value(w_u) AS w_u, any_value(w_y) AS w_y, abs(any_value(c_shrunk) - any_value(o)) AS offset_error_shrunk") if prior else ""
-    return f"""base AS (SELECT id, grp, actual, pred - actual AS r FROM v_pred), {pri}
-    ordered AS (SELECT b, base.*, row_number() OVER (PARTITION BY b, grp ORDER BY {q_key(seed, 'b', 'id')}, id) AS rn, count(*) OVER (PARTITION BY b, grp) AS n,
-      avg(r) OVER (PARTITION BY b, grp) AS o, avg(actual) OVER (PARTITION BY b, grp) AS m FROM base, range(1, {BK + 1}) t(b)),
+    return f"""base AS (SELECT id, grp, actual, pred - actual AS r, row_number() OVER (PARTITION BY grp ORDER BY {q_key(f'{seed}a', 'id')}, id) AS u FROM v_pred), {pri}
+    whole AS (SELECT grp, count(*) AS n, avg(r) AS o, avg(actual) AS m FROM base GROUP BY grp),
+    starts AS (SELECT grp, n, o, m, b, {q_mixed('k + b')} AS h FROM (SELECT *, {q_stratum(seed, 'grp')} AS k FROM whole), range(1, {b + 1}) t(b)),
+    keyed AS (SELECT b, base.*, n, o, m, {q_mixed('h + u')} AS h FROM base JOIN starts USING (grp)),
+    ordered AS (SELECT * EXCLUDE (h), row_number() OVER (PARTITION BY b, grp ORDER BY h, u) AS rn FROM keyed),
     ks AS (SELECT unnest([{', '.join(map(str, KS))}]) AS k),
     est0 AS (SELECT grp, k, b, avg(r) AS c_raw, avg(actual) AS y_raw FROM ordered, ks WHERE rn <= k AND n - k >= {min_eval} GROUP BY ALL),
     est AS (SELECT est0.*{cols} FROM est0 {join}),
@@ -209,7 +240,7 @@ def _cols(cols, d=6):
 
 @query("fewshot_offset", f"{V}, {few_sql(51, 10)}, {FEW} SELECT grp, k, n, n_eval, {_cols(FEW_COLS)} FROM few")
 def fewshot_offset(spark, sf):
-    return rounded(K.fewshot_offset(pred_view(spark, sf), KS, BK, 51))
+    return rounded(K.fewshot_offset(pred_view(spark, sf), KS, FEW_DRAWS, 51))
 
 
 @query(
@@ -218,7 +249,7 @@ def fewshot_offset(spark, sf):
     count(*) FILTER (model_fewshot < model_uncorrected) AS n_helped, count(*) FILTER (model_fewshot < null_fewshot) AS n_beats_null FROM few GROUP BY k""",
 )
 def fewshot_macro(spark, sf):
-    return rounded(K.fewshot_macro(K.fewshot_offset(pred_view(spark, sf), KS, BK, 51)))
+    return rounded(K.fewshot_macro(K.fewshot_offset(pred_view(spark, sf), KS, FEW_DRAWS, 51)))
 
 
 @query(
@@ -227,7 +258,7 @@ def fewshot_macro(spark, sf):
     UNION ALL SELECT grp, 0, {r('avg(abs(pred - actual))')}, NULL, count(*) FROM v_pred GROUP BY grp HAVING count(*) >= 20""",
 )
 def calibration_curve(spark, sf):
-    return rounded(K.calibration_curve(pred_view(spark, sf), KS, BK, 52))
+    return rounded(K.calibration_curve(pred_view(spark, sf), KS, FEW_DRAWS, 52))
 
 
 PRIOR_COLS = ["mu0", "sigma2", "tau2_raw", "tau2", "mu0_y", "sigma2_y", "tau2_y_raw", "tau2_y"]
@@ -238,11 +269,11 @@ def eb_shrinkage_priors(spark, sf):
     return rounded(K.shrinkage_priors(pred_view(spark, sf)))
 
 
-EB = """eb AS (SELECT grp, k, max(n) AS n, max(w) AS w, max(w_u) AS w_raw_tau, max(w_y) AS w_y, max("offset") AS "offset", avg(offset_eval) AS offset_eval,
+EB = f"""eb AS (SELECT grp, k, max(n) AS n, max(w) AS w, max(w_u) AS w_raw_tau, max(w_y) AS w_y, max("offset") AS "offset", avg(offset_eval) AS offset_eval,
     avg(mae_uncorrected) AS m1, avg(mae_c_raw) AS m2, avg(mae_c_shrunk) AS m3, avg(mae_c_shrunk_raw_tau) AS m3_raw_tau, avg(mae_oracle) AS m4, avg(mae_y_raw) AS m5,
     avg(mae_y_shrunk) AS m6, avg(offset_error) AS err_unshrunk, avg(offset_error_shrunk) AS err_shrunk,
-    avg(CAST(mae_c_shrunk < mae_uncorrected AS INTEGER)) AS share_m3_lt_m1, avg(CAST(mae_c_shrunk < mae_c_raw AS INTEGER)) AS share_m3_lt_m2,
-    avg(CAST(mae_c_shrunk < mae_y_raw AS INTEGER)) AS share_m3_lt_m5, avg(CAST(mae_c_shrunk < mae_y_shrunk AS INTEGER)) AS share_m3_lt_m6,
+    avg(CAST(mae_c_shrunk < mae_uncorrected - {K.TIE} AS INTEGER)) AS share_m3_lt_m1, avg(CAST(mae_c_shrunk < mae_c_raw - {K.TIE} AS INTEGER)) AS share_m3_lt_m2,
+    avg(CAST(mae_c_shrunk < mae_y_raw - {K.TIE} AS INTEGER)) AS share_m3_lt_m5, avg(CAST(mae_c_shrunk < mae_y_shrunk - {K.TIE} AS INTEGER)) AS share_m3_lt_m6,
     CASE WHEN abs(max("offset")) < 2 THEN 'small' WHEN abs(max("offset")) < 5 THEN 'moderate' ELSE 'large' END AS offset_stratum FROM draws GROUP BY grp, k)"""
 EB_COLS = ["w", "w_raw_tau", "w_y", "offset", "offset_eval", "m1", "m2", "m3", "m3_raw_tau", "m4", "m5", "m6", "err_unshrunk", "err_shrunk",
            "share_m3_lt_m1", "share_m3_lt_m2", "share_m3_lt_m5", "share_m3_lt_m6"]
@@ -250,7 +281,7 @@ EB_COLS = ["w", "w_raw_tau", "w_y", "offset", "offset_eval", "m1", "m2", "m3", "
 
 @query("eb_shrinkage_offset", f"{V}, {few_sql(53, 10, True)}, {EB} SELECT grp, k, n, offset_stratum, {_cols(EB_COLS)} FROM eb")
 def eb_shrinkage_offset(spark, sf):
-    return rounded(K.eb_shrinkage_by_group(K.eb_shrinkage_draws(pred_view(spark, sf), KS, BK, 53)))
+    return rounded(K.eb_shrinkage_by_group(K.eb_shrinkage_draws(pred_view(spark, sf), KS, EB_DRAWS, 53)))
 
 
 def macro_sql(keys):
@@ -263,12 +294,12 @@ def macro_sql(keys):
 
 @query("eb_shrinkage_macro", f"{V}, {few_sql(53, 10, True)}, {EB} {macro_sql('k')}")
 def eb_shrinkage_macro(spark, sf):
-    return rounded(K.eb_shrinkage_macro(K.eb_shrinkage_by_group(K.eb_shrinkage_draws(pred_view(spark, sf), KS, BK, 53))))
+    return rounded(K.eb_shrinkage_macro(K.eb_shrinkage_by_group(K.eb_shrinkage_draws(pred_view(spark, sf), KS, EB_DRAWS, 53))))
 
 
 @query("offset_stratum", f"{V}, {few_sql(53, 10, True)}, {EB} {macro_sql('offset_stratum, k')}")
 def offset_stratum(spark, sf):
-    by = K.eb_shrinkage_by_group(K.eb_shrinkage_draws(pred_view(spark, sf), KS, BK, 53))
+    by = K.eb_shrinkage_by_group(K.eb_shrinkage_draws(pred_view(spark, sf), KS, EB_DRAWS, 53))
     return rounded(K.eb_shrinkage_macro(by, ["offset_stratum", "k"]))
 
 
@@ -279,7 +310,7 @@ def offset_stratum(spark, sf):
     SELECT grp, k, delta, count(*) AS n_draws, {', '.join(f"{r(f'quantile_cont(v, {p})')} AS {n}" for n, p in K.DRAW_QUANTILES.items())} FROM w GROUP BY grp, k, delta""",
 )
 def eb_draw_distribution(spark, sf):
-    return rounded(K.eb_draw_distribution(K.eb_shrinkage_draws(pred_view(spark, sf), KS, BK, 53)))
+    return rounded(K.eb_draw_distribution(K.eb_shrinkage_draws(pred_view(spark, sf), KS, EB_DRAWS, 53)))
 
 
 # --- group calibrator, percentile maps --------------------------------------------------------------------
@@ -341,40 +372,34 @@ def percentile_map_isotonic(spark, sf):
     return rounded(K.percentile_map_isotonic(pred_view(spark, sf)).select("id", "grp", "q_true", "q_hat"))
 
 
-@query("percentile_map_logistic")
-def percentile_map_logistic(spark, sf):
-    """No SQL: iterative."""
-    return rounded(K.percentile_map_logistic(pred_view(spark, sf)).select("id", "grp", "event", "p_hat"), 4)
+#: Newton steps that the SQL writes out.
+SQL_STEPS = 12
 
 
-# --- the counts of the source material ---------------------------------------------------------------------
+def logistic_sql() -> str:
+    steps = ["b0 AS (SELECT DISTINCT grp, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM ev)"]
+    for k in range(1, SQL_STEPS + 1):
+        steps.append(f"""b{k} AS (SELECT grp, a + (hxx * g0 - hx * g1) / (h * hxx - hx * hx) AS a, b + (h * g1 - hx * g0) / (h * hxx - hx * hx) AS b FROM (
+          SELECT f.grp, any_value(a) AS a, any_value(b) AS b, sum(w * (e - mu)) AS g0, sum(w * (e - mu) * x) AS g1, sum(w * mu * (1 - mu)) AS h,
+            sum(w * mu * (1 - mu) * x) AS hx, sum(w * mu * (1 - mu) * x * x) AS hxx
+          FROM (SELECT f.grp, a, b, e, x, w, 1 / (1 + exp(-(a + b * x))) AS mu FROM ev JOIN b{k - 1} f ON ev.grp <> f.grp) f GROUP BY f.grp))""")
+    return f"""{V}, {QT}, ev AS (SELECT id, qt.grp, q, CAST(q > 0.75 AS DOUBLE) AS e, (pred - m) / s AS x, 1.0::DOUBLE / n AS w FROM qt
+      JOIN (SELECT grp, count(*) AS n FROM qt GROUP BY grp) c ON qt.grp = c.grp, (SELECT avg(pred) AS m, stddev_pop(pred) AS s FROM qt)),
+    {', '.join(steps)}
+    SELECT id, ev.grp, e AS event, {r('1 / (1 + exp(-(a + b * x)))', 4)} AS p_hat FROM ev JOIN b{SQL_STEPS} f ON ev.grp = f.grp"""
 
-#: The same queries with the replicates and draws of the source material (500 to 10,000; 200 and 1,000), the operators' own counts. The
-#: queries above run B and BK of them, as their SQL does; these have no SQL, which would take rows times replicates in one process.
-FEW_DRAWS, EB_DRAWS = 200, 1000
 
-
-def _eb_full(spark, sf):
-    return K.eb_shrinkage_draws(pred_view(spark, sf), KS, EB_DRAWS, 53)
+@query("percentile_map_logistic", logistic_sql())
+def percentile_map_logistic(spark, sf):
+    return rounded(K.percentile_map_logistic(pred_view(spark, sf)).select("id", "grp", "event", "p_hat"), 4)
 
 
-FULL = {
-    "permutation_test_mae": lambda spark, sf: R.permutation_test_mae(pred_view(spark, sf), seed=31),
-    "permutation_test_spearman": lambda spark, sf: R.permutation_test_spearman(pred_view(spark, sf).withColumn("pred", F.col("covariate")), seed=32),
-    "bootstrap_pairs_ci": lambda spark, sf: R.bootstrap_pairs_ci(pred_view(spark, sf), seed=41),
-    "bootstrap_stratified": lambda spark, sf: R.bootstrap_stratified(pred_view(spark, sf), pred_view_b(spark, sf), seed=42),
-    "bootstrap_auc_by_class": lambda spark, sf: R.bootstrap_auc_by_class(pred_view(spark, sf), "pred", F.col("actual") >= CUT, seed=43),
-    "bootstrap_group_means": lambda spark, sf: R.bootstrap_group_means(P.paired_run_merge(pred_view(spark, sf), pred_view_b(spark, sf)), "d_mae", seed=44),
-    "bootstrap_cluster": lambda spark, sf: R.bootstrap_cluster(pred_view(spark, sf), ["actual", "pred"], seed=45),
-    "fewshot_macro": lambda spark, sf: K.fewshot_macro(K.fewshot_offset(pred_view(spark, sf), KS, FEW_DRAWS, 51)),
-    "calibration_curve": lambda spark, sf: K.calibration_curve(pred_view(spark, sf), KS, FEW_DRAWS, 52),
-    "eb_shrinkage_offset": lambda spark, sf: K.eb_shrinkage_by_group(_eb_full(spark, sf)),
-    "eb_shrinkage_macro": lambda spark, sf: K.eb_shrinkage_macro(K.eb_shrinkage_by_group(_eb_full(spark, sf))),
-    "offset_stratum": lambda spark, sf: K.eb_shrinkage_macro(K.eb_shrinkage_by_group(_eb_full(spark, sf)), ["offset_stratum", "k"]),
-    "eb_draw_distribution": lambda spark, sf: K.eb_draw_distribution(_eb_full(spark, sf)),
-}
-for _name, _run in FULL.items():
-    query(f"{_name}_full")(lambda spark, sf, run=_run: rounded(run(spark, sf)))
+# The names under which the whole counts were registered first.
+for _name in (
+    "permutation_test_mae", "permutation_test_spearman", "bootstrap_pairs_ci", "bootstrap_stratified", "bootstrap_auc_by_class", "bootstrap_group_means",
+    "bootstrap_cluster", "fewshot_macro", "calibration_curve", "eb_shrinkage_offset", "eb_shrinkage_macro", "offset_stratum", "eb_draw_distribution",
+):
+    query(f"{_name}_full", ORACLES.get(_name))(QUERIES[_name])
 
 
 # --- gene sets --------------------------------------------------------------------------------------------

@@ -1,9 +1,10 @@
-"""Column expressions shared by the operators. All of them stay in the JVM."""
+"""Column expressions shared by the operators. All of them stay in the JVM; ``mixed_array`` is the NumPy twin of ``mixed``."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,6 +117,31 @@ def draw_number(seed: str | int, *ids: str | Column) -> Column:
     return F.conv(F.substring(draw_key(seed, *ids), 1, 8), 16, 10).cast("long")
 
 
+#: Resolution of ``mixed``: the largest prime below 2^31. Products with the multipliers stay below 2^63, so no engine overflows.
+DRAW_RANGE = (1 << 31) - 1
+# Multipliers of the published minimal-standard generators, and shifts.
+MIX_STEPS = ((48271, 15), (69621, 14), (16807, 13))
+
+
+def mixed(x: str | Column) -> Column:
+    """A reproducible number in [0, 2^31) from a nonnegative integer below 2^32: cheap enough for one per draw."""
+    x = col(x)
+    for factor, shift in MIX_STEPS:
+        x = (x + 1) * F.lit(factor).cast("long") % DRAW_RANGE
+        x = x.bitwiseXOR(F.shiftright(x, shift))
+    return x
+
+
+def mixed_array(x: np.ndarray) -> np.ndarray:
+    """``mixed`` of an array of 64-bit integers."""
+    for factor, shift in MIX_STEPS:
+        x = (x + 1) * factor
+        x = (x & DRAW_RANGE) + (x >> 31)
+        x -= DRAW_RANGE * (x >= DRAW_RANGE)
+        x ^= x >> shift
+    return x
+
+
 def parse_barcode(c: str | Column) -> Column:
     """Struct (patient, key, kind) of a barcode; NULL when it does not have the format."""
     c = col(c)

@@ -7,15 +7,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heldout.functions.scalars import draw_key, finite, offset_stratum
+from heldout.functions.scalars import finite, offset_stratum
+from heldout.operators.fold_fits import fold_isotonic, fold_logistic, interpolate
 from heldout.operators.metrics import pairs
-from heldout.operators.ranking import apply_isotonic, group_weights, isotonic_weighted, within_group_percentile
-from heldout.operators.resampling import replicates
+from heldout.operators.ranking import group_weights, within_group_percentile
+from heldout.operators.resampling import first_rows
 from heldout.operators.cohort import logo_prior_join
 from heldout.plans.skew import Profile, attach, cumulate, null_safe_join, profile, quantiles, spread
 from heldout.plans.storage import materialise
@@ -48,14 +47,9 @@ def sum_abs_deviation(
 
 
 def labelled_draws(df: DataFrame, ks: Sequence[int], b: int, seed: int, group: str = "grp", unit: str = "id") -> DataFrame:
-    """The k labelled rows of every (group, k, replicate): the first k in the replicate's hash order.
-
-    Only the largest k rows per group and replicate leave a task (a limited window), however large the group is.
-    """
-    keyed = replicates(df.select(group, unit, "r", "actual"), b).withColumn("_h", draw_key(seed, "b", unit))
-    w = Window.partitionBy("b", group).orderBy("_h", unit)
-    shots = keyed.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max(ks))
-    wide = F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: k >= F.col("_rn"))
+    """The k labelled rows of every (group, k, replicate): the first k in the replicate's hash order."""
+    shots = first_rows(df, b, group, max(ks), ["r", "actual"], seed, unit)
+    wide = F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: k >= F.col("_turn"))
     return shots.select(group, "b", "r", "actual", F.explode(wide).alias("k"))
 
 
@@ -185,9 +179,16 @@ def eb_shrinkage_draws(df: DataFrame, ks: Sequence[int], b: int, seed: int = 0,
     return fewshot_draws(df, ks, b, seed, min_eval, group, shrinkage_priors(df, group))
 
 
+#: Errors that differ by less are equal.
+TIE = 1e-9
+
+
 def eb_shrinkage_by_group(draws: DataFrame, group: str = "grp") -> DataFrame:
-    """Mean over replicates of the six estimators, offset errors and win shares, with the offset stratum."""
-    less = lambda a, c: F.avg((F.col(a) < F.col(c)).cast("double"))
+    """Mean over replicates of the six estimators, offset errors and win shares, with the offset stratum.
+
+    Errors often tie exactly (a mean absolute error is flat between neighbouring rows); a win is a difference beyond rounding, ``TIE``.
+    """
+    less = lambda a, c: F.avg((F.col(a) < F.col(c) - TIE).cast("double"))
     return draws.groupBy(group, "k").agg(
         F.max("n").alias("n"), F.max("w").alias("w"), F.max("w_u").alias("w_raw_tau"), F.max("w_y").alias("w_y"), F.max("offset").alias("offset"),
         F.avg("offset_eval").alias("offset_eval"),
@@ -360,32 +361,18 @@ def percentile_map_linear(df: DataFrame, group: str = "grp") -> DataFrame:
     return out.select(*df.columns, "q_true", "slope", "intercept", _clip01(F.col("intercept") + F.col("slope") * x).alias("q_hat"))
 
 
-def _each_group(rows: DataFrame, group: str, fit_predict) -> DataFrame:
-    out = None
-    for (g,) in rows.select(group).distinct().orderBy(group).collect():
-        part = fit_predict(rows.filter(F.col(group) != g), rows.filter(F.col(group) == g))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def percentile_map_isotonic(df: DataFrame, group: str = "grp") -> DataFrame:
-    """The same with a monotone map: one weighted isotonic fit per left-out group."""
+    """The same with a monotone map: the weighted isotonic fits of all left-out groups from one pooling of the cells."""
     rows = materialise(percentile_rows(df, group))
-
-    def one(source, target):
-        return apply_isotonic(isotonic_weighted(source, "pred", "q_true", "weight"), target, "pred", "_q")
-
-    return _each_group(rows, group, one).select(*df.columns, "q_true", _clip01(F.col("_q")).alias("q_hat"))
+    knots = fold_isotonic(rows, "pred", "q_true", "weight", group)
+    return interpolate(rows, knots, "pred", "_q", group).select(*df.columns, "q_true", _clip01(F.col("_q")).alias("q_hat"))
 
 
 def percentile_map_logistic(df: DataFrame, top: float = 0.75, group: str = "grp") -> DataFrame:
-    """Probability of the top quartile from a weighted logistic fit on the other groups."""
+    """Probability of the top quartile from weighted logistic fits on the other groups, all fitted together."""
     rows = materialise(percentile_rows(df, group)).withColumn("event", (F.col("q_true") > top).cast("double"))
-    rows = rows.withColumn("_x", array_to_vector(F.array("pred")))
-
-    def one(source, target):
-        model = LogisticRegression(featuresCol="_x", labelCol="event", weightCol="weight", regParam=0.0, tol=1e-9).fit(source)
-        return model.transform(target).withColumn("p_hat", F.get(vector_to_array("probability"), F.lit(1)))
-
-    return _each_group(rows, group, one).select(*df.columns, "q_true", "event", "p_hat")
-
+    fits = fold_logistic(rows, ["pred"], "event", "weight", group)
+    lines = [(fold, float(b[0]), float(b[1])) for fold, b in fits.items() if fold is not None]
+    table = df.sparkSession.createDataFrame(lines, f"{group} string, _a double, _b double")
+    out = attach(rows, table, [group], len(lines))
+    return out.select(*df.columns, "q_true", "event", (1 / (1 + F.exp(-(F.col("_a") + F.col("_b") * F.col("pred"))))).alias("p_hat"))

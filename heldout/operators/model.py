@@ -14,17 +14,17 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heldout.operators.cohort import within_group_pairs
+from heldout.operators.fold_fits import PairFits, fold_names, fold_scales
 from heldout.operators.metrics import metric_columns
 from heldout.operators.ranking import (
-    argmin_row, calibration_knots, group_weights, relative_target, stratified_holdout,
+    argmin_row, bracket_interpolate, calibration_knots, relative_target, stratified_holdout,
 )
 from heldout.plans.skew import attach, order_statistic, profile, quantiles
 from heldout.plans.storage import materialise
@@ -474,57 +474,62 @@ def elastic_net_fit(rows: DataFrame, alpha: float, lam: float, weight: str | Non
 
 
 def pair_differences(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Feature differences x_i - x_j of sampled pairs with equal total weight per group."""
+    """Feature differences x_i - x_j of sampled pairs."""
     x = rows.select("id", F.col("x").alias("_x"))
     j = pairs.join(x.withColumnRenamed("_x", "_xi"), pairs["i"] == x["id"]).drop("id")
     j = j.join(x.withColumnRenamed("_x", "_xj"), j["j"] == x["id"]).drop("id")
-    diff = F.zip_with("_xi", "_xj", lambda a, b: a - b)
-    return group_weights(j.select("grp", "i", "j", "outcome", diff.alias("x")))
+    return j.select(F.col("grp").cast("string").alias("grp"), "outcome", F.zip_with("_xi", "_xj", lambda a, b: a - b).alias("x"))
 
 
 def pairwise_rank_fit(
-    rows: DataFrame, pairs_per_row: int = 3, alphas: Sequence[float] = (0.5,), lambdas: Sequence[float] = (0.05, 0.005), seed: int = 0,
+    rows: DataFrame, pairs_per_row: int = 3, alphas: Sequence[float] = ALPHAS, steps: int = STEPS, lambdas: Sequence[float] | None = None, seed: int = 0,
+    rescale: bool = True,
 ) -> dict:
-    """Ranker from within-group pairs: penalised logistic regression on differences, no intercept.
+    """Ranker from within-group pairs: penalised logistic regression on differences, no intercept, equal total weight per group.
 
-    Tuned by leave-one-group-out pair error, macro over groups. ``rows`` are standardised (id, grp, y, x).
+    Tuned over the whole grid by leave-one-group-out pair error, macro over groups; the first in (alpha, path) order on ties. The
+    penalty path comes from all pairs (or is given). ``rows`` are standardised (id, grp, y, x); ``rescale`` learns the scale of the features anew from each
+    fold's training rows. All folds and grid points are fitted together (``PairFits``).
+
+    Returns model (coefficients), alpha, lambda, tuning, pairs, scores (each sample by the fit that left its group out) and knots (the
+    percentile curve of these scores).
     """
     pairs = within_group_pairs(rows, pairs_per_row, value="y", seed=seed)
-    data = materialise(pair_differences(rows, pairs)).select("grp", "outcome", "weight", array_to_vector("x").alias("features"))
-    data = data.persist()
-    groups = [r[0] for r in data.select("grp").distinct().orderBy("grp").collect()]
-
-    def fit(d, a, lam):
-        lr = LogisticRegression(
-            labelCol="outcome", weightCol="weight", fitIntercept=False, standardization=False, elasticNetParam=a, regParam=lam, maxIter=50
-        )
-        return lr.fit(d)
-
-    grid = []
-    for a in alphas:
-        for lam in lambdas:
-            errors = None
-            for g in groups:
-                model = fit(data.filter(F.col("grp") != g), a, lam)
-                err = model.transform(data.filter(F.col("grp") == g)).agg(
-                    F.lit(g).alias("grp"), F.avg((F.col("prediction") != F.col("outcome")).cast("double")).alias("pair_error")
-                )
-                errors = err if errors is None else errors.unionByName(err)
-            grid.append((float(a), float(lam), errors.agg(F.avg("pair_error")).first()[0]))
-    best = min(grid, key=lambda t: t[2])
-    model = fit(data, best[0], best[1])
-    data.unpersist()
-    tuning = rows.sparkSession.createDataFrame(grid, "alpha double, lambda double, macro_pair_error double")
-    return {"model": model, "tuning": tuning, "pairs": pairs, "alpha": best[0], "lambda": best[1]}
-
-
-def pairwise_predict(model, rows: DataFrame) -> DataFrame:
-    """Raw relative score beta'x per sample; no cohort statistic is needed."""
-    beta = model.coefficients.toArray().tolist()
-    dot = F.aggregate(
-        F.zip_with("x", F.array(*[F.lit(b) for b in beta]), lambda v, b: v * b), F.lit(0.0), lambda acc, t: acc + t
-    )
-    return rows.select("id", "grp", "y", dot.alias("relative_score"))
+    data = materialise(pair_differences(rows, pairs), "pairs")
+    folds = fold_names(data)
+    scales = fold_scales(rows, folds)
+    if not rescale:
+        scales = np.ones_like(scales)
+    fits = PairFits(data, folds, scales)
+    last = len(folds) - 1
+    mean = data.agg(*[F.avg((F.col("outcome") - 0.5) * F.get("x", F.lit(k))).alias(f"g{k}") for k in range(scales.shape[1])]).first()
+    cxy = np.array(mean, float) / scales[last]
+    grid = [(float(a), i, float(lam)) for a in alphas for i, lam in enumerate(lambdas if lambdas is not None else _path(cxy, a, steps))]
+    fold = np.repeat(np.arange(len(folds)), len(grid))
+    alpha, lam = (np.tile([point[c] for point in grid], len(folds)) for c in (0, 2))
+    beta = fits.solve(fold, lam * alpha, lam * (1 - alpha))
+    errors = fits.pair_errors(beta, fold).reshape(len(folds), len(grid))
+    loss = np.nanmean(errors[:last], axis=0)
+    best = int(np.argmin(loss))
+    raw = (beta / scales[fold]).reshape(len(folds), len(grid), -1)[:, best]
+    spark = rows.sparkSession
+    tuning = spark.createDataFrame([(a, i, s, float(e)) for (a, i, s), e in zip(grid, loss)], "alpha double, step int, lambda double, macro_pair_error double")
+    own = spark.createDataFrame([(f, raw[k].tolist()) for k, f in enumerate(folds) if f is not None], "grp string, _b array<double>")
+    scored = attach(rows, own, ["grp"], last).select("id", "grp", "y", _dot("x", F.col("_b")).alias("relative_score"))
+    return {
+        "model": raw[last].tolist(), "alpha": grid[best][0], "lambda": grid[best][2], "tuning": tuning, "pairs": pairs, "scores": scored,
+        "knots": calibration_knots(scored, "relative_score"),
+    }
+
+
+def _dot(x: str, beta: Column) -> Column:
+    return F.aggregate(F.zip_with(x, beta, lambda v, b: v * b), F.lit(0.0), lambda acc, t: acc + t)
+
+
+def pairwise_predict(model: Sequence[float], rows: DataFrame, knots: DataFrame | None = None) -> DataFrame:
+    """Raw relative score beta'x per sample, with its percentile if ``knots`` are given; no cohort statistic is needed."""
+    out = rows.select("id", "grp", "y", _dot("x", F.array(*[F.lit(float(b)) for b in model])).alias("relative_score"))
+    return out if knots is None else bracket_interpolate(out, knots, "relative_score", "percentile")
 
 
 def null_control_labels(rows: DataFrame, mode: str = "within_group", seed: int = 0, label: str = "y") -> DataFrame:

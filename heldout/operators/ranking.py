@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heldout.functions.scalars import draw_key, qnorm
+from heldout.operators.fold_fits import fold_isotonic, interpolate
 from heldout.plans.skew import (
     attach, broadcast_rows, cumulate, group_attach, hot_rows, midrank, null_safe_join, number_rows, profile, quantiles,
 )
@@ -183,19 +183,16 @@ def bracket_interpolate(df: DataFrame, knots: DataFrame, x: str, out: str, knot_
     return rows.withColumn(out, value).drop("_k")
 
 
-def isotonic_weighted(df: DataFrame, x: str, y: str, weight: str):
-    """Weighted non-decreasing fit of y on x as a Spark ML model; equal x values are pooled by weight first.
+def isotonic_weighted(df: DataFrame, x: str, y: str, weight: str) -> DataFrame:
+    """Knots of the weighted non-decreasing fit of y on x; equal x values are pooled by weight first, rows without weight take no part.
 
     ``apply_isotonic`` predicts by linear interpolation, flat outside the range.
     """
-    pooled = df.groupBy(x).agg(
-        (F.sum(F.col(y) * F.col(weight)) / F.sum(weight)).alias("label"), F.sum(weight).alias("weight")
-    ).withColumnRenamed(x, "features")
-    return IsotonicRegression(weightCol="weight").fit(pooled)
+    return fold_isotonic(df, x, y, weight, group=None)
 
 
-def apply_isotonic(model, df: DataFrame, x: str, out: str) -> DataFrame:
-    return model.setFeaturesCol(x).setPredictionCol(out).transform(df)
+def apply_isotonic(knots: DataFrame, df: DataFrame, x: str, out: str) -> DataFrame:
+    return interpolate(df, knots, x, out)
 
 
 def argmin_row(df: DataFrame, keys: Sequence[str], loss: str, order: Sequence[str]) -> DataFrame:

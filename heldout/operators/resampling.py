@@ -1,19 +1,40 @@
 """Permutation and bootstrap operators with hash-ordered draws.
 
-The order of ``md5(seed:replicate:id)`` replaces a random stream: the same rows are drawn after a task is rerun.
-A replicate is a key like any other, so replicates spread over the cluster, and groups too large for one task are
-numbered in slices (``plans.skew``).
+Hashes of seed, replicate and row replace a random stream: the same rows are drawn after a task is rerun.
+
+**Bootstrap.** A stratum of n rows has slices of at most ``SLICE`` rows. How many of a replicate's n draws fall into each slice is a multinomial
+split, made by halving: a seeded tree of binomials over the slices, whose path to its slice every task follows on its own (``slice_draws``).
+Inside the slice each draw is a hash. A task turns its rows into a multiplicity matrix (replicates by rows, a block at a time) and hands on
+weighted sums or finished statistics per replicate (``resampled``), so rows times replicates never pass a shuffle.
+
+**Permutation.** A task has the rows of a group as arrays, orders them anew for every replicate, and hands on sums per replicate.
+
+Statistics that need ranks of a whole stratum, and permutations of a whole group, do this while the stratum fits a task (``hotRows``); beyond that
+the same draws are made as rows and numbered in slices (``drawn``, ``permuted_replicates``), with the same results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from heldout.functions.scalars import DRAW_RANGE, draw_key, draw_number, mixed, mixed_array, safe_corr
+from heldout.plans.skew import (
+    Profile, group_attach, hot_rows, midranks, null_safe_join, number_rows, profile, spread, value_cells,
+)
 
-from heldout.functions.scalars import draw_key, draw_number, safe_corr
-from heldout.plans.skew import Profile, group_attach, hot_rows, midranks, null_safe_join, number_rows, profile, spread, value_cells
+#: Rows of a stratum whose draws are made together.
+SLICE = 1 << 16
+#: Replicates that share one stream of the slice tree, and that a task may be given at least.
+BLOCK = 256
+#: Cells of a multiplicity matrix in memory.
+CELLS = 1 << 22
 
 
 def replicates(df: DataFrame, b: int) -> DataFrame:
@@ -42,15 +63,109 @@ def permuted_replicates(df: DataFrame, b: int, group: str = "grp", value: str =
     df = spread(df.select(group, unit, value, *carry), like)
     base = number_rows(df.withColumn("_h", draw_key(f"{seed}a", unit)), [group], ["_h", unit], "_rn", like)
     takers = replicates(base.select(group, "_rn", *carry), b)
-    donors = replicates(df.select(group, F.col(unit).alias("_u"), F.col(value).alias("value_perm")), b)
-    donors = number_rows(donors.withColumn("_h", draw_key(seed, "b", "_u")), ["b", group], ["_h", "_u"], "_rn", like.times(b))
+    donors = replicates(base.select(group, F.col("_rn").alias("_u"), F.col(value).alias("value_perm"), stratum_key(seed, [group]).alias("_k")), b)
+    donors = donors.withColumn("_k", mixed(F.col("_k") + F.col("b"))).withColumn("_h", mixed(F.col("_k") + F.col("_u")))
+    donors = number_rows(donors, ["b", group], ["_h", "_u"], "_rn", like.times(b))
     return null_safe_join(takers, donors.select("b", group, "_rn", "value_perm"), ["b", group, "_rn"])
 
 
+def permuted_sums(
+    df: DataFrame, b: int, group: str, value: str, other: str, sums: Sequence[tuple[str, Callable]], seed: int = 0, unit: str = "id",
+) -> DataFrame:
+    """(b, sums...): totals over all rows of functions of (value shuffled inside its group, other), for each replicate.
+
+    ``sums``: name, a function of two NumPy arrays or of two columns alike.
+    """
+    like = profile(df, [group])
+    names = [n for n, _ in sums]
+    if like.largest > hot_rows(df.sparkSession):
+        rows = permuted_replicates(df, b, group, value, [other], seed, unit)
+        return rows.groupBy("b").agg(*[F.sum(f(F.col("value_perm"), F.col(other))).alias(n) for n, f in sums])
+    rows = df.select(group, unit, F.col(value).cast("double").alias("_v"), F.col(other).cast("double").alias("_o"))
+    rows = number_rows(rows.withColumn("_h", draw_key(f"{seed}a", unit)), [group], ["_h", unit], "_rn", like)
+    rows = rows.select(stratum_key(seed, [group]).alias("_k"), F.col(group).alias("_g"), "_rn", "_v", "_o")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        rn = table.column("_rn").to_numpy()
+        order = np.argsort(rn)
+        v, o = (table.column(c).to_numpy()[order] for c in ("_v", "_o"))
+        rn, stratum = rn[order], table.column("_k")[0].as_py()
+        out = np.empty((len(key[1]), len(sums)))
+        for i, replicate in enumerate(key[1]):
+            # The row numbered r takes the value of the row that is r-th by hash.
+            giving = np.argsort(mixed_array(mixed_array(np.array([stratum + replicate])) + rn), kind="stable")
+            out[i] = [float(np.sum(f(v[giving], o))) for _, f in sums]
+        return pa.table({"b": pa.array(key[1], pa.int32()), **{n: out[:, c] for c, n in enumerate(names)}})
+
+    kind = T.StructType.fromDDL("b int, " + ", ".join(f"{n} double" for n in names))
+    parts = _in_lanes(rows, ["_g"], b, like.groups, run, kind)
+    return parts.groupBy("b").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def first_rows(df: DataFrame, b: int, group: str, k: int, cols: Sequence[str], seed: int = 0, unit: str = "id") -> DataFrame:
+    """The first ``k`` rows of each group in the hash order of every replicate: (b, group, _turn from 1, cols...), cols as doubles."""
+    like = profile(df, [group])
+    rows = df.select(group, unit, *[F.col(c).cast("double").alias(c) for c in cols])
+    rows = number_rows(rows.withColumn("_h", draw_key(f"{seed}a", unit)), [group], ["_h", unit], "_rn", like).drop("_h", unit)
+    rows = rows.withColumn("_k", stratum_key(seed, [group]))
+    if like.largest > hot_rows(df.sparkSession):
+        each = replicates(rows, b).withColumn("_start", mixed(F.col("_k") + F.col("b"))).withColumn("_h", mixed(F.col("_start") + F.col("_rn")))
+        # A limited window: only k rows per group and replicate leave a task.
+        turn = F.row_number().over(Window.partitionBy("b", group).orderBy("_h", "_rn"))
+        return each.withColumn("_turn", turn).filter(F.col("_turn") <= k).select("b", group, "_turn", *cols)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        rn, stratum = table.column("_rn").to_numpy(), table.column("_k")[0].as_py()
+        order = np.argsort(rn)
+        rn, n = rn[order], min(k, len(rn))
+        first = np.empty((len(key[1]), n), np.int64)
+        for i, start in enumerate(mixed_array(np.array(key[1]) + stratum)):
+            h = mixed_array(rn + start)
+            near = np.flatnonzero(h <= np.partition(h, n - 1)[n - 1])
+            first[i] = order[near[np.argsort(h[near], kind="stable")[:n]]]
+        taken = table.take(pa.array(first.ravel()))
+        turns = {"b": np.repeat(np.array(key[1], np.int32), n), "_turn": np.tile(np.arange(1, n + 1, dtype=np.int32), len(key[1]))}
+        return pa.table({"b": turns["b"], group: taken.column(group), "_turn": turns["_turn"], **{c: taken.column(c) for c in cols}})
+
+    double = T.DoubleType()
+    fields = [T.StructField("b", T.IntegerType()), rows.schema[group], T.StructField("_turn", T.IntegerType()), *[T.StructField(c, double) for c in cols]]
+    return _in_lanes(rows, [group], b, like.groups, run, T.StructType(fields))
+
+
+def stratum_key(seed: int, strata: Sequence[str]) -> Column:
+    """The number from which the draws of a stratum follow."""
+    return draw_number(f"{seed}s", *(strata or [F.lit("all")])) % DRAW_RANGE
+
+
+def lanes_of(b: int, units: int, cores: int) -> list[range]:
+    """The replicates 1..b in runs of whole blocks: so many that units times runs keep all cores busy, one at least."""
+    blocks = math.ceil(b / BLOCK)
+    lanes = min(blocks, max(1, math.ceil(4 * cores / max(units, 1))))
+    step = math.ceil(blocks / lanes) * BLOCK
+    return [range(k + 1, min(k + step, b) + 1) for k in range(0, b, step)]
+
+
+def _in_lanes(rows: DataFrame, keys: Sequence[str], b: int, units: int, run: Callable, kind: T.StructType) -> DataFrame:
+    """Give the rows of each key to a task with (key, its replicates): a unit is copied once per lane, not once per replicate."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    lanes = lanes_of(b, units, cores)
+    dealt = rows.withColumn("_lane", F.explode(F.sequence(F.lit(0), F.lit(len(lanes) - 1)))) if len(lanes) > 1 else rows.withColumn("_lane", F.lit(0))
+    tasks = min(units * len(lanes), max(4 * cores, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = dealt.repartition(max(tasks, 1), *keys, "_lane")
+
+    def each(key: tuple, table: pa.Table) -> pa.Table:
+        return run((key[:-1], lanes[key[-1].as_py()]), table)
+
+    return dealt.groupBy(*keys, "_lane").applyInArrow(each, kind)
+
+
+
 def permutation_test_mae(df: DataFrame, b: int = 1000, seed: int = 0, group: str = "grp") -> DataFrame:
     """Observed MAE against the MAE of labels shuffled inside groups: median, 5% point and p = (1 + #{<=}) / (b + 1)."""
     known = df.dropna(subset=["actual", "pred"])
-    null = permuted_replicates(known, b, group, seed=seed).groupBy("b").agg(F.avg(F.abs(F.col("value_perm") - F.col("pred"))).alias("null_mae"))
+    sums = permuted_sums(known, b, group, "actual", "pred", [("off", lambda v, o: abs(v - o) if isinstance(v, np.ndarray) else F.abs(v - o))], seed)
+    size = known.agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
+    null = sums.withColumn("_one", F.lit(1)).join(F.broadcast(size), "_one").select("b", (F.col("off") / F.col("_n")).alias("null_mae"))
     obs = known.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("actual") - F.col("pred"))).alias("observed_mae")).withColumn("_one", F.lit(1))
     j = null.withColumn("_one", F.lit(1)).join(F.broadcast(obs), "_one")
     return j.agg(
@@ -70,7 +185,12 @@ def permutation_test_spearman(df: DataFrame, b: int = 500, seed: int = 0, group:
     """
     known = df.dropna(subset=["actual", "pred"])
     ranked = midranks(known, [], {"_ra": "actual", "_rp": "pred"})
-    null = permuted_replicates(ranked, b, group, "_ra", ["_rp"], seed).groupBy("b").agg(safe_corr("value_perm", "_rp").alias("null_rho"))
+    middle = ranked.agg(((F.count(F.lit(1)) + 1) / F.lit(2.0)).alias("_mid")).withColumn("_one", F.lit(1))
+    centred = ranked.withColumn("_one", F.lit(1)).join(F.broadcast(middle), "_one")
+    centred = centred.select(group, "id", (F.col("_ra") - F.col("_mid")).alias("_ca"), (F.col("_rp") - F.col("_mid")).alias("_cp"))
+    products = [("xy", lambda v, o: v * o), ("xx", lambda v, o: v * v), ("yy", lambda v, o: o * o)]
+    sums = permuted_sums(centred, b, group, "_ca", "_cp", products, seed)
+    null = sums.select("b", F.try_divide("xy", F.sqrt(F.col("xx") * F.col("yy"))).alias("null_rho"))
     obs = ranked.agg(F.count(F.lit(1)).alias("n"), safe_corr("_ra", "_rp").alias("_rho"), (F.min("pred") == F.max("pred")).alias("_flat")).withColumn("_one", F.lit(1))
     j = null.withColumn("_one", F.lit(1)).join(F.broadcast(obs), "_one")
     out = j.agg(
@@ -104,20 +224,160 @@ def shuffled_score_control(df: DataFrame, seed: int = 0, group: str = "grp") ->
     return ranked.agg(F.count(F.lit(1)).alias("n"), safe_corr("_a", "_b").alias("control_rho"))
 
 
-def drawn(df: DataFrame, b: int, strata: Sequence[str], cols: Sequence[str], seed: int = 0, unit: str = "id") -> DataFrame:
+def slice_draws(key: int, sizes: Sequence[int], replicate: range, block: int | None = None) -> np.ndarray:
+    """How many draws fall into each slice of a stratum, for replicates of whole blocks: (replicates, slices).
+
+    The draws of a replicate are halved down a tree of the slices by binomials. A node's stream depends on the stratum, the node and the
+    block of replicates alone, so every task that needs a slice finds the same numbers.
+    """
+    block = block or BLOCK
+    ends = np.cumsum([0, *sizes])
+    out = np.empty((len(replicate), len(sizes)), np.int64)
+    first = (replicate[0] - 1) // block
+    whole = math.ceil(len(replicate) / block) * block
+
+    def halve(draws: np.ndarray, low: int, high: int) -> None:
+        if high - low == 1:
+            out[:, low] = draws[: len(replicate)]
+            return
+        middle = (low + high) // 2
+        share = (ends[middle] - ends[low]) / (ends[high] - ends[low])
+        left = np.concatenate([
+            np.random.Generator(np.random.PCG64([key, low, high, first + k])).binomial(draws[k * block : (k + 1) * block], share) for k in range(whole // block)
+        ])
+        halve(left, low, middle)
+        halve(draws - left, middle, high)
+
+    halve(np.full(whole, ends[-1], np.int64), 0, len(sizes))
+    return out
+
+
+def slice_sizes(n: int, limit: int | None = None) -> list[int]:
+    """Rows of the slices of a stratum of n rows."""
+    limit = limit or SLICE
+    return [min(limit, n - k) for k in range(0, n, limit)]
+
+
+def multiplicities(key: int, part: int, size: int, draws: np.ndarray, replicate: Sequence[int]) -> np.ndarray:
+    """How often each row of a slice is drawn: (replicates, rows)."""
+    starts = mixed_array(np.asarray(replicate, np.int64) + (key + part))
+    which = np.repeat(np.arange(len(starts)), draws)
+    turn = np.arange(len(which)) - np.repeat(np.cumsum(draws) - draws, draws)
+    picks = mixed_array(starts[which] + turn) * size >> 31
+    return np.bincount(which * size + picks, minlength=len(starts) * size).reshape(len(starts), size)
+
+
+def _blocks(rows: int, replicate: range, draws: np.ndarray) -> Iterator[tuple[slice, Sequence[int], np.ndarray]]:
+    """Replicates whose multiplicities fit in memory together."""
+    step = max(1, CELLS // max(rows, 1))
+    for k in range(0, len(replicate), step):
+        yield slice(k, k + step), replicate[k : k + step], draws[k : k + step]
+
+
+def _numbered(df: DataFrame, strata: Sequence[str], cols: Sequence[str], seed: int, unit: str, like: Profile) -> DataFrame:
+    """Rows with their number in the stratum's hash order from 0 (_rn), the stratum's size (_n) and key (_k)."""
+    rows = df.select(*strata, unit, *[c for c in cols if c not in strata]).withColumn("_h", draw_key(seed, unit))
+    rows = number_rows(rows, strata, ["_h", unit], "_rn", like).withColumn("_rn", F.col("_rn") - 1).drop("_h", unit)
+    return group_attach(rows, strata, [F.count(F.lit(1)).alias("_n")], like).withColumn("_k", stratum_key(seed, strata))
+
+
+def resampled_sums(df: DataFrame, b: int, strata: Sequence[str], terms: dict[str, Column], seed: int = 0, unit: str = "id") -> DataFrame:
     """Row bootstrap: per replicate and stratum as many draws with replacement as the stratum has rows.
 
-    Draw i of replicate b takes the row numbered hash(b, i) mod n. Returns the drawn rows once each with their
-    multiplicity ``w``: (b, strata..., cols..., w).
+    Returns (b, strata..., names of ``terms``...): the sum of each term over the drawn rows. A unit of work is a slice, however large its
+    stratum is.
+    """
+    strata, like = list(strata), profile(df, list(strata))
+    names = list(terms)
+    rows = _numbered(df.select("*", *[c.cast("double").alias(n) for n, c in terms.items()]), strata, names, seed, unit, like)
+    limit, block = SLICE, BLOCK
+    rows = rows.withColumn("_part", F.floor(F.col("_rn") / limit).cast("int"))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        part, replicate = key[0][-1].as_py(), key[1]
+        rn = table.column("_rn").to_numpy() - part * limit
+        n, stratum = table.column("_n")[0].as_py(), table.column("_k")[0].as_py()
+        sizes = slice_sizes(n, limit)
+        values = np.empty((sizes[part], len(names)))
+        values[rn] = np.column_stack([table.column(c).to_numpy() for c in names])
+        draws = slice_draws(stratum, sizes, replicate, block)[:, part]
+        out = np.empty((len(replicate), len(names)))
+        for at, some, m in _blocks(sizes[part], replicate, draws):
+            out[at] = multiplicities(stratum, part, sizes[part], m, some).astype(float) @ values
+        same = table.select(strata).take(pa.array(np.zeros(len(replicate), np.int64)))
+        return pa.table({"b": pa.array(replicate, pa.int32()), **{c: same.column(c) for c in strata}, **{c: out[:, k] for k, c in enumerate(names)}})
+
+    fields = [T.StructField("b", T.IntegerType()), *[rows.schema[c] for c in strata], *[T.StructField(c, T.DoubleType()) for c in names]]
+    units = like.groups + like.rows // limit
+    parts = _in_lanes(rows, [*strata, "_part"], b, units, run, T.StructType(fields))
+    # Sums of the slices of a stratum add up.
+    return parts.groupBy("b", *strata).agg(*[F.sum(c).alias(c) for c in names])
+
+
+def resampled(
+    df: DataFrame, b: int, strata: Sequence[str], keys: Sequence[str], cols: Sequence[str], statistic: Callable, kind: str, seed: int = 0, unit: str = "id",
+    like: Profile | None = None,
+) -> DataFrame:
+    """Statistics of whole samples: (b, keys..., columns of ``kind``), for strata that fit a task together under their ``keys``.
+
+    ``statistic`` gets the columns (rows in the order of stratum and number) and the strata's numbers, prepares what does not depend on the
+    draws, and returns a function from multiplicities (replicates, rows) to the statistics' columns.
     """
-    strata, like = list(strata), profile(df, strata)
-    rows = number_rows(df.select(*strata, unit, *[c for c in cols if c not in strata]).withColumn("_h", draw_key(seed, unit)), strata, ["_h", unit], "_rn", like)
-    sized = group_attach(rows, strata, [F.count(F.lit(1)).alias("_n")], like)
-    picks = replicates(spread(sized.select(*strata, "_rn", "_n"), like), b)
-    target = (F.pmod(draw_number(seed, "b", *strata, "_rn"), F.col("_n")) + 1).alias("_pick")
-    weights = picks.select("b", *strata, target).groupBy("b", *strata, "_pick").agg(F.count(F.lit(1)).alias("w"))
-    back = rows.select(*strata, F.col("_rn").alias("_pick"), *[c for c in cols if c not in strata])
-    return null_safe_join(weights, back, [*strata, "_pick"]).drop("_pick")
+    strata, keys, like = list(strata), list(keys), like or profile(df, list(strata))
+    rows = _numbered(df, strata, cols, seed, unit, like)
+    names = T.StructType.fromDDL(kind).names
+    limit, block = SLICE, BLOCK
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        replicate = key[1]
+        stratum, rn, n = (table.column(c).to_numpy() for c in ("_k", "_rn", "_n"))
+        order = np.lexsort((rn, stratum))
+        stratum, n = stratum[order], n[order]
+        firsts = np.flatnonzero(np.r_[True, stratum[1:] != stratum[:-1]])
+        plans = [(int(stratum[k]), slice_sizes(int(n[k]), limit)) for k in firsts]
+        draws = np.column_stack([slice_draws(k, sizes, replicate, block) for k, sizes in plans])
+        evaluate = statistic({c: table.column(c).to_numpy(zero_copy_only=False)[order] for c in cols})
+        found = []
+        for _, some, m in _blocks(len(rn), replicate, draws):
+            parts = [(k, p, size) for k, sizes in plans for p, size in enumerate(sizes)]
+            weights = np.concatenate([multiplicities(k, p, size, m[:, c], some) for c, (k, p, size) in enumerate(parts)], axis=1)
+            found.append(np.column_stack(evaluate(weights)))
+        values = np.concatenate(found)
+        same = table.select(keys).take(pa.array(np.zeros(len(replicate), np.int64)))
+        columns = {c: pa.array(values[:, k], mask=np.isnan(values[:, k])) for k, c in enumerate(names)}
+        return pa.table({"b": pa.array(replicate, pa.int32()), **{c: same.column(c) for c in keys}, **columns})
+
+    fields = [T.StructField("b", T.IntegerType()), *[rows.schema[c] for c in keys], *T.StructType.fromDDL(kind).fields]
+    return _in_lanes(rows, keys, b, like.groups if keys else 1, run, T.StructType(fields))
+
+
+def drawn(df: DataFrame, b: int, strata: Sequence[str], cols: Sequence[str], seed: int = 0, unit: str = "id") -> DataFrame:
+    """The same draws as rows, for statistics of strata too large for a task: (b, strata..., cols..., w), a row per drawn row with its multiplicity."""
+    strata, like = list(strata), profile(df, list(strata))
+    rows = spread(_numbered(df, strata, cols, seed, unit, like), like)
+    limit, block = SLICE, BLOCK
+    heads = rows.filter("_rn = 0").select(*strata, "_n", "_k")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                n, key = one.column("_n")[0].as_py(), one.column("_k")[0].as_py()
+                sizes = slice_sizes(n, limit)
+                for k in range(0, b, block):
+                    replicate = range(k + 1, min(k + block, b) + 1)
+                    m = slice_draws(key, sizes, replicate, block)
+                    for part, size in enumerate(sizes):
+                        same = one.select(strata).take(pa.array(np.zeros(len(replicate), np.int64)))
+                        start = mixed_array(np.array(replicate) + (key + part))
+                        more = [pa.array(x, pa.int64()) for x in (replicate, [part] * len(start), [size] * len(start), m[:, part], start)]
+                        yield pa.RecordBatch.from_arrays([*same.columns, *more], names=[*strata, "b", "_part", "_size", "_m", "_start"])
+
+    kind = T.StructType([*[rows.schema[c] for c in strata], *T.StructType.fromDDL("b long, _part long, _size long, _m long, _start long").fields])
+    turns = heads.mapInArrow(split, kind).filter("_m > 0").withColumn("_turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)))
+    pick = F.col("_part") * limit + F.shiftright(mixed(F.col("_start") + F.col("_turn")) * F.col("_size"), 31)
+    weights = turns.select(F.col("b").cast("int").alias("b"), *strata, pick.alias("_rn")).groupBy("b", *strata, "_rn").agg(F.count(F.lit(1)).alias("w"))
+    return null_safe_join(weights, rows.drop("_n", "_k"), [*strata, "_rn"]).drop("_rn")
 
 
 def weighted_corr(x: str, y: str, w: str = "w") -> Column:
@@ -150,6 +410,42 @@ def percentile_ci(draws: DataFrame, keys: Sequence[str], cols: Sequence[str], co
     return draws.groupBy(*keys).agg(*aggs) if keys else draws.agg(*aggs)
 
 
+def _cell_ranks(values: np.ndarray) -> Callable:
+    """Prepares midranks of a weighted sample: a function from multiplicities to the rank of every row (0-weight rows have some number)."""
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    firsts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    cell = np.empty(len(values), np.int64)
+    cell[order] = np.repeat(np.arange(len(firsts)), np.diff(np.r_[firsts, len(values)]))
+
+    def ranks(w: np.ndarray) -> np.ndarray:
+        copies = np.add.reduceat(w[:, order], firsts, axis=1)
+        return (np.cumsum(copies, axis=1) - (copies - 1) / 2.0)[:, cell]
+
+    return ranks
+
+
+def _weighted_pearson(w: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Correlation per replicate of values (rows, or replicates by rows) with multiplicities; NaN where one is constant."""
+    n = w.sum(axis=1, keepdims=True)
+    x, y = np.broadcast_to(x, w.shape), np.broadcast_to(y, w.shape)
+    dx, dy = x - (w * x).sum(axis=1, keepdims=True) / n, y - (w * y).sum(axis=1, keepdims=True) / n
+    xy, xx, yy = (np.einsum("ij,ij,ij->i", w, a, c) for a, c in ((dx, dy), (dx, dx), (dy, dy)))
+    some = (xx > 1e-12 * np.abs(x).max(initial=0.0)) & (yy > 1e-12 * np.abs(y).max(initial=0.0))
+    return np.divide(xy, np.sqrt(xx * yy), out=np.full(len(w), np.nan), where=some)
+
+
+def _pair_statistic(columns: dict[str, np.ndarray]) -> Callable:
+    y, p = columns["y"], columns["p"]
+    ry, rp = _cell_ranks(y), _cell_ranks(p)
+
+    def evaluate(w: np.ndarray) -> list[np.ndarray]:
+        w = w.astype(float)
+        return [_weighted_pearson(w, y, p), _weighted_pearson(w, ry(w), rp(w))]
+
+    return evaluate
+
+
 def bootstrap_pairs_ci(df: DataFrame, b: int = 10_000, keys: Sequence[str] = ("grp",), seed: int = 0) -> DataFrame:
     """Percentile intervals of Pearson and Spearman from one set of row bootstraps per key; none below 5 rows.
 
@@ -160,6 +456,9 @@ def bootstrap_pairs_ci(df: DataFrame, b: int = 10_000, keys: Sequence[str] = ("g
     shape = profile(known, keys)
     means = group_attach(known, keys, [F.avg("actual").alias("_my"), F.avg("pred").alias("_mp"), F.count(F.lit(1)).alias("_size")], shape)
     rows = means.filter("_size >= 5").select(*keys, "id", (F.col("actual") - F.col("_my")).alias("y"), (F.col("pred") - F.col("_mp")).alias("p"))
+    if shape.largest <= hot_rows(df.sparkSession):
+        stats = resampled(rows, b, keys, keys, ["y", "p"], _pair_statistic, "pearson double, spearman double", seed, like=shape)
+        return percentile_ci(stats, keys, ["pearson", "spearman"])
     sample = drawn(rows, b, keys, ["y", "p"], seed)
     each, like = ["b", *keys], shape.times(b)
     ranked = weighted_midrank(weighted_midrank(sample, each, "y", "ry", like), each, "p", "rp", like)
@@ -167,42 +466,59 @@ def bootstrap_pairs_ci(df: DataFrame, b: int = 10_000, keys: Sequence[str] = ("g
     return percentile_ci(stats, keys, ["pearson", "spearman"])
 
 
-def _group_r2(sample: DataFrame, values: Sequence[str], group: str, w: str = "w") -> DataFrame:
-    """Group R2 of each value per replicate from weighted group sums: columns r2_<value>."""
-    w_, per = F.col(w), []
-    for v in values:
-        x = F.col(v)
-        per += [F.sum(w_ * x).alias(f"_s_{v}"), F.sum(w_ * x * x).alias(f"_q_{v}")]
-    g = sample.groupBy("b", group).agg(F.sum(w_).alias("_n"), *per)
-    n = F.sum("_n")
-    out = []
-    for v in values:
-        s, q = F.col(f"_s_{v}"), F.col(f"_q_{v}")
-        sst = F.sum(q) - F.sum(s) * F.sum(s) / n
-        ssw = F.sum(q - s * s / F.col("_n"))
-        out.append(F.when(sst > 0, 1 - F.try_divide(ssw, sst)).alias(f"r2_{v}"))
-    return g.groupBy("b").agg(*out)
-
-
 def bootstrap_stratified(a: DataFrame, b_run: DataFrame, b: int = 10_000, seed: int = 0, group: str = "grp") -> DataFrame:
     """Two runs on the same rows, resampled inside groups: intervals of both group R2, their difference, the share of
-    excess removed, and the two-sided p of the difference."""
+    excess removed, and the two-sided p of the difference.
+
+    A group R2 needs sums of values and squares per group only. Values are taken relative to their mean, which changes no R2.
+    """
+    values = ["actual", "pred_a", "pred_b"]
     both = a.select("id", group, "actual", F.col("pred").alias("pred_a")).join(b_run.select("id", F.col("pred").alias("pred_b")), "id")
-    stats = _group_r2(drawn(both, b, [group], ["actual", "pred_a", "pred_b"], seed), ["actual", "pred_a", "pred_b"], group)
+    both = group_attach(both.dropna(subset=values), [], [F.avg(v).alias(f"_m_{v}") for v in values])
+    x = {v: F.col(v) - F.col(f"_m_{v}") for v in values}
+    terms = {"n": F.lit(1.0), **{f"s_{v}": x[v] for v in values}, **{f"q_{v}": x[v] * x[v] for v in values}}
+    sums = resampled_sums(both, b, [group], terms, seed)
+    r2 = []
+    for v in values:
+        s, q = F.col(f"s_{v}"), F.col(f"q_{v}")
+        sst = F.sum(q) - F.sum(s) * F.sum(s) / F.sum("n")
+        r2.append(F.when(sst > 0, 1 - F.try_divide(F.sum(q - s * s / F.col("n")), sst)).alias(f"r2_{v}"))
+    stats = sums.groupBy("b").agg(*r2)
     d = F.col("r2_pred_a") - F.col("r2_pred_b")
     stats = stats.withColumn("diff", d).withColumn("removed", F.try_divide(d, F.col("r2_pred_a") - F.col("r2_actual")))
-    ci = percentile_ci(stats, [], ["r2_pred_a", "r2_pred_b", "diff", "removed"]).withColumn("_one", F.lit(1))
+    ci = percentile_ci(stats, [], ["r2_pred_a", "r2_pred_b", "diff", "removed"])
     n = F.count(F.lit(1))
-    p = stats.agg((2 * F.least(F.count_if(F.col("diff") <= 0) / n, F.count_if(F.col("diff") >= 0) / n)).alias("p_diff")).withColumn("_one", F.lit(1))
-    return ci.join(F.broadcast(p), "_one").drop("_one")
+    p = stats.agg((2 * F.least(F.count_if(F.col("diff") <= 0) / n, F.count_if(F.col("diff") >= 0) / n)).alias("p_diff"))
+    return ci.withColumn("_one", F.lit(1)).join(F.broadcast(p.withColumn("_one", F.lit(1))), "_one").drop("_one")
+
+
+def _auc_statistic(columns: dict[str, np.ndarray]) -> Callable:
+    score, positive = columns["_score"], columns["cls"].astype(bool)
+    order = np.argsort(score, kind="stable")
+    ordered = score[order]
+    firsts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    lift = positive[order].astype(float)
+
+    def evaluate(w: np.ndarray) -> list[np.ndarray]:
+        w = w[:, order].astype(float)
+        above = np.add.reduceat(w * lift, firsts, axis=1)
+        below = np.add.reduceat(w, firsts, axis=1) - above
+        wins = (above * (np.cumsum(below, axis=1) - below / 2)).sum(axis=1)
+        pairs = above.sum(axis=1) * below.sum(axis=1)
+        return [np.divide(wins, pairs, out=np.full(len(w), np.nan), where=pairs > 0)]
+
+    return evaluate
 
 
 def bootstrap_auc_by_class(df: DataFrame, score: str, event: Column, b: int = 2000, seed: int = 0) -> DataFrame:
     """Interval of the AUC with positives and negatives resampled separately."""
-    rows = df.withColumn("cls", event.cast("int")).dropna(subset=[score, "cls"])
-    sample = drawn(rows, b, ["cls"], [score], seed)
-    like = profile(rows, []).times(b)
-    cells = value_cells(sample, ["b"], score, {"copies": F.col("w"), "pos": F.col("w") * F.col("cls")}, like=like)
+    rows = df.withColumn("cls", event.cast("int")).withColumn("_score", F.col(score)).dropna(subset=["_score", "cls"]).select("id", "cls", "_score")
+    like = profile(rows, ["cls"])
+    if like.rows <= hot_rows(df.sparkSession):
+        stats = resampled(rows, b, ["cls"], [], ["cls", "_score"], _auc_statistic, "auc double", seed, like=like)
+        return percentile_ci(stats, [], ["auc"])
+    sample = drawn(rows, b, ["cls"], ["_score"], seed)
+    cells = value_cells(sample, ["b"], "_score", {"copies": F.col("w"), "pos": F.col("w") * F.col("cls")}, like=profile(rows, []).times(b))
     rank = F.col("copies_before") + (F.col("copies") + 1) / F.lit(2.0)
     n1, n = F.sum("pos"), F.sum("copies")
     auc = F.try_divide(F.sum(F.col("pos") * rank) - n1 * (n1 + 1) / F.lit(2.0), n1.cast("double") * (n - n1))
@@ -211,28 +527,28 @@ def bootstrap_auc_by_class(df: DataFrame, score: str, event: Column, b: int = 20
 
 def bootstrap_group_means(groups: DataFrame, value: str, b: int = 10_000, seed: int = 0, group: str = "grp") -> DataFrame:
     """Resample whole groups: interval of the mean of a group-level value."""
-    sample = drawn(groups.select(F.col(group).alias("id"), value), b, [], [value], seed)
-    means = sample.groupBy("b").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("mean"))
-    return percentile_ci(means, [], ["mean"])
+    known = groups.select(F.col(group).alias("id"), F.col(value).alias("_v")).dropna(subset=["_v"])
+    sums = resampled_sums(known, b, [], {"s": F.col("_v"), "n": F.lit(1.0)}, seed)
+    return percentile_ci(sums.select((F.col("s") / F.col("n")).alias("mean")), [], ["mean"])
 
 
 def bootstrap_cluster(df: DataFrame, values: Sequence[str], b: int = 1000, seed: int = 0, group: str = "grp") -> DataFrame:
     """Resample whole groups, each draw a group of its own: interval of the group R2 of each value.
 
-    A group drawn w times counts as w equal groups, so only the group sums are resampled and the rows stay put.
+    A group drawn w times counts as w equal groups, so only the group sums are resampled and the rows stay put. Values are taken relative
+    to their mean, which changes no R2.
     """
-    aggs = []
+    known = group_attach(df.dropna(subset=list(values)), [], [F.avg(v).alias(f"_m_{v}") for v in values])
+    x = {v: F.col(v) - F.col(f"_m_{v}") for v in values}
+    aggs = [F.sum(c).alias(f"_{p}_{v}") for v in values for p, c in (("s", x[v]), ("q", x[v] * x[v]))]
+    sums = known.groupBy(F.col(group).alias("id")).agg(F.count(F.lit(1)).alias("_rows"), *aggs)
+    terms = {"n": F.col("_rows")}
     for v in values:
-        aggs += [F.sum(v).alias(f"s_{v}"), F.sum(F.col(v) * F.col(v)).alias(f"q_{v}")]
-    sums = df.dropna(subset=list(values)).groupBy(group).agg(F.count(F.lit(1)).alias("n"), *aggs)
-    cols = [c for c in sums.columns if c != group]
-    sample = drawn(sums.withColumnRenamed(group, "id"), b, [], cols, seed)
-    w, n = F.col("w"), F.sum(F.col("w") * F.col("n"))
+        s, q = F.col(f"_s_{v}"), F.col(f"_q_{v}")
+        terms |= {f"s_{v}": s, f"q_{v}": q, f"w_{v}": q - s * s / F.col("_rows")}
+    sample = resampled_sums(sums, b, [], terms, seed)
     out = []
     for v in values:
-        s, q = F.col(f"s_{v}"), F.col(f"q_{v}")
-        sst = F.sum(w * q) - F.sum(w * s) * F.sum(w * s) / n
-        ssw = F.sum(w * (q - s * s / F.col("n")))
-        out.append(F.when(sst > 0, 1 - F.try_divide(ssw, sst)).alias(v))
-    return percentile_ci(sample.groupBy("b").agg(*out), [], list(values))
-
+        sst = F.col(f"q_{v}") - F.col(f"s_{v}") * F.col(f"s_{v}") / F.col("n")
+        out.append(F.when(sst > 0, 1 - F.try_divide(f"w_{v}", sst)).alias(v))
+    return percentile_ci(sample.select("b", *out), [], list(values))

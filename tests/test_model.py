@@ -146,7 +146,7 @@ def test_pairwise_ranker(spark):
     x, y, g = cohort(n=80)
     z = frame(spark, (x - x.mean(0)) / x.std(0), y, g)
     fit = M.pairwise_rank_fit(z, 3, lambdas=(0.01,))
-    assert fit["model"].intercept == 0.0
+    assert len(fit["model"]) == K and fit["scores"].count() == 80
     scores = M.pairwise_predict(fit["model"], z).toPandas()
     ranks = scores.groupby("grp")[["y", "relative_score"]].rank().assign(grp=scores["grp"])
     assert ranks.groupby("grp").corr().iloc[0::2, 1].min() > 0.8
