@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from heldout.catalog.base import (
-    VIEWS, long_view, missing_view, pred_view, q_corr, query, r, rounded, samples_view, table, with_views,
+    ORACLES, QUERIES, VIEWS, long_view, missing_view, pred_view, q_corr, query, r, rounded, samples_view, table, with_views,
 )
 from heldout.catalog.features import train_transform
 from heldout.catalog.ranking import q_key
@@ -175,11 +175,10 @@ def interval_columns(spark, sf):
 
 @query(
     "ood_rms_distance",
-    f"""{with_views('v_z')} SELECT {r('quantile_cont(d, 0.99)')} AS cut FROM (SELECT id, sqrt(avg(z * z)) AS d FROM v_z WHERE id % 2 = 0 GROUP BY id)""",
+    f"""{with_views('v_z')} SELECT {r('quantile_cont(d, 0.99)')} AS cut FROM (SELECT id, sqrt(avg(z * z)) AS d FROM v_z GROUP BY id)""",
 )
 def ood_rms_distance(spark, sf):
-    train = missing_view(spark, sf).filter("id % 2 = 0")
-    return rounded(M.ood_rms_cut(X.apply_standardize(train, train_transform(spark, sf))))
+    return rounded(M.ood_rms_cut(X.apply_standardize(missing_view(spark, sf), train_transform(spark, sf))))
 
 
 @query(
@@ -195,42 +194,27 @@ def ood_outside_range(spark, sf):
 
 @query(
     "conformal_interval",
-    f"""{with_views('v_pred')}, e AS (SELECT abs(actual - pred) AS x, row_number() OVER (ORDER BY abs(actual - pred)) AS i, count(*) OVER () AS n FROM v_pred WHERE id % 5 = 0)
+    f"""{with_views('v_pred')}, h AS (SELECT actual, pred, row_number() OVER (PARTITION BY grp ORDER BY {q_key(81, 'id')}, id) AS rn, count(*) OVER (PARTITION BY grp) AS m FROM v_pred),
+    e AS (SELECT abs(actual - pred) AS x, row_number() OVER (ORDER BY abs(actual - pred)) AS i, count(*) OVER () AS n FROM h WHERE rn <= greatest(1, floor(m * CAST(0.2 AS DOUBLE))))
     SELECT n, CAST(ceil((n + 1) * CAST(0.95 AS DOUBLE)) AS BIGINT) AS k, {r('x')} AS q, 'finite' AS status FROM e WHERE i = ceil((n + 1) * CAST(0.95 AS DOUBLE))""",
 )
 def conformal_interval(spark, sf):
-    return rounded(M.conformal_interval(pred_view(spark, sf).filter("id % 5 = 0")))
+    """The half-width from the stratified hold-out rows of every group."""
+    return rounded(M.conformal_interval(stratified_holdout(pred_view(spark, sf), seed=81).filter("holdout").drop("holdout")))
 
 
 @query(
     "group_gram",
-    f"""{with_views('v_long', 'v_samples')}, a AS (SELECT l.grp, l.id, pos, value, y FROM v_long l JOIN v_samples s ON l.id = s.id WHERE pos < 12)
+    f"""{with_views('v_long', 'v_samples')}, a AS (SELECT l.grp, l.id, pos, value FROM v_long l JOIN v_samples s ON l.id = s.id)
     SELECT a.grp, a.pos AS i, b.pos AS j, {r('sum(a.value * b.value)', 5)} AS v FROM a JOIN a b ON a.id = b.id GROUP BY 1, 2, 3""",
 )
 def group_gram(spark, sf):
-    rows = vectors(spark, sf).withColumn("x", F.slice("x", 1, 12))
-    g = M.group_products(rows).filter("i BETWEEN 2 AND 13").select("grp", (F.col("i") - 2).cast("long").alias("i"), F.posexplode(F.slice("v", 3, 12)).alias("j", "v"))
-    return rounded(g.select("grp", "i", F.col("j").cast("long").alias("j"), "v"), 5)
-
-
-# The SQL of the three queries above covers a part of their tables; these have no SQL and take all of it.
-
-
-@query("group_gram_full")
-def group_gram_full(spark, sf):
     """Products of all features."""
     g = M.group_products(vectors(spark, sf)).filter(F.col("i").between(2, FEATURES + 1))
     g = g.select("grp", (F.col("i") - 2).cast("long").alias("i"), F.posexplode(F.slice("v", 3, FEATURES)).alias("j", "v"))
     return rounded(g.select("grp", "i", F.col("j").cast("long").alias("j"), "v"), 5)
 
 
-@query("ood_rms_distance_full")
-def ood_rms_distance_full(spark, sf):
-    """The cut from all rows."""
-    return rounded(M.ood_rms_cut(X.apply_standardize(missing_view(spark, sf), train_transform(spark, sf))))
-
-
-@query("conformal_interval_full")
-def conformal_interval_full(spark, sf):
-    """The half-width from the stratified hold-out rows of every group."""
-    return rounded(M.conformal_interval(stratified_holdout(pred_view(spark, sf), seed=81).filter("holdout").drop("holdout")))
+# The names under which the whole tables were registered first.
+for _name in ("group_gram", "ood_rms_distance", "conformal_interval"):
+    query(f"{_name}_full", ORACLES[_name])(QUERIES[_name])

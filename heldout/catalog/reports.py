@@ -161,13 +161,23 @@ def q_p(z):
             f" * exp(-{x} * {x}))")
 
 
+def q_corr_p(r_: str, n: str) -> str:
+    """The t law with n - 2 degrees of freedom by its finite series."""
+    c2 = f"(1 - {r_} * {r_})"
+    even = (f"abs({r_}) * list_sum(list_transform(range(({n} - 2) // 2), lambda k: exp(lgamma(k + 0.5::DOUBLE) - lgamma(0.5::DOUBLE) - lgamma(k + 1.0::DOUBLE)"
+            f" + k * ln({c2}))))")
+    odd = (f"2 / pi() * (asin(abs({r_})) + abs({r_}) * coalesce(list_sum(list_transform(range(({n} - 3) // 2), lambda k: exp(lgamma(k + 1.0::DOUBLE)"
+           f" + lgamma(1.5::DOUBLE) - lgamma(k + 1.5::DOUBLE) + (k + 0.5::DOUBLE) * ln({c2})))), 0))")
+    return f"CASE WHEN {n} % 2 = 0 THEN 1 - {even} ELSE 1 - {odd} END"
+
+
 @query(
     "between_within_corr",
     f"""{with_views('v_pred')}, f AS (SELECT actual - avg(actual) OVER (PARTITION BY grp) AS x, pred - avg(pred) OVER (PARTITION BY grp) AS y FROM v_pred),
     m AS (SELECT avg(actual) AS x, avg(pred) AS y FROM v_pred GROUP BY grp),
     l AS (SELECT 'pooled' AS level, count(*) AS n, {q_corr('actual', 'pred')} AS r FROM v_pred
           UNION ALL SELECT 'within', count(*), {q_corr('x', 'y')} FROM f UNION ALL SELECT 'between', count(*), {q_corr('x', 'y')} FROM m)
-    SELECT level, n, {r('r')} AS r, {r(q_p('(atanh(r) * sqrt(n - 3))'))} AS p_normal FROM l""",
+    SELECT level, n, {r('r')} AS r, {r(q_p('(atanh(r) * sqrt(n - 3))'))} AS p_normal, {r(q_corr_p('r', 'n'))} AS p_value FROM l""",
 )
 def between_within_corr(spark, sf):
     return rounded(P.between_within_corr(pred_view(spark, sf), "actual", "pred"))
@@ -197,13 +207,16 @@ def fisher_ci(spark, sf):
 
 @query(
     "wilcoxon_signed_rank",
-    f"""{MERGED}, d AS (SELECT mae_b - mae_a AS d FROM both_runs WHERE mae_b <> mae_a),
+    f"""{MERGED.replace('WITH ', 'WITH RECURSIVE ', 1)}, d AS (SELECT mae_b - mae_a AS d FROM both_runs WHERE mae_b <> mae_a),
+    law(i, shares) AS (SELECT 0, [1.0::DOUBLE] UNION ALL SELECT i + 1, list_transform(range(1, len(shares) + i + 2), lambda s:
+      (coalesce(shares[s], 0) + CASE WHEN s > i + 1 THEN shares[s - i - 1] ELSE 0 END) / 2) FROM law WHERE i < (SELECT count(*) FROM d)),
     k AS (SELECT d, {q_midrank('', 'abs(d)')} AS rk FROM d),
     w AS (SELECT count(*) AS n, coalesce(sum(rk) FILTER (d > 0), 0.0) AS w_plus FROM k),
     t AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*) AS c FROM d GROUP BY abs(d))),
     z AS (SELECT n, w_plus, (w_plus - n * (n + 1) / 4.0 - sign(w_plus - n * (n + 1) / 4.0) * 0.5)
           / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0) AS z FROM w, t)
-    SELECT n, w_plus, {r('z')} AS z_normal, {r(q_p('z'))} AS p_normal FROM z""",
+    SELECT n, w_plus, {r('z')} AS z_normal, {r(q_p('z'))} AS p_normal,
+    {r("least(1.0, 2 * list_sum(shares[1:least(w_plus, n * (n + 1) / 2 - w_plus)::INT + 1]))")} AS p_value FROM z JOIN law ON i = n""",
 )
 def wilcoxon_signed_rank(spark, sf):
     merged = P.paired_run_merge(pred_view(spark, sf), pred_view_b(spark, sf))
@@ -247,7 +260,8 @@ def _terms_sql():
     SELECT term, n_groups, {r('pearson', 5)} AS pearson, {r('spearman', 5)} AS spearman,
     {r('tanh(atanh(pearson) - 1.959963984540054 / sqrt(n_groups - 3))', 5)} AS fisher_lo,
     {r('tanh(atanh(pearson) + 1.959963984540054 / sqrt(n_groups - 3))', 5)} AS fisher_hi,
-    {r(q_p('(atanh(pearson) * sqrt(n_groups - 3))'), 5)} AS p_normal FROM c""",
+    {r(q_p('(atanh(pearson) * sqrt(n_groups - 3))'), 5)} AS p_normal,
+    {r(q_corr_p('pearson', 'n_groups'), 5)} AS p_value FROM c""",
 )
 def offset_correlations(spark, sf):
     groups = rounded(P.component_summary(parts_view(spark, sf)), 9)

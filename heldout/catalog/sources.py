@@ -198,17 +198,20 @@ def gene_set_violations(spark, sf):
     return MX.gene_set_violations(sets)
 
 
-@query("scan_expression_matrix", "SELECT 'cg' || vec_id AS raw_id, 'symbol' AS id_type, CASE WHEN (vec_id * 31) % 29 = 0 OR (vec_id * 31 + 17) % 29 = 0 OR (vec_id * 31 + 34) % 29 = 0 THEN 'missing_or_nonfinite' ELSE 'retained' END AS status FROM embeddings")
-def scan_expression_matrix(spark, sf):
-    return MX.scan_expression_matrix(spark, matrix_file(spark, sf), first_columns=3).select("raw_id", "id_type", "status")
+#: A feature is missing or not where any of the 64 columns of the matrix file is.
+EXPRESSION_SQL = """SELECT 'cg' || vec_id AS raw_id, 'symbol' AS id_type, CASE WHEN len(list_filter(range(64), lambda k:
+    (vec_id * 31 + k * 17) % 29 = 0 OR (k = 7 AND (vec_id * 31 + k * 17) % 9 = 0))) > 0 THEN 'missing_or_nonfinite' ELSE 'retained' END AS status FROM embeddings"""
 
 
-@query("scan_expression_matrix_full")
-def scan_expression_matrix_full(spark, sf):
-    """All sample columns; the SQL of ``scan_expression_matrix`` has the first three."""
+@query("scan_expression_matrix", EXPRESSION_SQL)
+def scan_expression_matrix(spark, sf):
     return MX.scan_expression_matrix(spark, matrix_file(spark, sf)).select("raw_id", "id_type", "status")
 
 
+# The name under which all columns were registered first.
+query("scan_expression_matrix_full", EXPRESSION_SQL)(scan_expression_matrix)
+
+
 @query("scan_headerless_map", "SELECT 'cg' || p_partkey AS key, unnest(CASE WHEN p_partkey % 4 = 0 THEN [p_type, p_brand] ELSE [p_type] END) AS value FROM part")
 def scan_headerless_map(spark, sf):
     path, k = scratch_path(spark, "map"), F.col("p_partkey")

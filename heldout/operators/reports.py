@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heldout.functions.laws import COUNTED, correlation_p, signed_rank_p
 from heldout.functions.scalars import clip_floor, fisher_ci, pnorm_two_sided, safe_corr, safe_slope
 from heldout.operators.metrics import centred, group_identity_r2, metrics_panel, pairs, with_pooled
 from heldout.plans.skew import Profile, midrank, midranks, null_safe_join, profile, quantiles
@@ -156,7 +157,7 @@ def component_correlation_macro(wide: DataFrame, reserved: Sequence[str] = ("poo
 
 
 def between_within_corr(df: DataFrame, x: str, y: str, group: str = "grp") -> DataFrame:
-    """Pooled, within-group (centred) and between-group-means correlation with n and a two-sided normal p-value."""
+    """Pooled, within-group (centred) and between-group-means correlation with n, the p-value of the t law and the normal one."""
     known = pairs(df, x, y)
     flat = centred(known, group, [x, y])
     means = known.groupBy(group).agg(F.avg(x).alias(x), F.avg(y).alias(y))
@@ -169,7 +170,7 @@ def between_within_corr(df: DataFrame, x: str, y: str, group: str = "grp") -> Da
         leg(means, x, y, "between")
     )
     z = F.when((F.col("n") > 3) & (F.abs("r") < 1), F.atanh("r") * F.sqrt(F.greatest(F.col("n") - 3, F.lit(0))))
-    return legs.withColumn("p_normal", pnorm_two_sided(z))
+    return legs.withColumn("p_normal", pnorm_two_sided(z)).withColumn("p_value", correlation_p(F.col("r"), F.col("n")))
 
 
 def partial_corr(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
@@ -193,7 +194,7 @@ def offset_by_group(df: DataFrame, parts: Sequence[str] = PARTS, group: str = "g
 
 
 def offset_correlations(groups: DataFrame, terms: Sequence[str], offset: str = "offset") -> DataFrame:
-    """The offset, and its size, against group-level terms: Pearson with Fisher limits, Spearman, normal p-value."""
+    """The offset, and its size, against group-level terms: Pearson with Fisher limits and the p-value of the t law, Spearman, normal p-value."""
     long = groups.withColumn("_abs", F.abs(offset)).select(
         F.explode(F.array(*[
             F.struct(F.lit(f"{kind}~{t}").alias("term"), F.col(c).alias("y"), F.col(t).cast("double").alias("x"))
@@ -207,11 +208,17 @@ def offset_correlations(groups: DataFrame, terms: Sequence[str], offset: str = "
     )
     lo, hi = fisher_ci("pearson", "n_groups")
     z = F.atanh("pearson") * F.sqrt(F.greatest(F.col("n_groups") - 3, F.lit(0)))
-    return out.withColumn("fisher_lo", lo).withColumn("fisher_hi", hi).withColumn("p_normal", pnorm_two_sided(z))
+    return out.withColumn("fisher_lo", lo).withColumn("fisher_hi", hi).withColumn("p_normal", pnorm_two_sided(z)).withColumn(
+        "p_value", correlation_p(F.col("pearson"), F.col("n_groups"))
+    )
 
 
 def wilcoxon_signed_rank(df: DataFrame, difference: str) -> DataFrame:
-    """Paired signed-rank test over groups: W+, the normal approximation with tie correction and its p-value."""
+    """Paired signed-rank test over groups: W+, the normal approximation with tie correction and its p-value.
+
+    ``p_value`` is exact for up to ``COUNTED`` groups without ties or zeros, else the normal one.
+    """
+    zeros = df.agg(F.count_if(F.col(difference) == 0).alias("_zeros"))
     rows = df.filter(F.col(difference).isNotNull() & (F.col(difference) != 0)).withColumn("_a", F.abs(difference))
     ranked = midrank(rows, [], "_a", "_r")
     ties = rows.groupBy("_a").agg(F.count(F.lit(1)).alias("t")).agg(
@@ -224,7 +231,10 @@ def wilcoxon_signed_rank(df: DataFrame, difference: str) -> DataFrame:
     mean, var = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48
     shift = F.col("w_plus") - mean
     z = F.try_divide(shift - F.signum(shift) * 0.5, F.sqrt(var))
-    return one_row_join(w, ties).withColumn("z_normal", z).withColumn("p_normal", pnorm_two_sided(z)).drop("_ties")
+    out = one_row_join(one_row_join(w, ties), zeros).withColumn("z_normal", z).withColumn("p_normal", pnorm_two_sided(z))
+    exact = (F.col("n") <= COUNTED) & (F.coalesce("_ties", F.lit(0)) == 0) & (F.col("_zeros") == 0)
+    p = F.when(exact, signed_rank_p(F.col("w_plus"), F.col("n"))).otherwise(F.col("p_normal"))
+    return out.withColumn("p_value", p).drop("_ties", "_zeros")
 
 
 def group_covariates(df: DataFrame, group: str = "grp") -> DataFrame:
