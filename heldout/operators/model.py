@@ -1,10 +1,11 @@
 """Leave-one-group-out elastic nets over sample rows (id, grp, y, x), x an array of feature values with NULL for unknown.
 
-All folds are fitted from one pass over the data. The pass sums, per group, the products of the columns
-(1, y, x, missing); these sums add up over groups, so the training set of every outer and inner fold is the
-total less the groups it leaves out. Median imputation, feature ranking, standardising and the penalty path are
-exact arithmetic on those sums. Each fold's small problem (features by features, whatever the number of rows) is
-solved in its own task, and one more pass scores the left-out rows of all inner folds at once.
+All folds are fitted from two passes over the data. The first sums, per group, moments of every feature (``group_moments``); they add up over
+groups, so every outer and inner fold ranks its features from the total less the groups it leaves out, and only features that some fold keeps
+go on (``screen``). The second sums, per group, the products of the columns (1, y, x, missing) of these, a tile of rows of the product at a
+time where it is large. Median imputation, standardising and the penalty path are exact arithmetic on those sums. Each fold's small
+problem (features by features, whatever the number of rows) is solved in its own task, and one more pass scores the left-out rows of all
+inner folds at once.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from heldout.operators.metrics import metric_columns
 from heldout.operators.ranking import (
     argmin_row, bracket_interpolate, calibration_knots, relative_target, stratified_holdout,
 )
-from heldout.plans.skew import attach, order_statistic, profile, quantiles
+from heldout.plans.skew import attach, hot_rows, order_statistic, profile, quantiles
 from heldout.plans.storage import materialise
 
 ALPHAS = (0.1, 0.5, 1.0)
@@ -71,12 +72,62 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
 
 
-def group_products(rows: DataFrame, group: str = "grp") -> DataFrame:
+def group_moments(rows: DataFrame, group: str = "grp") -> DataFrame:
+    """The additive rows of the summed table that need no products of two features, per group: (grp, i, v)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc: dict[str, np.ndarray] = {}
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            x = _matrix(b)
+            gone = np.isnan(x)
+            x = np.where(gone, 0.0, x)
+            g = np.asarray(b.column("grp").to_pylist(), dtype=object)
+            for name in dict.fromkeys(g):
+                own = g == name
+                part = np.vstack([np.full(x.shape[1], own.sum()), x[own].sum(0), (x[own] ** 2).sum(0), gone[own].sum(0)])
+                acc[name] = acc.get(name, 0.0) + part
+        for name, m in acc.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * 4), pa.array(np.arange(4, dtype=np.int32)), pa.array(list(m), pa.list_(pa.float64()))], names=["grp", "i", "v"]
+            )
+
+    known = rows.filter("y IS NOT NULL").select(F.col(group).alias("grp"), "x")
+    summed = known.mapInArrow(run, "grp string, i int, v array<double>").groupBy("grp", "i").agg(Summarizer.sum(array_to_vector("v")).alias("v"))
+    wide = summed.groupBy("grp").agg(*[F.max(F.when(F.col("i") == k, vector_to_array("v"))).alias(c) for k, c in enumerate("nsqu")])
+    return _lines(wide.withColumn("n", F.get("n", F.lit(0))))
+
+
+def _lines(sums: DataFrame) -> DataFrame:
+    """(grp, i, v) from per-group rows, sums, squares and missing counts (grp, n, s, q, u)."""
+    n = F.col("n")
+    w0 = F.zip_with("q", "s", lambda q, s: q - s * s / n)
+    w1 = F.zip_with("s", "u", lambda s, u: s * u / n)
+    w2 = F.transform("u", lambda u: u - u * u / n)
+    lines = [(WSS0, w0), (WSS1, w1), (WSS2, w2), (SUM, F.col("s")), (SQUARE, F.col("q")), (MISSING, F.col("u")), (COUNTS, F.array(n, F.lit(1.0)))]
+    return sums.select("grp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), v.alias("v")) for i, v in lines])).alias("_r")).select("grp", "_r.i", "_r.v")
+
+
+def group_products(rows: DataFrame, group: str = "grp", features: int | None = None) -> DataFrame:
     """Per group, row i of A'A with A = (1, y, x with 0 for unknown, unknown): (grp, i, v).
 
     Tasks sum their own rows with one matrix product per batch and group; the partial rows are added on the map
-    side and then per (group, i).
+    side and then per (group, i). With ``features`` known, the rows of the product are taken in tiles that keep one group's sums of a tile within
+    ``TASK_BYTES``; each tile reads the data once.
     """
+    width = 2 + 2 * features if features else 0
+    tile = max(1, TASK_BYTES // (8 * width)) if features else None
+    tiles = range(0, width, tile) if features else [0]
+    parts = None
+    for start in tiles:
+        one = _product_tile(rows, group, start, tile)
+        parts = one if parts is None else parts.unionByName(one)
+    return parts
+
+
+def _product_tile(rows: DataFrame, group: str, start: int, size: int | None) -> DataFrame:
+    stop = None if size is None else start + size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc: dict[str, np.ndarray] = {}
@@ -84,7 +135,7 @@ def group_products(rows: DataFrame, group: str = "grp") -> DataFrame:
         def flush():
             for g, m in acc.items():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([g] * len(m)), pa.array(np.arange(len(m), dtype=np.int32)), pa.array(list(m), pa.list_(pa.float64()))],
+                    [pa.array([g] * len(m)), pa.array(np.arange(start, start + len(m), dtype=np.int32)), pa.array(list(m), pa.list_(pa.float64()))],
                     names=["grp", "i", "v"],
                 )
             acc.clear()
@@ -99,9 +150,9 @@ def group_products(rows: DataFrame, group: str = "grp") -> DataFrame:
             g = np.asarray(b.column("grp").to_pylist(), dtype=object)
             for name in dict.fromkeys(g):
                 part = a[g == name]
-                acc[name] = acc.get(name, 0.0) + part.T @ part
-            if len(acc) * a.shape[1] ** 2 * 8 > TASK_BYTES:
-                yield from flush()
+                acc[name] = acc.get(name, 0.0) + part[:, start:stop].T @ part
+                if sum(m.nbytes for m in acc.values()) > TASK_BYTES:
+                    yield from flush()
         yield from flush()
 
     known = rows.filter("y IS NOT NULL").select(F.col(group).alias("grp"), F.col("y").cast("double").alias("y"), "x")
@@ -118,16 +169,47 @@ def _extras(products: DataFrame, features: int) -> DataFrame:
     head = products.filter("i = 0").select(
         "grp", F.get("v", F.lit(0)).alias("n"), F.slice("v", 3, k).alias("s"), F.slice("v", k + 3, k).alias("u")
     )
-    j = head.join(diag, "grp")
-    n = F.col("n")
-    w0 = F.zip_with("q", "s", lambda q, s: q - s * s / n)
-    w1 = F.zip_with("s", "u", lambda s, u: s * u / n)
-    w2 = F.transform("u", lambda u: u - u * u / n)
-    lines = [(WSS0, w0), (WSS1, w1), (WSS2, w2), (SUM, F.col("s")), (SQUARE, F.col("q")), (MISSING, F.col("u")),
-             (COUNTS, F.array(n, F.lit(1.0)))]
-    return j.select("grp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), v.alias("v")) for i, v in lines])).alias("_r")).select(
-        "grp", "_r.i", "_r.v"
+    return _lines(head.join(diag, "grp"))
+
+
+def less_excluded(parts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Additive rows of the training groups of each exclusion set, (set_id, i, v): the total less the excluded groups."""
+    total = parts.groupBy("i").agg(Summarizer.sum(array_to_vector("v")).alias("v")).select("i", vector_to_array("v").alias("v"))
+    ids = sets.agg(F.collect_list("set_id").alias("_ids")).withColumn("_one", F.lit(1))
+    plus = total.withColumn("_one", F.lit(1)).join(F.broadcast(ids), "_one").select(F.explode("_ids").alias("set_id"), "i", "v")
+    minus = sets.select("set_id", F.explode("excluded").alias("grp")).join(parts, "grp").select(
+        "set_id", "i", F.transform("v", lambda e: -e).alias("v")
     )
+    summed = plus.unionByName(minus).groupBy("set_id", "i").agg(Summarizer.sum(array_to_vector("v")).alias("v"))
+    return summed.select("set_id", "i", vector_to_array("v").alias("v"))
+
+
+def screen(moments: DataFrame, sets: DataFrame, medians: DataFrame | None, top: int, rank: str, max_missing: float) -> list[int]:
+    """Positions of the features that at least one exclusion set keeps, in order: features at most, whatever the rows."""
+    sums = less_excluded(moments, sets)
+    if medians is not None:
+        sums = sums.unionByName(medians)
+
+    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"pos": _kept(dict(zip(pdf["i"], pdf["v"])), top, rank, max_missing)[0]})
+
+    kept = sums.groupBy("set_id").applyInPandas(keep, "pos long").distinct()
+    return sorted(r[0] for r in kept.collect())
+
+
+def _kept(line: dict[int, np.ndarray], top: int, rank: str, max_missing: float) -> tuple[np.ndarray, ...]:
+    """The features a training set keeps, from its moments; with its medians, means and variances."""
+    k = len(line[SUM])
+    n, groups = np.asarray(line[COUNTS])[:2]
+    med = np.asarray(line.get(MEDIAN, np.zeros(k)), dtype=float)
+    s, q, u = (np.asarray(line[i], dtype=float) for i in (SUM, SQUARE, MISSING))
+    s, q = s + u * med, q + u * med * med
+    mean, var = s / n, np.maximum(q - s * s / n, 0.0) / (n - 1)
+    within = np.asarray(line[WSS0]) - 2 * med * np.asarray(line[WSS1]) + med * med * np.asarray(line[WSS2])
+    score = within / max(n - groups, 1.0) if rank == "within_group" else var
+    order = np.lexsort((np.arange(k), -score))
+    usable = (u <= max_missing * n) & (score > 1e-14) & (var > 0)
+    return np.sort(order[usable[order]][:top]), med, mean, var, n
 
 
 def set_sums(products: DataFrame, sets: DataFrame, features: int, weights: str = "sample") -> DataFrame:
@@ -139,32 +221,42 @@ def set_sums(products: DataFrame, sets: DataFrame, features: int, weights: str =
     if weights == "group":
         sizes = products.filter("i = 0").select("grp", F.get("v", F.lit(0)).alias("_n"))
         products = products.join(sizes, "grp").select("grp", "i", F.transform("v", lambda e: e / F.col("_n")).alias("v"))
-    parts = products.unionByName(extras)
-    total = parts.groupBy("i").agg(Summarizer.sum(array_to_vector("v")).alias("v")).select("i", vector_to_array("v").alias("v"))
-    ids = sets.agg(F.collect_list("set_id").alias("_ids")).withColumn("_one", F.lit(1))
-    plus = total.withColumn("_one", F.lit(1)).join(F.broadcast(ids), "_one").select(F.explode("_ids").alias("set_id"), "i", "v")
-    minus = sets.select("set_id", F.explode("excluded").alias("grp")).join(parts, "grp").select(
-        "set_id", "i", F.transform("v", lambda e: -e).alias("v")
-    )
-    both = plus.unionByName(minus)
-    summed = both.groupBy("set_id", "i").agg(Summarizer.sum(array_to_vector("v")).alias("v"))
-    return summed.select("set_id", "i", vector_to_array("v").alias("v"))
+    return less_excluded(products.unionByName(extras), sets)
 
 
 def fold_medians(rows: DataFrame, sets: DataFrame, features: int, group: str = "grp") -> DataFrame:
     """Exact training median per exclusion set of each feature that has unknown values: (set_id, i, v).
 
-    Medians do not add up, so these (and only these) features are read once per set that trains on the row.
+    Medians do not add up, so these (and only these) features are read again. While a feature's values fit a task they are sorted there once, and
+    each set's median is a search in running counts, all rows less the excluded groups'. Beyond that the rows are given to every set.
     """
     cells = rows.select(group, F.posexplode("x").alias("pos", "value"))
     holey = cells.groupBy("pos").agg(F.bool_or(F.col("value").isNull()).alias("_h")).filter("_h").select("pos")
-    known = cells.join(F.broadcast(holey), "pos", "left_semi").filter("value IS NOT NULL").withColumn("_one", F.lit(1))
-    listed = sets.agg(F.collect_list(F.struct("set_id", "excluded")).alias("_sets")).withColumn("_one", F.lit(1))
-    train = F.filter("_sets", lambda s: ~F.array_contains(s["excluded"], F.col(group)))
-    spread = known.join(F.broadcast(listed), "_one").select("pos", "value", F.explode(train).alias("_s")).select(
-        "pos", "value", "_s.set_id"
-    )
-    med = quantiles(spread, ["set_id", "pos"], "value", {"median": 0.5})
+    known = cells.join(F.broadcast(holey), "pos", "left_semi").filter("value IS NOT NULL")
+    if profile(rows, []).largest <= hot_rows(rows.sparkSession):
+        listed = [(r["set_id"], list(r["excluded"])) for r in sets.select("set_id", "excluded").collect()]
+
+        def middle(table: pa.Table) -> pa.Table:
+            value = table.column("value").to_numpy()
+            order = np.argsort(value, kind="stable")
+            value, names = value[order], np.asarray(table.column("g").to_pylist(), dtype=object)[order]
+            counts = {name: np.cumsum(names == name) for name in dict.fromkeys(names)}
+            ids, found = [], []
+            for set_id, excluded in listed:
+                upto = np.arange(1, len(value) + 1) - sum(counts[e] for e in dict.fromkeys(excluded) if e in counts)
+                if upto[-1] > 0:
+                    low, high = (value[np.searchsorted(upto, at + 1)] for at in ((upto[-1] - 1) // 2, upto[-1] // 2))
+                    ids.append(set_id)
+                    found.append(low if low == high else 0.5 * low + 0.5 * high)
+            return pa.table({"set_id": pa.array(ids, pa.string()), "pos": pa.array([table.column("pos")[0].as_py()] * len(ids), pa.int32()), "median": pa.array(found, pa.float64())})
+
+        plain = known.select(F.col(group).cast("string").alias("g"), "pos", F.col("value").cast("double").alias("value"))
+        med = plain.groupBy("pos").applyInArrow(middle, "set_id string, pos int, median double")
+    else:
+        listed = sets.agg(F.collect_list(F.struct("set_id", "excluded")).alias("_sets")).withColumn("_one", F.lit(1))
+        train = F.filter("_sets", lambda s: ~F.array_contains(s["excluded"], F.col(group)))
+        spread = known.withColumn("_one", F.lit(1)).join(F.broadcast(listed), "_one").select("pos", "value", F.explode(train).alias("_s"))
+        med = quantiles(spread.select("pos", "value", "_s.set_id"), ["set_id", "pos"], "value", {"median": 0.5})
     by_set = med.groupBy("set_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "median"))).alias("_m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(features - 1)), lambda p: F.coalesce(F.try_element_at("_m", p), F.lit(0.0)))
     return by_set.select("set_id", F.lit(MEDIAN).alias("i"), dense.alias("v"))
@@ -222,16 +314,7 @@ def _solver(alphas: Sequence[float], steps: int, top: int, rank: str, max_missin
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         line = dict(zip(pdf["i"], pdf["v"]))
         k = len(line[SUM])
-        n, groups = np.asarray(line[COUNTS])[:2]
-        med = np.asarray(line.get(MEDIAN, np.zeros(k)), dtype=float)
-        s, q, u = (np.asarray(line[i], dtype=float) for i in (SUM, SQUARE, MISSING))
-        s, q = s + u * med, q + u * med * med
-        mean, var = s / n, np.maximum(q - s * s / n, 0.0) / (n - 1)
-        within = np.asarray(line[WSS0]) - 2 * med * np.asarray(line[WSS1]) + med * med * np.asarray(line[WSS2])
-        score = within / max(n - groups, 1.0) if rank == "within_group" else var
-        order = np.lexsort((np.arange(k), -score))
-        usable = (u <= max_missing * n) & (score > 1e-14) & (var > 0)
-        keep = np.sort(order[usable[order]][:top])
+        keep, med, mean, var, n = _kept(line, top, rank, max_missing)
         if len(keep) < 2:
             raise ValueError("a training set has fewer than two usable features")
         full = np.vstack([np.asarray(line[i], dtype=float) for i in range(2 + 2 * k)])
@@ -278,9 +361,18 @@ def fit_sets(
 
     Columns of ``MODELS`` with outer_group and inner_group. The coefficients are on the raw scale.
     """
-    sums = set_sums(group_products(rows, group), sets, features, weights)
-    if missing:
-        sums = sums.unionByName(fold_medians(rows, sets, features, group))
+    if rank not in RANKERS:
+        raise ValueError(f"unknown ranker: {rank}")
+    medians = materialise(fold_medians(rows, sets, features, group), "medians") if missing else None
+    kept = screen(materialise(group_moments(rows, group), "moments"), sets, medians, top, rank, max_missing)
+    if len(kept) < 2:
+        raise ValueError("a training set has fewer than two usable features")
+    places = F.array(*[F.lit(p) for p in kept]) if len(kept) < features else None
+    if places is not None:
+        rows = rows.withColumn("x", F.transform(places, lambda p: F.get("x", p)))
+    sums = set_sums(group_products(rows, group, len(kept)), sets, len(kept), weights)
+    if medians is not None:
+        sums = sums.unionByName(medians if places is None else medians.withColumn("v", F.transform(places, lambda p: F.get("v", p))))
     # few rows but long solves: keep one task per few sets instead of letting small partitions be merged
     tasks = min(sets.count(), 4 * rows.sparkSession.sparkContext.defaultParallelism)
     sums = materialise(sums)
@@ -295,6 +387,8 @@ def fit_sets(
     inner_ids = sets.filter("inner_group IS NOT NULL").select("set_id", "outer_group").join(paths, "outer_group").select("set_id", "paths")
     inner = sums.join(inner_ids, "set_id").repartition(tasks, "set_id").groupBy("set_id").applyInPandas(solve, MODELS)
     both = outer.unionByName(inner)
+    if places is not None:
+        both = both.withColumn("pos", F.transform("pos", lambda p: F.get(places, p)))
     return both.join(sets.select("set_id", "outer_group", "inner_group"), "set_id")
 
 

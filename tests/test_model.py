@@ -214,3 +214,64 @@ def test_bad_runs_are_errors(spark):
         M.logo_nested(rows, K, rank="lineage")
     with pytest.raises(ValueError, match="three groups"):
         M.logo_nested(rows.filter("grp IN ('A', 'B')"), K)
+
+
+def test_screened_folds_equal_the_whole_product(spark, monkeypatch):
+    """Only kept features are multiplied, in tiles; coefficients and positions are those of the whole product."""
+    x, y, g = cohort()
+    wide = np.column_stack([x * 3, np.random.default_rng(8).normal(size=(len(x), 25)) * 0.01])
+    wide[::9, 1] = np.nan
+    rows = frame(spark, wide, y, g)
+    opts = {"alphas": (0.5,), "steps": 3, "top": 4, "max_missing": 0.5}
+    sets = M.exclusion_sets(rows)
+    seen = []
+    real = M.group_products
+
+    def spied(rows, group="grp", features=None):
+        seen.append(features)
+        return real(rows, group, features)
+
+    def models():
+        found = M.fit_sets(rows, sets, wide.shape[1], **opts).orderBy("set_id", "alpha", "step").collect()
+        return [(m["set_id"], m["step"], m["pos"], np.round(m["beta"], 9).tolist(), np.round(m["fill"], 9).tolist()) for m in found]
+
+    monkeypatch.setattr(M, "group_products", spied)
+    screened = models()
+    monkeypatch.setattr(M, "TASK_BYTES", 4000)
+    assert models() == screened
+    monkeypatch.setattr(M, "screen", lambda *a: list(range(wide.shape[1])))
+    assert models() == screened
+    assert seen[0] == seen[1] < 12 and seen[2] == wide.shape[1] and {p for m in screened for p in m[2]} <= set(range(K))
+
+
+@pytest.mark.parametrize("limit", ["1000000", "10"])
+def test_medians_of_all_sets(spark, limit):
+    x, y, g = cohort()
+    rng = np.random.default_rng(3)
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 2] = np.round(x[:, 2])
+    rows = frame(spark, x, y, g)
+    sets = M.exclusion_sets(rows)
+    spark.conf.set("spark.heldout.hotRows", limit)
+    try:
+        got = {r["set_id"]: r["v"] for r in M.fold_medians(rows, sets, x.shape[1]).collect()}
+    finally:
+        spark.conf.unset("spark.heldout.hotRows")
+    for s in sets.collect():
+        assert np.allclose(got[s["set_id"]], np.nanmedian(x[~np.isin(g, s["excluded"])], axis=0))
+
+
+def test_wide_rows(spark):
+    """More features than a whole product could hold: 20,000, of which each fold keeps 30."""
+    rng = np.random.default_rng(6)
+    n, k = 60, 20_000
+    g = np.array(list("ABC"))[np.arange(n) % 3]
+    x = rng.normal(size=(n, k)) * 0.1
+    x[:, 100:120] *= 20
+    y = x[:, 100:110].sum(1) + rng.normal(size=n)
+    models = M.fit_sets(frame(spark, x, y, g), M.exclusion_sets(frame(spark, x[:, :2], y, g)), k, alphas=(1.0,), steps=4, top=30, missing=False).collect()
+    assert len(models) == 9 * 4
+    for m in models:
+        train = ~np.isin(g, [m["outer_group"], m["inner_group"]])
+        assert set(m["pos"]) <= set(np.argsort(-x[train].var(axis=0))[:30].tolist())
+    assert {p for m in models for p in m["pos"]} >= set(range(100, 110))
