@@ -71,9 +71,15 @@ def test_sum_abs_deviation_brute_force(spark):
 
 
 def test_draws_only_send_the_first_rows(spark):
-    """The labelled rows come from a limited window, not a sort of the whole group."""
+    """Few labelled rows per group and replicate leave a task; groups too large for one take a limited window, not a sort of the whole."""
     _, df = preds(spark)
-    plan = K.labelled_draws(df.withColumn("r", F.col("pred") - F.col("actual")), (3, 5), 4, 1)._jdf.queryExecution().toString()
+    rows = df.withColumn("r", F.col("pred") - F.col("actual"))
+    assert R.first_rows(rows, 4, "grp", 5, ["r"], 1).groupBy("b", "grp").count().agg(F.max("count"), F.count("count")).first()[:] == (5, 12)
+    spark.conf.set("spark.heldout.hotRows", "20")
+    try:
+        plan = K.labelled_draws(rows, (3, 5), 4, 1)._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.heldout.hotRows")
     assert "WindowGroupLimit" in plan
 
 

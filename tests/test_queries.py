@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SAMPLE = [
-    "per_group_report", "threshold_table", "precedence_reason", "rank_meta_association", "eb_shrinkage_macro", "bootstrap_stratified",
+    "per_group_report", "threshold_table", "precedence_reason", "rank_meta_association", "eb_shrinkage_macro", "bootstrap_stratified_first20",
     "ssgsea_score", "stream_score", "predict_frozen", "interval_lookup", "title_key_join", "segment_features",
 ]
 
