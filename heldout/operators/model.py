@@ -21,13 +21,14 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heldout.functions.scalars import draw_key
 from heldout.operators.cohort import within_group_pairs
 from heldout.operators.fold_fits import PairFits, fold_names, fold_scales
 from heldout.operators.metrics import metric_columns
 from heldout.operators.ranking import (
     argmin_row, bracket_interpolate, calibration_knots, relative_target, stratified_holdout,
 )
-from heldout.plans.skew import attach, hot_rows, order_statistic, profile, quantiles
+from heldout.plans.skew import attach, hot_rows, number_rows, order_statistic, profile, quantiles
 from heldout.plans.storage import materialise
 
 ALPHAS = (0.1, 0.5, 1.0)
@@ -531,12 +532,29 @@ def export_coefficients(model: DataFrame, names: Sequence[str]) -> DataFrame:
     return head.unionByName(terms).orderBy("outer_group", F.col("term_type").desc(), F.abs("coefficient").desc(), "term")
 
 
+def tuning_folds(rows: DataFrame, seed: int = 0, group: str = "grp") -> DataFrame:
+    """Rows whose groups are the tuning folds: the groups themselves, or below three groups three folds of rows dealt in hash order
+    (nine rows at least)."""
+    if rows.select(group).distinct().limit(3).count() >= 3:
+        return rows
+    if rows.limit(9).count() < 9:
+        raise ValueError("fewer than three groups need nine rows or more to be dealt into folds")
+    dealt = number_rows(rows.withColumn("_h", draw_key(f"{seed}f", "id")), [], ["_h", "id"], "_rn")
+    return dealt.withColumn(group, F.concat(F.lit("rows"), F.col("_rn") % 3 + 1)).drop("_h", "_rn")
+
+
 def freeze_model(
     rows: DataFrame, features: int, share: float = 0.2, coverage: float = 0.95, seed: int = 0, **grid
 ) -> dict[str, DataFrame]:
-    """Reserve a calibration holdout in every group, tune and fit on the rest, take the conformal half-width from the holdout."""
+    """Reserve a calibration holdout in every group, tune and fit on the rest, take the conformal half-width from the holdout.
+
+    Below three groups the tuning folds are dealt rows (``tuning_folds``); choices that need the groups themselves are an error then.
+    """
     roles = stratified_holdout(rows, share, seed=seed)
-    train, calib = roles.filter("NOT holdout").drop("holdout"), roles.filter("holdout").drop("holdout")
+    own, calib = roles.filter("NOT holdout").drop("holdout"), roles.filter("holdout").drop("holdout")
+    train = tuning_folds(own, seed)
+    if train is not own and (grid.get("rank") == "within_group" or grid.get("weights") == "group"):
+        raise ValueError("ranking and weighting by group need three groups or more")
     sets = materialise(single_sets(train))
     models = materialise(fit_sets(train, sets, features, **grid))
     tuning = materialise(tune(inner_losses(train, models, features)))

@@ -275,3 +275,19 @@ def test_wide_rows(spark):
         train = ~np.isin(g, [m["outer_group"], m["inner_group"]])
         assert set(m["pos"]) <= set(np.argsort(-x[train].var(axis=0))[:30].tolist())
     assert {p for m in models for p in m["pos"]} >= set(range(100, 110))
+
+
+def test_few_groups_are_tuned_on_dealt_rows(spark):
+    x, y, g = cohort(n=60)
+    rows = frame(spark, x, y, np.where(g < "C", "A", "B"))
+    folds = M.tuning_folds(rows).groupBy("grp").count().collect()
+    assert sorted((r["grp"], r["count"]) for r in folds) == [("rows1", 20), ("rows2", 20), ("rows3", 20)]
+    kept = frame(spark, x, y, g)
+    assert M.tuning_folds(kept) is kept
+    run = M.freeze_model(rows, K, alphas=(1.0,), steps=3, missing=False)
+    assert run["model"].count() == 1 and {r["inner_folds"] for r in run["tuning"].collect()} == {3}
+    assert {r["grp"] for r in run["partitions"].select("grp").distinct().collect()} == {"A", "B"}
+    with pytest.raises(ValueError, match="nine rows"):
+        M.tuning_folds(rows.limit(8))
+    with pytest.raises(ValueError, match="three groups"):
+        M.freeze_model(rows, K, rank="within_group")
