@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,8 +13,20 @@ from pyspark.sql import functions as F
 BROADCAST_IDS = 100_000
 
 
-def give_back() -> None:
-    """Return freed memory to the system at the end of a task: Python workers live on, and other stages need the room."""
+#: What an operator keeps in a worker between its tasks, by name, as a function that drops it.
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(name: str, drop: Callable[[], None]) -> None:
+    """Say how to drop what the operator ``name`` keeps in this worker."""
+    _held[name] = drop
+
+
+def give_back(keep: str = "") -> None:
+    """At the end of a task, drop what other operators than ``keep`` hold in this worker, and return freed memory to the system: Python workers
+    live on, and other stages need the room."""
+    for name in [n for n in _held if n != keep]:
+        _held.pop(name)()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:

@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heldout.llm.common import give_back
+from heldout.llm.common import give_back, hold
 
 SPACE = "▁"
-#: Words and parts that one worker remembers; a full table is emptied.
-REMEMBERED = 120_000
+#: Entries of each of two generations of the tables of one worker: words, parts of words, pairs of pieces.
+WORDS, PARTS, PAIRS = 200_000, 150_000, 200_000
 #: Longer words are encoded without being remembered.
 LONG_WORD = 48
 #: Texts of one batch handed back to Spark: bytes.
@@ -40,25 +40,29 @@ BATCH_BYTES = 2 << 20
 
 
 class _Memo(dict):
-    """A dict that computes what it lacks and is emptied when full."""
+    """A dict that computes what it lacks. A full one becomes the old generation, and what is met again is moved up from there."""
 
-    def __init__(self, compute, limit: int = REMEMBERED):
+    def __init__(self, compute, limit: int):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.old = compute, limit, {}
 
     def __missing__(self, key):
-        value = self.compute(key)
-        if len(key) <= LONG_WORD:
-            if len(self) >= self.limit:
-                self.clear()
-            self[key] = value
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+            if len(key) > LONG_WORD:
+                return value
+        if len(self) >= self.limit:
+            self.old = self.copy()
+            self.clear()
+        self[key] = value
         return value
 
 
 class Codec:
     """Encoder and decoder of one model file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, share: float = 1.0):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.vocab_size()
         self.pieces, self.scores, self.byte_ids, self.single = {}, {}, {}, {}
@@ -91,9 +95,10 @@ class Codec:
                 self.automaton.add_word(p, len(p))
         self.automaton.make_automaton()
         self.prefix: dict[str, str | None] = {}
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.parts = _Memo(self._encode_part)
-        self.words = _Memo(self._encode_word)
+        self.fits = _Memo(self._fit, int(PAIRS * share))
+        self.parts = _Memo(self._encode_part, int(PARTS * share))
+        self.words = _Memo(self._encode_word, int(WORDS * share))
+        self.stored = {p: np.array([i], np.int32).tobytes() for p, i in self.pieces.items()}
         self.spaces: dict[int, list[int]] = {}
         self.lone = np.array([self.pieces[SPACE]], np.int32).tobytes()
         self.fallback = np.zeros(size, bool)
@@ -143,15 +148,10 @@ class Codec:
                 ranks[i - 1] = score(symbols[i - 1] + symbols[i], none)
         return symbols
 
-    def _fit(self, last: str, piece: str) -> bool:
-        """Whether ``piece`` may follow ``last`` (at the start: "")."""
-        known = self.fits.get((last, piece))
-        if known is None:
-            if len(self.fits) >= REMEMBERED:
-                self.fits.clear()
-            known = self._merge(last + piece) == ([last, piece] if last else [piece])
-            self.fits[last, piece] = known
-        return known
+    def _fit(self, pair: tuple[str, str]) -> bool:
+        """Whether the second piece may follow the first (at the start: "")."""
+        last, piece = pair
+        return self._merge(last + piece) == ([last, piece] if last else [piece])
 
     def _shorter(self, piece: str) -> str | None:
         """The longest piece that is a proper prefix of ``piece``."""
@@ -163,15 +163,13 @@ class Codec:
         """Pieces of a text whose characters are all pieces."""
         # Matches come by their end, so the last one from a start is its longest.
         longest = {end - n + 1: n for end, n in self.automaton.iter(text)}
-        size, fits, fit = len(text), self.fits.get, self._fit
+        size, fits = len(text), self.fits
         failed, chosen, at, last = 0, [], 0, ""
         piece: str | None = text[: longest[0]]
         while at < size:
             while piece is not None:
-                if not (failed and failed >> (at + len(piece)) & 1):
-                    known = fits((last, piece))
-                    if known or known is None and fit(last, piece):
-                        break
+                if not (failed and failed >> (at + len(piece)) & 1) and fits[last, piece]:
+                    break
                 piece = self._shorter(piece)
             if piece is not None:
                 chosen.append(piece)
@@ -186,11 +184,11 @@ class Codec:
 
     def _encode_part(self, part: str) -> bytes:
         """Ids of a text without inner cutting places."""
-        if len(part) == 1:
-            ids = [self.pieces[part]] if part in self.pieces else [self.byte_ids[b] for b in part.encode("utf-8")]
-        else:
-            ids = [self.pieces[p] for p in self._search(part)]
-        return np.array(ids, np.int32).tobytes()
+        if len(part) > 1:
+            return b"".join(map(self.stored.__getitem__, self._search(part)))
+        if part in self.stored:
+            return self.stored[part]
+        return np.array([self.byte_ids[b] for b in part.encode("utf-8")], np.int32).tobytes()
 
     def _encode_word(self, word: str) -> bytes:
         """Ids of a space and the word after it."""
@@ -251,14 +249,15 @@ class Codec:
         return text[1:] if not marks[0] and text.startswith(" ") else text
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[tuple[str, float], Codec] = {}
 
 
-def codec(path: str) -> Codec:
-    """The codec of a model file, made once per process."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+def codec(path: str, share: float = 1.0) -> Codec:
+    """The codec of a model file, made once per process and kept until another operator's task ends in it."""
+    if (path, share) not in _codecs:
+        _codecs[path, share] = Codec(path, share)
+    hold("sentencepiece", _codecs.clear)
+    return _codecs[path, share]
 
 
 def _list_array(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -280,8 +279,13 @@ def _in_batches(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
-    """Add the ids of ``text_col`` as ``out`` (array of int) and, if named, the text decoded from them as ``decoded``."""
+def encode(
+    docs: DataFrame, path: str, text_col: str = "text", out: str = "ids", decoded: str | None = None, share: float = 1.0,
+) -> DataFrame:
+    """Add the ids of ``text_col`` as ``out`` (array of int) and, if named, the text decoded from them as ``decoded``.
+
+    ``share`` scales the tables of remembered words: less memory of a worker for more time, the same ids.
+    """
     clash = {c.lower() for c in docs.columns} & {out.lower(), (decoded or out).lower()}
     if clash:
         raise ValueError(f"columns exist already: {sorted(clash)}")
@@ -289,13 +293,13 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids",
     fields = [T.StructField(out, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = codec(path)
+        tool = codec(path, share)
         for whole in batches:
             for batch in _in_batches(whole, at):
                 ids = [tool.encode(t) for t in batch.column(at).to_pylist()]
                 columns = [*batch.columns, _list_array(ids)] + ([pa.array(map(tool.decode, ids), pa.string())] if decoded else [])
                 yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, out] + ([decoded] if decoded else []))
-        give_back()
+        give_back("sentencepiece")
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
 
@@ -313,10 +317,10 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids", out: str = "text"
     return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField(out, T.StringType())]))
 
 
-def digests(encoded: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """Add n_tokens, ids_sha256 and decoded_sha256 to an encoded table and drop ids and text."""
+def digests(encoded: DataFrame, ids: str = "ids", decoded: str = "decoded", keep: bool = False) -> DataFrame:
+    """Add n_tokens, ids_sha256 and decoded_sha256 to an encoded table and drop ids and text, unless they are to be kept."""
     joined = F.array_join(F.col(ids).cast("array<string>"), ",")
     return encoded.select(
-        *[c for c in encoded.columns if c not in (ids, decoded)], F.size(ids).cast("long").alias("n_tokens"),
+        *[c for c in encoded.columns if keep or c not in (ids, decoded)], F.size(ids).cast("long").alias("n_tokens"),
         F.sha2(joined, 256).alias("ids_sha256"), F.sha2(F.col(decoded), 256).alias("decoded_sha256"),
     )

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heldout.llm.common import give_back, partitions_for
+from heldout.llm.common import give_back, hold, partitions_for
 from heldout.llm.importance import GramTable
 
 #: Tokens of a sequence, sequences of a batch, tokens after which a file is closed.
@@ -251,9 +251,10 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The encoder of a tokenizer file, made once per process."""
+    """The encoder of a tokenizer file, made once per process and kept until another operator's task ends in it."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    hold("tokenizer", _encoders.clear)
     return _encoders[path]
 
 
@@ -289,7 +290,7 @@ def encode_ids(
                 columns = [*batch.slice(start, n).columns[:2], tool.encode(texts, end_id), parts.slice(start, n)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "at", "tokens", "part"])
                 start += n
-        give_back()
+        give_back("tokenizer")
 
     kind = [rows.schema["doc_id"], *T.StructType.fromDDL("at long, tokens binary, part int").fields]
     return rows.mapInArrow(run, T.StructType(kind))
@@ -394,7 +395,7 @@ def write_tokens(
             writer.close()
         # Rows go out when their files are complete.
         yield from rows
-        give_back()
+        give_back("tokenizer")
 
     kind = T.StructType([coded.schema["doc_id"], *T.StructType.fromDDL("part int, number int, file string, first long, n_tokens long").fields])
     ordered.mapInArrow(run, kind).write.parquet(f"{path}/index")
@@ -455,7 +456,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                     columns = [*[part.column(c) for c in ("doc_id", "file", "first", "n_tokens")], pa.array(ids, pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "file", "first", "n_tokens", "ids"])
                     ids, kept, size = [], k + 1, 0
-        give_back()
+        give_back("tokenizer")
 
     kind = T.StructType([id_type, *T.StructType.fromDDL("file string, first long, n_tokens long, ids binary").fields])
     placed = index.select("doc_id", "file", "first", "n_tokens").mapInArrow(run, kind).join(F.broadcast(starts), "file")

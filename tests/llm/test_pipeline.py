@@ -32,7 +32,7 @@ def test_query_matches_sql(spark, sf, con, name):
 
 def test_all_are_registered():
     names = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op") and n[2:3].isdigit()} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in names if n.startswith("op") and n[2:3].isdigit()} and "pipeline" in names
 
 
 def test_pipeline_stages(spark, sf, con):
