@@ -4,7 +4,7 @@
 2. exact dedup: of equal texts one row stays.
 3. MinHash near-dedup: of each component of near-duplicates one document stays.
 4. benchmark decontamination: documents with a window of a benchmark item go.
-5. SentencePiece: each document left as token ids, with the text decoded from them.
+5. SentencePiece: each document left as token ids, with the text decoded from them, and the digests of both.
 
 Stages 1 to 4 return the columns of documents, also further ones than the given tables have. Rows that repeat an id and a text are copies of
 which the exact dedup keeps one.
@@ -41,7 +41,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return digests(encode(docs.select("doc_id", "text"), piece_model(), decoded="decoded").drop("text"))
+    return digests(encode(docs.select("doc_id", "text"), piece_model(), decoded="decoded", share=0.4).drop("text"), keep=True)
 
 
 STAGES = [
