@@ -2,12 +2,14 @@
 
 Features are the n-grams (4 and 5 characters of the lower-cased text) that occur in a document, hashed to ``BUCKETS``.
 
-1. ``count_features``: over ALL training documents, how many toxic and how many other documents contain each bucket. Each task adds up its
-   documents and hands on one row per bucket it met, so the shuffle holds counts, not texts.
-2. ``fit``: the ``FEATURES`` buckets with the largest likelihood ratio statistic are kept. Each has the log-count ratio
+1. ``count_features``: over ALL training documents, how many toxic and how many other documents contain each bucket, and how many of
+   those outside the check rows (an eighth of the ids). Each task adds up its documents and hands on one row per bucket it met, so the
+   shuffle holds counts, not texts.
+2. ``fit``: the buckets with the largest likelihood ratio statistic are kept. How many of them, one of ``SIZES``, is what serves the check
+   rows best when buckets, ratios and coefficients come from the other training rows. Each bucket has the log-count ratio
    ``r = log((p + a) / |p|) - log((q + a) / |q|)``. A logistic regression with squared penalty is fitted on presence times r, over at
    most ``FIT_ROWS`` training documents (those whose hashed id is smallest: a documented bound; everything else covers all rows).
-3. ``score``: one pass over the texts; the model is ``FEATURES`` numbers whatever the input.
+3. ``score``: one pass over the texts; the model is one of ``SIZES`` numbers whatever the input.
 
 Defined cases: null and empty texts have no features and get the intercept's score; labels that are null or whose id is null are ignored, of
 repeated labels the toxic one wins; a null id is not held out; without training rows every score is 0, with one class only it is the smoothed
@@ -31,7 +33,10 @@ from heldout.plans.storage import materialise
 
 LENGTHS = (4, 5)
 BUCKETS = 1 << 22
-FEATURES = 512
+#: Numbers of kept buckets that are tried.
+SIZES = (256, 512, 1024, 2048, 4096)
+#: One in so many ids is a check row.
+CHECK = 8
 FIT_ROWS = 20_000
 SMOOTHING = 1.0
 PENALTY = 1.0
@@ -78,26 +83,39 @@ def _joined_labels(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
     return texts.join(F.broadcast(marks) if few else marks, "id")
 
 
+def _order(id_col: str = "id") -> Column:
+    return F.xxhash64(F.col(id_col))
+
+
 def count_features(training: DataFrame) -> DataFrame:
-    """``bucket``, ``toxic``, ``other``: documents of either class that contain the bucket. Bucket -1 counts the documents."""
+    """``bucket``, ``toxic``, ``other``: documents of either class that contain the bucket; ``toxic_fit``, ``other_fit``: those of them that
+    are no check rows. Bucket -1 counts the documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros((2, BUCKETS), np.int32)
-        docs = np.zeros(2, np.int64)
+        seen = np.zeros((4, BUCKETS), np.int32)
+        docs = np.zeros(4, np.int64)
+
+        def rows(at: np.ndarray | list, counts: np.ndarray) -> pd.DataFrame:
+            other, toxic, other_fit, toxic_fit = counts.astype(np.int64)
+            all_of = {"toxic": toxic + toxic_fit, "other": other + other_fit}
+            return pd.DataFrame({"bucket": at, **all_of, "toxic_fit": toxic_fit, "other_fit": other_fit})
+
         for batch in batches:
-            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                docs[toxic] += 1
+            for text, part in zip(batch["text"], batch["part"], strict=True):
+                docs[part] += 1
                 parts = list(buckets_of(text))
                 if parts:
-                    seen[toxic, np.unique(np.concatenate(parts))] += 1
-        met = np.flatnonzero(seen[0] + seen[1])
-        yield pd.DataFrame({"bucket": [-1], "toxic": docs[1:], "other": docs[:1]})
+                    seen[part, np.unique(np.concatenate(parts))] += 1
+        met = np.flatnonzero(seen.any(axis=0))
+        yield rows([-1], docs[:, None])
         for start in range(0, len(met), 100_000):
             at = met[start : start + 100_000]
-            yield pd.DataFrame({"bucket": at, "toxic": seen[1, at].astype(np.int64), "other": seen[0, at].astype(np.int64)})
+            yield rows(at, seen[:, at])
 
-    each = training.select("text", "toxic").mapInPandas(run, "bucket long, toxic long, other long")
-    return each.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    part = F.col("toxic") + F.when(F.pmod(_order(), F.lit(CHECK)) == 0, 0).otherwise(2)
+    names = ["toxic", "other", "toxic_fit", "other_fit"]
+    each = training.select("text", part.cast("long").alias("part")).mapInPandas(run, "bucket long, " + ", ".join(f"{c} long" for c in names))
+    return each.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names])
 
 
 def _likelihood(a: Column, b: Column, n: int, m: int) -> Column:
@@ -110,21 +128,57 @@ def _likelihood(a: Column, b: Column, n: int, m: int) -> Column:
     return 2 * (part(a, n, a + b) + part(b, m, a + b) + part(n - a, n, n + m - a - b) + part(m - b, m, n + m - a - b))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, float]:
-    """Newton steps with halving for a logistic regression with squared penalty; the intercept is free."""
-    one = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    ridge = np.full(one.shape[1], PENALTY)
+class _Presence:
+    """Which of a number of features each row has, as two flat lists, with the ratio every feature is scaled by."""
+
+    def __init__(self, rows: list[np.ndarray], ratio: np.ndarray):
+        self.size, self.ratio = len(rows), ratio
+        self.at = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
+        self.row = np.repeat(np.arange(self.size, dtype=np.int32), [len(r) for r in rows])
+
+    def only(self, chosen: np.ndarray) -> _Presence:
+        """The same features of the chosen rows."""
+        ends = np.cumsum(np.bincount(self.row, minlength=self.size))[:-1]
+        return _Presence([r for r, c in zip(np.split(self.at, ends), chosen, strict=True) if c], self.ratio)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """Weights (the last one is the intercept) to the sum of every row."""
+        return np.bincount(self.row, (self.ratio * w[:-1])[self.at], self.size) + w[-1]
+
+    def summed(self, u: np.ndarray, power: int = 1) -> np.ndarray:
+        """A number of every row to its sum over the rows of every feature, and over all rows."""
+        return np.append(self.ratio**power * np.bincount(self.at, u[self.row], len(self.ratio)), u.sum())
+
+
+def _logistic(x: _Presence, y: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, float]:
+    """Newton steps with halving for a logistic regression with squared penalty; the intercept is free. A step comes from conjugate gradients."""
+    ridge = np.full(len(x.ratio) + 1, PENALTY)
     ridge[-1] = 1e-6
-    w = np.zeros(one.shape[1])
+    w = np.zeros(len(ridge))
 
     def loss(w: np.ndarray) -> float:
-        return float(np.logaddexp(0, -(2 * y - 1) * (one @ w)).sum() + 0.5 * (ridge * w * w).sum())
+        return float(np.logaddexp(0, -(2 * y - 1) * x.times(w)).sum() + 0.5 * (ridge * w * w).sum())
+
+    def newton_step(gradient: np.ndarray, curvature: np.ndarray) -> np.ndarray:
+        scale = x.summed(curvature, 2) + ridge
+        step, left = np.zeros(len(gradient)), gradient.copy()
+        ahead = left / scale
+        weight, goal = left @ ahead, 1e-3 * np.linalg.norm(gradient)
+        for _ in range(500):
+            if np.linalg.norm(left) <= goal:
+                break
+            bent = x.summed(curvature * x.times(ahead)) + ridge * ahead
+            size = weight / (ahead @ bent)
+            step += size * ahead
+            left -= size * bent
+            weight, before = left @ (left / scale), weight
+            ahead = left / scale + weight / before * ahead
+        return step
 
     now = loss(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(one @ w, -500, 500)))
-        gradient = one.T @ (p - y) + ridge * w
-        step = np.linalg.solve((one * (p * (1 - p))[:, None]).T @ one + np.diag(ridge), gradient)
+        p = 1 / (1 + np.exp(-np.clip(x.times(w), -500, 500)))
+        step = newton_step(x.summed(p - y) + ridge * w, p * (1 - p))
         size = 1.0
         while size > 1e-6 and loss(w - size * step) > now:
             size /= 2
@@ -135,35 +189,63 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[np.ndarr
     raise ValueError("the classifier did not converge")
 
 
+def _best(counts: DataFrame, toxic: str, other: str, n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most telling buckets by these counts, best first, and their log-count ratios."""
+    worth = _likelihood(F.col(toxic).cast("double"), F.col(other).cast("double"), n, m).alias("worth")
+    ranked = counts.filter(f"bucket >= 0 AND {toxic} + {other} > 0").select("bucket", F.col(toxic).alias("a"), F.col(other).alias("b"), worth)
+    best = ranked.orderBy(F.desc("worth"), "bucket").limit(max(SIZES)).toPandas()
+    ratio = np.log((best["a"] + SMOOTHING) / (n + SMOOTHING)) - np.log((best["b"] + SMOOTHING) / (m + SMOOTHING))
+    return best["bucket"].to_numpy(np.int64), ratio.to_numpy(float)
+
+
+def _chosen_size(rows: list[np.ndarray], check: np.ndarray, y: np.ndarray, ratio: np.ndarray) -> int:
+    """The size whose model, fitted on the rows that are not ``check``, has the least log loss on those that are; of equal ones the smallest."""
+    losses = []
+    for size in SIZES:
+        x = _Presence([r[r < size] for r in rows], ratio[:size])
+        w = np.append(*_logistic(x.only(~check), y[~check]))
+        losses.append(np.logaddexp(0, -(2 * y - 1) * x.times(w))[check].sum())
+    return SIZES[int(np.argmin(losses))]
+
+
 def fit(training: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """``training``: id, text, toxic (0 or 1)."""
     counts = materialise(count_features(training), "features")
-    total = counts.filter("bucket = -1").agg(F.sum("toxic"), F.sum("other")).first()
-    n, m = total[0] or 0, total[1] or 0
-    none = np.zeros(0)
+    names = ["toxic", "other", "toxic_fit", "other_fit"]
+    n, m, n_fit, m_fit = (k or 0 for k in counts.filter("bucket = -1").agg(*[F.sum(c) for c in names]).first())
     if not n or not m:
+        none = np.zeros(0)
         return Model(none.astype(np.int64), none, None, (n + 1) / (n + m + 2) if n + m else 0.0)
-    worth = _likelihood(F.col("toxic").cast("double"), F.col("other").cast("double"), n, m).alias("worth")
-    best = counts.filter("bucket >= 0").select("bucket", "toxic", "other", worth).orderBy(F.desc("worth"), "bucket").limit(FEATURES).toPandas()
-    best = best.sort_values("bucket")
-    ratio = np.log((best["toxic"] + SMOOTHING) / (n + SMOOTHING)) - np.log((best["other"] + SMOOTHING) / (m + SMOOTHING))
-    kept, ratio = best["bucket"].to_numpy(np.int64), ratio.to_numpy()
+    whole, ratio = _best(counts, "toxic", "other", n, m)
+    tried, ratio_tried = _best(counts, "toxic_fit", "other_fit", n_fit, m_fit) if n_fit and m_fit else (whole[:0], ratio[:0])
+    kept = np.union1d(whole, tried)
 
-    chosen = training.select("id", F.xxhash64(F.col("id")).alias("order")).orderBy("order", "id").limit(fit_rows).select("id").distinct()
-    sample = training.join(F.broadcast(chosen), "id")
+    order = _order()
+    last = training.select(order.alias("order")).orderBy("order").limit(fit_rows).agg(F.max("order")).first()[0]
 
     def present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find = _Finder(kept)
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"].astype(str), "toxic": batch["toxic"], "at": [find(t).astype(np.int16).tobytes() for t in batch["text"]]})
-
-    rows = sample.select("id", "text", "toxic").mapInPandas(present, "id string, toxic int, at binary").toPandas().sort_values(["id", "at"])
-    x = np.zeros((len(rows), len(kept)))
-    for row, at in zip(x, rows["at"], strict=True):
-        row[np.frombuffer(at, np.int16)] = 1.0
-    y = rows["toxic"].to_numpy(float)
-    coefficients, intercept = _logistic(x * ratio, y)
-    return Model(kept, coefficients * ratio, intercept)
+            found = [find(t).astype(np.int16).tobytes() for t in batch["text"]]
+            yield pd.DataFrame({"order": batch["order"], "id": batch["id"].astype(str), "toxic": batch["toxic"], "at": found})
+
+    # Repeated ids share their hash, so the bound is set once more on the short rows that go to the driver.
+    sample = training.select(order.alias("order"), "id", "text", "toxic").filter(F.col("order") <= last)
+    rows = sample.mapInPandas(present, "order long, id string, toxic int, at binary").orderBy("order", "id", "at").limit(fit_rows).toPandas()
+    y, check = rows["toxic"].to_numpy(float), rows["order"].to_numpy() % CHECK == 0
+
+    def ranks(buckets: np.ndarray) -> list[np.ndarray]:
+        """Of every row, the places of its buckets in this list."""
+        place = np.full(len(kept), -1, np.int32)
+        place[np.searchsorted(kept, buckets)] = np.arange(len(buckets))
+        return [p[p >= 0] for p in (place[np.frombuffer(at, np.int16)] for at in rows["at"])]
+
+    size = min(SIZES)
+    if len(tried) and check.any() and len(set(y[~check])) == 2:
+        size = _chosen_size(ranks(tried), check, y, ratio_tried)
+    whole, ratio = whole[:size], ratio[:size]
+    coefficients, intercept = _logistic(_Presence(ranks(whole), ratio), y)
+    return Model(whole, coefficients * ratio, intercept)
 
 
 class _Finder:

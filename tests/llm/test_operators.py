@@ -247,10 +247,45 @@ def test_toxicity_counts_and_fit(spark):
     got = TX.count_features(training).filter("bucket >= 0").collect()
     assert {(r.bucket, k): n for r in got for k, n in ((1, r.toxic), (0, r.other)) if n} == dict(want)
     rng = np.random.default_rng(1)
-    x, y = rng.normal(size=(200, 4)), (rng.random(200) < 0.4).astype(float)
-    w, b = TX._logistic(x, y)
+    has, ratio, y = rng.random((200, 6)) < 0.3, rng.normal(size=6), (rng.random(200) < 0.4).astype(float)
+    lists = TX._Presence([np.flatnonzero(r) for r in has], ratio)
+    x = has * ratio
+    w, b = TX._logistic(lists, y)
     p = 1 / (1 + np.exp(-(x @ w + b)))
-    assert np.abs(x.T @ (p - y) + TX.PENALTY * w).max() < 1e-3 and abs((p - y).sum()) < 1e-3
+    assert np.abs(x.T @ (p - y) + TX.PENALTY * w).max() < 1e-2 and abs((p - y).sum()) < 1e-2
+    assert np.allclose(lists.only(y == 1).times(np.append(w, b)), (x @ w + b)[y == 1])
+    part = training.filter(F.pmod(F.xxhash64("id"), F.lit(TX.CHECK)) != 0)
+    again = {(r.bucket, r.toxic_fit, r.other_fit) for r in TX.count_features(training).filter("toxic_fit + other_fit > 0").collect()}
+    assert again == {(r.bucket, r.toxic, r.other) for r in TX.count_features(part).collect() if r.toxic + r.other}
+
+
+def test_toxicity_fit_is_bounded_by_rows(spark):
+    docs, labels, rows, marks = toxic_tables(spark, 60)
+    training = docs.join(labels.filter("toxic is not null"), "doc_id").select(F.col("doc_id").alias("id"), "text", "toxic")
+    many = training.union(training.filter("id = 5").crossJoin(spark.range(300)).drop("id").withColumn("id", F.lit(5).cast("long")).select("id", "text", "toxic"))
+    seen = []
+    real = TX._logistic
+    TX._logistic = lambda x, y, *a: seen.append(x.size) or real(x, y, *a)
+    try:
+        TX.fit(many, fit_rows=40)
+    finally:
+        TX._logistic = real
+    assert seen and max(seen) <= 40
+
+
+def test_toxicity_size_is_chosen_on_check_rows():
+    # The first features tell the classes apart, the others are noise that fits the fitting rows only.
+    rng = np.random.default_rng(7)
+    y = (rng.random(400) < 0.5).astype(float)
+    rows = [np.flatnonzero(np.append(rng.random(5) < (0.8 if t else 0.2), rng.random(max(TX.SIZES) - 5) < 0.02)) for t in y]
+    check = np.arange(400) % 4 == 0
+    ratio = np.append(np.full(5, 2.0), np.where(rng.random(max(TX.SIZES) - 5) < 0.5, -2.0, 2.0))
+    losses = []
+    for size in TX.SIZES:
+        x = np.array([np.isin(np.arange(size), r) for r in rows]) * ratio[:size]
+        w, b = TX._logistic(TX._Presence([r[r < size] for r, c in zip(rows, check) if not c], ratio[:size]), y[~check])
+        losses.append(np.logaddexp(0, -(2 * y - 1) * (x @ w + b))[check].sum())
+    assert TX._chosen_size(rows, check, y, ratio) == TX.SIZES[int(np.argmin(losses))]
 
 
 def test_toxicity_without_training_rows(spark):
