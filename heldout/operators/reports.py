@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from heldout.functions.laws import COUNTED, correlation_p, signed_rank_p
 from heldout.functions.scalars import clip_floor, fisher_ci, pnorm_two_sided, safe_corr, safe_slope
-from heldout.operators.metrics import centred, group_identity_r2, metrics_panel, pairs, with_pooled
+from heldout.operators.metrics import centred, group_identity_r2, metrics_panel, pairs
 from heldout.plans.skew import Profile, midrank, midranks, null_safe_join, profile, quantiles
 
 
@@ -130,17 +130,18 @@ def component_correlation(df: DataFrame, targets: Sequence[str] = (*PARTS, "actu
     rows = df.withColumn("pred", clip_floor("pred"))
     flat = centred(rows, group, [*targets, "pred"])
     flat = flat.select(F.lit("within_group").alias("scope"), *[F.col(f"{c}_c").alias(c) for c in (*targets, "pred")])
-    scoped = with_pooled(rows, group, "pooled").withColumnRenamed(group, "scope").select("scope", *targets, "pred")
-    every = scoped.unionByName(flat)
+    own = rows.select(F.col(group).alias("scope"), *targets, "pred")
     shape = profile(df, [group])
-    like = Profile(shape.groups + 2, shape.rows, 3 * shape.rows)
-    ranked = midranks(every, ["scope"], {"_p": "pred", **{f"_{t}": t for t in targets}}, like)
-    out = ranked.groupBy("scope").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[safe_corr("pred", t).alias(f"pearson_{t}") for t in targets],
-        *[safe_corr("_p", f"_{t}").alias(f"spearman_{t}") for t in targets],
-    )
-    return out
+
+    def correlations(scoped: DataFrame, like: Profile) -> DataFrame:
+        n = F.count(F.lit(1))
+        linear = scoped.groupBy("scope").agg(n.alias("n"), *[safe_corr("pred", t).alias(f"pearson_{t}") for t in targets])
+        # Apart from the sums, so that a value leaves the rows once it is ranked.
+        ranked = midranks(scoped, ["scope"], {"_p": "pred", **{f"_{t}": t for t in targets}}, like)
+        return null_safe_join(linear, ranked.groupBy("scope").agg(*[safe_corr("_p", f"_{t}").alias(f"spearman_{t}") for t in targets]), ["scope"])
+
+    whole = own.withColumn("scope", F.lit("pooled")).unionByName(flat)
+    return correlations(own, shape).unionByName(correlations(whole, Profile(2, shape.rows, 2 * shape.rows)))
 
 
 def component_correlation_macro(wide: DataFrame, reserved: Sequence[str] = ("pooled", "within_group")) -> DataFrame:
