@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from heldout.catalog.base import long_view, pred_view, query, r, rounded, samples_view, table, with_views
 from heldout.catalog.model import FEATURES, GRID, vectors
 from heldout.operators.metrics import metrics_panel
-from heldout.plans.storage import scratch_path
+from heldout.plans.storage import materialise, scratch_path
 from heldout.sources import manifest as MF
 from heldout.sources import matrix as MX
 from heldout.sources import sinks as SK
@@ -300,7 +300,8 @@ def sink_model_bundle(spark, sf):
     f"{with_views('v_pred')} SELECT grp AS fold, count(*) AS n, {r('avg(pred)')} AS mean_pred, grp = 'NATION_1' AS resumed FROM v_pred GROUP BY grp",
 )
 def sink_fold_resumable(spark, sf):
-    path, df = scratch_path(spark, "resume"), pred_view(spark, sf)
+    # Read once per fold and run: written once, so that the joins behind it do not run and broadcast for every fold.
+    path, df = scratch_path(spark, "resume"), materialise(pred_view(spark, sf).select("grp", "pred"))
     folds = [x[0] for x in df.select("grp").distinct().orderBy("grp").collect()]
 
     def run(fold):
