@@ -38,14 +38,18 @@ def _matrix(column: pa.Array, rows: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows, -1)
 
 
+#: Rows of a batch that are summed at once, which bounds the arrays of rows by models.
+ROWS = 1024
+
+
 def _sums(rows: DataFrame, add: Callable[[pa.RecordBatch], dict[int, np.ndarray]]) -> dict[int, np.ndarray]:
     """Arrays by number, summed over all batches: inside a task first, then map-side, then by number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            if batch.num_rows:
-                for k, v in add(batch).items():
+            for start in range(0, batch.num_rows, ROWS):
+                for k, v in add(batch.slice(start, ROWS)).items():
                     total[k] = total.get(k, 0.0) + v
         if total:
             values = pa.array([v.ravel() for v in total.values()], pa.list_(pa.float64()))
