@@ -69,3 +69,34 @@ def test_pair_batches_are_summed_in_bounded_parts(spark):
         return {0: np.array([batch.num_rows, 0.0])}
 
     assert FF._sums(df, add)[0][0] == 5000
+
+
+def test_slices_of_a_stratum_share_their_hashes(monkeypatch):
+    made = []
+    monkeypatch.setattr(R, "mixed_runs", lambda starts, n: made.append(len(starts) * n) or mixed_runs(starts, n))
+    sizes = [4096] * 10 + [17]
+    draws = R.slice_draws(9, sizes, range(1, 31))
+    draws[3, 2], draws[4, 5], draws[5, 0] = 100, 9000, 4096  # far from as many draws as rows, and exactly as many
+    strata = R._Strata(9, sizes, draws)
+    got = [list(strata.slices(i, i + 1)) for i in range(30)]
+    assert sum(made) < draws.sum() / 4
+    for part, size in enumerate(sizes):
+        assert (np.array([g[part] for g in got]) == R.multiplicities(9, part, size, draws[:, part], range(1, 31))).all()
+
+
+def test_shared_counts_hold_more_than_a_byte(monkeypatch):
+    monkeypatch.setattr(R, "mixed_runs", lambda starts, n: np.zeros((len(starts), n), np.uint32))  # all draws hit the first row
+    strata = R._Strata(1, [400, 400], np.array([[395, 405]]))
+    assert [x[0] for x in strata.slices(0, 1)] == [395, 405]
+
+
+def test_sums_of_a_run_of_slices(spark, monkeypatch):
+    monkeypatch.setattr(R, "SLICE", 8)
+    monkeypatch.setattr(R, "TOGETHER", 3)
+    monkeypatch.setattr(R, "AT_ONCE", 4)
+    rows = [(k, None if k % 5 == 0 else "g", float(k)) for k in range(90)]
+    df = spark.createDataFrame(rows, "id long, grp string, v double")
+    got = R.resampled_sums(df, 10, ["grp"], {"s": F.col("v"), "n": F.lit(1.0)}, 3).toPandas()
+    want = R.drawn(df, 10, ["grp"], ["v"], 3).groupBy("b", "grp").agg(F.sum(F.col("w") * F.col("v")).alias("s"), F.sum("w").alias("n")).toPandas()
+    got, want = (x.fillna({"grp": "-"}).sort_values(["b", "grp"]).reset_index(drop=True) for x in (got, want))
+    assert len(got) == 20 and np.allclose(got.s, want.s) and (got.n == want.n).all()
