@@ -100,3 +100,13 @@ def test_sums_of_a_run_of_slices(spark, monkeypatch):
     want = R.drawn(df, 10, ["grp"], ["v"], 3).groupBy("b", "grp").agg(F.sum(F.col("w") * F.col("v")).alias("s"), F.sum("w").alias("n")).toPandas()
     got, want = (x.fillna({"grp": "-"}).sort_values(["b", "grp"]).reset_index(drop=True) for x in (got, want))
     assert len(got) == 20 and np.allclose(got.s, want.s) and (got.n == want.n).all()
+
+
+def test_pair_statistic_of_multiplicities_in_bytes():
+    rng = np.random.default_rng(5)
+    y, p = np.round(rng.normal(size=900), 1), rng.normal(size=900)
+    w = R.multiplicities(7, 0, 900, np.full(3, 900), range(1, 4))
+    w[2] = 0
+    w[2, :2] = 899, 1  # nearly all one tie
+    narrow, wide = (R._pair_statistic({"y": y, "p": p})(x) for x in (w[:2].astype(np.uint8), w))
+    assert np.allclose(narrow[0], wide[0][:2]) and np.allclose(narrow[1], wide[1][:2]) and np.isclose(abs(wide[1][2]), 1)
