@@ -110,3 +110,14 @@ def test_pair_statistic_of_multiplicities_in_bytes():
     w[2, :2] = 899, 1  # nearly all one tie
     narrow, wide = (R._pair_statistic({"y": y, "p": p})(x) for x in (w[:2].astype(np.uint8), w))
     assert np.allclose(narrow[0], wide[0][:2]) and np.allclose(narrow[1], wide[1][:2]) and np.isclose(abs(wide[1][2]), 1)
+
+
+def test_ranged_auc_shuffles_no_multiplicities(spark, hot, monkeypatch):
+    monkeypatch.setattr(R, "SLICE", 16)
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame(pd.DataFrame({"id": range(90), "cls": (rng.random(90) < 0.3).astype("int32"), "_score": np.round(rng.normal(size=90), 1)}))
+    df = df.withColumn("cls", F.col("cls").cast("int"))
+    out = R._ranged_auc(df, 12, 3, skew.profile(df, ["cls"]))
+    assert plan(out).count("FlatMapGroupsInArrow") == 1
+    stats = R.resampled(df, 12, ["cls"], [], ["cls", "_score"], R._auc_statistic, "auc double", 3, like=skew.Profile(2, 20, 90))
+    assert np.allclose([r["auc"] for r in out.orderBy("b").collect()], [r["auc"] for r in stats.orderBy("b").collect()])
