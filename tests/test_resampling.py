@@ -124,6 +124,33 @@ def test_bootstrap_of_awkward_groups(spark):
     assert R.bootstrap_auc_by_class(df, "pred", F.col("actual") > 99, 20, 1).first()["n_ok"] == 0
 
 
+@pytest.mark.parametrize("kind", ["distinct", "tied", "one_tie", "flat"])
+def test_replicates_that_share_words(monkeypatch, kind):
+    monkeypatch.setattr(R, "WORDS_AT_ONCE", 64)
+    rng = np.random.default_rng(1)
+    n = 333
+    y = {"distinct": rng.normal(size=n), "tied": np.round(rng.normal(size=n), 1), "one_tie": (np.arange(n) < 12) * 1.0, "flat": np.zeros(n)}[kind]
+    p = np.round(y + rng.normal(size=n), 1)
+    w = np.stack([np.bincount(rng.integers(0, n, n), minlength=n) for _ in range(11)]).astype(np.uint8)
+    w[3] = 0
+    w[3, :2] = 200, n - 200  # rows drawn far more often than any other
+    got = R._Words(*_cells_of(y, p)).spearman(w[:8])
+    got = np.r_[got, R._Words(*_cells_of(y, p)).spearman(w[8:])]
+    ranks = [pd.DataFrame({"y": np.repeat(y, k), "p": np.repeat(p, k)}).rank() for k in w]
+    want = np.array([r.corr().iloc[0, 1] if r.y.std() > 0 and r.p.std() > 0 else np.nan for r in ranks])
+    assert np.allclose(got, want, rtol=1e-10, atol=1e-12, equal_nan=True)
+    # Bytes and whole numbers give the same statistics.
+    for a, b in zip(R._pair_statistic({"y": y, "p": p})(w), R._pair_statistic({"y": y, "p": p})(w.astype(np.int32))):
+        assert np.allclose(a, b, rtol=1e-10, atol=1e-12, equal_nan=True)
+
+
+def _cells_of(y, p):
+    by_y, by_p = R._Cells(y), R._Cells(p)
+    cell = np.empty(len(y), np.int64)
+    cell[by_y.order] = by_y.of_ordered
+    return by_y, by_p, cell[by_p.order]
+
+
 def test_permutation_sums(spark):
     pdf = preds(30)
     got = R.permuted_sums(spark.createDataFrame(pdf), 6, "grp", "actual", "pred", [("same", lambda v, o: v), ("xy", lambda v, o: v * o)], 3).toPandas()
