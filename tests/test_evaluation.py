@@ -208,3 +208,25 @@ def test_first_value_has_an_order(spark):
     from heldout.operators.cohort import first_per_key_merge
 
     assert tuple(first_per_key_merge(scores, master, "key", ["o"], ["v", "w"], ["seq"]).first()) == ("k", 1, "a", "y", 5)
+
+
+def test_wide_panel_has_intervals_and_pooled_columns(spark):
+    rng = np.random.default_rng(4)
+    y = np.round(rng.normal(size=60), 1)
+    rows = [(k, "AB"[k % 2], float(y[k]), float(np.round(y[k] + rng.normal(), 1))) for k in range(60)] + [(100 + k, "tiny", float(k), 1.0 - k) for k in range(4)]
+    rows += [(200 + k, None, float(k), float(k % 3)) for k in range(7)] + [(300, "A", None, 1.0)]
+    df = spark.createDataFrame(rows, "id long, grp string, actual double, pred double")
+    got = {(r["scope"], r["grp"]): r for r in M.group_panel_wide(df, b=40, seed=3).collect()}
+    assert set(got) == {("group", "A"), ("group", "B"), ("group", "tiny"), ("group", None), ("pooled", "POOLED")}
+    limits = ["pearson_lo", "pearson_hi", "spearman_lo", "spearman_hi"]
+    for keys, scope in ((["grp"], "group"), ([], "pooled")):
+        for r in R.bootstrap_pairs_ci(df, 40, keys, 3).collect():
+            own = got[scope, r["grp"] if keys else "POOLED"]
+            assert [own[c] for c in limits] == [pytest.approx(r[c]) for c in limits] and own["pearson_lo"] < own["pearson"] < own["pearson_hi"]
+    assert all(got["group", "tiny"][c] is None for c in limits) and got["group", "tiny"]["n"] == 4
+    pooled, within = got["pooled", "POOLED"], M.within_group_metrics(df).first()
+    assert (pooled["boot_b"], pooled["boot_seed"]) == (40, 3)
+    assert [pooled[c] for c in ("within_pearson", "within_spearman")] == [pytest.approx(within[c]) for c in ("within_pearson", "within_spearman")]
+    share = {r["quantity"]: r["group_r2"] for r in M.group_identity_r2(df.dropna(subset=["actual", "pred"]), ["pred", "actual"]).collect()}
+    assert (pooled["group_r2_pred"], pooled["group_r2_actual"]) == (pytest.approx(share["pred"]), pytest.approx(share["actual"]))
+    assert all(got["group", "A"][c] is None for c in M.POOLED_ONLY)
