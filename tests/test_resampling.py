@@ -124,6 +124,28 @@ def test_bootstrap_of_awkward_groups(spark):
     assert R.bootstrap_auc_by_class(df, "pred", F.col("actual") > 99, 20, 1).first()["n_ok"] == 0
 
 
+def test_ranges_of_a_group_too_large_for_a_task(spark, monkeypatch):
+    monkeypatch.setattr(R, "SLICE", 16)
+    rng = np.random.default_rng(2)
+    rows = [(k, "flat", 1.0, float(k)) for k in range(45)] + [(100 + k, None, float(k % 3), float(k % 2)) for k in range(50)]
+    rows += [(200 + k, "tie", float(rng.normal()), float(k < 3)) for k in range(60)] + [(300 + k, "small", float(k), float(-k % 5)) for k in range(9)]
+    df = spark.createDataFrame(rows, "id long, grp string, actual double, pred double")
+    makes = [lambda: R.bootstrap_pairs_ci(df, 30, ["grp"], 3), lambda: R.bootstrap_pairs_ci(df, 30, [], 3)]
+    below = [{r["grp"] if "grp" in r else "all": r for r in m().collect()} for m in makes]
+    spark.conf.set(skew.HOT_ROWS, "20")
+    # Draws as rows would be rows times replicates in a shuffle.
+    monkeypatch.setattr(R, "drawn", None)
+    try:
+        above = [{r["grp"] if "grp" in r else "all": r for r in m().collect()} for m in makes]
+    finally:
+        spark.conf.unset(skew.HOT_ROWS)
+    assert set(above[0]) == {"flat", None, "tie", "small"} and above[0]["flat"]["n_ok"] == 0 and above[0]["flat"]["spearman_hi"] is None
+    for a, b in zip(below, above):
+        assert set(a) == set(b)
+        for g in a:
+            assert list(a[g]) == [pytest.approx(x, rel=1e-9, abs=1e-12) if isinstance(x, float) else x for x in b[g]]
+
+
 @pytest.mark.parametrize("kind", ["distinct", "tied", "one_tie", "flat"])
 def test_replicates_that_share_words(monkeypatch, kind):
     monkeypatch.setattr(R, "WORDS_AT_ONCE", 64)
